@@ -197,7 +197,7 @@ def outbox(runs: DataFrame, cfg: MonitorConfig = MonitorConfig()) -> DataFrame:
         " új, a HR területét (munkajog, bér, juttatás, foglalkoztatás, munkavédelem) érintő "
         "jogszabályváltozás jelent meg a Magyar Közlönyben.\n\n", attached,
         f"\n\n--\nAutomatikusan generálva · {cfg.product_name}\n")
-    recipients = F.transform(F.split(F.lit(cfg.email_to), ","), F.trim)
+    recipients = F.transform(F.split(F.lit(cfg.email_to), ","), lambda a: F.trim(a))
     return runs.where("new_items > 0").select(
         "run_id", "run_date",
         _text(cfg.subject_prefix + " ", F.col("run_date"), " – ", F.col("new_items"),
