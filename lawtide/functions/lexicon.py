@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawtide.functions.text import WORD_CHAR
+from lawtide.functions.text import WORD_CHAR, literal_map
 
 # Stems per topic of the HR scope. A stem matches at a word start
 # and takes any ending.
@@ -201,33 +202,67 @@ HR_SCOPE = Scope("hr", {t: stems_of(b) for t, b in HR_TOPICS.items()}, stems_of(
 
 
 def word_start(alternatives: str) -> str:
-    return rf"(?:^|[^{WORD_CHAR}])(?:{alternatives})"
+    return rf"(?<![{WORD_CHAR}])(?:{alternatives})"
+
+
+def plain_stems(stem: str) -> list[str] | None:
+    """A stem written out without its alternations; None if it has other pattern syntax."""
+    if set(stem) & set("\\[]{}^$.?*+"):
+        return None
+    if "(" not in stem and ")" not in stem:
+        return [s for s in stem.split("|") if s]
+    group = re.search(r"\(([^()]*)\)", stem)
+    if group is None:
+        return None
+    written: list[str] = []
+    for choice in group.group(1).split("|"):
+        rest = plain_stems(stem[:group.start()] + choice + stem[group.end():])
+        if rest is None:
+            return None
+        written.extend(rest)
+    return written
+
+
+def all_plain(stems: Iterable[str]) -> list[str] | None:
+    lists = [plain_stems(s) for s in stems]
+    return None if None in lists else list(dict.fromkeys(s for group in lists for s in group))
+
+
+def shared_prefixes(stems: Iterable[str], longest: bool) -> str:
+    """One pattern for many stems, common beginnings written once.
+
+    `longest` matches the longest stem at a place; else the shortest, which is
+    enough for a yes/no answer and leaves out every stem that starts with another.
+    """
+    tree: dict = {}
+    for stem in stems:
+        node = tree
+        for char in stem:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ends = "" in node
+        if ends and not longest:
+            return ""
+        branches = [re.escape(c) + pattern(n) for c, n in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+        return f"(?:{body})?" if ends else body
+
+    return pattern(tree)
 
 
 def topic_pattern(stems: Iterable[str]) -> str:
-    """Any of the stems at a word start."""
+    """Any of the stems, as they are written, at a word start."""
     return word_start("|".join(dict.fromkeys(stems)))
 
 
 def hit_pattern(stems: Iterable[str]) -> str:
-    """Same answer as `topic_pattern`, with less to try per word.
-
-    A stem that starts with another stem adds nothing to a yes/no answer, and
-    stems are grouped by first letter so that most words fail on one comparison.
-    """
-    stems = list(dict.fromkeys(stems))
-    # Pattern syntax other than the brackets of an alternation: keep as written.
-    if any(set(s) & set("\\[{^$.?*+") or s[:1] in "(|" for s in stems):
-        return topic_pattern(stems)
-    plain = [s for s in stems if "(" not in s and "|" not in s]
-    kept = [s for s in stems if not any(s != p and s.startswith(p) for p in plain)]
-    if any("|" in s and "(" not in s for s in kept):
-        return topic_pattern(stems)
-    by_letter: dict[str, list[str]] = {}
-    for stem in kept:
-        by_letter.setdefault(stem[0], []).append(stem[1:])
-    groups = [letter + f"(?:{'|'.join(rests)})" for letter, rests in sorted(by_letter.items())]
-    return word_start("|".join(groups))
+    """Same answer as `topic_pattern`, with less to try per word."""
+    plain = all_plain(stems)
+    return topic_pattern(stems) if plain is None else word_start(shared_prefixes(plain, longest=False))
 
 
 def searched_text(text: Column, context: Column | None = None) -> Column:
@@ -240,14 +275,52 @@ def keyword_hit(searched: Column, scope: Scope = HR_SCOPE) -> Column:
     return searched.rlike(hit_pattern(scope.all_stems))
 
 
-def topic_tags(searched: Column, scope: Scope = HR_SCOPE) -> Column:
-    """Sorted topics of the scope whose stems occur. Every topic keeps its own stems."""
-    found = F.array(*[
+def found_stems(searched: Column, scopes: Sequence[Scope]) -> Column | None:
+    """The longest stem at every word start, each once, for all scopes in one pass.
+
+    The stem is captured in a look-ahead, so a stem inside a longer phrase is found
+    too. None when a scope has stems with pattern syntax.
+    """
+    plain = all_plain(s for scope in scopes for s in scope.all_stems)
+    if plain is None:
+        return None
+    pattern = rf"(?<![{WORD_CHAR}])(?=({shared_prefixes(plain, longest=True)}))"
+    return F.array_distinct(F.regexp_extract_all(searched, F.lit(pattern), F.lit(1)))
+
+
+def stem_topics(scope: Scope, stems: Iterable[str]) -> dict[str, list[str]]:
+    """Topics a found stem stands for: its own and those of every stem it starts with.
+
+    Found stems that belong to other scopes only are absent.
+    """
+    owners: dict[str, set[str]] = {}
+    for topic, group in [*scope.topics.items(), (None, scope.generic)]:
+        for stem in all_plain(group) or []:
+            owners.setdefault(stem, set()).update([topic] if topic else [])
+    table = {}
+    for stem in stems:
+        under = [owners[stem[:n]] for n in range(1, len(stem) + 1) if stem[:n] in owners]
+        if under:
+            table[stem] = sorted(set().union(*under))
+    return table
+
+
+def tags_of(found: Column, scope: Scope, scopes: Sequence[Scope]) -> Column:
+    """Sorted topics of one scope from found stems; NULL when the scope is not hit."""
+    plain = all_plain(s for each in scopes for s in each.all_stems) or []
+    table = literal_map(stem_topics(scope, plain))
+    groups = F.filter(F.transform(found, lambda s: F.try_element_at(table, s)), lambda g: g.isNotNull())
+    return F.when(F.size(groups) > 0, F.array_sort(F.array_distinct(F.flatten(groups))))
+
+
+def tags_by_pattern(searched: Column, scope: Scope) -> Column:
+    """`tags_of` for stems with pattern syntax: one search per topic."""
+    found = [
         F.when(searched.rlike(topic_pattern(stems)), F.lit(topic))
         for topic, stems in sorted(scope.topics.items())
-    ])
-    tags = F.filter(found, lambda t: t.isNotNull())
-    return F.when(keyword_hit(searched, scope), tags).otherwise(F.array().cast("array<string>"))
+    ]
+    tags = F.filter(F.array(*found), lambda t: t.isNotNull()) if found else F.array().cast("array<string>")
+    return F.when(keyword_hit(searched, scope), tags)
 
 
 def scopes_from_table(lexicon: DataFrame, thresholds: Mapping[str, float] | None = None) -> list[Scope]:

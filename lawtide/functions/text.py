@@ -67,9 +67,13 @@ def named_entities() -> dict[str, str]:
 
 
 def literal_map(table: dict) -> Column:
-    """A constant map of text to text or number, as one expression."""
+    """A constant map from text to text, number or list of texts, as one expression."""
     def written(x) -> str:
-        return str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        if isinstance(x, list):
+            return f"cast(array({', '.join(map(written, x))}) as array<string>)"
+        if isinstance(x, int):
+            return str(x)
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return F.expr(f"map({', '.join(written(x) for pair in table.items() for x in pair)})")
 
 

@@ -7,15 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawtide.functions.lexicon import HR_SCOPE, Scope, keyword_hit, searched_text, topic_pattern
-
-NO_TAGS = "array<string>"
-
-
-def with_searched(df: DataFrame, text: str = "text", context: str | None = None) -> DataFrame:
-    """Lower-cased search text as a column, so that it is built once per row."""
-    extra = None if context is None else F.col(context)
-    return df.withColumn("_searched", searched_text(F.col(text), extra))
+from lawtide.functions.lexicon import (
+    HR_SCOPE, Scope, found_stems, keyword_hit, searched_text, tags_by_pattern, tags_of,
+)
 
 
 def keyword_filter(
@@ -24,16 +18,37 @@ def keyword_filter(
 ) -> DataFrame:
     if not enabled:
         return df
-    extra = None if context is None else F.col(context)
-    return df.where(keyword_hit(searched_text(F.col(text), extra), scope))
+    return df.where(keyword_hit(_searched(text, context), scope))
 
 
-def _tags(searched: Column, scope: Scope) -> Column:
-    found = [
-        F.when(searched.rlike(topic_pattern(stems)), F.lit(topic))
-        for topic, stems in sorted(scope.topics.items())
-    ]
-    return F.filter(F.array(*found), lambda t: t.isNotNull()) if found else F.array().cast(NO_TAGS)
+def _searched(text: str, context: str | None) -> Column:
+    return searched_text(F.col(text), None if context is None else F.col(context))
+
+
+def with_tags(
+    df: DataFrame, scopes: Sequence[Scope], text: str = "text", context: str | None = None,
+) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with what the lexicons found, and per scope its topics (NULL = no hit).
+
+    One pass over a text finds the stems of all scopes; topics are looked up from
+    the few stems found. The helper column is `_found`.
+    """
+    found = found_stems(F.col("_found"), scopes)
+    rows = df.withColumn("_found", _searched(text, context))
+    if found is None:
+        return rows, {s.name: tags_by_pattern(F.col("_found"), s) for s in scopes}
+    return rows.withColumn("_found", found), {
+        s.name: tags_of(F.col("_found"), s, scopes) for s in scopes}
+
+
+def tag_topics(
+    df: DataFrame, scope: Scope = HR_SCOPE, text: str = "text", context: str | None = None,
+    out: str = "topics",
+) -> DataFrame:
+    """Sorted topics of every row; empty when nothing is hit."""
+    rows, tags = with_tags(df, [scope], text, context)
+    none = F.array().cast("array<string>")
+    return rows.withColumn(out, F.coalesce(tags[scope.name], none)).drop("_found")
 
 
 def match_scopes(
@@ -41,18 +56,16 @@ def match_scopes(
 ) -> DataFrame:
     """One row per paragraph and scope whose lexicon it hits, with threshold and topics.
 
-    All scopes are tried in one pass over the paragraphs. They are literals of the
-    plan, not a joined table, so nothing is multiplied before it has matched.
+    Scopes are literals of the plan, not a joined table, so nothing is multiplied
+    before it has matched.
     """
-    searched = F.col("_searched")
-    matches = [
-        F.when(keyword_hit(searched, scope), F.struct(
-            F.lit(scope.name).alias("scope"),
-            F.lit(float(scope.threshold)).alias("threshold"),
-            _tags(searched, scope).alias("topics")))
-        for scope in scopes
-    ]
-    hits = F.filter(F.array(*matches), lambda m: m.isNotNull())
-    exploded = with_searched(df, text, context).withColumn("_match", F.explode(hits))
-    return exploded.select(
+    rows, tags = with_tags(df, scopes, text, context)
+    matches = F.array(*[
+        F.struct(
+            F.lit(s.name).alias("scope"), F.lit(float(s.threshold)).alias("threshold"),
+            tags[s.name].alias("topics"))
+        for s in scopes
+    ])
+    hits = F.filter(matches, lambda m: m["topics"].isNotNull())
+    return rows.withColumn("_match", F.explode(hits)).select(
         *df.columns, "_match.scope", "_match.threshold", "_match.topics")

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from lawtide.functions import replies
 from lawtide.functions.dates import DATE_TEXT
-from lawtide.functions.lexicon import HR_SCOPE, Scope, searched_text
+from lawtide.functions.lexicon import HR_SCOPE, Scope
 from lawtide.functions.requests import enrich_request, repair_request, score_request
 from lawtide.functions.text import squeeze
-from lawtide.operators.prefilter import _tags
+from lawtide.operators.prefilter import tag_topics
 
 # Texts in, one reply per text out, same order. An Exception in place of a reply
 # marks that one call as failed.
@@ -148,10 +148,7 @@ def lexical_score(topics: Column) -> Column:
 
 def lexical_scores(candidates: DataFrame, scope: Scope = HR_SCOPE) -> DataFrame:
     """Default scorer without a model: topics by stems, score by their number."""
-    # A column of its own, so that the text is lower-cased once, not per topic.
-    searched = candidates.withColumn(
-        "_searched", searched_text(F.col("text"), F.col("justification_text")))
-    tagged = searched.withColumn("matched_topics", _tags(F.col("_searched"), scope))
+    tagged = tag_topics(candidates, scope, "text", "justification_text", out="matched_topics")
     scored = tagged.withColumn("score", lexical_score(F.col("matched_topics")))
     return scored.select(
         *candidates.columns,

@@ -16,10 +16,10 @@ from lawtide.config import MonitorConfig
 from lawtide.functions import replies, requests, text, urls
 from lawtide.functions.anchors import inferred_anchor, paragraph_anchor
 from lawtide.functions.dates import local_date
-from lawtide.functions.lexicon import Scope, keyword_hit, searched_text, topic_tags
+from lawtide.functions.lexicon import Scope, keyword_hit, searched_text
 from lawtide.operators import counts, dedupe, paragraphs, scoring
 from lawtide.operators.ordered import first_per
-from lawtide.operators.prefilter import keyword_filter, match_scopes
+from lawtide.operators.prefilter import keyword_filter, match_scopes, tag_topics, with_tags
 from lawtide.plans import report
 from lawtide.plans.derived import Tables
 from lawtide.sources import landed, listing
@@ -246,8 +246,7 @@ def c2_keyword_match(t: Tables) -> DataFrame:
 
 @query
 def c3_topics(t: Tables) -> DataFrame:
-    searched = t.v_par.withColumn("searched", searched_text(F.col("text")))
-    tagged = searched.select("doc_id", "pos", topic_tags(F.col("searched"), TABLE_SCOPE).alias("topics"))
+    tagged = tag_topics(t.v_par, TABLE_SCOPE)
     return tagged.select("doc_id", "pos", joined("topics").alias("topics"))
 
 
@@ -421,11 +420,11 @@ def flagged(t: Tables) -> DataFrame:
     """Every paragraph with the stages it passed. State is looked up before scoring."""
     known = t.v_reported.withColumn("reported", F.lit(True))
     rows = t.v_key.join(known, ["issue_number", "anchor"], "left")
-    staged = rows.withColumn("kept", F.length("text") >= 30).withColumn(
-        "candidate", F.col("kept") & keyword_hit(searched_text(F.col("text")), TABLE_SCOPE))
-    tagged = staged.withColumn("topics", F.when(F.col("candidate"), topic_tags(
-        searched_text(F.col("text")), TABLE_SCOPE)))
-    scored = tagged.withColumn("score", F.when(F.col("candidate"), scoring.lexical_score(F.col("topics"))))
+    found, tags = with_tags(rows, [TABLE_SCOPE])
+    topics = tags[TABLE_SCOPE.name]
+    staged = found.withColumn("kept", F.length("text") >= 30).withColumn("topics", topics)
+    scored = staged.withColumn("candidate", F.col("kept") & F.col("topics").isNotNull()).withColumn(
+        "score", scoring.lexical_score(F.col("topics")))
     relevant = F.col("candidate") & (F.col("score") >= 0.5)
     return scored.withColumn("relevant", relevant).withColumn(
         "dropped", relevant & F.col("reported").isNotNull()).withColumn(

@@ -11,8 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawtide.sources.landed import spread
+
 TABLES = ("documents", "labels", "pages", "conversations", "events", "orders")
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 LISTING_PAGE = 10
 
 # Tokens that differ between the two engines: (Spark, DuckDB).
@@ -198,7 +202,8 @@ class Tables:
 
     def _make(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(table) if name in TEXT_TABLES else table
         if name == "v_par":
             return self.documents.select(
                 "doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"),
