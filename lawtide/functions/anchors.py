@@ -18,12 +18,11 @@ UNKNOWN_ANCHOR = "ismeretlen"
 
 def inferred_anchor(text: Column) -> Column:
     """Anchor named in a text, NULL if there is none."""
+    # One chain, so that the text is searched once.
     found = F.regexp_extract(text, ANCHOR, 0)
-    return (
-        F.when(F.endswith(found, F.lit("§")), F.concat(F.regexp_extract(found, "^[0-9]+", 0), F.lit(". §")))
-        .when(F.startswith(found, F.lit("(")), found)
-        .when(found != "", F.concat(F.substring_index(found, ".", 1), F.lit(". fejezet")))
-    )
+    section = F.regexp_replace(found, r"(?s)^([0-9]+)\..*$", "$1. §")
+    chapter = F.regexp_replace(section, r"(?s)^([IVX]+)\..*$", "$1. fejezet")
+    return F.nullif(chapter, F.lit(""))
 
 
 def paragraph_anchor(heading: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lawtide.functions.text import WS, literal_map
+from lawtide.functions.text import WS
 
 # Hungarian month names, with one misspelling seen in the source.
 MONTHS = {
@@ -19,12 +19,11 @@ DATE_TEXT = rf"(?iu)([0-9]{{4}})\.{WS}*({'|'.join(MONTHS)}){WS}*([0-9]{{1,2}})"
 
 def local_date(text: Column) -> Column:
     """First "yyyy. month d." of a text as a date; a day that does not exist gives NULL."""
-    found = F.regexp_extract(text, DATE_TEXT, 0)
-    month = F.try_element_at(literal_map(MONTHS), F.lower(F.regexp_extract(found, DATE_TEXT, 2)))
-    parts = F.concat_ws(
-        "-", F.regexp_extract(found, DATE_TEXT, 1), month.cast("string"),
-        F.regexp_extract(found, DATE_TEXT, 3))
-    return F.when(found != "", F.try_to_date(parts, "yyyy-M-d"))
+    # One chain, so that the text is searched once.
+    parts = F.lower(F.regexp_replace(F.regexp_extract(text, DATE_TEXT, 0), DATE_TEXT, "$1-$2-$3"))
+    for name, number in MONTHS.items():
+        parts = F.replace(parts, F.lit(name), F.lit(str(number)))
+    return F.try_to_date(parts, "yyyy-M-d")
 
 
 def published_date(markup: Column, text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lawtide.functions.binding import let
 from lawtide.functions.text import WHITESPACE, WS, strip
 
 FENCE = rf"(?i)^```(?:json)?{WS}*|{WS}*```$"
@@ -22,19 +23,19 @@ def unfenced(reply: Column) -> Column:
 
 def brace_span(text: Column) -> Column:
     """From the first "{" to the last "}", NULL without both."""
-    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-
-
-def _values(text: Column) -> Column:
-    """`text` as the one element of a JSON array: strict, no trailing text."""
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return let(F.regexp_extract(text, r"(?s)\{.*\}", 0), lambda span: F.when(span != "", span))
 
 
 def single_value(text: Column) -> Column:
-    """The JSON value that is all of `text`, else NULL."""
-    values = _values(text)
-    several = F.schema_of_variant(F.try_variant_get(values, "$[1]", "variant")).isNotNull()
-    return F.when(~several, F.try_variant_get(values, "$[0]", "variant"))
+    """The JSON value that is all of `text`, else NULL.
+
+    Read as the one element of an array, which is strict: no trailing text, no
+    single quotes, no raw line breaks.
+    """
+    def only(values: Column) -> Column:
+        several = F.schema_of_variant(F.try_variant_get(values, "$[1]", "variant")).isNotNull()
+        return F.when(~several, F.try_variant_get(values, "$[0]", "variant"))
+    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), only)
 
 
 def is_object(value: Column) -> Column:
@@ -46,10 +47,14 @@ def reply_object(reply: Column) -> Column:
 
     A whole text that is valid JSON but no object is a failure.
     """
-    body = unfenced(reply)
-    whole = single_value(body)
-    span = single_value(brace_span(body))
-    return F.when(whole.isNotNull(), F.when(is_object(whole), whole)).when(is_object(span), span)
+    def object_only(value: Column) -> Column:
+        return F.when(is_object(value), value)
+
+    def read(body: Column) -> Column:
+        return let(single_value(body), lambda whole: F.when(
+            whole.isNotNull(), object_only(whole)).otherwise(
+            let(single_value(brace_span(body)), object_only)))
+    return let(unfenced(reply), read)
 
 
 def _field(obj: Column, name: str, spark_type: str = "variant") -> Column:

@@ -57,6 +57,10 @@ ACCENTS = {
 }
 
 
+# Characters of "&...;" after the ampersand, as far as they are looked at.
+LONGEST_ENTITY = 12
+
+
 def named_entities() -> dict[str, str]:
     """Entity name to character, built from the two tables above."""
     table = dict(PUNCTUATION_ENTITIES)
@@ -103,19 +107,17 @@ def decode_entities(text: Column) -> Column:
     named = literal_map(named_entities())
 
     def decoded(piece: Column) -> Column:
-        name = F.substring_index(piece, ";", 1)
+        name = F.substring_index(F.substring(piece, 1, LONGEST_ENTITY), ";", 1)
         char = F.coalesce(
             F.decode(F.unhex(F.lpad(F.hex(_code_point(name)), 8, "0")), "UTF-32"),
             F.try_element_at(named, name))
-        closed = F.contains(piece, F.lit(";")) & char.isNotNull()
+        closed = char.isNotNull() & (F.substr(piece, F.length(name) + 1, F.lit(1)) == ";")
         return F.when(closed, F.concat(char, F.substr(piece, F.length(name) + 2))).otherwise(
             F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text, "&")
-    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
-    return F.when(
-        F.contains(text, F.lit("&")), F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))
-    ).otherwise(text)
+    pieces = F.transform(
+        F.split(text, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(decoded(piece)))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def node_text(markup: Column) -> Column:

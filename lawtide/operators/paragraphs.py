@@ -32,8 +32,7 @@ def sections(html: Column) -> Column:
     visible = F.regexp_replace(html, INVISIBLE, "")
     marked = F.regexp_replace(visible, BLOCK, MARK + "$0")
 
-    def section(markup: Column, number: Column) -> Column:
-        blocks = F.split(markup, MARK)
+    def section(blocks: Column, number: Column) -> Column:
         # Text before the first heading belongs to a section without one.
         heading = F.when(number == 0, F.lit("")).otherwise(node_text(F.element_at(blocks, 1)))
         paragraphs = F.filter(blocks, lambda b: b.rlike(PARAGRAPH_START))
@@ -41,7 +40,8 @@ def sections(html: Column) -> Column:
         return F.struct(
             number.cast("long").alias("section"), heading.alias("heading"), text.alias("text"))
 
-    cut = F.transform(F.split(marked, HEADING_START), section)
+    blocks = F.transform(F.split(marked, HEADING_START), lambda markup: F.split(markup, MARK))
+    cut = F.transform(blocks, section)
     return F.filter(cut, lambda s: strip(s["text"]) != "")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawtide.functions.binding import computed_once
 from lawtide.functions.lexicon import (
     HR_SCOPE, Scope, found_stems, keyword_hit, searched_text, tags_by_pattern, tags_of,
 )
@@ -33,12 +34,12 @@ def with_tags(
     One pass over a text finds the stems of all scopes; topics are looked up from
     the few stems found. The helper column is `_found`.
     """
-    found = found_stems(F.col("_found"), scopes)
-    rows = df.withColumn("_found", _searched(text, context))
+    found = found_stems(_searched(text, context), scopes)
     if found is None:
+        rows = computed_once(df, _found=_searched(text, context))
         return rows, {s.name: tags_by_pattern(F.col("_found"), s) for s in scopes}
-    return rows.withColumn("_found", found), {
-        s.name: tags_of(F.col("_found"), s, scopes) for s in scopes}
+    rows = computed_once(df, _found=found)
+    return rows, {s.name: tags_of(F.col("_found"), s, scopes) for s in scopes}
 
 
 def tag_topics(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lawtide.functions import replies
+from lawtide.functions.binding import computed_once
 from lawtide.functions.dates import DATE_TEXT
 from lawtide.functions.lexicon import HR_SCOPE, Scope
 from lawtide.functions.requests import enrich_request, repair_request, score_request
@@ -89,7 +90,7 @@ def ask_with_repair(
     first = stage(
         call_model(rows.withColumn("request", request), make_scorer, concurrency),
         f"{kind}_replies")
-    read = first.withColumn("parsed", replies.reply_object(F.col("reply")))
+    read = computed_once(first, parsed=replies.reply_object(F.col("reply")))
     called = F.col("error_type").isNull()
     broken = called & F.col("parsed").isNull()
     settled = read.where(~broken).withColumn(
@@ -99,7 +100,7 @@ def ask_with_repair(
     second = stage(
         call_model(retry.drop("reply", "error_type", "error_text", "parsed"), make_scorer, concurrency),
         f"{kind}_repairs")
-    repaired = second.withColumn("parsed", replies.reply_object(F.col("reply"))).withColumn(
+    repaired = computed_once(second, parsed=replies.reply_object(F.col("reply"))).withColumn(
         "error",
         F.when(F.col("error_type").isNotNull(), F.concat(
             F.lit(REPAIR_CALL_FAILED), F.col("error_type"), F.lit(": "), F.col("error_text")))

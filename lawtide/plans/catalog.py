@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lawtide.config import MonitorConfig
 from lawtide.functions import replies, requests, text, urls
+from lawtide.functions.binding import computed_once
 from lawtide.functions.anchors import inferred_anchor, paragraph_anchor
 from lawtide.functions.dates import local_date
 from lawtide.functions.lexicon import Scope, keyword_hit, searched_text
@@ -154,7 +155,7 @@ def b4_issue_ids(t: Tables) -> DataFrame:
 
 @query
 def b5_labels(t: Tables) -> DataFrame:
-    return entry_links(t).select("page_no", listing.link_label(F.col("link")).alias("issue_number"))
+    return entry_links(t).select("page_no", F.col("label").alias("issue_number"))
 
 
 @query
@@ -215,7 +216,7 @@ def b13_html_text(t: Tables) -> DataFrame:
 
 
 def parsed(t: Tables) -> DataFrame:
-    return t.v_reply.withColumn("parsed", replies.reply_object(F.col("reply")))
+    return computed_once(t.v_reply, parsed=replies.reply_object(F.col("reply")))
 
 
 @query
@@ -272,9 +273,9 @@ def c5_score_defaults(t: Tables) -> DataFrame:
 
 @query
 def c6_enrich_defaults(t: Tables) -> DataFrame:
-    fields = replies.enrich_fields(
-        replies.reply_object(F.col("reply")), F.col("one_line_summary"))
-    return t.v_enriched.select("doc_id", *[c.alias(n) for n, c in fields.items()]).select(
+    fields = replies.enrich_fields(F.col("parsed"), F.col("one_line_summary"))
+    read = computed_once(t.v_enriched, parsed=replies.reply_object(F.col("reply")))
+    return read.select("doc_id", *[c.alias(n) for n, c in fields.items()]).select(
         "doc_id", "expansion", joined("key_dates").alias("key_dates"),
         joined("action_items").alias("action_items"))
 

@@ -45,38 +45,39 @@ def entry_markup(html: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """One row per document link: (page_no, pos, entry, link), in page order."""
-    entries = pages.where("html IS NOT NULL").select(
-        "page_no", F.posexplode(entry_markup(F.col("html"))).alias("entry_no", "entry"))
-    found = entries.select(
-        "page_no", "entry_no", "entry",
-        F.posexplode(urls.links(F.col("entry"))).alias("link_no", "link"))
-    return found.select(
-        "page_no", F.struct("entry_no", "link_no").alias("pos"), "entry", "link")
+    """One row per document link: (page_no, pos, entry, entry_text, link, label), in page order."""
+    # Texts are made inside the arrays that are exploded: once per entry, once per link.
+    entries = F.transform(entry_markup(F.col("html")), lambda e: F.struct(
+        e.alias("entry"), node_text(e).alias("entry_text")))
+    boxes = pages.where("html IS NOT NULL").select(
+        "page_no", F.posexplode(entries).alias("entry_no", "e"))
+    found = F.transform(urls.links(F.col("e.entry")), lambda link: F.struct(
+        link.alias("link"), link_label(link).alias("label")))
+    rows = boxes.select("page_no", "entry_no", "e", F.posexplode(found).alias("link_no", "l"))
+    return rows.select(
+        "page_no", F.struct("entry_no", "link_no").alias("pos"), "e.entry", "e.entry_text",
+        "l.link", "l.label")
 
 
 def link_label(link: Column) -> Column:
-    """Text of a link, else of its bold child."""
-    bold = F.regexp_extract(link, r"(?is)<b\b[^>]*>.*?</b>", 0)
-    return F.coalesce(F.nullif(node_text(link), F.lit("")), F.nullif(node_text(bold), F.lit("")))
+    """Text of a link with the texts of its children, such as a bold one; empty if it has none."""
+    return node_text(link)
 
 
 def issue_id(label: Column) -> Column:
     """"year/number" of an issue label, NULL when it holds none."""
     found = F.regexp_extract(label, ISSUE_NUMBER, 0)
-    return F.when(found != "", F.concat_ws(
-        "/", F.regexp_extract(found, ISSUE_NUMBER, 1), F.regexp_extract(found, ISSUE_NUMBER, 2)))
+    return F.nullif(F.regexp_replace(found, ISSUE_NUMBER, "$1/$2"), F.lit(""))
 
 
 def link_issues(links: DataFrame, base_url: str) -> DataFrame:
     """Parse links to issue rows; drops the sister bulletin, unnumbered and undated rows."""
-    labelled = links.withColumn("issue_number", link_label(F.col("link"))).where(
-        F.col("issue_number").isNotNull()
-        & ~F.contains("issue_number", F.lit(SISTER_BULLETIN)))
+    labelled = links.withColumnRenamed("label", "issue_number").where(
+        ~F.contains("issue_number", F.lit(SISTER_BULLETIN)))
     numbered = labelled.withColumn("issue_id", issue_id(F.col("issue_number"))).where(
         F.col("issue_id").isNotNull())
     dated = numbered.withColumn(
-        "issue_date", published_date(F.col("entry"), node_text(F.col("entry"))),
+        "issue_date", published_date(F.col("entry"), F.col("entry_text")),
     ).withColumn("has_justification", urls.has_justification_link(F.col("entry")))
     view = urls.absolute_url(urls.link_href(F.col("link")), base_url)
     placed = dated.withColumn("view_url", view)
