@@ -11,6 +11,7 @@ RANGES = {
     "max_issues_per_run": (1, 500),
     "min_paragraph_length": (10, 1000),
     "scoring_concurrency": (1, 32),
+    "calls_per_task": (1, 1_000_000),
 }
 
 DEDUP_KEYS = {
@@ -26,6 +27,8 @@ class MonitorConfig:
     max_issues_per_run: int = 50
     min_paragraph_length: int = 30
     scoring_concurrency: int = 5
+    # Model calls a lost task repeats at most.
+    calls_per_task: int = 10_000
     keyword_filter_enabled: bool = True
     scope: str = "hr"
     base_url: str = "https://magyarkozlony.hu"

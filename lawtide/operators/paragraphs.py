@@ -115,10 +115,14 @@ def _chunk_rows(cut: DataFrame, key: str, before: Column, min_chars: int) -> Dat
         F.lit("").alias("heading"), "text")
 
 
-def with_fallback(html: DataFrame, chunks: DataFrame, key: str = "issue_id") -> DataFrame:
-    """Chunks stand in for every issue whose HTML gave no paragraph."""
-    missing = chunks.join(html.select(key).distinct(), key, "left_anti")
-    return html.unionByName(missing)
+def with_fallback(bodies: DataFrame, chunks: DataFrame, key: str = "issue_id") -> DataFrame:
+    """Paragraphs of the bodies; chunks stand in for every issue whose HTML gave none.
+
+    The anti join's right side is one row per body as landed, not an aggregate, so
+    that Spark can split an issue that holds most of the chunks.
+    """
+    given = bodies.where(F.size(sections(F.col("html"))) > 0).select(key)
+    return html_paragraphs(bodies, key).unionByName(chunks.join(given, key, "left_anti"))
 
 
 def with_justification(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from lawtide.functions.lexicon import HR_SCOPE, Scope
 from lawtide.functions.requests import enrich_request, repair_request, score_request
 from lawtide.functions.text import squeeze
 from lawtide.operators.prefilter import tag_topics
+from lawtide.sources.workspace import Stage
 
 # Texts in, one reply per text out, same order. An Exception in place of a reply
 # marks that one call as failed.
@@ -78,18 +80,43 @@ def call_model(rows: DataFrame, make_scorer: ScorerFactory, concurrency: int) ->
     return rows.repartition(concurrency).mapInArrow(ask, T.StructType(fields + added))
 
 
+def call_in_waves(
+    rows: DataFrame, make_scorer: ScorerFactory, concurrency: int, stage: Stage, name: str,
+    calls_per_task: int = 10_000,
+) -> DataFrame:
+    """`call_model`, staged, so that the model is asked once per row whatever is read.
+
+    Few tasks run at a time, so a large input would make long tasks and a lost one
+    would repeat many calls. It is cut into waves of bounded tasks instead, each
+    written before the next starts. Waves are cut by a hash of the whole row: equal
+    texts of different paragraphs spread over all of them.
+    """
+    asked = stage(rows, f"{name}_requests")
+    waves = math.ceil(asked.count() / (concurrency * calls_per_task))
+    if waves <= 1:
+        return stage(call_model(asked, make_scorer, concurrency), f"{name}_replies")
+    wave = F.pmod(F.xxhash64(*[F.col(c) for c in asked.columns]), F.lit(waves))
+    cut = stage(
+        asked.withColumn("wave", wave).repartition("wave"), f"{name}_waves", partition_by="wave")
+    done = [
+        stage(call_model(cut.where(F.col("wave") == n).drop("wave"), make_scorer, concurrency),
+              f"{name}_replies/wave={n}")
+        for n in range(waves)
+    ]
+    return rows.sparkSession.read.schema(done[0].schema).parquet(
+        *[stage.path(f"{name}_replies/wave={n}") for n in range(waves)])
+
+
 def ask_with_repair(
     rows: DataFrame, request: Column, kind: str, make_scorer: ScorerFactory,
-    concurrency: int, stage: Callable[[DataFrame, str], DataFrame],
+    concurrency: int, stage: Stage, calls_per_task: int = 10_000,
 ) -> DataFrame:
     """Rows with the reply as a variant object `parsed` (NULL if it failed) and `error`.
 
-    First replies are staged, so the model is asked once per row whatever is read
-    from the result; only rows whose reply did not parse are asked again.
+    Only rows whose reply did not parse are asked again.
     """
-    first = stage(
-        call_model(rows.withColumn("request", request), make_scorer, concurrency),
-        f"{kind}_replies")
+    first = call_in_waves(
+        rows.withColumn("request", request), make_scorer, concurrency, stage, kind, calls_per_task)
     read = computed_once(first, parsed=replies.reply_object(F.col("reply")))
     called = F.col("error_type").isNull()
     broken = called & F.col("parsed").isNull()
@@ -97,9 +124,9 @@ def ask_with_repair(
         "error", F.when(~called, F.concat(F.lit(CALL_FAILED), F.col("error_text"))))
 
     retry = read.where(broken).withColumn("request", repair_request(F.col("reply"), kind))
-    second = stage(
-        call_model(retry.drop("reply", "error_type", "error_text", "parsed"), make_scorer, concurrency),
-        f"{kind}_repairs")
+    second = call_in_waves(
+        retry.drop("reply", "error_type", "error_text", "parsed"), make_scorer, concurrency, stage,
+        f"{kind}_repair", calls_per_task)
     repaired = computed_once(second, parsed=replies.reply_object(F.col("reply"))).withColumn(
         "error",
         F.when(F.col("error_type").isNotNull(), F.concat(
@@ -122,24 +149,24 @@ def enriched_columns(asked: DataFrame) -> DataFrame:
 
 def score(
     candidates: DataFrame, make_scorer: ScorerFactory, concurrency: int,
-    stage: Callable[[DataFrame, str], DataFrame],
+    stage: Stage, calls_per_task: int = 10_000,
 ) -> DataFrame:
     """Score candidate paragraphs (`text`, `justification_text`) with a model."""
     request = score_request(F.col("text"), F.col("justification_text"))
     return scored_columns(
-        ask_with_repair(candidates, request, "score", make_scorer, concurrency, stage))
+        ask_with_repair(candidates, request, "score", make_scorer, concurrency, stage, calls_per_task))
 
 
 def enrich(
     items: DataFrame, make_scorer: ScorerFactory, concurrency: int,
-    stage: Callable[[DataFrame, str], DataFrame],
+    stage: Stage, calls_per_task: int = 10_000,
 ) -> DataFrame:
     """Enrich new items with a longer text, key dates and action items."""
     request = enrich_request(*[F.col(n) for n in (
         "anchor", "score", "matched_topics", "one_line_summary", "text",
         "justification_text", "justification_url")])
     return enriched_columns(ask_with_repair(
-        items.drop("error"), request, "enrich", make_scorer, concurrency, stage))
+        items.drop("error"), request, "enrich", make_scorer, concurrency, stage, calls_per_task))
 
 
 def lexical_score(topics: Column) -> Column:

@@ -114,11 +114,10 @@ def spa_bodies(t: Tables) -> DataFrame:
 
 @query
 def a5_source_fallback(t: Tables) -> DataFrame:
-    html = paragraphs.html_paragraphs(spa_bodies(t), "page_id")
     chunks = paragraphs.text_chunks(
         t.documents.select(F.col("doc_id").alias("page_id"), F.col("text").alias("page_text")),
         "page_id", separator="\n")
-    return paragraphs.with_fallback(html, chunks, "page_id").select(
+    return paragraphs.with_fallback(spa_bodies(t), chunks, "page_id").select(
         "page_id", "pos", "anchor", "text")
 
 

@@ -51,9 +51,9 @@ class RunResult:
 def issue_paragraphs(issues: DataFrame, landed: Landed, min_chars: int) -> DataFrame:
     """Paragraphs of the given issues with their justification, short ones dropped."""
     ids = issues.select("issue_id")
-    html = paragraphs.html_paragraphs(landed.bodies.where("html IS NOT NULL").join(ids, "issue_id"))
+    bodies = landed.bodies.where("html IS NOT NULL").join(ids, "issue_id")
     chunks = paragraphs.page_chunks(landed.page_texts.join(ids, "issue_id"))
-    found = paragraphs.with_fallback(html, chunks)
+    found = paragraphs.with_fallback(bodies, chunks)
     context = landed.justifications.where("html IS NOT NULL").join(ids, "issue_id")
     full = paragraphs.with_justification(found, issues, context)
     return paragraphs.long_enough(full, min_chars)
@@ -102,7 +102,8 @@ def run(
         scored = stage(scoring.lexical_scores(named, scope), "scored")
     else:
         scored = stage(
-            scoring.score(named, make_scorer, cfg.scoring_concurrency, stage), "scored")
+            scoring.score(
+                named, make_scorer, cfg.scoring_concurrency, stage, cfg.calls_per_task), "scored")
 
     threshold = cfg.relevance_threshold
     new = scoring.relevant(scored, threshold)
@@ -113,7 +114,8 @@ def run(
     if make_enricher is None:
         items = scoring.lexical_enrichment(new)
     else:
-        items = scoring.enrich(new, make_enricher, cfg.scoring_concurrency, stage)
+        items = scoring.enrich(
+            new, make_enricher, cfg.scoring_concurrency, stage, cfg.calls_per_task)
     items = stage(items.withColumn("run_id", F.lit(run_id)), "report_items")
 
     # Figures of the run, each from a staged table.

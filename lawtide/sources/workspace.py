@@ -33,6 +33,7 @@ class Stage:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def __call__(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))

@@ -72,6 +72,11 @@ def test_run_and_rerun(spark, state, landed, tmp_path):
         "2026/83": (3, 2), "2026/82": (1, 1)}
     assert state.total_reported() == 2
 
+    # The run repeated under its id sees the state before it.
+    repeated = run(spark, cfg, state, landed, "r1", DAY, NOW)
+    assert repeated.counts["new_items"] == 3 and repeated.counts["persisted"] == 2
+    assert state.total_reported() == 2 and state.reported().count() == 2
+
     # Without a seed the next window starts at the last run; with one it looks back again.
     assert state.window(DAY, 30) == (DAY, DAY)
     again = run(spark, cfg, state, landed, "r2", DAY, NOW, seed=True)
@@ -80,11 +85,6 @@ def test_run_and_rerun(spark, state, landed, tmp_path):
     text = [r.line for r in in_report_order(again.lines).collect()]
     assert "Új változások: 0" in text
 
-    # The first run repeated under its id sees the state before it.
-    repeated = run(spark, cfg, state, landed, "r1", DAY, NOW)
-    assert repeated.counts["new_items"] == 3 and repeated.counts["persisted"] == 2
-    assert state.total_reported() == 2 and state.reported().count() == 2
-
 
 def test_report_files(spark, state, landed, tmp_path):
     result = run(spark, MonitorConfig(), state, landed, "r1", DAY, NOW, report_root=str(tmp_path / "out"))
