@@ -20,6 +20,15 @@ def unprocessed(issues: DataFrame, progress: DataFrame) -> DataFrame:
     return issues.join(progress.select("issue_id"), "issue_id", "left_anti")
 
 
+def of_issues(reported: DataFrame, issues: DataFrame) -> DataFrame:
+    """The part of the state that can matter to these issues.
+
+    The archive only grows; a run looks at few issues. Cut to them, its keys are small
+    enough to be broadcast or cheap to shuffle.
+    """
+    return reported.join(issues.select("issue_number"), "issue_number", "left_semi")
+
+
 def unreported(
     rows: DataFrame, reported: DataFrame, keys: Sequence[str] = ("issue_number", "anchor"),
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawtide.functions.anchors import inferred_anchor, paragraph_anchor
+from lawtide.functions.binding import computed_once, let
 from lawtide.functions.text import INVISIBLE, node_text, strip
 from lawtide.operators.ordered import running_sum
 
@@ -16,7 +17,9 @@ BLOCK = (
     r"form|table|thead|tbody|tr|td|th|blockquote|pre|hr|figure|body|html)\b[^>]*>"
 )
 HEADING_START = rf"(?i){MARK}(?=<h[1-4]\b)"
-PARAGRAPH_START = r"""(?i)^<(?:p\b|div\b[^>]*\bclass\s*=\s*(?:"[^"]*bekezdes|'[^']*bekezdes))"""
+PARAGRAPH = r"(?i)^<p\b"
+BOX = r"""(?i)^<div\b[^>]*\bclass\s*=\s*(?:"[^"]*bekezdes|'[^']*bekezdes)"""
+DIV, DIV_END = r"(?i)^<div\b", r"(?i)^</div\b"
 
 PAGE_BREAK = "\n\n"
 PAGES_PER_BLOCK = 1_000
@@ -35,8 +38,9 @@ def sections(html: Column) -> Column:
     def section(blocks: Column, number: Column) -> Column:
         # Text before the first heading belongs to a section without one.
         heading = F.when(number == 0, F.lit("")).otherwise(node_text(F.element_at(blocks, 1)))
-        paragraphs = F.filter(blocks, lambda b: b.rlike(PARAGRAPH_START))
-        text = F.array_join(F.transform(paragraphs, node_text), "")
+        plain = F.transform(F.filter(blocks, lambda b: b.rlike(PARAGRAPH)), node_text)
+        text = F.array_join(
+            F.when(F.exists(blocks, lambda b: b.rlike(BOX)), boxed_texts(blocks)).otherwise(plain), "")
         return F.struct(
             number.cast("long").alias("section"), heading.alias("heading"), text.alias("text"))
 
@@ -45,11 +49,40 @@ def sections(html: Column) -> Column:
     return F.filter(cut, lambda s: strip(s["text"]) != "")
 
 
+def boxed_texts(blocks: Column) -> Column:
+    """Paragraph texts of a section that has paragraph boxes (a div of their class).
+
+    All text of a box is its paragraph, that of blocks nested in it included, once.
+    """
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit("").alias("box"), F.array().cast("array<string>").alias("texts"))
+
+    def step(state: Column, block: Column) -> Column:
+        inside = state["depth"] > 0
+        change = F.when(block.rlike(DIV), 1).when(block.rlike(DIV_END), -1).otherwise(0)
+        depth = F.when(inside, state["depth"] + change).otherwise(F.when(block.rlike(BOX), 1).otherwise(0))
+
+        def advance(now: Column) -> Column:
+            still, text = now["depth"] > 0, now["text"]
+            joined = F.when((state["box"] == "") | (text == ""), F.concat(state["box"], text)).otherwise(
+                F.concat(state["box"], F.lit(" "), text))
+            texts = F.when(inside & ~still, F.concat(state["texts"], F.array(state["box"]))).when(
+                ~inside & ~still & block.rlike(PARAGRAPH), F.concat(state["texts"], F.array(text))
+            ).otherwise(state["texts"])
+            return F.struct(
+                now["depth"].alias("depth"), F.when(still, joined).otherwise(F.lit("")).alias("box"),
+                texts.alias("texts"))
+        return let(F.struct(depth.alias("depth"), node_text(block).alias("text")), advance)
+
+    return F.aggregate(
+        blocks, start, step, lambda end: F.concat(end["texts"], F.array(end["box"])))
+
+
 def html_paragraphs(bodies: DataFrame, key: str = "issue_id") -> DataFrame:
-    """(key, pos, anchor, heading, text) of every section of every body."""
-    found = bodies.select(key, F.explode(sections(F.col("html"))).alias("s"))
+    """(key, pos, anchor, heading, text) of every section of every body; pos counts from 0."""
+    found = bodies.select(key, F.posexplode(sections(F.col("html"))).alias("pos", "s"))
     return found.select(
-        key, F.col("s.section").alias("pos"), paragraph_anchor(F.col("s.heading")).alias("anchor"),
+        key, F.col("pos").cast("long").alias("pos"), paragraph_anchor(F.col("s.heading")).alias("anchor"),
         F.col("s.heading").alias("heading"), F.col("s.text").alias("text"))
 
 
@@ -115,14 +148,14 @@ def _chunk_rows(cut: DataFrame, key: str, before: Column, min_chars: int) -> Dat
         F.lit("").alias("heading"), "text")
 
 
-def with_fallback(bodies: DataFrame, chunks: DataFrame, key: str = "issue_id") -> DataFrame:
-    """Paragraphs of the bodies; chunks stand in for every issue whose HTML gave none.
+def with_fallback(html: DataFrame, chunks: DataFrame, key: str = "issue_id") -> DataFrame:
+    """HTML paragraphs; chunks stand in for every issue whose HTML gave none.
 
-    The anti join's right side is one row per body as landed, not an aggregate, so
-    that Spark can split an issue that holds most of the chunks.
+    First paragraphs are one row per issue without an aggregate, so that Spark can
+    split an issue that holds most of the chunks.
     """
-    given = bodies.where(F.size(sections(F.col("html"))) > 0).select(key)
-    return html_paragraphs(bodies, key).unionByName(chunks.join(given, key, "left_anti"))
+    given = html.where("pos = 0").select(key)
+    return html.unionByName(chunks.join(given, key, "left_anti"))
 
 
 def with_justification(
@@ -130,9 +163,9 @@ def with_justification(
 ) -> DataFrame:
     """Put the first justification paragraph of an issue on all its paragraphs."""
     wanted = issues.where("has_justification").select(key, "justification_url")
-    context = justifications.select(
-        key, first_section_text(F.col("html")).alias("justification_text"),
-    ).where(F.col("justification_text").isNotNull()).join(wanted, key)
+    context = computed_once(
+        justifications.join(wanted, key), justification_text=first_section_text(F.col("html")),
+    ).drop("html").where(F.col("justification_text").isNotNull())
     return paragraphs.join(context, key, "left").withColumn(
         "has_justification", F.col("justification_text").isNotNull(),
     ).withColumn("justification_text", F.coalesce("justification_text", F.lit("")))

@@ -81,8 +81,8 @@ def call_model(rows: DataFrame, make_scorer: ScorerFactory, concurrency: int) ->
 
 
 def call_in_waves(
-    rows: DataFrame, make_scorer: ScorerFactory, concurrency: int, stage: Stage, name: str,
-    calls_per_task: int = 10_000,
+    rows: DataFrame, request: Column, make_scorer: ScorerFactory, concurrency: int, stage: Stage,
+    name: str, calls_per_task: int = 10_000,
 ) -> DataFrame:
     """`call_model`, staged, so that the model is asked once per row whatever is read.
 
@@ -91,20 +91,22 @@ def call_in_waves(
     written before the next starts. Waves are cut by a hash of the whole row: equal
     texts of different paragraphs spread over all of them.
     """
-    asked = stage(rows, f"{name}_requests")
+    def answered(part: DataFrame, path: str) -> DataFrame:
+        return stage(call_model(part.withColumn("request", request), make_scorer, concurrency), path)
+
+    asked = stage(rows, f"{name}_rows")
     waves = math.ceil(asked.count() / (concurrency * calls_per_task))
     if waves <= 1:
-        return stage(call_model(asked, make_scorer, concurrency), f"{name}_replies")
+        return answered(asked, f"{name}_replies")
     wave = F.pmod(F.xxhash64(*[F.col(c) for c in asked.columns]), F.lit(waves))
     cut = stage(
         asked.withColumn("wave", wave).repartition("wave"), f"{name}_waves", partition_by="wave")
-    done = [
-        stage(call_model(cut.where(F.col("wave") == n).drop("wave"), make_scorer, concurrency),
-              f"{name}_replies/wave={n}")
-        for n in range(waves)
-    ]
-    return rows.sparkSession.read.schema(done[0].schema).parquet(
-        *[stage.path(f"{name}_replies/wave={n}") for n in range(waves)])
+    paths = [f"{name}_replies/wave={n}" for n in range(waves)]
+    schema = [
+        answered(cut.where(F.col("wave") == n).drop("wave"), path).schema
+        for n, path in enumerate(paths)
+    ][0]
+    return rows.sparkSession.read.schema(schema).parquet(*map(stage.path, paths))
 
 
 def ask_with_repair(
@@ -115,24 +117,24 @@ def ask_with_repair(
 
     Only rows whose reply did not parse are asked again.
     """
-    first = call_in_waves(
-        rows.withColumn("request", request), make_scorer, concurrency, stage, kind, calls_per_task)
+    added = ["reply", "error_type", "error_text"]
+    first = call_in_waves(rows, request, make_scorer, concurrency, stage, kind, calls_per_task)
     read = computed_once(first, parsed=replies.reply_object(F.col("reply")))
     called = F.col("error_type").isNull()
     broken = called & F.col("parsed").isNull()
     settled = read.where(~broken).withColumn(
         "error", F.when(~called, F.concat(F.lit(CALL_FAILED), F.col("error_text"))))
 
-    retry = read.where(broken).withColumn("request", repair_request(F.col("reply"), kind))
+    retry = read.where(broken).drop("parsed", *added[1:]).withColumnRenamed("reply", "malformed")
     second = call_in_waves(
-        retry.drop("reply", "error_type", "error_text", "parsed"), make_scorer, concurrency, stage,
-        f"{kind}_repair", calls_per_task)
+        retry, repair_request(F.col("malformed"), kind), make_scorer, concurrency, stage,
+        f"{kind}_repair", calls_per_task).drop("malformed")
     repaired = computed_once(second, parsed=replies.reply_object(F.col("reply"))).withColumn(
         "error",
         F.when(F.col("error_type").isNotNull(), F.concat(
             F.lit(REPAIR_CALL_FAILED), F.col("error_type"), F.lit(": "), F.col("error_text")))
         .when(F.col("parsed").isNull(), F.lit(STILL_BROKEN)))
-    return settled.unionByName(repaired).drop("reply", "error_type", "error_text")
+    return settled.unionByName(repaired).drop(*added)
 
 
 def scored_columns(asked: DataFrame) -> DataFrame:

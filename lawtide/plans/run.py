@@ -48,12 +48,14 @@ class RunResult:
     errors: list[str] = field(default_factory=list)
 
 
-def issue_paragraphs(issues: DataFrame, landed: Landed, min_chars: int) -> DataFrame:
+def issue_paragraphs(issues: DataFrame, landed: Landed, min_chars: int, stage: Stage) -> DataFrame:
     """Paragraphs of the given issues with their justification, short ones dropped."""
     ids = issues.select("issue_id")
     bodies = landed.bodies.where("html IS NOT NULL").join(ids, "issue_id")
     chunks = paragraphs.page_chunks(landed.page_texts.join(ids, "issue_id"))
-    found = paragraphs.with_fallback(bodies, chunks)
+    # Read twice, parsed once.
+    html = stage(paragraphs.html_paragraphs(bodies), "html_paragraphs")
+    found = paragraphs.with_fallback(html, chunks)
     context = landed.justifications.where("html IS NOT NULL").join(ids, "issue_id")
     full = paragraphs.with_justification(found, issues, context)
     return paragraphs.long_enough(full, min_chars)
@@ -87,15 +89,15 @@ def run(
     pages = listing.reachable_pages(landed.listing_pages, cfg.max_listing_pages)
     in_window = listing.in_window(listing.listed_issues(pages, cfg.base_url), start, end)
     found = stage(listing.newest(in_window, cfg.max_issues_per_run), "issues")
-    issues = stage(dedupe.unprocessed(found, state.progress(without_run=run_id)), "open_issues")
+    issues = stage(dedupe.unprocessed(found, state.processed(without_run=run_id)), "open_issues")
 
-    kept = stage(issue_paragraphs(issues, landed, cfg.min_paragraph_length), "paragraphs")
+    kept = stage(issue_paragraphs(issues, landed, cfg.min_paragraph_length, stage), "paragraphs")
 
     # The cheap filters stand below the model call: nothing is pushed through it.
     hits = keyword_filter(
         kept, scope, cfg.keyword_filter_enabled, context="justification_text")
     named = dedupe.with_content_hash(dedupe.with_issue(hits, issues))
-    reported = state.reported(without_run=run_id)
+    reported = dedupe.of_issues(state.reported(without_run=run_id), issues)
     if cfg.dedupe_before_scoring:
         named = dedupe.unreported(named, reported, cfg.key_columns)
     if make_scorer is None:

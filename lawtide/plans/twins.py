@@ -99,6 +99,7 @@ def sections(source: str, key: str, html: str = "html") -> str:
     """
 
 
+ORDINAL = "row_number() OVER (PARTITION BY page_id ORDER BY section) - 1"
 LINES = "SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS bigint) AS pos, {x} AS text FROM documents"
 CHUNKS = f"""
     SELECT doc_id, pos, coalesce({anchor('text')}, concat('p', pos)) AS anchor, text
@@ -307,7 +308,7 @@ TWINS: dict[str, str] = {
     "a3_page_chunks": PAGE_CHUNKS,
     "a4_decoded": f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, '{LATIN_KEEP}', '?', 'g')
         ELSE html END AS html FROM pages""",
-    "a5_source_fallback": f"""WITH html_rows AS (SELECT page_id, section AS pos, {paragraph_anchor('heading')} AS anchor, text
+    "a5_source_fallback": f"""WITH html_rows AS (SELECT page_id, {ORDINAL} AS pos, {paragraph_anchor('heading')} AS anchor, text
           FROM ({sections("(SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE html END AS html FROM pages) src", 'page_id')}) s)
         SELECT * FROM html_rows UNION ALL
         SELECT doc_id AS page_id, pos, anchor, text FROM ({CHUNKS}) c WHERE doc_id NOT IN (SELECT page_id FROM html_rows)""",
@@ -323,7 +324,7 @@ TWINS: dict[str, str] = {
     "b8_justified": f"""SELECT page_no, issue_id, justified AS has_justification,
         CASE WHEN justified THEN replace(view_url, '/megtekintes', '/indokolas') END AS justification_url FROM ({LISTED}) e""",
     "b9_sections": sections("pages", "page_id"),
-    "b10_paragraphs": f"SELECT page_id, section AS pos, {paragraph_anchor('heading')} AS anchor FROM ({sections('pages', 'page_id')}) s",
+    "b10_paragraphs": f"SELECT page_id, {ORDINAL} AS pos, {paragraph_anchor('heading')} AS anchor FROM ({sections('pages', 'page_id')}) s",
     "b11_anchors": f"""SELECT doc_id, pos, {anchor('heading')} AS anchor, {paragraph_anchor('text')} AS paragraph_anchor
         FROM (SELECT *, {ANCHOR_SAMPLE} AS heading FROM v_par) p""",
     "b12_chunks": CHUNKS,

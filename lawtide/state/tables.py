@@ -64,6 +64,10 @@ class MonitorState:
         """Items of committed runs; a repeated run passes its own id to leave itself out."""
         return self._committed("reported_items", without_run)
 
+    def processed(self, without_run: str | None = None) -> DataFrame:
+        """Ids of processed issues, repeats included: enough to leave them out."""
+        return self._committed("issue_progress", without_run).select("issue_id")
+
     def progress(self, without_run: str | None = None) -> DataFrame:
         """Latest progress row per issue."""
         rows = self._committed("issue_progress", without_run)

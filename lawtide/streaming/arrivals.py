@@ -27,7 +27,7 @@ def new_items(
         "justification_url", F.lit(None).cast("string"))
     hits = keyword_filter(plain, scope, cfg.keyword_filter_enabled)
     named = dedupe.with_content_hash(dedupe.with_issue(hits, batch))
-    fresh = dedupe.unreported(named, reported, cfg.key_columns)
+    fresh = dedupe.unreported(named, dedupe.of_issues(reported, batch), cfg.key_columns)
     return scoring.lexical_enrichment(
         scoring.relevant(scoring.lexical_scores(fresh, scope), cfg.relevance_threshold))
 

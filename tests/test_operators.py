@@ -108,8 +108,15 @@ def test_sections(spark):
       <script>var t="</p><p>no</p>";</script></section></article></body></html>"""
     assert rows(paragraphs.html_paragraphs(body(spark, html)), "pos", "anchor", "heading", "text") == [
         (0, "ismeretlen", "", "eleje"),
-        (2, "12. §", "12. § (3)", "A cégautóadó mértéke nő.Vége.lezáratlan"),
-        (4, "IV. fejezet", "IV. fejezet", "div szövege")]
+        (1, "12. §", "12. § (3)", "A cégautóadó mértéke nő.Vége.lezáratlan"),
+        (2, "IV. fejezet", "IV. fejezet", "div szövege")]
+
+
+def test_boxes_keep_nested_text_once(spark):
+    html = """<h1>c</h1><p>elöl</p><div class="bekezdes">a <p>b</p> c<div class="x">d</div>e<div class="bekezdes">f</div></div>g
+      <p>h</p><div class='bekezdes'>i</div><div>j</div><h2>d</h2><div class="bekezdes"><ul><li>k</li><li>l</li></ul>"""
+    assert rows(paragraphs.html_paragraphs(body(spark, html)), "pos", "text") == [
+        (0, "elöla b c d e fhi"), (1, "k l")]
 
 
 def test_body_without_paragraphs(spark):
@@ -148,10 +155,11 @@ def test_text_chunks_anchor(spark):
 
 def test_fallback_and_justification(spark):
     bodies = spark.createDataFrame([("1", "<h1>h</h1><p>html</p>"), ("2", "<div id=app></div>")], schemas.ISSUE_BODIES)
+    html = paragraphs.html_paragraphs(bodies)
     chunks = spark.createDataFrame(
         [("1", 1, "p1", "", "pdf"), ("2", 1, "p1", "", "pdf")],
         "issue_id string, pos long, anchor string, heading string, text string")
-    both = paragraphs.with_fallback(bodies, chunks)
+    both = paragraphs.with_fallback(html, chunks)
     assert rows(both, "issue_id", "text") == [("1", "html"), ("2", "pdf")]
     issues = spark.createDataFrame([("1", True, "u1"), ("2", False, None)], "issue_id string, has_justification boolean, justification_url string")
     notes = spark.createDataFrame([("1", "<h1>a</h1><p>első</p><h1>b</h1><p>második</p>"), ("2", "<p>nem kell</p>")], schemas.ISSUE_BODIES)

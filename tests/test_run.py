@@ -61,8 +61,8 @@ def test_run_and_rerun(spark, state, landed, tmp_path):
     assert first.counts["issues_scanned"] == 3
     assert first.warnings == ["no content landed for 2026/81"]
     items = {(r.issue_id, r.anchor, r.pos): r for r in first.report_items.collect()}
-    assert sorted(items) == [("2026/82", "3. §", 1), ("2026/83", "1. §", 2), ("2026/83", "1. §", 3)]
-    wage = items[("2026/83", "1. §", 2)]
+    assert sorted(items) == [("2026/82", "3. §", 1), ("2026/83", "1. §", 0), ("2026/83", "1. §", 1)]
+    wage = items[("2026/83", "1. §", 0)]
     assert wage.justification_text == "Általános indokolás szövege."
     assert wage.justification_url.endswith("/dokumentumok/d83/indokolas")
     assert wage.key_dates == ["2026. július 1"]
@@ -129,8 +129,8 @@ def test_model_run_scores_once_and_keeps_failed_issues_open(spark, state, landed
                  stage=Stage(spark, str(tmp_path / "stage")))
     assert result.counts["failures"] == 1
     scored = {r.pos: r for r in result.scored.where("issue_id = '2026/83'").collect()}
-    assert scored[2].score == 0.8 and scored[3].score == 0.9
-    assert scored[3].one_line_summary == "javított" and scored[3].error is None
+    assert scored[0].score == 0.8 and scored[1].score == 0.9
+    assert scored[1].one_line_summary == "javított" and scored[1].error is None
     failed = result.scored.where("issue_id = '2026/82'").first()
     assert failed.error == "llm_call_failed: down" and failed.score == 0.0
     # Two rows + one repair + the failing one.
