@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ from lawtide.operators.ordered import first_per
 from lawtide.operators.prefilter import keyword_filter, match_scopes, tag_topics, with_tags
 from lawtide.plans import report
 from lawtide.plans.derived import Tables
+from lawtide.plans.run import Landed, run
+from lawtide.schemas import RUN_LOG
 from lawtide.sources import landed, listing
 from lawtide.sources.workspace import Stage
 from lawtide.state import MonitorState, merge
@@ -720,6 +722,47 @@ def a6_report_files(t: Tables) -> DataFrame:
     return written.select(as_text("run_date").alias("run_date"), F.col("value").alias("line"))
 
 
+@query
+def a7_state_tables(t: Tables) -> DataFrame:
+    state = MonitorState(t.spark, Stage(t.spark).path("state")).create()
+    now = datetime(2024, 7, 2, 8, 0, 0, 123456)
+    for run_id, rows in (("r1", t.v_items.where("pos % 2 = 0")), ("r2", t.v_items)):
+        hashed = dedupe.with_content_hash(rows)
+        inserted = state.mark_reported(hashed, run_id, now)
+        state.commit(t.spark.createDataFrame([(
+            run_id, "tables", now.date(), now, None, None, None, None, None, None, None, inserted, "", [], [])],
+            RUN_LOG), run_id)
+    return state.reported().select(
+        "run_id", "dedup_key", "content_hash", "score", joined("key_dates").alias("key_dates"),
+        joined("action_items").alias("action_items"), as_text("reported_at").alias("reported_at"),
+        F.lit(state.total_reported()).cast("long").alias("total_reported"))
+
+
+def landed_tables(t: Tables) -> Landed:
+    """Listing pages of all documents; web pages as bodies, documents as page texts."""
+    def issue(n: str) -> Column:
+        return F.concat_ws("/", 2010 + F.col(n) % 15, F.col(n))
+    bodies = t.pages.select(issue("page_id").alias("issue_id"), "html")
+    texts = t.documents.select(
+        issue("doc_id").alias("issue_id"), F.lit(1).cast("long").alias("page_no"), F.col("text").alias("page_text"))
+    return Landed(t.v_listing.withColumn("url", F.lit("")), bodies, texts, bodies)
+
+
+@query
+def l5_run_row(t: Tables) -> DataFrame:
+    """A whole run, from listing pages to state; its log row."""
+    stage = Stage(t.spark)
+    state = MonitorState(t.spark, stage.path("state")).create()
+    cfg = MonitorConfig(lookback_days=365, max_issues_per_run=500, max_listing_pages=None, base_url=BASE_URL)
+    result = run(
+        t.spark, cfg, state, landed_tables(t), "r1", date(2024, 9, 30), datetime(2024, 9, 30, 8), scope=TABLE_SCOPE,
+        report_root=stage.path("reports"), stage=stage)
+    kept = F.lit(result.counts["paragraphs"]).cast("long")
+    return state.run_log().select(
+        "run_id", as_text("window_start").alias("window_start"), "issues_scanned", kept.alias("paragraphs"),
+        "candidates", "relevant", "new_items", "persisted", F.size("warnings").cast("long").alias("warnings"))
+
+
 # -- streaming -----------------------------------------------------------------------------------------
 
 def stream_of(t: Tables, table: str) -> DataFrame:

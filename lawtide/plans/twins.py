@@ -297,6 +297,24 @@ PAGE_CHUNKS = f"""
     WHERE length(text) >= 30
 """
 
+RUN_PARAGRAPHS = f"""
+    WITH issues AS (SELECT * FROM (SELECT * FROM (SELECT * FROM ({LISTED}) e
+            QUALIFY row_number() OVER (PARTITION BY page_no, issue_id ORDER BY doc_id) = 1) f
+          WHERE issue_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY page_no DESC) = 1) g
+        WHERE issue_date BETWEEN DATE '2023-10-01' AND DATE '2024-09-30'
+        ORDER BY issue_date DESC, issue_id DESC LIMIT 500),
+      found AS (SELECT concat(2010 + page_id % 15, '/', page_id) AS issue_id, section, {paragraph_anchor('heading')} AS anchor, text
+        FROM ({sections('pages', 'page_id')}) s),
+      first_text AS (SELECT issue_id, arg_min(text, section) AS context FROM found GROUP BY 1),
+      chunked AS (SELECT concat(2010 + doc_id % 15, '/', doc_id) AS issue_id, 1 AS section, coalesce({anchor('t')}, 'p1') AS anchor, t AS text
+        FROM (SELECT doc_id, {strip('text')} AS t FROM documents) d),
+      every AS (SELECT * FROM found UNION ALL SELECT * FROM chunked WHERE issue_id NOT IN (SELECT issue_id FROM found))
+    SELECT i.issue_number, v.anchor, concat(v.text, chr(10), CASE WHEN i.justified THEN coalesce(c.context, '') ELSE '' END) AS searched
+    FROM every v JOIN issues i ON v.issue_id = i.issue_id LEFT JOIN first_text c ON v.issue_id = c.issue_id
+    WHERE length(v.text) >= 30
+"""
+STATE_ITEMS = """SELECT *, min(pos % 2) OVER (PARTITION BY issue_number, anchor) AS late FROM v_items"""
+
 TWINS: dict[str, str] = {
     "a1_reachable_pages": """SELECT page_id + 1 AS page_no, url, length(html) AS n_chars FROM pages
         WHERE page_id < (SELECT max(page_id) - 3 FROM pages)
@@ -455,6 +473,23 @@ TWINS: dict[str, str] = {
     "l4_outbox": f"""SELECT run_id, concat('[HR riport] ', run_date, ' – ', new_items, ' új változás') AS subject,
         '{MAIL.email_from}' AS sender, 'hr@example.org|payroll@example.org' AS recipients, {COVER} AS cover
         FROM v_runs WHERE new_items > 0""",
+    "a7_state_tables": f"""SELECT CASE WHEN late = 0 THEN 'r1' ELSE 'r2' END AS run_id, concat(issue_number, '::', anchor) AS dedup_key,
+        sha256({squeeze('lower(text)')}) AS content_hash, score, array_to_string(key_dates, '|') AS key_dates,
+        array_to_string(action_items, '|') AS action_items, '2024-07-02 08:00:00' AS reported_at,
+        (SELECT count(*) FROM (SELECT DISTINCT issue_number, anchor FROM v_items) k) AS total_reported
+        FROM ({STATE_ITEMS}) s WHERE pos % 2 = late
+        QUALIFY row_number() OVER (PARTITION BY issue_number, anchor ORDER BY issue_id, pos) = 1""",
+    "l5_run_row": f"""SELECT 'r1' AS run_id, '2023-10-01' AS window_start,
+        (SELECT least(500, count(*)) FROM (SELECT DISTINCT issue_id FROM (SELECT * FROM ({LISTED}) e
+            QUALIFY row_number() OVER (PARTITION BY page_no, issue_id ORDER BY doc_id) = 1) f
+          WHERE issue_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY page_no DESC) = 1
+            AND issue_date BETWEEN DATE '2023-10-01' AND DATE '2024-09-30') g) AS issues_scanned,
+        count(*) AS paragraphs, count(*) FILTER (hit) AS candidates, count(*) FILTER (relevant) AS relevant,
+        count(*) FILTER (relevant) AS new_items, count(DISTINCT (issue_number, anchor)) FILTER (relevant) AS persisted,
+        CAST(0 AS bigint) AS warnings
+        FROM (SELECT *, hit AND {lexical('tags')} >= 0.5 AS relevant FROM (
+          SELECT *, {hit('searched', TABLE_SCOPE.all_stems)} AS hit, {topics('searched', TABLE_SCOPE)} AS tags
+          FROM ({RUN_PARAGRAPHS}) p) q) r""",
     "m2_recent_stream": "SELECT DISTINCT user_id, event_type FROM events",
     "m2_recent_batch": """SELECT event_id, user_id, event_type FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""",
