@@ -34,7 +34,7 @@ from lawtide.streaming.recent import unique_in_batch, unique_in_stream
 Query = Callable[[Tables], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-BASE_URL = "https://kozlony.example.net"
+BASE_URL = "https://gazette.example.net"
 
 # The tables are prose in four languages; this lexicon has stems of each.
 TABLE_SCOPE = Scope("tables", {
@@ -67,7 +67,7 @@ def joined(column: str, separator: str = "|") -> Column:
 @query
 def a1_reachable_pages(t: Tables) -> DataFrame:
     # The fourth page from the end failed to load.
-    last = t.pages.agg(F.max("page_id")).scalar()
+    last = t.pages.agg(F.max("page_id")).first()[0]
     pages = t.pages.select(
         (F.col("page_id") + 1).alias("page_no"), "url",
         F.when(F.col("page_id") != last - 3, F.col("html")).alias("html"))
@@ -450,7 +450,7 @@ def f4_grouped_items(t: Tables) -> DataFrame:
 
 @query
 def f5_running_total(t: Tables) -> DataFrame:
-    totals = merge.running_total(t.v_runs.select("run_id", "run_ts", "persisted"), "hour")
+    totals = merge.running_total(t.v_runs.select("run_id", "run_ts", "persisted"), "minute")
     return totals.select("run_id", F.col("running_total").cast("long").alias("running_total"))
 
 

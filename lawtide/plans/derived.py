@@ -47,7 +47,7 @@ VIEWS = {
                CASE doc_id % 4
                     WHEN 0 THEN concat('/dokumentumok/d', CAST(n AS string), '/megtekintes')
                     WHEN 1 THEN concat('/hivatalos-lapok/k', CAST(n AS string), '/dokumentumok/d', CAST(n AS string), '/megtekintes')
-                    WHEN 2 THEN concat('https://kozlony.example.org/dokumentumok/d', CAST(n AS string), '/megtekintes')
+                    WHEN 2 THEN concat('https://gazette.example.org/dokumentumok/d', CAST(n AS string), '/megtekintes')
                     ELSE concat('../dokumentumok/d', CAST(n AS string), '/megtekintes') END AS href,
                doc_id % 3 = 1 AS justified
         FROM (SELECT doc_id, {_N} AS n, CAST(2010 + ({_N}) % 15 AS string) AS year_text,

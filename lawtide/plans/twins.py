@@ -112,7 +112,7 @@ ENTRY_ROWS = rf"""
     SELECT doc_id, page_no, label AS issue_number, regexp_matches(label, '[0-9]{{4}}\. évi [0-9]+\. szám') AS numbered,
            concat(year_text, '/', n) AS issue_id,
            coalesce(TRY_CAST(nullif(meta_date, '') AS date), {{local}}) AS issue_date, justified,
-           concat(CASE WHEN doc_id % 4 = 2 THEN 'https://kozlony.example.org' ELSE '{BASE_URL}' END,
+           concat(CASE WHEN doc_id % 4 = 2 THEN 'https://gazette.example.org' ELSE '{BASE_URL}' END,
                   '/dokumentumok/d', n, '/megtekintes') AS view_url
     FROM v_entry
 """

@@ -45,18 +45,18 @@ def entry_markup(html: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """One row per document link: (page_no, pos, entry, entry_text, link, label), in page order."""
+    """One row per document link: (page_no, pos, entry, entry_text, href, label), in page order."""
     # Texts are made inside the arrays that are exploded: once per entry, once per link.
     entries = F.transform(entry_markup(F.col("html")), lambda e: F.struct(
         e.alias("entry"), node_text(e).alias("entry_text")))
     boxes = pages.where("html IS NOT NULL").select(
         "page_no", F.posexplode(entries).alias("entry_no", "e"))
     found = F.transform(urls.links(F.col("e.entry")), lambda link: F.struct(
-        link.alias("link"), link_label(link).alias("label")))
+        urls.link_href(link).alias("href"), link_label(link).alias("label")))
     rows = boxes.select("page_no", "entry_no", "e", F.posexplode(found).alias("link_no", "l"))
     return rows.select(
         "page_no", F.struct("entry_no", "link_no").alias("pos"), "e.entry", "e.entry_text",
-        "l.link", "l.label")
+        "l.href", "l.label")
 
 
 def link_label(link: Column) -> Column:
@@ -79,7 +79,7 @@ def link_issues(links: DataFrame, base_url: str) -> DataFrame:
     dated = numbered.withColumn(
         "issue_date", published_date(F.col("entry"), F.col("entry_text")),
     ).withColumn("has_justification", urls.has_justification_link(F.col("entry")))
-    view = urls.absolute_url(urls.link_href(F.col("link")), base_url)
+    view = urls.absolute_url(F.col("href"), base_url)
     placed = dated.withColumn("view_url", view)
     return placed.select(
         "page_no", "pos", "issue_id", "issue_number", "issue_date", "has_justification", "view_url",
