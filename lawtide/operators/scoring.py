@@ -39,14 +39,11 @@ def request_id(*identity: Column) -> Column:
 def _answers(scorer: Scorer, texts: list[str]) -> list[object]:
     try:
         answers = list(scorer(texts))
-    except Exception:
+    except Exception as error:
+        if len(texts) == 1:
+            return [error]
         # One bad text must not fail its batch: ask for each alone.
-        answers = []
-        for text in texts:
-            try:
-                answers.extend(scorer([text]))
-            except Exception as error:
-                answers.append(error)
+        return [answer for text in texts for answer in _answers(scorer, [text])]
     if len(answers) != len(texts):
         raise ValueError(f"scorer gave {len(answers)} replies for {len(texts)} texts")
     return answers

@@ -48,24 +48,31 @@ class RunResult:
     errors: list[str] = field(default_factory=list)
 
 
+def of_issues(landed: Landed, ids: list[str]) -> Landed:
+    """The landed documents of a run's issues.
+
+    A run has at most as many issues as its cap, so their ids are literals: they
+    prune partitions and row groups of the archive, which a join would read whole.
+    """
+    def only(table: DataFrame) -> DataFrame:
+        return table.where(F.col("issue_id").isin(ids))
+    return Landed(
+        landed.listing_pages, only(landed.bodies).where("html IS NOT NULL"), only(landed.page_texts),
+        only(landed.justifications).where("html IS NOT NULL"))
+
+
 def issue_paragraphs(issues: DataFrame, landed: Landed, min_chars: int, stage: Stage) -> DataFrame:
     """Paragraphs of the given issues with their justification, short ones dropped."""
-    ids = issues.select("issue_id")
-    bodies = landed.bodies.where("html IS NOT NULL").join(ids, "issue_id")
-    chunks = paragraphs.page_chunks(landed.page_texts.join(ids, "issue_id"))
     # Read twice, parsed once.
-    html = stage(paragraphs.html_paragraphs(bodies), "html_paragraphs")
-    found = paragraphs.with_fallback(html, chunks)
-    context = landed.justifications.where("html IS NOT NULL").join(ids, "issue_id")
-    full = paragraphs.with_justification(found, issues, context)
+    html = stage(paragraphs.html_paragraphs(landed.bodies), "html_paragraphs")
+    found = paragraphs.with_fallback(html, paragraphs.page_chunks(landed.page_texts))
+    full = paragraphs.with_justification(found, issues, landed.justifications)
     return paragraphs.long_enough(full, min_chars)
 
 
-def unfetched(issues: DataFrame, landed: Landed) -> DataFrame:
-    """Issues for which neither a body nor a page text was landed."""
-    fetched = landed.bodies.where("html IS NOT NULL").select("issue_id").union(
-        landed.page_texts.select("issue_id"))
-    return issues.select("issue_id").join(fetched, "issue_id", "left_anti")
+def fetched(landed: Landed) -> DataFrame:
+    """Issues for which a body or a page text was landed."""
+    return landed.bodies.select("issue_id").union(landed.page_texts.select("issue_id")).distinct()
 
 
 def run(
@@ -91,6 +98,9 @@ def run(
     found = stage(listing.newest(in_window, cfg.max_issues_per_run), "issues")
     issues = stage(dedupe.unprocessed(found, state.processed(without_run=run_id)), "open_issues")
 
+    ids = sorted(r.issue_id for r in issues.select("issue_id").collect())
+    landed = of_issues(landed, ids)
+
     kept = stage(issue_paragraphs(issues, landed, cfg.min_paragraph_length, stage), "paragraphs")
 
     # The cheap filters stand below the model call: nothing is pushed through it.
@@ -125,7 +135,8 @@ def run(
         F.count(F.lit(1)).alias("candidates"),
         F.count_if(F.coalesce("error", F.lit("")) != "").alias("failures"),
         F.count_if(F.col("is_relevant") & (F.col("score") >= threshold)).alias("relevant")).first()
-    missing = [r.issue_id for r in unfetched(issues, landed).orderBy("issue_id").collect()]
+    present = {r.issue_id for r in fetched(landed).collect()}
+    missing = [i for i in ids if i not in present]
     figures = {
         "issues_scanned": found.count(), "open_issues": issues.count(), "paragraphs": kept.count(),
         **per_stage.asDict(), "new_items": items.count(), "persisted": 0,
@@ -133,8 +144,8 @@ def run(
     warnings = [f"no content landed for {issue_id}" for issue_id in missing]
 
     # An issue with a failed call or without content stays open for the next run.
-    done = issues.join(scoring.failed(scored).select("issue_id"), "issue_id", "left_anti").join(
-        unfetched(issues, landed), "issue_id", "left_anti")
+    done = issues.where(F.col("issue_id").isin(sorted(present))).join(
+        scoring.failed(scored).select("issue_id").distinct(), "issue_id", "left_anti")
     progress = counts.progress_rows(done, kept, items, F.lit(run_ts.replace(microsecond=0)))
 
     report_path = f"{report_root}/run_id={run_id}" if write and report_root else ""

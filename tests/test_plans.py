@@ -155,3 +155,13 @@ def test_report_order_is_a_range_sort(spark):
 def test_newest_first_sort_is_global(spark):
     issues = spark.createDataFrame([("a", None)], "issue_id string, issue_date date")
     assert "rangepartitioning" in plan(listing.newest(issues.repartition(4)))
+
+
+def test_issue_ids_reach_the_archive(spark, tmp_path):
+    from lawtide.plans.run import Landed, of_issues
+    bodies = spark.range(1000).select(
+        F.concat(F.lit("2026/"), F.col("id")).alias("issue_id"), F.lit("<p>x</p>").alias("html"))
+    bodies.write.parquet(str(tmp_path / "b"))
+    table = spark.read.parquet(str(tmp_path / "b"))
+    cut = of_issues(Landed(table, table, table, table), ["2026/7", "2026/8"])
+    assert "In(issue_id, [2026/7,2026/8])" in plan(cut.bodies) and cut.bodies.count() == 2
