@@ -378,7 +378,7 @@ def e2_unreported(t: Tables) -> DataFrame:
 
 @query
 def e3_issue_attributes(t: Tables) -> DataFrame:
-    known = t.v_issue.where("doc_id % 6 <> 0")
+    known = t.v_issue.where("lang <> 'fr'")
     return dedupe.with_issue(t.v_key.select("issue_id", "pos"), known).select(
         "issue_id", "pos", "issue_number", as_text("issue_date").alias("issue_date"))
 
@@ -395,10 +395,11 @@ def e4_justification(t: Tables) -> DataFrame:
 
 @query
 def e5_replies_by_id(t: Tables) -> DataFrame:
-    asked = t.v_key.where("pos = 0").withColumn("request_id", scoring.request_id(
+    asked = t.v_key.withColumn("request_id", scoring.request_id(
         F.col("issue_id"), F.col("anchor"), F.col("pos"), F.col("text")))
     answered = t.v_reply.join(asked.select("doc_id", "request_id"), "doc_id").select("request_id", "reply")
-    return scoring.attach_replies(asked, answered.unionByName(answered)).select("doc_id", "request_id", "reply")
+    return scoring.attach_replies(asked, answered.unionByName(answered)).select(
+        "doc_id", "pos", "request_id", "reply")
 
 
 @query
@@ -627,10 +628,8 @@ def model_scores(t: Tables) -> DataFrame:
 
 @query
 def k1_model_scores(t: Tables) -> DataFrame:
-    first_try = F.col("error").isNull() & (F.length("request") % 3 != 0)
-    asked = model_scores(t).withColumn("request", requests.score_request(F.col("text"), F.col("justification_text")))
-    return asked.where(first_try).select(
-        "issue_id", "pos", "is_relevant", "score", joined("matched_topics").alias("matched_topics"))
+    return model_scores(t).select(
+        "issue_id", "pos", "is_relevant", "score", joined("matched_topics").alias("matched_topics"), "error")
 
 
 @query
@@ -685,7 +684,7 @@ def shown_keys(lines: DataFrame, value: str) -> DataFrame:
 
 @query
 def l1_report_lines(t: Tables) -> DataFrame:
-    links = dedupe.link_per_label(t.v_issue.where("doc_id % 4 <> 0"))
+    links = dedupe.link_per_label(t.v_issue.where("lang <> 'es'"))
     return shown_keys(report.report_lines(runs_with_items(t), t.v_items, links), "line")
 
 
@@ -696,13 +695,13 @@ def l2_empty_reports(t: Tables) -> DataFrame:
         "run_id", "run_date", F.date_sub("run_date", 30).alias("window_start"),
         F.col("run_date").alias("window_end"), "issues_scanned", "new_items", "threshold", "run_ts")
     lines = report.report_lines(runs, t.v_items.limit(0), t.v_issue.select("issue_number", F.col("view_url").alias("url")))
-    return lines.where("part = 0 AND line_no >= 6").select(
+    return lines.where("part = 0").select(
         "run_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 @query
 def l3_html_fragments(t: Tables) -> DataFrame:
-    links = dedupe.link_per_label(t.v_issue.where("doc_id % 4 <> 0"))
+    links = dedupe.link_per_label(t.v_issue.where("lang <> 'es'"))
     return shown_keys(report.html_fragments(runs_with_items(t), t.v_items, links), "fragment")
 
 
@@ -726,7 +725,7 @@ def a6_report_files(t: Tables) -> DataFrame:
 def a7_state_tables(t: Tables) -> DataFrame:
     state = MonitorState(t.spark, Stage(t.spark).path("state")).create()
     now = datetime(2024, 7, 2, 8, 0, 0, 123456)
-    for run_id, rows in (("r1", t.v_items.where("pos % 2 = 0")), ("r2", t.v_items)):
+    for run_id, rows in (("r1", t.v_items.where("score >= 0.75")), ("r2", t.v_items)):
         hashed = dedupe.with_content_hash(rows)
         inserted = state.mark_reported(hashed, run_id, now)
         state.commit(t.spark.createDataFrame([(

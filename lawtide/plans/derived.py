@@ -71,7 +71,7 @@ VIEWS = {
                concat(CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Magyar Közlöny ' END, {_YEAR}, '. évi ',
                       CAST(doc_id AS string), '. szám') AS issue_number,
                make_date(2024, CAST(doc_id % 12 + 1 AS int), CAST(doc_id % 28 + 1 AS int)) AS issue_date,
-               doc_id % 3 = 1 AS has_justification,
+               doc_id % 3 = 1 AS has_justification, lang,
                concat('https://example.org/dokumentumok/d', CAST(doc_id AS string), '/megtekintes') AS view_url
         FROM documents
     """,
@@ -92,8 +92,8 @@ VIEWS = {
                CASE WHEN length(text) % 13 = 0 THEN 'parse_failed_after_repair' END AS error
         FROM v_key
     """,
-    "v_reported": "SELECT DISTINCT issue_number, anchor FROM v_key WHERE doc_id % 4 = 0",
-    "v_progress": "SELECT issue_id, issue_date FROM v_issue WHERE doc_id % 5 = 0",
+    "v_reported": "SELECT DISTINCT issue_number, anchor FROM v_key WHERE lang = 'de'",
+    "v_progress": "SELECT issue_id, issue_date FROM v_issue WHERE lang = 'es'",
     "v_items": """
         SELECT 'run' AS run_id, * FROM v_scored WHERE is_relevant AND score >= 0.5 AND length(text) > 0
     """,

@@ -177,7 +177,7 @@ MALFORMED = len('{"is_relevant": true, "one_line_summary_hu": "a "b""}')
 REPAIR_BROKEN = f"({REPAIR_FIXED + MALFORMED} + n % 8) % 2 = 1"
 
 FIRST_ITEMS = """SELECT * FROM v_items QUALIFY row_number() OVER (PARTITION BY issue_number, anchor ORDER BY issue_id, pos) = 1"""
-LINKS = "SELECT issue_number, view_url AS url FROM v_issue WHERE doc_id % 4 <> 0"
+LINKS = "SELECT issue_number, view_url AS url FROM v_issue WHERE lang <> 'es'"
 FIGURES = "SELECT count(DISTINCT issue_id) AS issues_scanned, count(*) AS new_items FROM v_items"
 
 
@@ -313,7 +313,8 @@ RUN_PARAGRAPHS = f"""
     FROM every v JOIN issues i ON v.issue_id = i.issue_id LEFT JOIN first_text c ON v.issue_id = c.issue_id
     WHERE length(v.text) >= 30
 """
-STATE_ITEMS = """SELECT *, min(pos % 2) OVER (PARTITION BY issue_number, anchor) AS late FROM v_items"""
+STATE_ITEMS = """SELECT *, CASE WHEN score >= 0.75 THEN 1 ELSE 2 END AS round,
+    min(CASE WHEN score >= 0.75 THEN 1 ELSE 2 END) OVER (PARTITION BY issue_number, anchor) AS inserted FROM v_items"""
 
 TWINS: dict[str, str] = {
     "a1_reachable_pages": """SELECT page_id + 1 AS page_no, url, length(html) AS n_chars FROM pages
@@ -392,13 +393,13 @@ TWINS: dict[str, str] = {
         WHERE NOT EXISTS (SELECT 1 FROM v_reported r WHERE r.issue_number = s.issue_number AND r.anchor = s.anchor)""",
     "e3_issue_attributes": """SELECT k.issue_id, k.pos, coalesce(i.issue_number, '') AS issue_number,
         CAST(i.issue_date AS varchar) AS issue_date FROM v_key k
-        LEFT JOIN (SELECT * FROM v_issue WHERE doc_id % 6 <> 0) i ON k.issue_id = i.issue_id""",
+        LEFT JOIN (SELECT * FROM v_issue WHERE lang <> 'fr') i ON k.issue_id = i.issue_id""",
     "e4_justification": f"""SELECT p.doc_id AS issue_id, p.pos, n.text IS NOT NULL AS has_justification,
         CASE WHEN n.text IS NOT NULL THEN 'u' END AS justification_url, coalesce(n.text, '') AS justification_text
         FROM v_par p LEFT JOIN (SELECT * FROM ({sections('pages', 'page_id')}) s WHERE page_id % 3 = 1
           QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY section) = 1) n ON p.doc_id = n.page_id""",
-    "e5_replies_by_id": """SELECT k.doc_id, sha256(concat(k.issue_id, chr(31), k.anchor, chr(31), k.pos, chr(31), k.text)) AS request_id,
-        r.reply FROM v_key k LEFT JOIN v_reply r ON k.doc_id = r.doc_id WHERE k.pos = 0""",
+    "e5_replies_by_id": """SELECT k.doc_id, k.pos, sha256(concat(k.issue_id, chr(31), k.anchor, chr(31), k.pos, chr(31), k.text)) AS request_id,
+        r.reply FROM v_key k LEFT JOIN v_reply r ON k.doc_id = r.doc_id""",
     "e6_issue_links": """SELECT concat('szám ', CAST(floor(doc_id / 3) AS bigint)) AS issue_number, view_url AS url FROM v_issue
         QUALIFY row_number() OVER (PARTITION BY CAST(floor(doc_id / 3) AS bigint) ORDER BY issue_date, issue_id) = 1""",
     "f1_classified": "SELECT issue_id, count(*) AS items_classified FROM v_key WHERE length(text) >= 30 GROUP BY issue_id",
@@ -453,8 +454,13 @@ TWINS: dict[str, str] = {
     "k1_lexical_scores": f"""SELECT issue_id, pos, {lexical('tags')} >= 0.5 AS is_relevant, {lexical('tags')} AS score,
         array_to_string(tags, '|') AS matched_topics, substring({squeeze('text')}, 1, 140) AS one_line_summary
         FROM (SELECT *, {topics('text', TABLE_SCOPE)} AS tags FROM ({CANDIDATES}) c) d""",
-    "k1_model_scores": f"""SELECT issue_id, pos, n % 2 = 0 AS is_relevant, CAST(n % 100 AS double) / 100 AS score,
-        concat('n', n % 4) AS matched_topics FROM ({ASKED}) a WHERE n % 11 <> 0 AND n % 3 <> 0""",
+    "k1_model_scores": f"""SELECT issue_id, pos,
+        CASE WHEN n % 11 = 0 THEN false WHEN n % 3 = 0 THEN NOT ({REPAIR_BROKEN}) ELSE n % 2 = 0 END AS is_relevant,
+        CAST(CASE WHEN n % 11 = 0 THEN 0 WHEN n % 3 <> 0 THEN CAST(n % 100 AS double) / 100
+                  WHEN {REPAIR_BROKEN} THEN 0 ELSE 0.55 END AS double) AS score,
+        CASE WHEN n % 11 = 0 OR n % 3 = 0 THEN '' ELSE concat('n', n % 4) END AS matched_topics,
+        CASE WHEN n % 11 = 0 THEN 'llm_call_failed: overloaded'
+             WHEN n % 3 = 0 AND {REPAIR_BROKEN} THEN 'parse_failed_after_repair' END AS error FROM ({ASKED}) a""",
     "k2_repaired": f"""SELECT issue_id, pos, NOT ({REPAIR_BROKEN}) AS is_relevant,
         CAST(CASE WHEN {REPAIR_BROKEN} THEN 0 ELSE 0.55 END AS double) AS score,
         CASE WHEN {REPAIR_BROKEN} THEN 'parse_failed_after_repair' END AS error FROM ({ASKED}) a WHERE n % 11 <> 0 AND n % 3 = 0""",
@@ -466,18 +472,20 @@ TWINS: dict[str, str] = {
         concat('2024. MÁJUS 5|2024. június ', substring(CAST(pos AS varchar), 1, 2)) AS key_dates FROM v_items""",
     "k6_scopes": " UNION ALL ".join(scope_rows(s) for s in (TABLE_SCOPE, STRICT_SCOPE, LATIN_SCOPE)),
     "l1_report_lines": REPORT,
-    "l2_empty_reports": f"""SELECT run_id, CAST(unnest(range(6, 6 + len(l))) AS bigint) AS line_no, unnest(l) AS line FROM (
-        SELECT run_id, list_concat([concat('Új változások: ', new_items), {DOUBLE_RULE}], CASE WHEN new_items = 0 THEN
+    "l2_empty_reports": f"""SELECT run_id, CAST(unnest(range(len(l))) AS bigint) AS line_no, unnest(l) AS line FROM (
+        SELECT run_id, list_concat([{q(report.TITLE)}, concat({q(report.FULL_TITLE)}, run_date), '',
+          concat('Futtatás dátuma: ', run_date), concat('Lookback: ', run_date - 30, ' -> ', run_date),
+          concat('Feldolgozott lapszámok: ', issues_scanned), concat('Új változások: ', new_items), {DOUBLE_RULE}], CASE WHEN new_items = 0 THEN
           [{q(report.NOTHING_NEW)}, concat('A figyelt időablak: ', run_date - 30, ' - ', run_date, '.')] ELSE [] END) AS l FROM v_runs) t""",
     "l3_html_fragments": HTML,
     "l4_outbox": f"""SELECT run_id, concat('[HR riport] ', run_date, ' – ', new_items, ' új változás') AS subject,
         '{MAIL.email_from}' AS sender, 'hr@example.org|payroll@example.org' AS recipients, {COVER} AS cover
         FROM v_runs WHERE new_items > 0""",
-    "a7_state_tables": f"""SELECT CASE WHEN late = 0 THEN 'r1' ELSE 'r2' END AS run_id, concat(issue_number, '::', anchor) AS dedup_key,
+    "a7_state_tables": f"""SELECT concat('r', inserted) AS run_id, concat(issue_number, '::', anchor) AS dedup_key,
         sha256({squeeze('lower(text)')}) AS content_hash, score, array_to_string(key_dates, '|') AS key_dates,
         array_to_string(action_items, '|') AS action_items, '2024-07-02 08:00:00' AS reported_at,
         (SELECT count(*) FROM (SELECT DISTINCT issue_number, anchor FROM v_items) k) AS total_reported
-        FROM ({STATE_ITEMS}) s WHERE pos % 2 = late
+        FROM ({STATE_ITEMS}) s WHERE inserted = 2 OR round = 1
         QUALIFY row_number() OVER (PARTITION BY issue_number, anchor ORDER BY issue_id, pos) = 1""",
     "l5_run_row": f"""SELECT 'r1' AS run_id, '2023-10-01' AS window_start,
         (SELECT least(500, count(*)) FROM (SELECT DISTINCT issue_id FROM (SELECT * FROM ({LISTED}) e
