@@ -45,8 +45,9 @@ class MonitorConfig:
     email_to: str = "you@example.com"
     report_name: str = "report"
     product_name: str = "lawtide"
+    # The report as attached files with a cover text, or as the message itself.
+    attachment: bool = True
     html_attachment: bool = True
-    delivery_enabled: bool = False
 
     def __post_init__(self) -> None:
         for name, (low, high) in RANGES.items():

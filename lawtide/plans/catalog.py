@@ -708,7 +708,8 @@ def l3_html_fragments(t: Tables) -> DataFrame:
 @query
 def l4_outbox(t: Tables) -> DataFrame:
     return report.outbox(t.v_runs, MAIL).select(
-        "run_id", "subject", "sender", joined("recipients").alias("recipients"), "cover")
+        "run_id", "subject", "sender", joined("recipients").alias("recipients"), "cover",
+        joined("attachments").alias("attachments"))
 
 
 @query

@@ -183,8 +183,14 @@ def html_fragments(runs: DataFrame, items: DataFrame, links: DataFrame) -> DataF
 # -- outbox ----------------------------------------------------------------------
 
 def outbox(runs: DataFrame, cfg: MonitorConfig = MonitorConfig()) -> DataFrame:
-    """One message per run with news: subject, cover text, recipients. Delivery is the caller's."""
+    """One message per run with news: subject, cover text, recipients, file names.
+
+    Without attachments the cover is NULL: the report lines are the message. Delivery
+    is the caller's.
+    """
     name = _text(cfg.report_name + "-", F.col("run_date"))
+    endings = [".txt", ".html"] if cfg.html_attachment else [".txt"]
+    files = [_text(name, ending) for ending in endings] if cfg.attachment else []
     if cfg.html_attachment:
         attached = _text(
             "A részleteket két formátumban csatoltuk:\n  - ", name,
@@ -197,9 +203,12 @@ def outbox(runs: DataFrame, cfg: MonitorConfig = MonitorConfig()) -> DataFrame:
         " új, a HR területét (munkajog, bér, juttatás, foglalkoztatás, munkavédelem) érintő "
         "jogszabályváltozás jelent meg a Magyar Közlönyben.\n\n", attached,
         f"\n\n--\nAutomatikusan generálva · {cfg.product_name}\n")
+    if not cfg.attachment:
+        cover = F.lit(None).cast("string")
     recipients = F.transform(F.split(F.lit(cfg.email_to), ","), lambda a: F.trim(a))
     return runs.where("new_items > 0").select(
         "run_id", "run_date",
         _text(cfg.subject_prefix + " ", F.col("run_date"), " – ", F.col("new_items"),
               " új változás").alias("subject"),
-        F.lit(cfg.email_from).alias("sender"), recipients.alias("recipients"), cover.alias("cover"))
+        F.lit(cfg.email_from).alias("sender"), recipients.alias("recipients"), cover.alias("cover"),
+        F.array(*files).cast(NO_LINES).alias("attachments"))

@@ -96,9 +96,13 @@ def run(
     pages = listing.reachable_pages(landed.listing_pages, cfg.max_listing_pages)
     in_window = listing.in_window(listing.listed_issues(pages, cfg.base_url), start, end)
     found = stage(listing.newest(in_window, cfg.max_issues_per_run), "issues")
-    issues = stage(dedupe.unprocessed(found, state.processed(without_run=run_id)), "open_issues")
+    # At most as many as the cap: literals that prune the archive and the state.
+    listed = [r.issue_id for r in found.select("issue_id").collect()]
+    processed = state.processed(without_run=run_id).where(F.col("issue_id").isin(listed))
+    issues = stage(dedupe.unprocessed(found, processed), "open_issues")
 
-    ids = sorted(r.issue_id for r in issues.select("issue_id").collect())
+    opened = issues.select("issue_id", "issue_number").orderBy("issue_id").collect()
+    ids, numbers = [r.issue_id for r in opened], [r.issue_number for r in opened]
     landed = of_issues(landed, ids)
 
     kept = stage(issue_paragraphs(issues, landed, cfg.min_paragraph_length, stage), "paragraphs")
@@ -107,7 +111,7 @@ def run(
     hits = keyword_filter(
         kept, scope, cfg.keyword_filter_enabled, context="justification_text")
     named = dedupe.with_content_hash(dedupe.with_issue(hits, issues))
-    reported = dedupe.of_issues(state.reported(without_run=run_id), issues)
+    reported = state.reported(without_run=run_id).where(F.col("issue_number").isin(numbers))
     if cfg.dedupe_before_scoring:
         named = dedupe.unreported(named, reported, cfg.key_columns)
     if make_scorer is None:

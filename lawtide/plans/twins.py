@@ -479,7 +479,8 @@ TWINS: dict[str, str] = {
           [{q(report.NOTHING_NEW)}, concat('A figyelt időablak: ', run_date - 30, ' - ', run_date, '.')] ELSE [] END) AS l FROM v_runs) t""",
     "l3_html_fragments": HTML,
     "l4_outbox": f"""SELECT run_id, concat('[HR riport] ', run_date, ' – ', new_items, ' új változás') AS subject,
-        '{MAIL.email_from}' AS sender, 'hr@example.org|payroll@example.org' AS recipients, {COVER} AS cover
+        '{MAIL.email_from}' AS sender, 'hr@example.org|payroll@example.org' AS recipients, {COVER} AS cover,
+        concat('report-', run_date, '.txt|report-', run_date, '.html') AS attachments
         FROM v_runs WHERE new_items > 0""",
     "a7_state_tables": f"""SELECT concat('r', inserted) AS run_id, concat(issue_number, '::', anchor) AS dedup_key,
         sha256({squeeze('lower(text)')}) AS content_hash, score, array_to_string(key_dates, '|') AS key_dates,

@@ -419,6 +419,9 @@ def test_outbox(spark):
     assert "report-2026-07-02.txt" in message.cover and ".html" in message.cover and "kattintható" in message.cover
     plain = report.outbox(one_run(spark, 3), MonitorConfig(html_attachment=False)).first().cover
     assert ".html" not in plain and "sima szöveg" not in plain
+    assert message.attachments == ["report-2026-07-02.txt", "report-2026-07-02.html"]
+    inline = report.outbox(one_run(spark, 3), MonitorConfig(attachment=False)).first()
+    assert inline.cover is None and inline.attachments == []
     assert report.outbox(one_run(spark, 0)).count() == 0
 
 
