@@ -70,15 +70,23 @@ def named_entities() -> dict[str, str]:
     return table
 
 
+def _written(value) -> str:
+    """A text, number or list of texts as an SQL literal."""
+    if isinstance(value, list):
+        return f"cast(array({', '.join(map(_written, value))}) as array<string>)"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(table: dict) -> Column:
     """A constant map from text to text, number or list of texts, as one expression."""
-    def written(x) -> str:
-        if isinstance(x, list):
-            return f"cast(array({', '.join(map(written, x))}) as array<string>)"
-        if isinstance(x, int):
-            return str(x)
-        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return F.expr(f"map({', '.join(written(x) for pair in table.items() for x in pair)})")
+    return F.expr(f"map({', '.join(_written(x) for pair in table.items() for x in pair)})")
+
+
+def one_of(column: str, values: list[str]) -> Column:
+    """`isin` for some hundred texts, as one expression."""
+    return F.expr(f"{column} IN ({', '.join(map(_written, values))})") if values else F.lit(False)
 
 
 def strip(col: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lawtide.config import MonitorConfig
 from lawtide.functions.lexicon import HR_SCOPE, Scope
+from lawtide.functions.text import one_of
 from lawtide.operators import counts, dedupe, paragraphs, scoring
 from lawtide.operators.prefilter import keyword_filter
 from lawtide.plans import report
@@ -41,12 +42,21 @@ class RunResult:
     progress: DataFrame
     run_row: DataFrame
     lines: DataFrame
-    html: DataFrame
-    outbox: DataFrame
+    described: DataFrame
+    links: DataFrame
+    cfg: MonitorConfig
     report_path: str = ""
     warnings: list[str] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
 
+    def html(self) -> DataFrame:
+        """The report as HTML fragments."""
+        return report.html_fragments(self.described, self.report_items, self.links)
+
+    def outbox(self) -> DataFrame:
+        """The message to send, if there is news."""
+        return report.outbox(self.described, self.cfg)
+
 
 def of_issues(landed: Landed, ids: list[str]) -> Landed:
     """The landed documents of a run's issues.
@@ -55,7 +65,7 @@ def of_issues(landed: Landed, ids: list[str]) -> Landed:
     prune partitions and row groups of the archive, which a join would read whole.
     """
     def only(table: DataFrame) -> DataFrame:
-        return table.where(F.col("issue_id").isin(ids))
+        return table.where(one_of("issue_id", ids))
     return Landed(
         landed.listing_pages, only(landed.bodies).where("html IS NOT NULL"), only(landed.page_texts),
         only(landed.justifications).where("html IS NOT NULL"))
@@ -98,7 +108,7 @@ def run(
     found = stage(listing.newest(in_window, cfg.max_issues_per_run), "issues")
     # At most as many as the cap: literals that prune the archive and the state.
     listed = [r.issue_id for r in found.select("issue_id").collect()]
-    processed = state.processed(without_run=run_id).where(F.col("issue_id").isin(listed))
+    processed = state.processed(without_run=run_id).where(one_of("issue_id", listed))
     issues = stage(dedupe.unprocessed(found, processed), "open_issues")
 
     opened = issues.select("issue_id", "issue_number").orderBy("issue_id").collect()
@@ -111,7 +121,7 @@ def run(
     hits = keyword_filter(
         kept, scope, cfg.keyword_filter_enabled, context="justification_text")
     named = dedupe.with_content_hash(dedupe.with_issue(hits, issues))
-    reported = state.reported(without_run=run_id).where(F.col("issue_number").isin(numbers))
+    reported = state.reported(without_run=run_id).where(one_of("issue_number", numbers))
     if cfg.dedupe_before_scoring:
         named = dedupe.unreported(named, reported, cfg.key_columns)
     if make_scorer is None:
@@ -148,7 +158,7 @@ def run(
     warnings = [f"no content landed for {issue_id}" for issue_id in missing]
 
     # An issue with a failed call or without content stays open for the next run.
-    done = issues.where(F.col("issue_id").isin(sorted(present))).join(
+    done = issues.where(one_of("issue_id", sorted(present))).join(
         scoring.failed(scored).select("issue_id").distinct(), "issue_id", "left_anti")
     progress = counts.progress_rows(done, kept, items, F.lit(run_ts.replace(microsecond=0)))
 
@@ -170,5 +180,4 @@ def run(
         state.commit(run_row, run_id)
     return RunResult(
         run_id, (start, end), figures, issues, kept, scored, items, progress, run_row, lines,
-        report.html_fragments(described, items, links), report.outbox(described, cfg),
-        report_path, warnings)
+        described, links, cfg, report_path, warnings)

@@ -93,6 +93,7 @@ def test_report_files(spark, state, landed, tmp_path):
     assert text.splitlines() == [
         line for r in in_report_order(result.lines).collect() for line in r.line.split("\n")]
     assert text.startswith("HR Középvállalati Havi Riport\n")
+    assert result.html().count() > 5 and result.outbox().first().subject.endswith(" – 3 új változás")
     assert text.index("2026. évi 83. szám (2026-07-01)") < text.index("§ 1. § — ") < text.index(
         "2026. évi 82. szám (2026-06-30)") < text.index("Forrás:")
 
