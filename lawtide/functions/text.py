@@ -57,6 +57,19 @@ ACCENTS = {
 }
 
 
+def _written(value) -> str:
+    """A text, number or list of texts as an SQL literal."""
+    if isinstance(value, list):
+        return f"cast(array({', '.join(map(_written, value))}) as array<string>)"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _map_text(table: dict) -> str:
+    return f"map({', '.join(_written(x) for pair in table.items() for x in pair)})"
+
+
 # Characters of "&...;" after the ampersand, as far as they are looked at.
 LONGEST_ENTITY = 12
 
@@ -70,18 +83,9 @@ def named_entities() -> dict[str, str]:
     return table
 
 
-def _written(value) -> str:
-    """A text, number or list of texts as an SQL literal."""
-    if isinstance(value, list):
-        return f"cast(array({', '.join(map(_written, value))}) as array<string>)"
-    if isinstance(value, int):
-        return str(value)
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def literal_map(table: dict) -> Column:
     """A constant map from text to text, number or list of texts, as one expression."""
-    return F.expr(f"map({', '.join(_written(x) for pair in table.items() for x in pair)})")
+    return F.expr(_map_text(table))
 
 
 def one_of(column: str, values: list[str]) -> Column:
@@ -103,35 +107,35 @@ def content_hash(text: Column) -> Column:
     return F.sha2(squeeze(F.lower(text)), 256)
 
 
-def _code_point(name: Column) -> Column:
-    """Number of "#337" or "#x151", NULL for anything else or for no character."""
-    point = F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, 2, 7).cast("long")).when(
-        name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, 3, 6), 16, 10).cast("long"))
-    return F.when((point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF), point)
+# Decoding is written as SQL text: it is part of every piece of markup read, and one
+# parsed expression is much quicker to build than some hundred column calls.
+# Number of "#337" or "#x151" in n, NULL for anything else or for no character.
+_CODE_POINT = """element_at(transform(array(
+    CASE WHEN n RLIKE '^#[0-9]{1,7}$' THEN CAST(substring(n, 2, 7) AS bigint)
+         WHEN n RLIKE '^#[xX][0-9a-fA-F]{1,6}$' THEN CAST(conv(substring(n, 3, 6), 16, 10) AS bigint) END),
+    q -> CASE WHEN q > 0 AND q <= 1114111 AND NOT q BETWEEN 55296 AND 57343 THEN q END), 1)"""
+# Piece p after an ampersand: n is what may be a name, c its character.
+_DECODED_PIECE = f"""(p, i) -> CASE WHEN i = 0 THEN p ELSE
+    element_at(transform(array(substring_index(substring(p, 1, {LONGEST_ENTITY}), ';', 1)), n ->
+    element_at(transform(array(coalesce(
+        decode(unhex(lpad(hex({_CODE_POINT}), 8, '0')), 'UTF-32'),
+        try_element_at({_map_text(named_entities())}, n))), c ->
+    CASE WHEN c IS NOT NULL AND substring(p, length(n) + 1, 1) = ';' THEN concat(c, substring(p, length(n) + 2))
+         ELSE concat('&', p) END), 1)), 1) END"""
+_NODE = f"""t -> trim(BOTH {_written(WHITESPACE)} FROM
+    CASE WHEN contains(t, '&') THEN array_join(transform(split(t, '&'), {_DECODED_PIECE}), '') ELSE t END)"""
 
 
 def decode_entities(text: Column) -> Column:
     """Decode numeric and common named entities, each once; others stay as written."""
-    named = literal_map(named_entities())
-
-    def decoded(piece: Column) -> Column:
-        name = F.substring_index(F.substring(piece, 1, LONGEST_ENTITY), ";", 1)
-        char = F.coalesce(
-            F.decode(F.unhex(F.lpad(F.hex(_code_point(name)), 8, "0")), "UTF-32"),
-            F.try_element_at(named, name))
-        closed = char.isNotNull() & (F.substr(piece, F.length(name) + 1, F.lit(1)) == ";")
-        return F.when(closed, F.concat(char, F.substr(piece, F.length(name) + 2))).otherwise(
-            F.concat(F.lit("&"), piece))
-
-    pieces = F.transform(
-        F.split(text, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(decoded(piece)))
+    pieces = F.call_function("transform", F.split(text, "&"), F.expr(_DECODED_PIECE))
     return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def node_text(markup: Column) -> Column:
     """Text of a piece of markup: each text between tags stripped, joined by one blank."""
-    texts = F.transform(F.split(markup, TAG), lambda t: strip(decode_entities(t)))
-    return F.array_join(F.filter(texts, lambda t: t != ""), " ")
+    texts = F.call_function("transform", F.split(markup, TAG), F.expr(_NODE))
+    return F.array_join(F.array_remove(texts, ""), " ")
 
 
 def html_to_text(html: Column) -> Column:
