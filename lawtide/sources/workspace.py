@@ -4,26 +4,48 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named (tests)."""
+    """The folder named in spark.checkpoint.dir, which driver and executors share.
+
+    Where none is named, a local master gets a folder of its own (tests, trials). On a
+    cluster that would be another folder on every machine, so there it raises.
+    """
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {SETTING} to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lawtide-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir() or named
+        spark.conf.set(SETTING, named)
     return named.rstrip("/")
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run within drop their shuffle files when they end, not when the driver happens to
+    collect its garbage. Only for queries whose result is written, as nothing reads them again."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 class Stage:
     """Writes a DataFrame to a named table and returns the table.
 
-    Needed where a result is used twice and must be computed once (model calls).
+    Needed where a result is used twice and must be computed once. `drop` removes tables that
+    nothing will read again; without names, all of them.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
@@ -33,7 +55,17 @@ class Stage:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def __call__(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
+    def __call__(
+        self, df: DataFrame, name: str, partition_by: str | None = None, **options: str
+    ) -> DataFrame:
+        writer = df.write.mode("overwrite").options(**options)
+        with freed_shuffles(self.spark):
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [self.path(name) for name in names] or [self.root]:
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(conf).delete(there, True)
