@@ -6,11 +6,18 @@ a probability equal to their Jaccard similarity, so bands of either kind are unb
 
 1. One pass over the texts makes a row per document: set size, 128-bit digest of the set, band keys.
 2. Documents with equal sets become one node; hot groups of copies end there.
-3. In every bucket of a band, each node is compared with the bucket's smallest node. Pairs are
-   confirmed on full sets; confirmed links give components.
-4. What is left within a bucket are nodes of different components that were never compared. Those
-   not in the bucket's largest component are compared with every node of another component, so no
-   link found by banding is lost, and pairs within a component, however large, are never made.
+3. Nodes that share a bucket of any band belong to one family: every node points to its bucket's
+   smallest node, and a family is what these pointers connect. The node that shares buckets with the most
+   others is the family's centre.
+4. Within a family, sets are replaced by their differences D from the centre's set, as the symmetric
+   difference of two sets equals that of their D. With sizes known, w = (100 + p) |D| - (100 - p) |set|
+   says how far a set is from the centre, and x and y are linked exactly if
+   w_x + w_y <= 2 (100 + p) |D_x & D_y|. All pairs with w_x + w_y <= 0 are linked, and so is either of them
+   with the node of the smallest w: one star per family stands for all of these links.
+5. Every other link needs a common element of both D, and a common one among the rarest (prefix
+   filter): of the elements of D, rarest within the family first, the first |D| - o + 1 of both share one
+   if the overlap is o or more. So the remaining candidates come from an equi-join on (family,
+   rare element) and are confirmed on D. No pair is made because two nodes are in one group.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawtide.llm.components import components
@@ -110,20 +117,27 @@ def _sets(n: int):
                 found = [digests(x, np.zeros(1, np.int64)).tobytes() if len(x) else None for x in sets]
                 same = [x == y.as_py() for x, y in zip(found, batch["digest"].slice(a, b - a))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["node"].slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())],
-                    ["node", "members"]).filter(pa.array(same, pa.bool_()))
+                    [batch["family"].slice(a, b - a), batch["node"].slice(a, b - a),
+                     pa.array([x.tobytes() for x in sets], pa.binary())],
+                    ["family", "node", "members"]).filter(pa.array(same, pa.bool_()))
     return run
 
 
-def _linked(percent: int):
+def _differences(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["of_a"], batch["of_b"]):
-                one, two = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sizes, lists = [], []
+            for own, centre in zip(batch["members"], batch["of_centre"]):
+                own, centre = (np.frombuffer(v.as_buffer(), U) for v in (own, centre))
+                sizes.append(len(own))
+                lists.append(np.setxor1d(own, centre, assume_unique=True).view(np.int64))
+            apart = np.array([len(x) for x in lists], np.int64)
+            w = (100 + percent) * apart - (100 - percent) * np.array(sizes, np.int64)
+            values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch["family"], batch["node"], pa.array(w), pa.array(apart), pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *apart]), pa.int32()), pa.array(values))],
+                ["family", "node", "w", "apart", "diff"])
     return run
 
 
@@ -161,31 +175,43 @@ def near_duplicates(
     hubs = stage(
         in_band.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("members"))
         .where("members > 1"), "hubs")
-    stars = stage(
-        in_band.join(hubs, "bucket").where("node != hub")
-        .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = _confirmed(source, nodes, stars, stage, shingle, percent, "stars")
-    reached = components(links, stage, "reached")
+    met = stage(in_band.join(hubs, "bucket").select("node", "hub", "members"), "met")
+    families = components(
+        met.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(),
+        stage, "families").withColumnRenamed("component", "family")
+    crowds = met.groupBy("node").agg(F.sum("members").alias("crowd"))
+    families = stage(
+        families.join(crowds, "node").join(nodes.select("node", "digest", F.col("id").alias("of")), "node"),
+        "families")
+    centres = stage(
+        families.groupBy("family")
+        .agg(F.max(F.struct("crowd", (-F.col("node")).alias("minus")))["minus"].alias("minus"))
+        .select("family", (-F.col("minus")).alias("centre")), "centres")
+
+    sets = stage(
+        source.join(families, F.col("id").eqNullSafe(F.col("of"))).select("family", "node", "digest", "text")
+        .mapInArrow(_sets(shingle), "family long, node long, members binary")
+        .dropDuplicates(["node"]), "sets")
+    of_centre = stage(
+        centres.join(sets.select("node", "members"), F.col("centre") == F.col("node"))
+        .select("family", F.col("members").alias("of_centre")), "of_centre")
+    diffs = stage(
+        sets.join(of_centre, "family").select("family", "node", "members", "of_centre")
+        .mapInArrow(_differences(percent), "family long, node long, w long, apart long, diff array<long>"),
+        "diffs")
 
-    members = stage(
-        in_band.join(hubs.where("members > 2").select("bucket"), "bucket")
-        .join(reached, "node", "left")
-        .select("bucket", "node", F.coalesce("component", "node").alias("component")), "members")
-    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    mixed_buckets = stage(
-        parts.groupBy("bucket")
-        .agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts"))
-        .where("parts > 1").select("bucket", "main"), "mixed")
-    open_members = stage(members.join(mixed_buckets, "bucket"), "open")
-    one, two = open_members.alias("one"), open_members.where("component != main").alias("two")
-    rest = stage(
-        one.join(two, F.col("one.bucket") == F.col("two.bucket"))
-        .where("one.component != two.component")
-        .select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
-        .distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _confirmed(source, nodes, rest, stage, shingle, percent, "rest")
-        reached = components(links.unionByName(more), stage, "all")
+    nearest = diffs.groupBy("family").agg(
+        F.min(F.struct("w", "node")).alias("least"), F.count("*").alias("nodes"))
+    weighed = stage(
+        diffs.drop("diff").join(nearest, "family")
+        .select("family", "node", "w", "apart", "nodes", F.col("least.w").alias("w_least"),
+                F.col("least.node").alias("nearest"))
+        .withColumn("out", (F.col("w") + F.col("w_least") > 0) & (F.col("node") != F.col("nearest"))),
+        "weighed")
+    star = weighed.where("NOT out AND node != nearest").select(
+        F.col("nearest").alias("a"), F.col("node").alias("b"))
+    links = stage(star.unionByName(_beyond_star(weighed, diffs, stage, 2 * (100 + percent))), "links")
+    reached = components(links, stage, "reached")
 
     placed = nodes.select("node", "digest", "id").join(reached, "node", "left")
     placed = stage(placed.select(
@@ -200,21 +226,42 @@ def near_duplicates(
             F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-def _confirmed(
-    source: DataFrame, nodes: DataFrame, pairs: DataFrame, stage: Stage, shingle: int, percent: int, name: str,
-) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. Sets are made anew from the texts,
-    of the nodes that occur in a pair only."""
-    wanted = (
-        pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        .join(nodes.select("node", "digest", F.col("id").alias("of")), "node"))
-    wanted = stage(wanted, f"{name}_wanted")
-    sets = stage(
-        source.join(wanted, F.col("id").eqNullSafe(F.col("of"))).select("node", "digest", "text")
-        .mapInArrow(_sets(shingle), "node long, members binary"), f"{name}_sets")
-    matched = (
-        pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
-        .select("a", "b", "of_a", "of_b"))
-    return stage(
-        matched.mapInArrow(_linked(percent), "a long, b long").distinct(), f"{name}_linked")
+def _beyond_star(weighed: DataFrame, diffs: DataFrame, stage: Stage, unit: int) -> DataFrame:
+    """Links (a, b) of nodes that are not linked with their family's nearest node: with each other or
+    with any other node of the family. Two nodes need an overlap of (w + w') / unit elements."""
+    def needed(one, two):
+        return F.ceil((one + two) / F.lit(unit))
+
+    open_families = stage(
+        weighed.where("nodes > 2").groupBy("family")
+        .agg(F.min(F.when(F.col("out"), F.col("w"))).alias("w_out")).where("w_out IS NOT NULL"),
+        "open_families")
+    elements = (
+        weighed.join(open_families, "family").join(diffs.select("node", "diff"), "node")
+        .select("family", "node", "w", "apart", "out", "w_least", "w_out", F.explode("diff").alias("element")))
+    common = stage(
+        elements.groupBy("family", "element").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    own = Window.partitionBy("family", "node")
+    place = (
+        F.col("apart") - F.count("*").over(own)
+        + F.row_number().over(own.orderBy("n", "element")))
+    ranked = stage(
+        elements.join(common, ["family", "element"]).withColumn("place", place)
+        .withColumn("as_any", F.col("apart") - needed(F.col("w"), F.col("w_out")) + 1)
+        .withColumn("as_out", F.col("apart") - needed(F.col("w"), F.col("w_least")) + 1)
+        .where("place <= as_any OR (out AND place <= as_out)"), "ranked")
+    one = ranked.where("place <= as_any").alias("one")
+    two = ranked.where("out AND place <= as_out").alias("two")
+    least = needed(F.col("one.w"), F.col("two.w"))
+    pairs = stage(
+        one.join(two, (F.col("one.family") == F.col("two.family")) & (F.col("one.element") == F.col("two.element"))
+                 & (F.col("one.node") != F.col("two.node"))
+                 & (~F.col("one.out") | (F.col("one.node") < F.col("two.node")))
+                 & (F.col("one.place") <= F.col("one.apart") - least + 1)
+                 & (F.col("two.place") <= F.col("two.apart") - least + 1))
+        .select(F.col("one.node").alias("a"), F.col("two.node").alias("b"), least.alias("least"))
+        .distinct(), "pairs")
+    return (
+        pairs.join(diffs.select(F.col("node").alias("a"), F.col("diff").alias("of_a")), "a")
+        .join(diffs.select(F.col("node").alias("b"), F.col("diff").alias("of_b")), "b")
+        .where(F.size(F.array_intersect("of_a", "of_b")) >= F.col("least")).select("a", "b"))
