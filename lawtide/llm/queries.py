@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawtide.llm import chat, exact, minhash, mixing
+from lawtide.llm import chat, exact, minhash, mixing, phrase_index
 from lawtide.sources.workspace import Stage
 
 
@@ -18,6 +18,14 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), Stage(spark), shingle=3, percent=85, bands=32)
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    told = phrase_index.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), Stage(spark))
+    return told.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"), Stage(spark), digest_all=True)
 
@@ -36,4 +44,4 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.chat_windows(turns.unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op5_exact_dedup, op9_mixing, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_decontamination, op5_exact_dedup, op9_mixing, op10_chat_format)}

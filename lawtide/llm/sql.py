@@ -8,4 +8,26 @@ g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
 """
 
-ORACLES = {"op5_exact_dedup": OP5}
+OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+phrase AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS p
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0) x),
+lengths AS (SELECT DISTINCT n FROM phrase),
+win AS (SELECT k, n, i, array_to_string(w[i : i + n - 1], ' ') AS p
+    FROM (SELECT k, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN lengths ON len(w) >= n) x),
+hit AS (SELECT k, item_id, i, n FROM win JOIN phrase USING (n, p)),
+words AS (SELECT k, count(DISTINCT word) AS n_hit
+    FROM (SELECT k, unnest(range(i, i + n)) AS word FROM (SELECT DISTINCT k, i, n FROM hit) x) y GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS list
+    FROM (SELECT DISTINCT k, cast(item_id AS VARCHAR) AS s FROM hit) x GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op5_exact_dedup": OP5}
