@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawtide.llm import chat, exact, minhash, mixing, phrase_index
+from lawtide.llm import backoff, chat, exact, minhash, mixing, phrase_index, substrings
 from lawtide.sources.workspace import Stage
 
 
@@ -26,6 +26,17 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    told = substrings.repeated_passages(table(spark, folder, "documents"), Stage(spark), words=13)
+    return told.select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    scored = backoff.backoff_scores(table(spark, folder, "documents"), Stage(spark))
+    return scored.select("doc_id", "n_words", "logprob")
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"), Stage(spark), digest_all=True)
 
@@ -44,4 +55,4 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.chat_windows(turns.unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_decontamination, op5_exact_dedup, op9_mixing, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_decontamination, op3_substring_dedup, op4_lm_scoring, op5_exact_dedup, op9_mixing, op10_chat_format)}

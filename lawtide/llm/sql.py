@@ -30,4 +30,38 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
 """
 
-ORACLES = {"op2_decontamination": OP2, "op5_exact_dedup": OP5}
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT k, doc_id, i, array_to_string(w[i : i + 12], ' ') AS p
+    FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13) x),
+first AS (SELECT p, min(doc_id) AS owner FROM win GROUP BY p),
+gone AS (SELECT DISTINCT k, word
+    FROM (SELECT k, unnest(range(i, i + 13)) AS word FROM win JOIN first USING (p) WHERE owner < doc_id) x),
+word AS (SELECT k, unnest(range(1, len(w) + 1)) AS word, unnest(w) AS s FROM d),
+kept AS (SELECT k, string_agg(s, ' ' ORDER BY word) AS t FROM word ANTI JOIN gone USING (k, word) GROUP BY k),
+cut AS (SELECT k, count(*) AS n FROM gone GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k) LEFT JOIN cut USING (k)
+"""
+
+OP4 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT k, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS c FROM d),
+g AS (SELECT k, i, c, lag(c) OVER p AS b, lag(c, 2) OVER p AS a FROM t WINDOW p AS (PARTITION BY k ORDER BY i)),
+n AS (SELECT k, i, c, b, a,
+    count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY k, c) AS c1,
+    CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY k, b, c) ELSE 0 END AS c2,
+    CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY k, a, b, c) ELSE 0 END AS c3,
+    count(*) OVER () - count(*) OVER (PARTITION BY k) AS rest FROM g),
+h AS (SELECT *, lag(c1) OVER p AS h1, lag(c2) OVER p AS h2 FROM n WINDOW p AS (PARTITION BY k ORDER BY i)),
+s AS (SELECT k, CASE WHEN c3 > 0 THEN c3 / h2
+    WHEN c2 > 0 THEN c2 / h1 * pow(0.4, least(i - 1, 2) - 1)
+    ELSE greatest(c1, 0.5) / greatest(rest, 1) * pow(0.4, least(i - 1, 2)) END AS s FROM h),
+u AS (SELECT k, sum(cast(round_even(ln(s) * 1000000, 0) AS BIGINT)) AS units FROM s GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(units, 0) / 1000000 AS logprob FROM d LEFT JOIN u USING (k)
+"""
+
+ORACLES = {"op4_lm_scoring": OP4, "op3_substring_dedup": OP3, "op2_decontamination": OP2, "op5_exact_dedup": OP5}
