@@ -1,9 +1,9 @@
 """Language-model scores by stupid backoff, from counts of all n-grams of the corpus.
 
-Counts of every order are one table keyed by the n-gram's hash and partitioned by its leading bits.
+Counts of each order are a table keyed by the n-gram's hash and partitioned by its leading bits.
 A bundle of documents sends its distinct n-grams with their counts, which are summed per key;
 what comes back is the count in the corpus of each n-gram that was sent, and scores are summed per
-document. No n-gram is left out and nothing is kept per vocabulary in a task or the driver.
+document. Orders follow one another, so the n-grams of one order alone are under way at a time. No n-gram is left out and nothing is kept per vocabulary in a task or the driver.
 """
 
 from __future__ import annotations
@@ -28,47 +28,38 @@ def _summed(values: np.ndarray, group: np.ndarray, begin: np.ndarray) -> np.ndar
 
 
 class _Grams:
-    """n-grams of every order that end at each word of a bundle's texts.
-
-    key[n - 1] are hashes of the n-grams that end at `end[n - 1]`; number tells which of the bundle's
-    distinct keys, of all orders together, each is.
-    """
-
-    def __init__(self, texts: pa.Array, order: int) -> None:
-        words = words_of(texts, SPACED, lower=True)
-        self.first, hashes = words.first, words.hashes()
-        size = len(hashes)
-        self.place = np.arange(size) - np.repeat(words.first[:-1], words.counts)
-        self.end = [np.flatnonzero(self.place >= n - 1) for n in range(1, order + 1)]
-        keys = [spans(hashes, end - n, n + 1) for n, end in enumerate(self.end)]
-        flat = np.concatenate(keys)
-        by_key = np.argsort(flat, kind="stable")
-        flat = flat[by_key]
-        begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[: len(flat)])
-        self.distinct = flat[begin]
-        self.count = np.diff(np.append(begin, len(flat)))
-        number = np.empty(len(flat), np.int64)
-        number[by_key] = np.repeat(np.arange(len(begin)), self.count)
-        self.number = np.split(number, np.cumsum([len(k) for k in keys])[:-1])
-        self.doc = np.repeat(np.arange(len(words.first) - 1), words.counts)
-
-    def own(self, n: int) -> np.ndarray:
-        """How often each n-gram occurs in its own document, for every one that ends at a word."""
-        key = (self.doc[self.end[n]] << 32) + self.number[n]
+    """n-grams of one order within a bundle's texts: the word at which each ends and, of the bundle's
+    sorted distinct keys, which one it is."""
+
+    def __init__(self, hashes: np.ndarray, place: np.ndarray, n: int) -> None:
+        self.end = np.flatnonzero(place >= n - 1)
+        keys = spans(hashes, self.end - (n - 1), n)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        self.distinct = keys[begin]
+        self.count = np.diff(np.append(begin, len(keys)))
+        self.number = np.empty(len(keys), np.int64)
+        self.number[order] = np.repeat(np.arange(len(begin)), self.count)
+
+    def others(self, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """For every word, how often the n-gram that ends there occurs in other documents; 0 where
+        none of this order does. count: in the whole corpus, of the distinct keys."""
+        key = (doc[self.end] << 32) + self.number
         order = np.argsort(key, kind="stable")
         key = key[order]
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        counts = np.diff(np.append(begin, len(key)))
-        out = np.empty(len(key), np.int64)
-        out[order] = np.repeat(counts, counts)
+        own = np.diff(np.append(begin, len(key)))
+        out = np.zeros(len(doc), np.int64)
+        out[self.end[order]] = count[self.number[order]] - np.repeat(own, own)
         return out
 
-    def others(self, n: int, count: np.ndarray) -> np.ndarray:
-        """Occurrences in other documents of the n-gram that ends at each word; 0 where there is
-        none of this order. n from 0 for single words."""
-        out = np.zeros(len(self.place), np.int64)
-        out[self.end[n]] = count[self.number[n]] - self.own(n)
-        return out
+
+def _worded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a bundle, the place of each in its text, and where texts begin."""
+    words = words_of(texts, SPACED, lower=True)
+    place = np.arange(len(words.start)) - np.repeat(words.first[:-1], words.counts)
+    return words.hashes(), place, words.first
 
 
 def scored_words(others: list[np.ndarray], place: np.ndarray, doc_words: np.ndarray, total: int, alpha: float) -> np.ndarray:
@@ -90,11 +81,12 @@ def scored_words(others: list[np.ndarray], place: np.ndarray, doc_words: np.ndar
     return np.rint(np.log(score) * UNIT).astype(np.int64)
 
 
-def _asked(order: int, bits: int):
+def _asked(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                grams = _Grams(batch["texts"][i].values, order)
+                hashes, place, _ = _worded(batch["texts"][i].values)
+                grams = _Grams(hashes, place, n)
                 yield request(batch["bundle"][i].as_py(), grams.distinct, grams.count, bits)
     return run
 
@@ -103,13 +95,15 @@ def _scored(order: int, total: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                grams = _Grams(batch["texts"][i].values, order)
-                count = answer(batch["cells"][i])
-                n_words = np.diff(grams.first)
-                others = [grams.others(n, count) for n in range(order)]
-                score = scored_words(others, grams.place, n_words[grams.doc], total, alpha)
+                hashes, place, first = _worded(batch["texts"][i].values)
+                n_words = np.diff(first)
+                doc = np.repeat(np.arange(len(n_words)), n_words)
+                others = [
+                    _Grams(hashes, place, n).others(answer(batch[f"cells_{n}"][i]), doc)
+                    for n in range(1, order + 1)]
+                score = scored_words(others, place, n_words[doc], total, alpha)
                 sums = np.append(0, np.cumsum(score))
-                units = sums[grams.first[1:]] - sums[grams.first[:-1]]
+                units = sums[first[1:]] - sums[first[:-1]]
                 yield pa.RecordBatch.from_arrays(
                     [batch["ids"][i].values, pa.array(n_words, pa.int64()), pa.array(units, pa.int64())],
                     ["id", "n_words", "units"])
@@ -140,9 +134,15 @@ def backoff_scores(
     kind = docs.schema[id_col].dataType.simpleString()
     bundles = bundled(docs, stage, id_col, text_col).select("bundle", "ids", "texts")
     total = bundles.select("texts").mapInArrow(_n_words, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
-    counts = answers(bundles.mapInArrow(_asked(order, part_bits(total * order // 2)), REQUEST), stage, "counts", _summed)
+    asked = bundles
+    for n in range(1, order + 1):
+        counts = answers(
+            bundles.mapInArrow(_asked(n, part_bits(total)), REQUEST), stage, f"counts_{n}", _summed)
+        asked = asked.join(
+            stage(counts.withColumnRenamed("cells", f"cells_{n}"), f"answers_{n}"), "bundle", "left")
+        stage.drop(f"counts_{n}_said")
     return (
-        bundles.join(stage(counts, "answers"), "bundle", "left")
+        asked
         .mapInArrow(_scored(order, total, alpha), f"id {kind}, n_words long, units long")
         .select(F.col("id").alias(id_col), "n_words", (F.col("units") / UNIT).alias("logprob"),
                 F.when(F.col("n_words") > 0, F.col("units") / UNIT / F.col("n_words")).alias("mean_logprob")))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawtide.llm.words import SPACED, slices, words_of
@@ -33,14 +33,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["id", "source", "size", "hash"])
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    """The hash that decides on a row."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col).cast("string")), 64 - HASH_BITS)
+
+
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, size, hash) of every row; size is the number of words of the whole text."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
-    hashed = F.shiftrightunsigned(F.xxhash64(F.col(id_col), text), 64 - HASH_BITS)
     return docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        text.alias("text"), hashed.alias("hash"),
+        text.alias("text"), row_hash(id_col, text_col).alias("hash"),
     ).mapInArrow(_counted, f"id {kind}, source string, size long, hash long")
 
 
@@ -146,7 +150,7 @@ def mixed_sources(
     budgets: Sequence[float] = (1.0,), most: int = 3,
 ) -> DataFrame:
     """One row per row of docs and budget: the id, mix (index of the budget), size, source_size,
-    target (its source's), copies, taken = size * copies.
+    target (its source's), copies, taken = size * copies, and the row's hash (`row_hash`).
 
     A budget is a share of all words. copies is the number of whole passes over the source, plus
     one where the row's hash is under the source's threshold; it never exceeds `most`. The taken
@@ -180,4 +184,4 @@ def mixed_sources(
         ranked.join(drawn, "rank")
         .withColumn("copies", F.col("passes") + more.cast("long"))
         .select(F.col("id").alias(id_col), "mix", "size", "source_size", "target", "copies",
-                (F.col("size") * F.col("copies")).alias("taken")))
+                (F.col("size") * F.col("copies")).alias("taken"), "hash"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawtide.llm import backoff, chat, exact, minhash, mixing, phrase_index, substrings
+from lawtide.llm import (
+    backoff, chat, exact, language, line_chunks, minhash, mixing, page_text, phrase_index, substrings)
 from lawtide.sources.workspace import Stage
 
 
@@ -41,6 +42,24 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"), Stage(spark), digest_all=True)
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = line_chunks.line_dedup(table(spark, folder, "documents"), Stage(spark))
+    return left.select(
+        "row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = page_text.extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    told = language.identified(docs.select("doc_id", "text"), language.train(docs))
+    return told.select(
+        "row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mixed_sources(table(spark, folder, "documents"), Stage(spark))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -55,4 +74,6 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.chat_windows(turns.unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_decontamination, op3_substring_dedup, op4_lm_scoring, op5_exact_dedup, op9_mixing, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash, op2_decontamination, op3_substring_dedup, op4_lm_scoring, op5_exact_dedup, op6_line_dedup,
+    op7_html_text, op8_language_id, op9_mixing, op10_chat_format)}
