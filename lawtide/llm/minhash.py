@@ -188,8 +188,9 @@ def near_duplicates(
         .agg(F.max(F.struct("crowd", (-F.col("node")).alias("minus")))["minus"].alias("minus"))
         .select("family", (-F.col("minus")).alias("centre")), "centres")
 
+    # Merged at any size: a plan that broadcasts small sides grows faster than its input.
     sets = stage(
-        source.join(families, F.col("id").eqNullSafe(F.col("of"))).select("family", "node", "digest", "text")
+        source.join(families.hint("merge"), F.col("id").eqNullSafe(F.col("of"))).select("family", "node", "digest", "text")
         .mapInArrow(_sets(shingle), "family long, node long, members binary")
         .dropDuplicates(["node"]), "sets")
     of_centre = stage(
