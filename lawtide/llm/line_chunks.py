@@ -74,9 +74,9 @@ def _chunked(least: int, divisor: int):
                 chunks = pa.StructArray.from_arrays(
                     [pa.array(c, k) for c, k in zip(cells, kinds)], ["key", "start", "end", "next", "lines"])
                 yield pa.RecordBatch.from_arrays(
-                    [part["row"], part["id"], part["text"], pa.array(lines.counts, pa.int64()),
+                    [part["row"], pa.array(lines.counts, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(edge, pa.int32()), chunks)],
-                    ["row", "id", "text", "n_lines", "chunks"])
+                    ["row", "n_lines", "chunks"])
     return run
 
 
@@ -93,26 +93,25 @@ def line_dedup(
     last chunk ends with the last line left. null text stays null, the empty text empty; a text of one
     line is kept. Any other columns are carried along unread, inside `row`.
     """
-    source = docs.select(
-        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    row_type = source.schema["row"].dataType.simpleString()
-    id_type = source.schema["id"].dataType.simpleString()
+    source = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     chunked = stage(
         source.mapInArrow(
             _chunked(least, divisor),
-            source.select("row", "id", "text").withColumns(
+            source.select("row").withColumns(
                 {"n_lines": F.lit(0).cast("long"), "chunks": F.lit(None).cast(_CHUNKS)}).schema)
         .withColumn("place", F.monotonically_increasing_id()), "chunked", compression="zstd")
+    text, id_ = F.col(f"row.`{text_col}`").cast("string"), F.col(f"row.`{id_col}`")
 
-    each = chunked.select("place", "id", F.posexplode("chunks").alias("nth", "chunk"), "text")
+    each = chunked.select("place", id_.alias("id"), F.posexplode("chunks").alias("nth", "chunk"), text.alias("text"))
     each = each.where("chunk.lines > 1")
     keys = stage(
         each.groupBy(F.col("chunk.key").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key"),
         "keys")
     span = F.substring(F.col("text").cast("binary"), F.col("chunk.start") + 1, F.col("chunk.end") - F.col("chunk.start"))
+    # Merged at any size: a plan that broadcasts small sides grows faster than its input.
     alike = stage(
         each.select("place", "nth", "id", F.col("chunk.key").alias("key"), span.alias("bytes"))
-        .join(keys, "key", "left_semi"), "alike", compression="zstd")
+        .join(keys.hint("merge"), "key", "left_semi"), "alike", compression="zstd")
     order = F.struct(F.col("id").isNull(), "id", "place", "nth")
     groups = stage(
         alike.groupBy("key", "bytes").agg(F.min(order).alias("stays"), F.count("*").alias("n")).where("n > 1")
@@ -122,13 +121,13 @@ def line_dedup(
         alike.join(groups, ["key", "bytes"]).where("place != stays OR nth != as_nth")
         .groupBy("place").agg(F.collect_list("nth").alias("removed")), "removed")
 
-    binary = F.col("text").cast("binary")
+    binary = text.cast("binary")
     left = F.filter("chunks", lambda c, i: ~F.array_contains("removed", i))
     kept = F.array_join(F.transform(
         left, lambda c: F.substring(binary, c["start"] + 1, c["next"] - c["start"]).cast("string")), "")
     gone = F.filter("chunks", lambda c, i: F.array_contains("removed", i))
     lines = F.aggregate(gone, F.lit(0).cast("long"), lambda n, c: n + c["lines"])
     cut = F.col("removed").isNotNull()
-    return chunked.join(removed, "place", "left").select(
-        "row", F.when(cut, F.rtrim(kept, F.lit("\n"))).otherwise(F.col("text")).alias("text"), "n_lines",
+    return chunked.join(removed.hint("merge"), "place", "left").select(
+        "row", F.when(cut, F.rtrim(kept, F.lit("\n"))).otherwise(text).alias("text"), "n_lines",
         F.when(cut, lines).otherwise(F.lit(0)).cast("long").alias("n_removed"))
