@@ -8,12 +8,13 @@ from dataclasses import dataclass
 RANGES = {
     "lookback_days": (1, 365),
     "relevance_threshold": (0.0, 1.0),
-    "max_issues_per_run": (1, 500),
     "min_paragraph_length": (10, 1000),
-    "scoring_concurrency": (1, 32),
-    "calls_per_task": (1, 1_000_000),
 }
 
+# Parameters without an upper limit; a cap may be off (None).
+AT_LEAST_ONE = (
+    "scoring_concurrency", "requests_per_call", "calls_per_task", "max_issues_per_run", "max_listing_pages")
+
 DEDUP_KEYS = {
     "anchor": ("issue_number", "anchor"),
     "content_hash": ("issue_number", "content_hash"),
@@ -24,15 +25,16 @@ DEDUP_KEYS = {
 class MonitorConfig:
     lookback_days: int = 30
     relevance_threshold: float = 0.50
-    max_issues_per_run: int = 50
+    # No cap: all issues of the window. With one, the rest stays open for the next run.
+    max_issues_per_run: int | None = None
     min_paragraph_length: int = 30
     scoring_concurrency: int = 5
-    # Model calls a lost task repeats at most.
+    # Requests a scorer is given at once, and model calls a lost task repeats at most.
+    requests_per_call: int = 64
     calls_per_task: int = 10_000
     keyword_filter_enabled: bool = True
-    scope: str = "hr"
     base_url: str = "https://magyarkozlony.hu"
-    max_listing_pages: int | None = 20
+    max_listing_pages: int | None = None
     # Which columns say "this was reported before".
     dedup_key: str = "anchor"
     # Drop repeats of a key inside one run, not only against earlier runs.
@@ -54,6 +56,10 @@ class MonitorConfig:
             value = getattr(self, name)
             if not low <= value <= high:
                 raise ValueError(f"{name}={value} is outside {low}..{high}")
+        for name in AT_LEAST_ONE:
+            value = getattr(self, name)
+            if value is not None and value < 1:
+                raise ValueError(f"{name}={value} is less than 1")
         if self.dedup_key not in DEDUP_KEYS:
             raise ValueError(f"dedup_key={self.dedup_key!r}, expected one of {sorted(DEDUP_KEYS)}")
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ITEMS_PER_PART = 1_000
-
-
 def per_issue(rows: DataFrame, name: str, key: str = "issue_id") -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
@@ -41,13 +38,10 @@ def funnel(flagged: DataFrame, *stages: str) -> DataFrame:
         *[F.count_if(F.coalesce(F.col(s), F.lit(False))).alias(s) for s in stages])
 
 
-def grouped_items(items: DataFrame, fields: list[str]) -> DataFrame:
-    """Items nested per issue in anchor order, in parts of at most ITEMS_PER_PART rows.
+def grouped_items(items: DataFrame) -> DataFrame:
+    """Items with their place within the issue, in anchor order (`item_rank` from 1).
 
-    (issue_number, issue_date, part, n_items, items). Positions are unique within an
-    issue, so a part is bounded however many items the issue has.
+    A row per item: an issue of any size is sorted, never gathered in a cell.
     """
-    part = F.floor(F.col("pos") / ITEMS_PER_PART).cast("long")
-    entry = F.struct("anchor", "pos", *[f for f in fields if f not in ("anchor", "pos")])
-    return items.withColumn("part", part).groupBy("issue_number", "issue_date", "part").agg(
-        F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(entry)).alias("items"))
+    own = Window.partitionBy("issue_number", "issue_date").orderBy("anchor", "pos")
+    return items.withColumn("item_rank", F.row_number().over(own))

@@ -42,96 +42,99 @@ def _answers(scorer: Scorer, texts: list[str]) -> list[object]:
     except Exception as error:
         if len(texts) == 1:
             return [error]
-        # One bad text must not fail its batch: ask for each alone.
-        return [answer for text in texts for answer in _answers(scorer, [text])]
+        # One bad text must not fail its batch: halves narrow it down. A scorer that gives an
+        # Exception in place of a reply is never asked again.
+        half = len(texts) // 2
+        return _answers(scorer, texts[:half]) + _answers(scorer, texts[half:])
     if len(answers) != len(texts):
         raise ValueError(f"scorer gave {len(answers)} replies for {len(texts)} texts")
     return answers
 
 
-def call_model(rows: DataFrame, make_scorer: ScorerFactory, concurrency: int) -> DataFrame:
-    """Add `reply`, `error_type`, `error_text` to rows that hold a `request`.
+REPLIES = T.StructType([
+    T.StructField("request_id", T.LongType()),
+    *[T.StructField(n, T.StringType()) for n in ("reply", "error_type", "error_text")]])
 
-    `concurrency` tasks run at a time. Other columns pass through Arrow untouched.
-    """
-    fields = [f for f in rows.schema.fields if f.name != "request"]
-    added = [T.StructField(n, T.StringType()) for n in ("reply", "error_type", "error_text")]
 
+def call_model(
+    requests: DataFrame, make_scorer: ScorerFactory, concurrency: int, requests_per_call: int = 64,
+) -> DataFrame:
+    """(request_id, reply, error_type, error_text) of (request_id, request).
+
+    `concurrency` tasks run at a time; a scorer gets at most `requests_per_call` texts at once.
+    Only ids and requests go through Python.
+    """
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = make_scorer()
         for batch in batches:
-            at = batch.schema.get_field_index("request")
-            answers = _answers(scorer, batch.column(at).to_pylist())
+            texts = batch["request"].to_pylist()
+            answers = [
+                answer for at in range(0, len(texts), requests_per_call)
+                for answer in _answers(scorer, texts[at: at + requests_per_call])]
             failed = [isinstance(a, Exception) for a in answers]
-            texts = [
+            columns = [
                 [None if bad else "" if a is None else str(a) for a, bad in zip(answers, failed)],
                 [type(a).__name__ if bad else None for a, bad in zip(answers, failed)],
                 [str(a) if bad else None for a, bad in zip(answers, failed)],
             ]
-            kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            names = [n for i, n in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays(
-                kept + [pa.array(t, pa.string()) for t in texts],
-                names=names + [f.name for f in added])
+                [batch["request_id"], *(pa.array(c, pa.string()) for c in columns)], names=REPLIES.names)
 
-    return rows.repartition(concurrency).mapInArrow(ask, T.StructType(fields + added))
+    return requests.select("request_id", "request").repartition(concurrency).mapInArrow(ask, REPLIES)
 
 
 def call_in_waves(
-    rows: DataFrame, request: Column, make_scorer: ScorerFactory, concurrency: int, stage: Stage,
-    name: str, calls_per_task: int = 10_000,
+    requests: DataFrame, make_scorer: ScorerFactory, concurrency: int, stage: Stage,
+    name: str, calls_per_task: int = 10_000, requests_per_call: int = 64,
 ) -> DataFrame:
-    """`call_model`, staged, so that the model is asked once per row whatever is read.
+    """`call_model`, staged, so that the model is asked once per request whatever is read.
 
     Few tasks run at a time, so a large input would make long tasks and a lost one
     would repeat many calls. It is cut into waves of bounded tasks instead, each
-    written before the next starts. Waves are cut by a hash of the whole row: equal
-    texts of different paragraphs spread over all of them.
+    written before the next starts.
     """
-    def answered(part: DataFrame, path: str) -> DataFrame:
-        return stage(call_model(part.withColumn("request", request), make_scorer, concurrency), path)
-
-    asked = stage(rows, f"{name}_rows")
-    waves = math.ceil(asked.count() / (concurrency * calls_per_task))
-    if waves <= 1:
-        return answered(asked, f"{name}_replies")
-    wave = F.pmod(F.xxhash64(*[F.col(c) for c in asked.columns]), F.lit(waves))
-    cut = stage(
-        asked.withColumn("wave", wave).repartition("wave"), f"{name}_waves", partition_by="wave")
-    paths = [f"{name}_replies/wave={n}" for n in range(waves)]
-    schema = [
-        answered(cut.where(F.col("wave") == n).drop("wave"), path).schema
-        for n, path in enumerate(paths)
-    ][0]
-    return rows.sparkSession.read.schema(schema).parquet(*map(stage.path, paths))
+    asked = stage(requests, f"{name}_requests")
+    waves = max(1, math.ceil(asked.count() / (concurrency * calls_per_task)))
+    wave = F.pmod(F.xxhash64("request_id"), F.lit(waves))
+    cut = stage(asked.withColumn("wave", wave), f"{name}_waves", partition_by="wave")
+    for n in range(waves):
+        stage(call_model(cut.where(F.col("wave") == n), make_scorer, concurrency, requests_per_call),
+              f"{name}_replies/wave={n}")
+    paths = [stage.path(f"{name}_replies/wave={n}") for n in range(waves)]
+    return requests.sparkSession.read.schema(REPLIES).parquet(*paths)
 
 
 def ask_with_repair(
     rows: DataFrame, request: Column, kind: str, make_scorer: ScorerFactory,
-    concurrency: int, stage: Stage, calls_per_task: int = 10_000,
+    concurrency: int, stage: Stage, calls_per_task: int = 10_000, requests_per_call: int = 64,
 ) -> DataFrame:
     """Rows with the reply as a variant object `parsed` (NULL if it failed) and `error`.
 
-    Only rows whose reply did not parse are asked again.
+    Rows are staged under a request id and joined with their replies by it. Only requests
+    whose reply did not parse are asked again.
     """
-    added = ["reply", "error_type", "error_text"]
-    first = call_in_waves(rows, request, make_scorer, concurrency, stage, kind, calls_per_task)
-    read = computed_once(first, parsed=replies.reply_object(F.col("reply")))
+    def asked(requests: DataFrame, name: str) -> DataFrame:
+        return call_in_waves(requests, make_scorer, concurrency, stage, name, calls_per_task, requests_per_call)
+
+    known = stage(rows.withColumn("request_id", F.monotonically_increasing_id()), f"{kind}_rows")
     called = F.col("error_type").isNull()
-    broken = called & F.col("parsed").isNull()
-    settled = read.where(~broken).withColumn(
-        "error", F.when(~called, F.concat(F.lit(CALL_FAILED), F.col("error_text"))))
-
-    retry = read.where(broken).drop("parsed", *added[1:]).withColumnRenamed("reply", "malformed")
-    second = call_in_waves(
-        retry, repair_request(F.col("malformed"), kind), make_scorer, concurrency, stage,
-        f"{kind}_repair", calls_per_task).drop("malformed")
-    repaired = computed_once(second, parsed=replies.reply_object(F.col("reply"))).withColumn(
-        "error",
-        F.when(F.col("error_type").isNotNull(), F.concat(
-            F.lit(REPAIR_CALL_FAILED), F.col("error_type"), F.lit(": "), F.col("error_text")))
-        .when(F.col("parsed").isNull(), F.lit(STILL_BROKEN)))
-    return settled.unionByName(repaired).drop(*added)
+    first = stage(
+        asked(known.select("request_id", request.alias("request")), kind)
+        .withColumn("broken", called & replies.reply_object(F.col("reply")).isNull()), f"{kind}_first")
+    second = asked(
+        first.where("broken").select("request_id", repair_request(F.col("reply"), kind).alias("request")),
+        f"{kind}_repair")
+    settled = first.where("NOT broken").select(
+        "request_id", "reply", F.lit(False).alias("repaired"),
+        F.when(~called, F.concat(F.lit(CALL_FAILED), "error_text")).alias("error"))
+    repaired = second.select(
+        "request_id", "reply", F.lit(True).alias("repaired"),
+        F.when(~called, F.concat(F.lit(REPAIR_CALL_FAILED), "error_type", F.lit(": "), "error_text")).alias("error"))
+    read = computed_once(
+        known.join(settled.unionByName(repaired), "request_id"), parsed=replies.reply_object(F.col("reply")))
+    unread = F.col("repaired") & F.col("error").isNull() & F.col("parsed").isNull()
+    return read.withColumn("error", F.when(unread, F.lit(STILL_BROKEN)).otherwise(F.col("error"))).drop(
+        "request_id", "reply", "repaired")
 
 
 def scored_columns(asked: DataFrame) -> DataFrame:
@@ -148,24 +151,25 @@ def enriched_columns(asked: DataFrame) -> DataFrame:
 
 def score(
     candidates: DataFrame, make_scorer: ScorerFactory, concurrency: int,
-    stage: Stage, calls_per_task: int = 10_000,
+    stage: Stage, calls_per_task: int = 10_000, requests_per_call: int = 64,
 ) -> DataFrame:
     """Score candidate paragraphs (`text`, `justification_text`) with a model."""
     request = score_request(F.col("text"), F.col("justification_text"))
     return scored_columns(
-        ask_with_repair(candidates, request, "score", make_scorer, concurrency, stage, calls_per_task))
+        ask_with_repair(candidates, request, "score", make_scorer, concurrency, stage, calls_per_task, requests_per_call))
 
 
 def enrich(
     items: DataFrame, make_scorer: ScorerFactory, concurrency: int,
-    stage: Stage, calls_per_task: int = 10_000,
+    stage: Stage, calls_per_task: int = 10_000, requests_per_call: int = 64,
 ) -> DataFrame:
     """Enrich new items with a longer text, key dates and action items."""
     request = enrich_request(*[F.col(n) for n in (
         "anchor", "score", "matched_topics", "one_line_summary", "text",
         "justification_text", "justification_url")])
     return enriched_columns(ask_with_repair(
-        items.drop("error"), request, "enrich", make_scorer, concurrency, stage, calls_per_task))
+        items.drop("error"), request, "enrich", make_scorer, concurrency, stage, calls_per_task,
+        requests_per_call))
 
 
 def lexical_score(topics: Column) -> Column:

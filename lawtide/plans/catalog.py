@@ -24,7 +24,6 @@ from lawtide.operators.prefilter import keyword_filter, match_scopes, tag_topics
 from lawtide.plans import report
 from lawtide.plans.derived import Tables
 from lawtide.plans.run import Landed, run
-from lawtide.schemas import RUN_LOG
 from lawtide.sources import landed, listing
 from lawtide.sources.workspace import Stage
 from lawtide.state import MonitorState, merge
@@ -442,11 +441,9 @@ def f3_funnel(t: Tables) -> DataFrame:
 
 @query
 def f4_grouped_items(t: Tables) -> DataFrame:
-    grouped = counts.grouped_items(t.v_items, ["score", "one_line_summary"])
-    shown = F.transform("items", lambda i: F.concat_ws("~", i["anchor"], i["pos"], text.score_text(i["score"])))
-    return grouped.select(
-        "issue_number", as_text("issue_date").alias("issue_date"), "part", "n_items",
-        F.array_join(shown, "|").alias("items"))
+    return counts.grouped_items(t.v_items).select(
+        "issue_number", as_text("issue_date").alias("issue_date"), "anchor", "pos",
+        F.col("item_rank").cast("long").alias("item_rank"), text.score_text(F.col("score")).alias("score"))
 
 
 @query
@@ -510,7 +507,7 @@ def h2_cap(t: Tables) -> DataFrame:
     orders = t.orders.select(
         F.col("o_orderkey").cast("string").alias("issue_id"),
         F.to_date("o_orderdate").alias("issue_date"))
-    capped = listing.newest(orders, MonitorConfig().max_issues_per_run)
+    capped = listing.newest(orders, 50)
     processed = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("issue_id"))
     return dedupe.unprocessed(capped, processed).select("issue_id", as_text("issue_date").alias("issue_date"))
 
@@ -612,7 +609,7 @@ def length_scorer() -> scoring.Scorer:
     request are malformed at first; a few calls fail."""
     def reply(request: str) -> object:
         n = len(request)
-        if "not valid JSON" in request:
+        if "is none" in request:
             return "still { broken" if n % 2 else '{"is_relevant": true, "score": 0.55}'
         if n % 11 == 0:
             return RuntimeError("overloaded")
@@ -729,15 +726,60 @@ def a7_state_tables(t: Tables) -> DataFrame:
     for run_id, rows in (("r1", t.v_items.where("score >= 0.75")), ("r2", t.v_items)):
         hashed = dedupe.with_content_hash(rows)
         inserted = state.mark_reported(hashed, run_id, now)
-        state.commit(t.spark.createDataFrame([(
-            run_id, "tables", now.date(), now, None, None, None, None, None, None, None, inserted, "", [], [])],
-            RUN_LOG), run_id)
+        state.commit(state.log_row(
+            run_id=run_id, scope="hr", run_date=now.date(), run_ts=now, persisted=inserted), run_id)
     return state.reported().select(
         "run_id", "dedup_key", "content_hash", "score", joined("key_dates").alias("key_dates"),
         joined("action_items").alias("action_items"), as_text("reported_at").alias("reported_at"),
         F.lit(state.total_reported()).cast("long").alias("total_reported"))
 
 
+@query
+def j4_reset(t: Tables) -> DataFrame:
+    """Rows left after a reset in a session that overwrites partitions dynamically, and rows written before."""
+    state = MonitorState(t.spark, Stage(t.spark).path("state")).create()
+    now = datetime(2024, 7, 2, 8)
+    items = dedupe.with_content_hash(t.v_items.where("score >= 0.75"))
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = t.spark.conf.get(mode)
+    t.spark.conf.set(mode, "dynamic")
+    try:
+        state.mark_reported(items, "r1", now)
+        state.commit(state.log_row(run_id="r1", scope="hr", run_date=now.date(), run_ts=now, persisted=1), "r1")
+        state.reset()
+    finally:
+        t.spark.conf.set(mode, before)
+    left = [rows.agg(F.count("*").alias(name)) for name, rows in (
+        ("reported", state.reported()), ("progress", state.progress()), ("runs", state.run_log()))]
+    out = items.agg(F.count("*").alias("written"))
+    for one in left:
+        out = out.withColumn(one.columns[0], F.col("written") * 0 + one.scalar())
+    return out
+
+
+@query
+def j5_open_issues(t: Tables) -> DataFrame:
+    """Issues two runs left open and a third did not process either; the last reason counts."""
+    state = MonitorState(t.spark, Stage(t.spark).path("state")).create()
+    numbered = t.documents.select((F.col("doc_id") % 3000 + 1).alias("n")).distinct().select(
+        "n", F.concat(F.lit("2024/"), F.col("n")).alias("issue_id"), F.lit("").alias("issue_number"),
+        F.lit(date(2024, 1, 1)).alias("issue_date"), F.lit(False).alias("has_justification"),
+        *[F.lit(None).cast("string").alias(c) for c in ("view_url", "pdf_url", "justification_url")])
+    first = numbered.where("n % 5 IN (0, 1)").withColumn("reason", F.lit("no content"))
+    second = numbered.where("n % 5 = 0").withColumn("reason", F.lit("failed"))
+    third = numbered.where("n % 3 = 0").select(
+        "issue_id", "issue_date", F.lit(1).alias("items_classified"), F.lit(0).alias("items_relevant"),
+        F.lit(datetime(2024, 7, 3)).alias("processed_at"))
+    for run_id, left_open, day in (("r1", first, 1), ("r2", second, 2)):
+        state.mark_open(left_open, run_id, datetime(2024, 7, day))
+        state.commit(state.log_row(run_id=run_id, scope="hr", run_date=date(2024, 7, day)), run_id)
+    state.mark_processed(third, "r3")
+    state.commit(state.log_row(run_id="r3", scope="hr", run_date=date(2024, 7, 3)), "r3")
+    # A run that failed before its log row is not seen.
+    state.mark_open(numbered.withColumn("reason", F.lit("capped")), "r4", datetime(2024, 7, 4))
+    return state.open_issues("hr").select("issue_id", "reason")
+
+
 def landed_tables(t: Tables) -> Landed:
     """Listing pages of all documents; web pages as bodies, documents as page texts."""
     def issue(n: str) -> Column:
@@ -753,7 +795,7 @@ def l5_run_row(t: Tables) -> DataFrame:
     """A whole run, from listing pages to state; its log row."""
     stage = Stage(t.spark)
     state = MonitorState(t.spark, stage.path("state")).create()
-    cfg = MonitorConfig(lookback_days=365, max_issues_per_run=500, max_listing_pages=None, base_url=BASE_URL)
+    cfg = MonitorConfig(lookback_days=365, base_url=BASE_URL)
     result = run(
         t.spark, cfg, state, landed_tables(t), "r1", date(2024, 9, 30), datetime(2024, 9, 30, 8), scope=TABLE_SCOPE,
         report_root=stage.path("reports"), stage=stage)

@@ -88,7 +88,7 @@ def report_lines(runs: DataFrame, items: DataFrame, links: DataFrame) -> DataFra
         "", DOUBLE_RULE,
         _text(SOURCE, "Szűrési küszöb: relevancia >= ", score_text(F.col("threshold")), " (tág) · ",
               SUBJECT_AREA),
-        "", _text("Generálva: ", F.date_format("run_ts", "yyyy-MM-dd'T'HH:mm:ssXXX")))
+        "", _text("Generálva: ", F.date_format("run_ts", "yyyy-MM-dd'T'HH:mm:ssxxx")))
     issue = F.concat(
         _lines("", _text(label_text(F.col("issue_number")), " (", F.col("issue_date"), ")")),
         _lines_if(_given("url"), _lines(_text(LINK_INTRO, F.col("url")))),

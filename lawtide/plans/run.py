@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from lawtide.config import MonitorConfig
 from lawtide.functions.lexicon import HR_SCOPE, Scope
-from lawtide.functions.text import one_of
 from lawtide.operators import counts, dedupe, paragraphs, scoring
 from lawtide.operators.prefilter import keyword_filter
 from lawtide.plans import report
-from lawtide.schemas import RUN_LOG
 from lawtide.sources import listing
 from lawtide.sources.workspace import Stage
 from lawtide.state import MonitorState
@@ -58,17 +56,20 @@ class RunResult:
         return report.outbox(self.described, self.cfg)
 
 
-def of_issues(landed: Landed, ids: list[str]) -> Landed:
-    """The landed documents of a run's issues.
+def one_per_issue(bodies: DataFrame) -> DataFrame:
+    """One body per issue, however often it was landed: of several, the greatest text."""
+    return bodies.where("html IS NOT NULL").groupBy("issue_id").agg(F.max("html").alias("html"))
+
+
+def of_issues(landed: Landed, issues: DataFrame) -> Landed:
+    """The landed documents of a run's issues, bodies and justifications once each."""
+    ids = issues.select("issue_id")
 
-    A run has at most as many issues as its cap, so their ids are literals: they
-    prune partitions and row groups of the archive, which a join would read whole.
-    """
     def only(table: DataFrame) -> DataFrame:
-        return table.where(one_of("issue_id", ids))
+        return table.join(ids, "issue_id", "left_semi")
     return Landed(
-        landed.listing_pages, only(landed.bodies).where("html IS NOT NULL"), only(landed.page_texts),
-        only(landed.justifications).where("html IS NOT NULL"))
+        landed.listing_pages, one_per_issue(only(landed.bodies)), only(landed.page_texts),
+        one_per_issue(only(landed.justifications)))
 
 
 def issue_paragraphs(issues: DataFrame, landed: Landed, min_chars: int, stage: Stage) -> DataFrame:
@@ -93,27 +94,26 @@ def run(
     scope: Scope = HR_SCOPE, seed: bool = False, write: bool = True,
     report_root: str | None = None, stage: Stage | None = None,
 ) -> RunResult:
-    """Run once. `write=False` (dry run) computes everything and touches no report or state.
+    """Run one scope once; state is kept by scope. `write=False` (dry run) computes everything and touches no report or state.
 
     Results used more than once are staged, so no model is asked twice and a lost
     executor repeats one stage. A run repeated under its own `run_id` starts from the
     state before it and overwrites what it left.
     """
     stage = stage or Stage(spark)
-    start, end = state.window(run_date, cfg.lookback_days, seed, without_run=run_id)
+    name = scope.name
+    start, end = state.window(run_date, cfg.lookback_days, seed, without_run=run_id, scope=name)
 
-    # Issues: window, cap, and only then the processed ones out.
+    # Issues of the window and those that earlier runs left open; then the processed ones out, then the cap.
     pages = listing.reachable_pages(landed.listing_pages, cfg.max_listing_pages)
-    in_window = listing.in_window(listing.listed_issues(pages, cfg.base_url), start, end)
-    found = stage(listing.newest(in_window, cfg.max_issues_per_run), "issues")
-    # At most as many as the cap: literals that prune the archive and the state.
-    listed = [r.issue_id for r in found.select("issue_id").collect()]
-    processed = state.processed(without_run=run_id).where(one_of("issue_id", listed))
-    issues = stage(dedupe.unprocessed(found, processed), "open_issues")
-
-    opened = issues.select("issue_id", "issue_number").orderBy("issue_id").collect()
-    ids, numbers = [r.issue_id for r in opened], [r.issue_number for r in opened]
-    landed = of_issues(landed, ids)
+    listed = listing.listed_issues(pages, cfg.base_url, (start, end)).drop("page_no")
+    left_open = state.open_issues(name, without_run=run_id).select(*listed.columns)
+    found = stage(
+        listed.unionByName(left_open.join(listed.select("issue_id"), "issue_id", "left_anti")), "issues")
+    unprocessed = stage(dedupe.unprocessed(found, state.processed(run_id, name)), "unprocessed")
+    issues = stage(listing.newest(unprocessed, cfg.max_issues_per_run), "open_issues")
+    capped = unprocessed.join(issues.select("issue_id"), "issue_id", "left_anti")
+    landed = of_issues(landed, issues)
 
     kept = stage(issue_paragraphs(issues, landed, cfg.min_paragraph_length, stage), "paragraphs")
 
@@ -121,7 +121,7 @@ def run(
     hits = keyword_filter(
         kept, scope, cfg.keyword_filter_enabled, context="justification_text")
     named = dedupe.with_content_hash(dedupe.with_issue(hits, issues))
-    reported = state.reported(without_run=run_id).where(one_of("issue_number", numbers))
+    reported = dedupe.of_issues(state.reported(run_id, name), issues)
     if cfg.dedupe_before_scoring:
         named = dedupe.unreported(named, reported, cfg.key_columns)
     if make_scorer is None:
@@ -129,7 +129,8 @@ def run(
     else:
         scored = stage(
             scoring.score(
-                named, make_scorer, cfg.scoring_concurrency, stage, cfg.calls_per_task), "scored")
+                named, make_scorer, cfg.scoring_concurrency, stage, cfg.calls_per_task,
+                cfg.requests_per_call), "scored")
 
     threshold = cfg.relevance_threshold
     new = scoring.relevant(scored, threshold)
@@ -141,7 +142,7 @@ def run(
         items = scoring.lexical_enrichment(new)
     else:
         items = scoring.enrich(
-            new, make_enricher, cfg.scoring_concurrency, stage, cfg.calls_per_task)
+            new, make_enricher, cfg.scoring_concurrency, stage, cfg.calls_per_task, cfg.requests_per_call)
     items = stage(items.withColumn("run_id", F.lit(run_id)), "report_items")
 
     # Figures of the run, each from a staged table.
@@ -149,28 +150,39 @@ def run(
         F.count(F.lit(1)).alias("candidates"),
         F.count_if(F.coalesce("error", F.lit("")) != "").alias("failures"),
         F.count_if(F.col("is_relevant") & (F.col("score") >= threshold)).alias("relevant")).first()
-    present = {r.issue_id for r in fetched(landed).collect()}
-    missing = [i for i in ids if i not in present]
+    present = stage(fetched(landed), "present")
+    missing = issues.join(present, "issue_id", "left_anti")
+    failed = scoring.failed(scored).select("issue_id").distinct()
     figures = {
-        "issues_scanned": found.count(), "open_issues": issues.count(), "paragraphs": kept.count(),
-        **per_stage.asDict(), "new_items": items.count(), "persisted": 0,
+        "issues_scanned": found.count(), "unprocessed": unprocessed.count(), "open_issues": issues.count(),
+        "paragraphs": kept.count(), **per_stage.asDict(), "new_items": items.count(), "persisted": 0,
     }
-    warnings = [f"no content landed for {issue_id}" for issue_id in missing]
-
-    # An issue with a failed call or without content stays open for the next run.
-    done = issues.where(one_of("issue_id", sorted(present))).join(
-        scoring.failed(scored).select("issue_id").distinct(), "issue_id", "left_anti")
+    figures["skipped"] = figures["issues_scanned"] - figures["unprocessed"]
+    figures["capped"] = figures["unprocessed"] - figures["open_issues"]
+    figures["dropped"] = figures["relevant"] - figures["new_items"]
+    without = missing.count()
+    warnings = [text for n, text in (
+        (without, f"no content landed for {without} issues"),
+        (figures["capped"], f"{figures['capped']} issues are beyond the cap and stay open"),
+    ) if n]
+
+    # An issue with a failed call, without content or beyond the cap stays open for the next run.
+    done = issues.join(present, "issue_id", "left_semi").join(failed, "issue_id", "left_anti")
     progress = counts.progress_rows(done, kept, items, F.lit(run_ts.replace(microsecond=0)))
+    still_open = (
+        capped.withColumn("reason", F.lit("capped"))
+        .unionByName(missing.withColumn("reason", F.lit("no content")))
+        .unionByName(issues.join(failed, "issue_id", "left_semi").withColumn("reason", F.lit("failed"))))
 
     report_path = f"{report_root}/run_id={run_id}" if write and report_root else ""
     if write:
-        figures["persisted"] = state.mark_reported(items, run_id, run_ts, tuple(cfg.key_columns))
-        state.mark_processed(progress, run_id)
-    run_row = spark.createDataFrame([(
-        run_id, scope.name, run_date, run_ts, start, end, figures["issues_scanned"],
-        figures["candidates"], figures["failures"], figures["relevant"], figures["new_items"],
-        figures["persisted"], report_path, warnings, [],
-    )], RUN_LOG)
+        figures["persisted"] = state.mark_reported(items, run_id, run_ts, tuple(cfg.key_columns), name)
+        state.mark_processed(progress, run_id, name)
+        state.mark_open(still_open, run_id, run_ts, name)
+    logged = ("issues_scanned", "candidates", "failures", "relevant", "new_items", "persisted", "skipped", "capped", "dropped")
+    run_row = state.log_row(
+        run_id=run_id, scope=name, run_date=run_date, run_ts=run_ts, window_start=start, window_end=end,
+        report_path=report_path, warnings=warnings, **{f: figures[f] for f in logged})
     described = run_row.withColumn("threshold", F.lit(float(threshold)))
     links = dedupe.link_per_label(issues)
     lines = report.report_lines(described, items, links)

@@ -171,8 +171,7 @@ def request(text: str, context: str) -> str:
 CANDIDATES = f"SELECT * FROM v_key WHERE length(text) >= 30 AND {hit('text', TABLE_SCOPE.all_stems)}"
 ASKED = f"SELECT *, length({request('text', q(''))}) AS n FROM ({CANDIDATES}) c"
 # Length of the repair request: that of its fixed words and of the malformed reply in it.
-REPAIR_FIXED = len(requests.REPAIR_INTRO + ">>>\n\n" + requests.REPAIR_ASK
-                   + requests.REPAIR_KEYS["score"] + requests.REPAIR_RULES)
+REPAIR_FIXED = len(requests.REPAIR["score"])
 MALFORMED = len('{"is_relevant": true, "one_line_summary_hu": "a "b""}')
 REPAIR_BROKEN = f"({REPAIR_FIXED + MALFORMED} + n % 8) % 2 = 1"
 
@@ -200,7 +199,7 @@ HEADER_LINES = f"""SELECT {NO_KEYS}, list_concat([{q(report.TITLE)}, {q(report.F
     AS lines FROM ({FIGURES}) f"""
 FOOTER_LINES = f"""SELECT {NO_KEYS}, ['', {DOUBLE_RULE},
     {q(report.SOURCE + 'Szűrési küszöb: relevancia >= 0.50 (tág) · ' + report.SUBJECT_AREA)}, '',
-    'Generálva: 2024-07-02T08:00:00Z'] AS lines"""
+    'Generálva: 2024-07-02T08:00:00+00:00'] AS lines"""
 ISSUE_LINES = f"""SELECT issue_date, issue_number, anchor, pos, list_concat(
     ['', concat({label_text('issue_number')}, ' (', issue_date, ')')],
     CASE WHEN url IS NOT NULL THEN [concat({q(report.LINK_INTRO)}, url)] ELSE [] END, [{RULE}]) AS lines
@@ -300,9 +299,8 @@ PAGE_CHUNKS = f"""
 RUN_PARAGRAPHS = f"""
     WITH issues AS (SELECT * FROM (SELECT * FROM (SELECT * FROM ({LISTED}) e
             QUALIFY row_number() OVER (PARTITION BY page_no, issue_id ORDER BY doc_id) = 1) f
-          WHERE issue_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY page_no DESC) = 1) g
-        WHERE issue_date BETWEEN DATE '2023-10-01' AND DATE '2024-09-30'
-        ORDER BY issue_date DESC, issue_id DESC LIMIT 500),
+          WHERE issue_date BETWEEN DATE '2023-10-01' AND DATE '2024-09-30'
+          QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY page_no DESC) = 1) g),
       found AS (SELECT concat(2010 + page_id % 15, '/', page_id) AS issue_id, section, {paragraph_anchor('heading')} AS anchor, text
         FROM ({sections('pages', 'page_id')}) s),
       first_text AS (SELECT issue_id, arg_min(text, section) AS context FROM found GROUP BY 1),
@@ -408,9 +406,9 @@ TWINS: dict[str, str] = {
         count(*) FILTER (relevant) AS relevant, count(*) FILTER (relevant AND reported) AS dropped,
         count(*) FILTER (relevant AND NOT reported) AS new
         FROM (SELECT *, candidate AND {lexical(topics('text', TABLE_SCOPE))} >= 0.5 AS relevant FROM ({FLAGS}) f) g""",
-    "f4_grouped_items": f"""SELECT issue_number, CAST(issue_date AS varchar) AS issue_date, CAST(floor(pos / 1000) AS bigint) AS part,
-        count(*) AS n_items, string_agg(concat(anchor, '~', pos, '~', {score_text('score')}), '|' ORDER BY anchor, pos) AS items
-        FROM v_items GROUP BY ALL""",
+    "f4_grouped_items": f"""SELECT issue_number, CAST(issue_date AS varchar) AS issue_date, anchor, pos,
+        row_number() OVER (PARTITION BY issue_number, issue_date ORDER BY anchor, pos) AS item_rank, {score_text('score')} AS score
+        FROM v_items""",
     "f5_running_total": """SELECT run_id, CAST(sum(persisted) OVER (ORDER BY run_ts, run_id) AS bigint) AS running_total FROM v_runs""",
     "f6_last_run": "SELECT CAST(max(TRY_CAST(run_date_text AS date)) AS varchar) AS last_run FROM v_runs",
     "f7_issues_with_items": "SELECT DISTINCT issue_id FROM v_items",
@@ -488,11 +486,14 @@ TWINS: dict[str, str] = {
         (SELECT count(*) FROM (SELECT DISTINCT issue_number, anchor FROM v_items) k) AS total_reported
         FROM ({STATE_ITEMS}) s WHERE inserted = 2 OR round = 1
         QUALIFY row_number() OVER (PARTITION BY issue_number, anchor ORDER BY issue_id, pos) = 1""",
+    "j4_reset": "SELECT 0 AS reported, 0 AS progress, 0 AS runs, count(*) AS written FROM v_items WHERE score >= 0.75",
+    "j5_open_issues": """SELECT concat('2024/', n) AS issue_id, CASE WHEN n % 5 = 0 THEN 'failed' ELSE 'no content' END AS reason
+        FROM (SELECT DISTINCT doc_id % 3000 + 1 AS n FROM documents) t WHERE n % 5 IN (0, 1) AND n % 3 <> 0""",
     "l5_run_row": f"""SELECT 'r1' AS run_id, '2023-10-01' AS window_start,
-        (SELECT least(500, count(*)) FROM (SELECT DISTINCT issue_id FROM (SELECT * FROM ({LISTED}) e
+        (SELECT count(*) FROM (SELECT DISTINCT issue_id FROM (SELECT * FROM ({LISTED}) e
             QUALIFY row_number() OVER (PARTITION BY page_no, issue_id ORDER BY doc_id) = 1) f
-          WHERE issue_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY page_no DESC) = 1
-            AND issue_date BETWEEN DATE '2023-10-01' AND DATE '2024-09-30') g) AS issues_scanned,
+          WHERE issue_date BETWEEN DATE '2023-10-01' AND DATE '2024-09-30'
+          QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY page_no DESC) = 1) g) AS issues_scanned,
         count(*) AS paragraphs, count(*) FILTER (hit) AS candidates, count(*) FILTER (relevant) AS relevant,
         count(*) FILTER (relevant) AS new_items, count(DISTINCT (issue_number, anchor)) FILTER (relevant) AS persisted,
         CAST(0 AS bigint) AS warnings

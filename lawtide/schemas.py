@@ -20,6 +20,7 @@ PAGE_TEXTS = T.StructType([
 ])
 
 REPORTED_ITEMS = T.StructType([
+    T.StructField("scope", T.StringType()),
     T.StructField("issue_number", T.StringType()),
     T.StructField("issue_date", T.DateType()),
     T.StructField("anchor", T.StringType()),
@@ -36,6 +37,7 @@ REPORTED_ITEMS = T.StructType([
 ])
 
 ISSUE_PROGRESS = T.StructType([
+    T.StructField("scope", T.StringType()),
     T.StructField("issue_id", T.StringType()),
     T.StructField("issue_date", T.DateType()),
     T.StructField("items_classified", T.LongType()),
@@ -43,6 +45,20 @@ ISSUE_PROGRESS = T.StructType([
     T.StructField("processed_at", T.TimestampType()),
 ])
 
+# Issues that a run saw and could not finish: they enter the next run, whatever its window.
+OPEN_ISSUES = T.StructType([
+    T.StructField("scope", T.StringType()),
+    T.StructField("issue_id", T.StringType()),
+    T.StructField("issue_number", T.StringType()),
+    T.StructField("issue_date", T.DateType()),
+    T.StructField("has_justification", T.BooleanType()),
+    T.StructField("view_url", T.StringType()),
+    T.StructField("pdf_url", T.StringType()),
+    T.StructField("justification_url", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("seen_at", T.TimestampType()),
+])
+
 RUN_LOG = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("scope", T.StringType()),
@@ -59,6 +75,9 @@ RUN_LOG = T.StructType([
     T.StructField("report_path", T.StringType()),
     T.StructField("warnings", T.ArrayType(T.StringType())),
     T.StructField("errors", T.ArrayType(T.StringType())),
+    T.StructField("skipped", T.LongType()),
+    T.StructField("capped", T.LongType()),
+    T.StructField("dropped", T.LongType()),
 ])
 
 # Keys of the scorer's JSON reply. Fixed values.

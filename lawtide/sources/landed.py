@@ -30,15 +30,3 @@ def raw_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def decoded(raw: DataFrame, content: str = "content", charset: str = "charset") -> DataFrame:
     """Replace landed bytes by their text, read by the declared charset of each row."""
     return raw.withColumn("html", decode_bytes(F.col(content), F.col(charset))).drop(content, charset)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input of few large row groups.
-
-    A scan cannot split a row group, and text steps are bound by the CPU. Only a scan
-    with fewer tasks than the cluster has cores is redistributed; larger inputs are
-    returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = df.rdd.getNumPartitions()
-    return df.repartition(cores) if tasks < cores else df

@@ -19,7 +19,7 @@ MARK = "\x01"
 
 
 def reachable_pages(
-    pages: DataFrame, max_pages: int | None = 20, document_link: str = urls.DOCUMENTS,
+    pages: DataFrame, max_pages: int | None = None, document_link: str = urls.DOCUMENTS,
 ) -> DataFrame:
     """Pages a reader sees who walks from page 1: up to the first failed page
     (NULL html, left out) or the first page without document links (kept)."""
@@ -88,13 +88,17 @@ def link_issues(links: DataFrame, base_url: str) -> DataFrame:
     )
 
 
-def listed_issues(pages: DataFrame, base_url: str) -> DataFrame:
+def listed_issues(pages: DataFrame, base_url: str, window: tuple | None = None) -> DataFrame:
     """One row per issue: first entry within a page, last page wins.
 
-    An undated first entry still hides later entries of the same issue on its page.
+    An undated first entry still hides later entries of the same issue on its page. With a window
+    (both ends inclusive), entries outside it are left out before pages are compared: an issue that a
+    later page lists under a date outside the window stays as the earlier page lists it.
     """
     per_page = first_per(link_issues(page_links(pages), base_url), ["page_no", "issue_id"], ["pos"])
     dated = per_page.where(F.col("issue_date").isNotNull())
+    if window is not None:
+        dated = in_window(dated, *window)
     return first_per(dated, ["issue_id"], [F.desc("page_no")]).drop("pos")
 
 

@@ -30,6 +30,7 @@ class MonitorState:
         self.schemas = {
             "reported_items": T.StructType([*schemas.REPORTED_ITEMS.fields, RUN_ID]),
             "issue_progress": T.StructType([*schemas.ISSUE_PROGRESS.fields, RUN_ID]),
+            "open_issues": T.StructType([*schemas.OPEN_ISSUES.fields, RUN_ID]),
             "run_log": T.StructType([*schemas.RUN_LOG.fields[1:], RUN_ID]),
         }
 
@@ -46,39 +47,51 @@ class MonitorState:
     def _write_empty(self, mode: str) -> MonitorState:
         for name, schema in self.schemas.items():
             empty = self.spark.createDataFrame([], schema)
-            empty.write.mode(mode).partitionBy("run_id").parquet(f"{self.root}/{name}")
+            # Static whatever the session says: the dynamic mode would leave every row.
+            empty.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("run_id").parquet(
+                f"{self.root}/{name}")
         return self
 
-    def _read(self, name: str, without_run: str | None) -> DataFrame:
+    def _read(self, name: str, without_run: str | None, scope: str | None) -> DataFrame:
         table = self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}")
-        return table if without_run is None else table.where(F.col("run_id") != without_run)
+        if without_run is not None:
+            table = table.where(F.col("run_id") != without_run)
+        return table if scope is None else table.where(F.col("scope") == scope)
 
-    def _committed(self, name: str, without_run: str | None) -> DataFrame:
-        runs = self._read("run_log", without_run).select("run_id")
-        return self._read(name, without_run).join(runs, "run_id", "left_semi")
+    def _committed(self, name: str, without_run: str | None, scope: str | None) -> DataFrame:
+        runs = self._read("run_log", without_run, scope).select("run_id")
+        return self._read(name, without_run, scope).join(runs, "run_id", "left_semi")
 
-    def run_log(self, without_run: str | None = None) -> DataFrame:
-        return self._read("run_log", without_run)
+    def run_log(self, without_run: str | None = None, scope: str | None = None) -> DataFrame:
+        return self._read("run_log", without_run, scope)
 
-    def reported(self, without_run: str | None = None) -> DataFrame:
-        """Items of committed runs; a repeated run passes its own id to leave itself out."""
-        return self._committed("reported_items", without_run)
+    def reported(self, without_run: str | None = None, scope: str | None = None) -> DataFrame:
+        """Items of committed runs; a repeated run passes its own id to leave itself out. Scopes
+        share the tables and nothing else: without one, the items of all."""
+        return self._committed("reported_items", without_run, scope)
 
-    def processed(self, without_run: str | None = None) -> DataFrame:
+    def processed(self, without_run: str | None = None, scope: str | None = None) -> DataFrame:
         """Ids of processed issues, repeats included: enough to leave them out."""
-        return self._committed("issue_progress", without_run).select("issue_id")
+        return self._committed("issue_progress", without_run, scope).select("issue_id")
 
-    def progress(self, without_run: str | None = None) -> DataFrame:
-        """Latest progress row per issue."""
-        rows = self._committed("issue_progress", without_run)
-        return merge.latest(rows, ["issue_id"], "processed_at")
+    def progress(self, without_run: str | None = None, scope: str | None = None) -> DataFrame:
+        """Latest progress row per scope and issue."""
+        rows = self._committed("issue_progress", without_run, scope)
+        return merge.latest(rows, ["scope", "issue_id"], "processed_at")
+
+    def open_issues(self, scope: str, without_run: str | None = None) -> DataFrame:
+        """Issues that committed runs left open and none processed, as they were last seen."""
+        rows = self._committed("open_issues", without_run, scope)
+        last = merge.latest(rows, ["issue_id"], "seen_at")
+        return last.join(self.processed(without_run, scope), "issue_id", "left_anti")
 
     # -- one run ---------------------------------------------------------------
 
     def window(
         self, run_date: date, lookback_days: int, seed: bool = False, without_run: str | None = None,
+        scope: str | None = None,
     ) -> tuple[date, date]:
-        last_run = merge.last_run_date(self.run_log(without_run)).first().last_run
+        last_run = merge.last_run_date(self.run_log(without_run, scope)).first().last_run
         return merge.run_window(run_date, last_run, lookback_days, seed)
 
     def _write_run(self, name: str, rows: DataFrame, run_id: str) -> DataFrame:
@@ -89,17 +102,29 @@ class MonitorState:
 
     def mark_reported(
         self, items: DataFrame, run_id: str, run_ts: datetime,
-        keys: tuple[str, ...] = ("issue_number", "anchor"),
+        keys: tuple[str, ...] = ("issue_number", "anchor"), scope: str = "hr",
     ) -> int:
         """Append items whose key is not there; returns how many were inserted."""
         new = merge.insert_if_absent(
-            items, self.reported(without_run=run_id), list(keys), ["issue_id", "pos"])
+            items, self.reported(run_id, scope), list(keys), ["issue_id", "pos"])
+        new = new.withColumn("scope", F.lit(scope))
         stamped = new.withColumn("dedup_key", dedup_key(F.col("issue_number"), F.col("anchor")))
         stamped = stamped.withColumn("reported_at", F.lit(run_ts.replace(microsecond=0)))
         return self._write_run("reported_items", stamped, run_id).count()
 
-    def mark_processed(self, progress: DataFrame, run_id: str) -> None:
-        self._write_run("issue_progress", progress, run_id)
+    def mark_processed(self, progress: DataFrame, run_id: str, scope: str = "hr") -> None:
+        self._write_run("issue_progress", progress.withColumn("scope", F.lit(scope)), run_id)
+
+    def mark_open(self, issues: DataFrame, run_id: str, run_ts: datetime, scope: str = "hr") -> None:
+        """Issues (with their `reason`) to try again."""
+        seen = issues.withColumn("scope", F.lit(scope)).withColumn("seen_at", F.lit(run_ts.replace(microsecond=0)))
+        self._write_run("open_issues", seen, run_id)
+
+    def log_row(self, **values) -> DataFrame:
+        """A row of the run log; what is not given is NULL, lists are empty, the path too."""
+        row = {"report_path": "", "warnings": [], "errors": [], **values}
+        return self.spark.createDataFrame(
+            [tuple(row.get(f.name) for f in schemas.RUN_LOG.fields)], schemas.RUN_LOG)
 
     def commit(self, run_row: DataFrame, run_id: str) -> None:
         self._write_run("run_log", run_row, run_id)

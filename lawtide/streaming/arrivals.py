@@ -11,8 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from lawtide.config import MonitorConfig
 from lawtide.functions.lexicon import HR_SCOPE, Scope
 from lawtide.operators import dedupe, paragraphs, scoring
+from lawtide.operators.ordered import first_per
 from lawtide.operators.prefilter import keyword_filter
-from lawtide.schemas import RUN_LOG
 from lawtide.sources.workspace import Stage
 from lawtide.state import MonitorState
 
@@ -21,6 +21,8 @@ def new_items(
     batch: DataFrame, reported: DataFrame, cfg: MonitorConfig, scope: Scope,
 ) -> DataFrame:
     """Report items of landed bodies (issue_id, issue_number, issue_date, html)."""
+    # An issue that lands twice in a batch is one issue.
+    batch = first_per(batch.where("html IS NOT NULL"), ["issue_id"], [F.desc("issue_date"), F.desc("html")])
     found = paragraphs.long_enough(
         paragraphs.html_paragraphs(batch.select("issue_id", "html")), cfg.min_paragraph_length)
     plain = found.withColumn("justification_text", F.lit("")).withColumn(
@@ -45,13 +47,14 @@ def monitor_arrivals(
         run_id = f"{name}-{batch_id:012d}"
         now = datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
         stage = Stage(spark)
-        items = stage(new_items(batch, state.reported(without_run=run_id), cfg, scope), "items")
-        persisted = state.mark_reported(items, run_id, now, tuple(cfg.key_columns))
+        items = stage(new_items(batch, state.reported(run_id, scope.name), cfg, scope), "items")
+        persisted = state.mark_reported(items, run_id, now, tuple(cfg.key_columns), scope.name)
         figures = batch.agg(
             F.countDistinct("issue_id").alias("issues"), F.max("issue_date").alias("last")).first()
-        state.commit(spark.createDataFrame([(
-            run_id, scope.name, figures.last, now, None, None, figures.issues, None, 0, None,
-            items.count(), persisted, "", [], [])], RUN_LOG), run_id)
+        state.commit(state.log_row(
+            run_id=run_id, scope=scope.name, run_date=figures.last, run_ts=now, failures=0,
+            issues_scanned=figures.issues, new_items=items.count(), persisted=persisted), run_id)
+        stage.drop()
 
     writer = bodies.writeStream.queryName(name).foreachBatch(process)
     return writer.option("checkpointLocation", checkpoint).trigger(

@@ -52,10 +52,11 @@ def test_only_model_queries_leave_the_jvm(spark):
 
 
 def test_lexicon_filter_is_below_the_model_call(spark, big):
-    hits = prefilter.keyword_filter(big, HR_SCOPE).withColumn("request", F.col("text"))
+    hits = prefilter.keyword_filter(big, HR_SCOPE).withColumn("request", F.col("text")).withColumn("request_id", F.col("pos"))
     text = plan(scoring.call_model(hits, lambda: lambda x: x, 5))
     assert text.index("MapInArrow") < text.index("RLIKE")
     assert "REPARTITION_BY_NUM" in text
+    assert "content_hash" not in text[: text.index("RLIKE")], "only ids and requests go to the model"
 
 
 def test_window_reaches_the_scan(spark):
@@ -157,11 +158,11 @@ def test_newest_first_sort_is_global(spark):
     assert "rangepartitioning" in plan(listing.newest(issues.repartition(4)))
 
 
-def test_issue_ids_reach_the_archive(spark, tmp_path):
+def test_archive_is_cut_to_the_issues_and_landings_are_one_each(spark):
     from lawtide.plans.run import Landed, of_issues
-    bodies = spark.range(1000).select(
-        F.concat(F.lit("2026/"), F.col("id")).alias("issue_id"), F.lit("<p>x</p>").alias("html"))
-    bodies.write.parquet(str(tmp_path / "b"))
-    table = spark.read.parquet(str(tmp_path / "b"))
-    cut = of_issues(Landed(table, table, table, table), ["2026/7", "2026/8"])
-    assert "In(issue_id, [2026/7,2026/8])" in plan(cut.bodies) and cut.bodies.count() == 2
+    table = spark.createDataFrame(
+        [("2026/7", "<p>x</p>"), ("2026/7", "<p>y</p>"), ("2026/8", None), ("2026/9", "<p>z</p>")], "issue_id string, html string")
+    issues = spark.createDataFrame([("2026/7",), ("2026/8",)], "issue_id string")
+    cut = of_issues(Landed(table, table, table, table), issues)
+    assert [tuple(r) for r in cut.bodies.collect()] == [tuple(r) for r in cut.justifications.collect()] == [("2026/7", "<p>y</p>")]
+    assert cut.page_texts.count() == 3

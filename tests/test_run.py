@@ -6,6 +6,7 @@ from datetime import date, datetime
 import pytest
 
 from lawtide.config import MonitorConfig
+from lawtide.functions.lexicon import Scope
 from lawtide.plans.report import in_report_order
 from lawtide.plans.run import Landed, run
 from lawtide.sources.workspace import Stage
@@ -59,7 +60,7 @@ def test_run_and_rerun(spark, state, landed, tmp_path):
     assert first.window == (date(2026, 6, 2), DAY)
     # Issue 81 has no content: scanned, warned about, left open.
     assert first.counts["issues_scanned"] == 3
-    assert first.warnings == ["no content landed for 2026/81"]
+    assert first.warnings == ["no content landed for 1 issues"]
     items = {(r.issue_id, r.anchor, r.pos): r for r in first.report_items.collect()}
     assert sorted(items) == [("2026/82", "3. §", 1), ("2026/83", "1. §", 0), ("2026/83", "1. §", 1)]
     wage = items[("2026/83", "1. §", 0)]
@@ -77,7 +78,7 @@ def test_run_and_rerun(spark, state, landed, tmp_path):
     assert repeated.counts["new_items"] == 3 and repeated.counts["persisted"] == 2
     assert state.total_reported() == 2 and state.reported().count() == 2
 
-    # Without a seed the next window starts at the last run; with one it looks back again.
+    # The issue without content is tried again, whatever the window; a seed looks back again.
     assert state.window(DAY, 30) == (DAY, DAY)
     again = run(spark, cfg, state, landed, "r2", DAY, NOW, seed=True)
     assert again.counts["new_items"] == 0 and again.counts["open_issues"] == 1
@@ -119,7 +120,7 @@ def test_model_run_scores_once_and_keeps_failed_issues_open(spark, state, landed
             (calls / uuid.uuid4().hex).write_text(texts[0], encoding="utf-8")
             if "szabadság" in texts[0]:
                 raise RuntimeError("down")
-            if "not valid JSON" in texts[0]:
+            if "is none" in texts[0]:
                 return ['{"is_relevant": true, "score": 0.9, "one_line_summary_hu": "javított"}']
             if "táppénz" in texts[0]:
                 return ['{"a "broken" reply']
@@ -137,3 +138,57 @@ def test_model_run_scores_once_and_keeps_failed_issues_open(spark, state, landed
     # Two rows + one repair + the failing one.
     assert len(list(calls.iterdir())) == 4
     assert [r.issue_id for r in state.progress().collect()] == ["2026/83"]
+
+
+LATER = date(2026, 7, 9), datetime(2026, 7, 9, 8)
+
+
+def test_failed_issue_enters_the_next_run(spark, state, landed):
+    def broken():
+        def scorer(texts):
+            return [RuntimeError("down") if "szabadság" in t else '{"is_relevant": false}' for t in texts]
+        return scorer
+
+    first = run(spark, MonitorConfig(), state, landed, "r1", DAY, NOW, make_scorer=broken)
+    assert first.counts["failures"] == 1
+    assert {(r.issue_id, r.reason) for r in state.open_issues("hr").collect()} == {("2026/82", "failed"), ("2026/81", "no content")}
+    # The window starts at the last run and holds no issue; those left open come back.
+    second = run(spark, MonitorConfig(), state, landed, "r2", *LATER)
+    assert second.window == (DAY, LATER[0])
+    assert second.counts["issues_scanned"] == 2 and second.counts["new_items"] == 1
+    assert {r.issue_id for r in state.open_issues("hr").collect()} == {"2026/81"}
+
+
+def test_issue_without_content_enters_the_next_run(spark, state, landed):
+    run(spark, MonitorConfig(), state, landed, "r1", DAY, NOW)
+    late = spark.createDataFrame([("2026/81", "<h2>5. §</h2><p>A munkavállaló bére újra változik az idén.</p>")], "issue_id string, html string")
+    again = Landed(landed.listing_pages, landed.bodies.unionByName(late), landed.page_texts, landed.justifications)
+    second = run(spark, MonitorConfig(), state, again, "r2", *LATER)
+    assert [(r.issue_id, r.anchor) for r in second.report_items.collect()] == [("2026/81", "5. §")]
+    assert second.warnings == [] and state.open_issues("hr").count() == 0
+
+
+def test_capped_issues_enter_the_next_runs(spark, state, landed):
+    cfg = MonitorConfig(max_issues_per_run=1)
+    first = run(spark, cfg, state, landed, "r1", DAY, NOW)
+    assert first.counts["capped"] == 2 and first.warnings == ["2 issues are beyond the cap and stay open"]
+    assert [r.issue_id for r in first.issues.collect()] == ["2026/83"]
+    row = state.run_log().first()
+    assert (row.issues_scanned, row.skipped, row.capped, row.dropped) == (3, 0, 2, 0)
+    second = run(spark, cfg, state, landed, "r2", *LATER)
+    assert [r.issue_id for r in second.issues.collect()] == ["2026/82"]
+    assert {r.issue_id for r in state.open_issues("hr").collect()} == {"2026/81"}
+
+
+def test_scopes_keep_their_own_state(spark, state, landed):
+    tax = Scope("tax", {"leave": ("szabadság",)})
+    hr = run(spark, MonitorConfig(), state, landed, "r1", DAY, NOW)
+    other = run(spark, MonitorConfig(), state, landed, "t1", DAY, NOW, scope=tax)
+    assert hr.counts["new_items"] == 3 and other.counts["open_issues"] == 3
+    assert [(r.issue_id, r.matched_topics) for r in other.report_items.collect()] == [("2026/82", ["leave"])]
+    assert state.reported(scope="tax").count() == 1 and state.reported().count() == 3
+
+
+def test_repeated_landings_count_once(spark, state, landed):
+    twice = Landed(landed.listing_pages, landed.bodies.union(landed.bodies), landed.page_texts, landed.justifications.union(landed.justifications))
+    assert run(spark, MonitorConfig(), state, twice, "r1", DAY, NOW).counts["new_items"] == 3
