@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
+import html.entities
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,24 +39,6 @@ PLAIN_ENTITIES = (
     ("&ge;", ">="),
 )
 
-# Punctuation entities of the HTML standard.
-PUNCTUATION_ENTITIES = {
-    "amp": "&", "nbsp": "\xa0", "lt": "<", "gt": ">", "quot": '"', "apos": "'",
-    "middot": "·", "rarr": "→", "ndash": "–", "mdash": "—", "sect": "§",
-    "ge": "≥", "le": "≤", "copy": "©", "reg": "®", "laquo": "«", "raquo": "»",
-    "bdquo": "„", "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’",
-    "hellip": "…", "bull": "•", "deg": "°", "euro": "€", "times": "×",
-    "szlig": "ß", "shy": "\xad",
-}
-# Letters with a diacritic follow a rule: base letter + accent name.
-ACCENTS = {
-    "acute": ("\u0301", "aeiouyAEIOUY"), "grave": ("\u0300", "aeiouAEIOU"),
-    "circ": ("\u0302", "aeiouAEIOU"), "uml": ("\u0308", "aeiouyAEIOU"),
-    "tilde": ("\u0303", "anoANO"), "dblac": ("\u030b", "ouOU"),
-    "cedil": ("\u0327", "cC"), "caron": ("\u030c", "szcSZC"),
-}
-
-
 def _written(value) -> str:
     """A text, number or list of texts as an SQL literal."""
     if isinstance(value, list):
@@ -70,29 +52,11 @@ def _map_text(table: dict) -> str:
     return f"map({', '.join(_written(x) for pair in table.items() for x in pair)})"
 
 
-# Characters of "&...;" after the ampersand, as far as they are looked at.
-LONGEST_ENTITY = 12
-
-
-def named_entities() -> dict[str, str]:
-    """Entity name to character, built from the two tables above."""
-    table = dict(PUNCTUATION_ENTITIES)
-    for accent, (mark, letters) in ACCENTS.items():
-        for letter in letters:
-            table[letter + accent] = unicodedata.normalize("NFC", letter + mark)
-    return table
-
-
 def literal_map(table: dict) -> Column:
     """A constant map from text to text, number or list of texts, as one expression."""
     return F.expr(_map_text(table))
 
 
-def one_of(column: str, values: list[str]) -> Column:
-    """`isin` for some hundred texts, as one expression."""
-    return F.expr(f"{column} IN ({', '.join(map(_written, values))})") if values else F.lit(False)
-
-
 def strip(col: Column) -> Column:
     """Drop white space of any kind at both ends (`trim` alone drops blanks only)."""
     return F.trim(col, F.lit(WHITESPACE))
@@ -107,27 +71,52 @@ def content_hash(text: Column) -> Column:
     return F.sha2(squeeze(F.lower(text)), 256)
 
 
+def _standard_names(closed: bool) -> dict[str, str]:
+    """Entity names of the HTML standard: those written with a semicolon, or those that need none."""
+    return {n.rstrip(";"): c for n, c in html.entities.html5.items() if n.endswith(";") == closed}
+
+
+def _constant_map(table: dict[str, str]) -> str:
+    """A map as one text literal, which is quicker to parse than thousands of them."""
+    return f"str_to_map({_written(chr(1).join(n + chr(2) + c for n, c in table.items()))}, '\\u0001', '\\u0002')"
+
+
 # Decoding is written as SQL text: it is part of every piece of markup read, and one
 # parsed expression is much quicker to build than some hundred column calls.
-# Number of "#337" or "#x151" in n, NULL for anything else or for no character.
-_CODE_POINT = """element_at(transform(array(
-    CASE WHEN n RLIKE '^#[0-9]{1,7}$' THEN CAST(substring(n, 2, 7) AS bigint)
-         WHEN n RLIKE '^#[xX][0-9a-fA-F]{1,6}$' THEN CAST(conv(substring(n, 3, 6), 16, 10) AS bigint) END),
-    q -> CASE WHEN q > 0 AND q <= 1114111 AND NOT q BETWEEN 55296 AND 57343 THEN q END), 1)"""
-# Piece p after an ampersand: n is what may be a name, c its character.
+# Numbers that the standard reads as a character of windows-1252, or as none.
+_WINDOWS = {str(b): bytes([b]).decode("cp1252") for b in range(128, 160) if b not in (129, 141, 143, 144, 157)}
+_NO_CHARACTER = """q BETWEEN 1 AND 8 OR q = 11 OR q BETWEEN 14 AND 31 OR q = 127 OR q BETWEEN 64976 AND 65007
+    OR q % 65536 >= 65534"""
+_LEGACY = "|".join(sorted(_standard_names(False), key=lambda n: (-len(n), n)))
+# Number of the reference m, "#337" or "#x151", with any number of leading zeros.
+_NUMBER = """CASE WHEN lower(substring(m, 2, 1)) = 'x'
+    THEN if(length(z) > 6, 1114112, CAST(conv(if(z = '', '0', z), 16, 10) AS bigint))
+    ELSE if(length(z) > 7, 1114112, CAST(if(z = '', '0', z) AS bigint)) END"""
+_NUMBERED = f"""element_at(transform(array(regexp_replace(m, '^#[xX]?0*', '')), z ->
+    element_at(transform(array({_NUMBER}), q -> CASE
+        WHEN q = 0 OR q > 1114111 OR q BETWEEN 55296 AND 57343 THEN '\\uFFFD'
+        WHEN q BETWEEN 128 AND 159 THEN coalesce(try_element_at({_constant_map(_WINDOWS)}, CAST(q AS string)), chr(CAST(q AS int)))
+        WHEN {_NO_CHARACTER} THEN ''
+        ELSE decode(unhex(lpad(hex(q), 8, '0')), 'UTF-32') END), 1)), 1)"""
+# Piece p after an ampersand: m is a number or what may be a name, l the legacy name it begins with.
 _DECODED_PIECE = f"""(p, i) -> CASE WHEN i = 0 THEN p ELSE
-    element_at(transform(array(substring_index(substring(p, 1, {LONGEST_ENTITY}), ';', 1)), n ->
-    element_at(transform(array(coalesce(
-        decode(unhex(lpad(hex({_CODE_POINT}), 8, '0')), 'UTF-32'),
-        try_element_at({_map_text(named_entities())}, n))), c ->
-    CASE WHEN c IS NOT NULL AND substring(p, length(n) + 1, 1) = ';' THEN concat(c, substring(p, length(n) + 2))
-         ELSE concat('&', p) END), 1)), 1) END"""
+    element_at(transform(array(regexp_extract(p, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)', 1)), m -> CASE
+        WHEN m LIKE '#%' THEN concat({_NUMBERED}, substring(p, length(m) + if(substring(p, length(m) + 1, 1) = ';', 2, 1)))
+        WHEN m = '' THEN concat('&', p)
+        ELSE element_at(transform(array(if(substring(p, length(m) + 1, 1) = ';',
+            try_element_at({_constant_map(_standard_names(True))}, m), NULL)), c -> CASE
+            WHEN c IS NOT NULL THEN concat(c, substring(p, length(m) + 2))
+            ELSE element_at(transform(array(regexp_extract(m, '^({_LEGACY})', 1)), l -> CASE
+                WHEN l = '' THEN concat('&', p)
+                ELSE concat(try_element_at({_constant_map(_standard_names(False))}, l), substring(p, length(l) + 1)) END), 1)
+            END), 1) END), 1) END"""
 _NODE = f"""t -> trim(BOTH {_written(WHITESPACE)} FROM
     CASE WHEN contains(t, '&') THEN array_join(transform(split(t, '&'), {_DECODED_PIECE}), '') ELSE t END)"""
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode numeric and common named entities, each once; others stay as written."""
+    """Decode character references by the HTML standard, each once: numbers, all names, and the old names
+    without a semicolon; what is none stays as written."""
     pieces = F.call_function("transform", F.split(text, "&"), F.expr(_DECODED_PIECE))
     return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 

@@ -16,6 +16,7 @@ from lawtide.plans import report
 from lawtide.sources import listing
 from lawtide.sources.workspace import Stage
 from lawtide.state import MonitorState
+from lawtide.state.tables import issue_month
 
 
 @dataclass(frozen=True)
@@ -121,7 +122,9 @@ def run(
     hits = keyword_filter(
         kept, scope, cfg.keyword_filter_enabled, context="justification_text")
     named = dedupe.with_content_hash(dedupe.with_issue(hits, issues))
-    reported = dedupe.of_issues(state.reported(run_id, name), issues)
+    # A month is some thirty days of issues: few literals, which prune the folders of the state.
+    months = [r.m for r in issues.select(issue_month(F.col("issue_date")).alias("m")).distinct().collect()]
+    reported = dedupe.of_issues(state.reported(run_id, name, months), issues)
     if cfg.dedupe_before_scoring:
         named = dedupe.unreported(named, reported, cfg.key_columns)
     if make_scorer is None:

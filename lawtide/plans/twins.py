@@ -468,7 +468,14 @@ TWINS: dict[str, str] = {
         WHERE error IS NOT NULL GROUP BY 1""",
     "k4_lexical_enrichment": """SELECT issue_id, pos, one_line_summary AS expansion,
         concat('2024. MÁJUS 5|2024. június ', substring(CAST(pos AS varchar), 1, 2)) AS key_dates FROM v_items""",
+    "k4_enriched": f"""SELECT issue_id, pos, concat(length(concat('Bekezdés anchor: ', anchor, chr(10), 'Relevancia score: ',
+        {score_text('score')}, chr(10), 'Témák: ', {topics_text('matched_topics')}, chr(10), 'Egysoros összefoglaló: ', one_line_summary,
+        chr(10), chr(10), 'Bekezdés szövege:', chr(10), '<<<', chr(10), {strip('text')}, chr(10), '>>>', chr(10),
+        CASE WHEN justification_url IS NOT NULL THEN concat(chr(10), 'Indokolas URL: ', justification_url, chr(10)) ELSE '' END,
+        {q(requests.ENRICH_SUFFIX)})), ' karakter') AS expansion, 'HR: olvasni' AS action_items FROM v_items""",
     "k6_scopes": " UNION ALL ".join(scope_rows(s) for s in (TABLE_SCOPE, STRICT_SCOPE, LATIN_SCOPE)),
+    "a6_report_files": f"""SELECT '2024-07-02' AS run_date, unnest(string_split(line, chr(10))) AS line
+        FROM ({REPORT.replace("WHERE lang <> 'es'", "")}) r""",
     "l1_report_lines": REPORT,
     "l2_empty_reports": f"""SELECT run_id, CAST(unnest(range(len(l))) AS bigint) AS line_no, unnest(l) AS line FROM (
         SELECT run_id, list_concat([{q(report.TITLE)}, concat({q(report.FULL_TITLE)}, run_date), '',

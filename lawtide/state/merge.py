@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawtide.operators.dedupe import first_writer, unreported
@@ -30,10 +30,25 @@ def total_reported(run_log: DataFrame) -> DataFrame:
 
 
 def running_total(run_log: DataFrame, grain: str = "day") -> DataFrame:
-    """Total of reported items after each run. Only one sum per `grain` crosses the log."""
-    before = running_sum(
-        run_log, [], ["run_ts", "run_id"], F.col("persisted"), F.date_trunc(grain, "run_ts"), "_before")
-    return before.withColumn("running_total", F.col("_before") + F.col("persisted")).drop("_before")
+    """Total of reported items after each run: sums within a day, by day within a year, and by year.
+
+    Only the years of the log, a few rows, are summed in one place.
+    """
+    day, year = F.date_trunc("day", "run_ts"), F.date_trunc("year", "run_ts")
+    cut = run_log.withColumn("_day", day).withColumn("_year", year)
+    within = running_sum(
+        cut, ["_day"], ["run_ts", "run_id"], F.col("persisted"), F.date_trunc(grain, "run_ts"), "_before")
+    days = cut.groupBy("_year", "_day").agg(F.sum("persisted").alias("n"))
+    earlier = (Window.unboundedPreceding, -1)
+    by_day = Window.partitionBy("_year").orderBy("_day").rowsBetween(*earlier)
+    by_year = Window.orderBy("_y").rowsBetween(*earlier)
+    years = days.groupBy(F.col("_year").alias("_y")).agg(F.sum("n").alias("n")).select(
+        "_y", F.coalesce(F.sum("n").over(by_year), F.lit(0)).alias("_years"))
+    starts = days.withColumn("_days", F.coalesce(F.sum("n").over(by_day), F.lit(0))).join(
+        years, F.col("_year") == F.col("_y")).select(F.col("_day").alias("_d"), (F.col("_days") + F.col("_years")).alias("_start"))
+    return within.join(starts, F.col("_day").eqNullSafe(F.col("_d"))).withColumn(
+        "running_total", F.col("_start") + F.col("_before") + F.col("persisted")).drop(
+        "_before", "_day", "_year", "_d", "_start")
 
 
 def last_run_date(run_log: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """State tables on Parquet.
 
-Every run writes its own folder (`run_id=...`) of each table, overwriting what a
+Every run writes its own folder (`run_id=...`) of each table, cut by the month of the issue, so
+that a run opens only files of the months its issues are in,, overwriting what a
 failed attempt of the same run left there. The run's row in `run_log` is written
 last and is the commit: rows of runs without one are never read. Nothing is
 rewritten, so an upsert is "append, read the latest row per key".
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,7 @@ from lawtide.operators.dedupe import dedup_key
 from lawtide.state import merge
 
 RUN_ID = T.StructField("run_id", T.StringType())
+MONTH = T.StructField("issue_month", T.StringType())
 ANY_DATE = (date(1900, 1, 1), date(2999, 12, 31))
 
 
@@ -28,9 +30,9 @@ class MonitorState:
         self.spark = spark
         self.root = root.rstrip("/")
         self.schemas = {
-            "reported_items": T.StructType([*schemas.REPORTED_ITEMS.fields, RUN_ID]),
-            "issue_progress": T.StructType([*schemas.ISSUE_PROGRESS.fields, RUN_ID]),
-            "open_issues": T.StructType([*schemas.OPEN_ISSUES.fields, RUN_ID]),
+            "reported_items": T.StructType([*schemas.REPORTED_ITEMS.fields, RUN_ID, MONTH]),
+            "issue_progress": T.StructType([*schemas.ISSUE_PROGRESS.fields, RUN_ID, MONTH]),
+            "open_issues": T.StructType([*schemas.OPEN_ISSUES.fields, RUN_ID, MONTH]),
             "run_log": T.StructType([*schemas.RUN_LOG.fields[1:], RUN_ID]),
         }
 
@@ -48,10 +50,14 @@ class MonitorState:
         for name, schema in self.schemas.items():
             empty = self.spark.createDataFrame([], schema)
             # Static whatever the session says: the dynamic mode would leave every row.
-            empty.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("run_id").parquet(
-                f"{self.root}/{name}")
+            empty.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy(
+                *self._folders(schema)).parquet(f"{self.root}/{name}")
         return self
 
+    @staticmethod
+    def _folders(schema: T.StructType) -> list[str]:
+        return [f.name for f in (RUN_ID, MONTH) if f in schema.fields]
+
     def _read(self, name: str, without_run: str | None, scope: str | None) -> DataFrame:
         table = self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}")
         if without_run is not None:
@@ -65,10 +71,14 @@ class MonitorState:
     def run_log(self, without_run: str | None = None, scope: str | None = None) -> DataFrame:
         return self._read("run_log", without_run, scope)
 
-    def reported(self, without_run: str | None = None, scope: str | None = None) -> DataFrame:
+    def reported(
+        self, without_run: str | None = None, scope: str | None = None, months: list[str] | None = None,
+    ) -> DataFrame:
         """Items of committed runs; a repeated run passes its own id to leave itself out. Scopes
-        share the tables and nothing else: without one, the items of all."""
-        return self._committed("reported_items", without_run, scope)
+        share the tables and nothing else: without one, the items of all. With `months`, the items of
+        issues of these months (yyyy-MM); files of others are not opened."""
+        items = self._committed("reported_items", without_run, scope)
+        return items if months is None else items.where(F.col("issue_month").isin(months))
 
     def processed(self, without_run: str | None = None, scope: str | None = None) -> DataFrame:
         """Ids of processed issues, repeats included: enough to leave them out."""
@@ -95,10 +105,16 @@ class MonitorState:
         return merge.run_window(run_date, last_run, lookback_days, seed)
 
     def _write_run(self, name: str, rows: DataFrame, run_id: str) -> DataFrame:
-        fields = [f for f in self.schemas[name].fields if f.name != "run_id"]
+        fields = [f for f in self.schemas[name].fields if f not in (RUN_ID, MONTH)]
         path = f"{self.root}/{name}/run_id={run_id}"
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(T.StructType(fields)).parquet(path)
+        out = rows.select(*[F.col(f.name).cast(f.dataType) for f in fields])
+        if MONTH in self.schemas[name].fields:
+            out = out.withColumn(MONTH.name, issue_month(F.col("issue_date"))).repartition(MONTH.name)
+            writer = out.write.partitionBy(MONTH.name)
+        else:
+            writer = out.write
+        writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        return self.spark.read.schema(out.schema).parquet(path)
 
     def mark_reported(
         self, items: DataFrame, run_id: str, run_ts: datetime,
@@ -140,6 +156,10 @@ class MonitorState:
         return state_rows(rows)
 
 
+def issue_month(issue_date: Column) -> Column:
+    return F.date_format(issue_date, "yyyy-MM")
+
+
 def state_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         "issue_number", "anchor", "issue_date", score_text(F.col("score")).alias("score"),

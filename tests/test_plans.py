@@ -1,6 +1,7 @@
 """What the plans must look like for large inputs."""
 
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,12 @@ def test_archive_is_cut_to_the_issues_and_landings_are_one_each(spark):
     cut = of_issues(Landed(table, table, table, table), issues)
     assert [tuple(r) for r in cut.bodies.collect()] == [tuple(r) for r in cut.justifications.collect()] == [("2026/7", "<p>y</p>")]
     assert cut.page_texts.count() == 3
+
+
+def test_state_is_pruned_by_month(spark, tmp_path):
+    from lawtide.state import MonitorState
+    state = MonitorState(spark, str(tmp_path / "state")).create()
+    items = Tables(spark, SF).v_items
+    state.mark_reported(items.withColumn("content_hash", F.lit("h")), "r1", datetime(2026, 7, 2))
+    text = plan(state.reported(months=["2026-07"]))
+    assert re.search(r"PartitionFilters: \[[^\]]*issue_month[^\]]*2026-07", text)
