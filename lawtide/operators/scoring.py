@@ -91,12 +91,12 @@ def call_in_waves(
 
     Few tasks run at a time, so a large input would make long tasks and a lost one
     would repeat many calls. It is cut into waves of bounded tasks instead, each
-    written before the next starts.
+    written before the next starts. `requests` come from a staged table, which makes
+    counting them cheap.
     """
-    asked = stage(requests, f"{name}_requests")
-    waves = max(1, math.ceil(asked.count() / (concurrency * calls_per_task)))
+    waves = max(1, math.ceil(requests.count() / (concurrency * calls_per_task)))
     wave = F.pmod(F.xxhash64("request_id"), F.lit(waves))
-    cut = stage(asked.withColumn("wave", wave), f"{name}_waves", partition_by="wave")
+    cut = stage(requests.withColumn("wave", wave), f"{name}_waves", partition_by="wave")
     for n in range(waves):
         stage(call_model(cut.where(F.col("wave") == n), make_scorer, concurrency, requests_per_call),
               f"{name}_replies/wave={n}")
