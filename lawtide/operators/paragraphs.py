@@ -158,18 +158,29 @@ def with_fallback(html: DataFrame, chunks: DataFrame, key: str = "issue_id") ->
     return html.unionByName(chunks.join(given, key, "left_anti"))
 
 
-def with_justification(
-    paragraphs: DataFrame, issues: DataFrame, justifications: DataFrame, key: str = "issue_id",
+def justification_notes(
+    issues: DataFrame, justifications: DataFrame, key: str = "issue_id",
 ) -> DataFrame:
-    """Put the first justification paragraph of an issue on all its paragraphs."""
+    """(issue, justification_url, justification_text): the first justification paragraph of each issue."""
     wanted = issues.where("has_justification").select(key, "justification_url")
-    context = computed_once(
+    return computed_once(
         justifications.join(wanted, key), justification_text=first_section_text(F.col("html")),
     ).drop("html").where(F.col("justification_text").isNotNull())
-    return paragraphs.join(context, key, "left").withColumn(
+
+
+def with_note(rows: DataFrame, notes: DataFrame, key: str = "issue_id") -> DataFrame:
+    """Rows with the note of their issue."""
+    return rows.join(notes, key, "left").withColumn(
         "has_justification", F.col("justification_text").isNotNull(),
     ).withColumn("justification_text", F.coalesce("justification_text", F.lit("")))
 
 
+def with_justification(
+    paragraphs: DataFrame, issues: DataFrame, justifications: DataFrame, key: str = "issue_id",
+) -> DataFrame:
+    """Put the first justification paragraph of an issue on all its paragraphs."""
+    return with_note(paragraphs, justification_notes(issues, justifications, key), key)
+
+
 def long_enough(paragraphs: DataFrame, min_chars: int = 30) -> DataFrame:
     return paragraphs.where(F.length("text") >= min_chars)

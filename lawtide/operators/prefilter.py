@@ -22,6 +22,22 @@ def keyword_filter(
     return df.where(keyword_hit(_searched(text, context), scope))
 
 
+def keyword_filter_with_notes(
+    df: DataFrame, notes: DataFrame, scope: Scope = HR_SCOPE, enabled: bool = True,
+    key: str = "issue_id",
+) -> DataFrame:
+    """Rows hit in their text or in the note of their issue; `note_topics` are the note's (NULL: no hit).
+
+    A note is searched once, apart from the paragraphs, and its topics alone join them. No stem
+    spans the line break that would stand between the two.
+    """
+    tagged, tags = with_tags(notes, [scope], "justification_text")
+    rows = df.join(tagged.select(key, tags[scope.name].alias("note_topics")), key, "left")
+    if not enabled:
+        return rows
+    return rows.where(F.col("note_topics").isNotNull() | keyword_hit(_searched("text", None), scope))
+
+
 def _searched(text: str, context: str | None) -> Column:
     return searched_text(F.col(text), None if context is None else F.col(context))
 

@@ -16,6 +16,7 @@ from lawtide.functions.dates import DATE_TEXT
 from lawtide.functions.lexicon import HR_SCOPE, Scope
 from lawtide.functions.requests import enrich_request, repair_request, score_request
 from lawtide.functions.text import squeeze
+from lawtide.operators.paragraphs import with_note
 from lawtide.operators.prefilter import tag_topics
 from lawtide.sources.workspace import Stage
 
@@ -107,19 +108,22 @@ def call_in_waves(
 def ask_with_repair(
     rows: DataFrame, request: Column, kind: str, make_scorer: ScorerFactory,
     concurrency: int, stage: Stage, calls_per_task: int = 10_000, requests_per_call: int = 64,
+    notes: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with the reply as a variant object `parsed` (NULL if it failed) and `error`.
 
     Rows are staged under a request id and joined with their replies by it. Only requests
-    whose reply did not parse are asked again.
+    whose reply did not parse are asked again. With `notes`, the note of the issue is joined to
+    make the request and is not kept with the row.
     """
     def asked(requests: DataFrame, name: str) -> DataFrame:
         return call_in_waves(requests, make_scorer, concurrency, stage, name, calls_per_task, requests_per_call)
 
     known = stage(rows.withColumn("request_id", F.monotonically_increasing_id()), f"{kind}_rows")
     called = F.col("error_type").isNull()
+    told = known if notes is None else with_note(known, notes)
     first = stage(
-        asked(known.select("request_id", request.alias("request")), kind)
+        asked(told.select("request_id", request.alias("request")), kind)
         .withColumn("broken", called & replies.reply_object(F.col("reply")).isNull()), f"{kind}_first")
     second = asked(
         first.where("broken").select("request_id", repair_request(F.col("reply"), kind).alias("request")),
@@ -152,11 +156,12 @@ def enriched_columns(asked: DataFrame) -> DataFrame:
 def score(
     candidates: DataFrame, make_scorer: ScorerFactory, concurrency: int,
     stage: Stage, calls_per_task: int = 10_000, requests_per_call: int = 64,
+    notes: DataFrame | None = None,
 ) -> DataFrame:
-    """Score candidate paragraphs (`text`, `justification_text`) with a model."""
+    """Score candidate paragraphs (`text`, and `justification_text` of their own or of `notes`) with a model."""
     request = score_request(F.col("text"), F.col("justification_text"))
-    return scored_columns(
-        ask_with_repair(candidates, request, "score", make_scorer, concurrency, stage, calls_per_task, requests_per_call))
+    return scored_columns(ask_with_repair(
+        candidates, request, "score", make_scorer, concurrency, stage, calls_per_task, requests_per_call, notes))
 
 
 def enrich(
@@ -177,9 +182,18 @@ def lexical_score(topics: Column) -> Column:
     return F.least(F.lit(10), F.lit(4) + F.lit(2) * F.size(topics)) / F.lit(10.0)
 
 
-def lexical_scores(candidates: DataFrame, scope: Scope = HR_SCOPE) -> DataFrame:
-    """Default scorer without a model: topics by stems, score by their number."""
-    tagged = tag_topics(candidates, scope, "text", "justification_text", out="matched_topics")
+def lexical_scores(
+    candidates: DataFrame, scope: Scope = HR_SCOPE, context: str | None = "justification_text",
+    more_topics: str | None = None,
+) -> DataFrame:
+    """Default scorer without a model: topics by stems, score by their number.
+
+    `context` is searched with the text; `more_topics` is a column of topics that were found apart.
+    """
+    tagged = tag_topics(candidates, scope, "text", context, out="matched_topics")
+    if more_topics is not None:
+        both = F.array_union("matched_topics", F.coalesce(more_topics, F.array().cast("array<string>")))
+        tagged = tagged.withColumn("matched_topics", F.array_sort(both))
     scored = tagged.withColumn("score", lexical_score(F.col("matched_topics")))
     return scored.select(
         *candidates.columns,

@@ -23,7 +23,7 @@ from lawtide.operators.ordered import first_per
 from lawtide.operators.prefilter import keyword_filter, match_scopes, tag_topics, with_tags
 from lawtide.plans import report
 from lawtide.plans.derived import Tables
-from lawtide.plans.run import Landed, run
+from lawtide.plans.run import Landed, run, run_scopes
 from lawtide.sources import landed, listing
 from lawtide.sources.workspace import Stage
 from lawtide.state import MonitorState, merge
@@ -805,6 +805,18 @@ def l5_run_row(t: Tables) -> DataFrame:
         "candidates", "relevant", "new_items", "persisted", F.size("warnings").cast("long").alias("warnings"))
 
 
+@query
+def k6_run_scopes(t: Tables) -> DataFrame:
+    """Two scopes on one state, their texts parsed once; their log rows."""
+    stage = Stage(t.spark)
+    state = MonitorState(t.spark, stage.path("state")).create()
+    run_scopes(
+        t.spark, MonitorConfig(lookback_days=365, base_url=BASE_URL), state, landed_tables(t), "r1",
+        date(2024, 9, 30), datetime(2024, 9, 30, 8), [TABLE_SCOPE, STRICT_SCOPE], stage=stage)
+    return state.run_log().select(
+        "run_id", "scope", "issues_scanned", "candidates", "relevant", "new_items", "persisted")
+
+
 # -- streaming -----------------------------------------------------------------------------------------
 
 def stream_of(t: Tables, table: str) -> DataFrame:

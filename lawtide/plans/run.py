@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from lawtide.config import MonitorConfig
 from lawtide.functions.lexicon import HR_SCOPE, Scope
 from lawtide.operators import counts, dedupe, paragraphs, scoring
-from lawtide.operators.prefilter import keyword_filter
+from lawtide.operators.ordered import first_per
+from lawtide.operators.prefilter import keyword_filter_with_notes
 from lawtide.plans import report
 from lawtide.sources import listing
 from lawtide.sources.workspace import Stage
@@ -73,20 +75,63 @@ def of_issues(landed: Landed, issues: DataFrame) -> Landed:
         one_per_issue(only(landed.justifications)))
 
 
-def issue_paragraphs(issues: DataFrame, landed: Landed, min_chars: int, stage: Stage) -> DataFrame:
-    """Paragraphs of the given issues with their justification, short ones dropped."""
-    # Read twice, parsed once.
-    html = stage(paragraphs.html_paragraphs(landed.bodies), "html_paragraphs")
-    found = paragraphs.with_fallback(html, paragraphs.page_chunks(landed.page_texts))
-    full = paragraphs.with_justification(found, issues, landed.justifications)
-    return paragraphs.long_enough(full, min_chars)
-
-
 def fetched(landed: Landed) -> DataFrame:
     """Issues for which a body or a page text was landed."""
     return landed.bodies.select("issue_id").union(landed.page_texts.select("issue_id")).distinct()
 
 
+@dataclass(frozen=True)
+class Worklist:
+    """Issues of a run: those found, those of them that no run processed, and those within the cap."""
+
+    window: tuple[date, date]
+    found: DataFrame
+    unprocessed: DataFrame
+    issues: DataFrame
+
+
+def worklist(
+    cfg: MonitorConfig, state: MonitorState, listing_pages: DataFrame, run_id: str, run_date: date,
+    scope: str, seed: bool, stage: Stage,
+) -> Worklist:
+    """Issues of the window and those that earlier runs left open; then the processed ones out, then the cap."""
+    start, end = state.window(run_date, cfg.lookback_days, seed, without_run=run_id, scope=scope)
+    pages = listing.reachable_pages(listing_pages, cfg.max_listing_pages)
+    listed = listing.listed_issues(pages, cfg.base_url, (start, end)).drop("page_no")
+    left_open = state.open_issues(scope, without_run=run_id).select(*listed.columns)
+    found = stage(
+        listed.unionByName(left_open.join(listed.select("issue_id"), "issue_id", "left_anti")), "issues")
+    unprocessed = stage(dedupe.unprocessed(found, state.processed(run_id, scope)), "unprocessed")
+    return Worklist(
+        (start, end), found, unprocessed, stage(listing.newest(unprocessed, cfg.max_issues_per_run), "open_issues"))
+
+
+@dataclass(frozen=True)
+class Texts:
+    """What was landed for issues, parsed: paragraphs without short ones, a note per issue that has
+    one, and the issues with any content."""
+
+    paragraphs: DataFrame
+    notes: DataFrame
+    present: DataFrame
+
+    def of(self, issues: DataFrame) -> Texts:
+        ids = issues.select("issue_id")
+        return Texts(*(t.join(ids, "issue_id", "left_semi") for t in (self.paragraphs, self.notes, self.present)))
+
+
+def parsed_texts(issues: DataFrame, landed: Landed, min_chars: int, stage: Stage) -> Texts:
+    """Texts of the given issues, each landed document read once."""
+    landed = of_issues(landed, issues)
+    # Read twice, parsed once.
+    html = stage(paragraphs.html_paragraphs(landed.bodies), "html_paragraphs")
+    found = paragraphs.with_fallback(html, paragraphs.page_chunks(landed.page_texts))
+    return Texts(
+        stage(paragraphs.long_enough(found, min_chars), "paragraphs"),
+        stage(paragraphs.justification_notes(issues, landed.justifications), "notes"),
+        stage(fetched(landed), "present"))
+
+
 def run(
     spark: SparkSession, cfg: MonitorConfig, state: MonitorState, landed: Landed,
     run_id: str, run_date: date, run_ts: datetime,
@@ -102,25 +147,61 @@ def run(
     state before it and overwrites what it left.
     """
     stage = stage or Stage(spark)
-    name = scope.name
-    start, end = state.window(run_date, cfg.lookback_days, seed, without_run=run_id, scope=name)
+    work = worklist(cfg, state, landed.listing_pages, run_id, run_date, scope.name, seed, stage)
+    texts = parsed_texts(work.issues, landed, cfg.min_paragraph_length, stage)
+    return run_issues(
+        cfg, state, work, texts, run_id, run_date, run_ts, make_scorer, make_enricher, scope, write,
+        report_root, stage)
+
+
+def run_scopes(
+    spark: SparkSession, cfg: MonitorConfig, state: MonitorState, landed: Landed,
+    run_id: str, run_date: date, run_ts: datetime, scopes: Sequence[Scope],
+    make_scorer: scoring.ScorerFactory | None = None,
+    make_enricher: scoring.ScorerFactory | None = None,
+    seed: bool = False, write: bool = True, report_root: str | None = None, stage: Stage | None = None,
+) -> dict[str, RunResult]:
+    """`run` for several scopes on one state. Bodies, page texts and justifications of all their issues are
+    read and parsed once. Every scope has its own window, cap, open issues and report, and its own
+    run, `<run_id>-<scope>`."""
+    stage = stage or Stage(spark)
+    parts = {s.name: Stage(spark, stage.path(f"scope={s.name}")) for s in scopes}
+    if len(parts) < len(scopes):
+        raise ValueError("scopes of one run need different names")
+    work = {
+        s.name: worklist(
+            cfg, state, landed.listing_pages, f"{run_id}-{s.name}", run_date, s.name, seed, parts[s.name])
+        for s in scopes}
+    every = None
+    for one in work.values():
+        every = one.issues if every is None else every.unionByName(one.issues)
+    if every is None:
+        return {}
+    # Scopes may have seen different listings of an issue: one that names a justification counts.
+    every = stage(
+        first_per(every, ["issue_id"], [F.desc("has_justification"), F.desc("issue_date"), F.desc("justification_url")]),
+        "issues")
+    texts = parsed_texts(every, landed, cfg.min_paragraph_length, stage)
+    return {
+        s.name: run_issues(
+            cfg, state, work[s.name], texts.of(work[s.name].issues), f"{run_id}-{s.name}", run_date, run_ts,
+            make_scorer, make_enricher, s, write, report_root, parts[s.name])
+        for s in scopes}
 
-    # Issues of the window and those that earlier runs left open; then the processed ones out, then the cap.
-    pages = listing.reachable_pages(landed.listing_pages, cfg.max_listing_pages)
-    listed = listing.listed_issues(pages, cfg.base_url, (start, end)).drop("page_no")
-    left_open = state.open_issues(name, without_run=run_id).select(*listed.columns)
-    found = stage(
-        listed.unionByName(left_open.join(listed.select("issue_id"), "issue_id", "left_anti")), "issues")
-    unprocessed = stage(dedupe.unprocessed(found, state.processed(run_id, name)), "unprocessed")
-    issues = stage(listing.newest(unprocessed, cfg.max_issues_per_run), "open_issues")
-    capped = unprocessed.join(issues.select("issue_id"), "issue_id", "left_anti")
-    landed = of_issues(landed, issues)
 
-    kept = stage(issue_paragraphs(issues, landed, cfg.min_paragraph_length, stage), "paragraphs")
+def run_issues(
+    cfg: MonitorConfig, state: MonitorState, work: Worklist, texts: Texts,
+    run_id: str, run_date: date, run_ts: datetime,
+    make_scorer: scoring.ScorerFactory | None, make_enricher: scoring.ScorerFactory | None,
+    scope: Scope, write: bool, report_root: str | None, stage: Stage,
+) -> RunResult:
+    """From parsed texts to report and state. Listing runs, scope runs and micro-batches share it."""
+    name, issues, kept, notes = scope.name, work.issues, texts.paragraphs, texts.notes
+    (start, end), found, unprocessed = work.window, work.found, work.unprocessed
+    capped = unprocessed.join(issues.select("issue_id"), "issue_id", "left_anti")
 
     # The cheap filters stand below the model call: nothing is pushed through it.
-    hits = keyword_filter(
-        kept, scope, cfg.keyword_filter_enabled, context="justification_text")
+    hits = keyword_filter_with_notes(kept, notes, scope, cfg.keyword_filter_enabled)
     named = dedupe.with_content_hash(dedupe.with_issue(hits, issues))
     # A month is some thirty days of issues: few literals, which prune the folders of the state.
     months = [r.m for r in issues.select(issue_month(F.col("issue_date")).alias("m")).distinct().collect()]
@@ -128,12 +209,11 @@ def run(
     if cfg.dedupe_before_scoring:
         named = dedupe.unreported(named, reported, cfg.key_columns)
     if make_scorer is None:
-        scored = stage(scoring.lexical_scores(named, scope), "scored")
+        scored = scoring.lexical_scores(named, scope, context=None, more_topics="note_topics")
     else:
-        scored = stage(
-            scoring.score(
-                named, make_scorer, cfg.scoring_concurrency, stage, cfg.calls_per_task,
-                cfg.requests_per_call), "scored")
+        scored = scoring.score(
+            named, make_scorer, cfg.scoring_concurrency, stage, cfg.calls_per_task, cfg.requests_per_call, notes)
+    scored = stage(scored.drop("note_topics"), "scored")
 
     threshold = cfg.relevance_threshold
     new = scoring.relevant(scored, threshold)
@@ -141,6 +221,7 @@ def run(
         new = dedupe.unreported(new, reported, cfg.key_columns)
     if cfg.dedupe_within_batch:
         new = dedupe.first_writer(new, cfg.key_columns)
+    new = paragraphs.with_note(new, notes)
     if make_enricher is None:
         items = scoring.lexical_enrichment(new)
     else:
@@ -153,7 +234,7 @@ def run(
         F.count(F.lit(1)).alias("candidates"),
         F.count_if(F.coalesce("error", F.lit("")) != "").alias("failures"),
         F.count_if(F.col("is_relevant") & (F.col("score") >= threshold)).alias("relevant")).first()
-    present = stage(fetched(landed), "present")
+    present = texts.present
     missing = issues.join(present, "issue_id", "left_anti")
     failed = scoring.failed(scored).select("issue_id").distinct()
     figures = {

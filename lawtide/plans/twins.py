@@ -311,6 +311,22 @@ RUN_PARAGRAPHS = f"""
     FROM every v JOIN issues i ON v.issue_id = i.issue_id LEFT JOIN first_text c ON v.issue_id = c.issue_id
     WHERE length(v.text) >= 30
 """
+
+
+def run_row(scope) -> str:
+    """Figures of a whole run of one scope."""
+    return f"""SELECT '{scope.name}' AS scope,
+        (SELECT count(*) FROM (SELECT DISTINCT issue_id FROM (SELECT * FROM ({LISTED}) e
+            QUALIFY row_number() OVER (PARTITION BY page_no, issue_id ORDER BY doc_id) = 1) f
+          WHERE issue_date BETWEEN DATE '2023-10-01' AND DATE '2024-09-30'
+          QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY page_no DESC) = 1) g) AS issues_scanned,
+        count(*) AS paragraphs, count(*) FILTER (hit) AS candidates, count(*) FILTER (relevant) AS relevant,
+        count(*) FILTER (relevant) AS new_items, count(DISTINCT (issue_number, anchor)) FILTER (relevant) AS persisted
+        FROM (SELECT *, hit AND {lexical('tags')} >= {scope.threshold} AS relevant FROM (
+          SELECT *, {hit('searched', scope.all_stems)} AS hit, {topics('searched', scope)} AS tags
+          FROM ({RUN_PARAGRAPHS}) p) q) r"""
+
+
 STATE_ITEMS = """SELECT *, CASE WHEN score >= 0.75 THEN 1 ELSE 2 END AS round,
     min(CASE WHEN score >= 0.75 THEN 1 ELSE 2 END) OVER (PARTITION BY issue_number, anchor) AS inserted FROM v_items"""
 
@@ -496,17 +512,17 @@ TWINS: dict[str, str] = {
     "j4_reset": "SELECT 0 AS reported, 0 AS progress, 0 AS runs, count(*) AS written FROM v_items WHERE score >= 0.75",
     "j5_open_issues": """SELECT concat('2024/', n) AS issue_id, CASE WHEN n % 5 = 0 THEN 'failed' ELSE 'no content' END AS reason
         FROM (SELECT DISTINCT doc_id % 3000 + 1 AS n FROM documents) t WHERE n % 5 IN (0, 1) AND n % 3 <> 0""",
-    "l5_run_row": f"""SELECT 'r1' AS run_id, '2023-10-01' AS window_start,
-        (SELECT count(*) FROM (SELECT DISTINCT issue_id FROM (SELECT * FROM ({LISTED}) e
-            QUALIFY row_number() OVER (PARTITION BY page_no, issue_id ORDER BY doc_id) = 1) f
-          WHERE issue_date BETWEEN DATE '2023-10-01' AND DATE '2024-09-30'
-          QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY page_no DESC) = 1) g) AS issues_scanned,
-        count(*) AS paragraphs, count(*) FILTER (hit) AS candidates, count(*) FILTER (relevant) AS relevant,
-        count(*) FILTER (relevant) AS new_items, count(DISTINCT (issue_number, anchor)) FILTER (relevant) AS persisted,
-        CAST(0 AS bigint) AS warnings
-        FROM (SELECT *, hit AND {lexical('tags')} >= 0.5 AS relevant FROM (
-          SELECT *, {hit('searched', TABLE_SCOPE.all_stems)} AS hit, {topics('searched', TABLE_SCOPE)} AS tags
-          FROM ({RUN_PARAGRAPHS}) p) q) r""",
+    "l5_run_row": f"""SELECT 'r1' AS run_id, '2023-10-01' AS window_start, * EXCLUDE (scope), CAST(0 AS bigint) AS warnings
+        FROM ({run_row(TABLE_SCOPE)}) r""",
+    "k6_run_scopes": " UNION ALL ".join(
+        f"SELECT 'r1-{s.name}' AS run_id, * EXCLUDE (paragraphs) FROM ({run_row(s)}) r" for s in (TABLE_SCOPE, STRICT_SCOPE)),
+    "m1_arrivals": f"""SELECT issue_number, anchor, sha256({squeeze('lower(text)')}) AS content_hash,
+        {lexical('tags')} AS score, array_to_string(tags, '|') AS matched_topics
+        FROM (SELECT concat('2024. évi ', page_id, '. szám') AS issue_number, section, {paragraph_anchor('heading')} AS anchor, text,
+            {topics('text', TABLE_SCOPE)} AS tags FROM ({sections('pages', 'page_id')}) s
+          WHERE length(text) >= 30 AND {hit('text', TABLE_SCOPE.all_stems)}) t
+        WHERE {lexical('tags')} >= 0.5
+        QUALIFY row_number() OVER (PARTITION BY issue_number, anchor ORDER BY section) = 1""",
     "m2_recent_stream": "SELECT DISTINCT user_id, event_type FROM events",
     "m2_recent_batch": """SELECT event_id, user_id, event_type FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""",

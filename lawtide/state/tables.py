@@ -1,7 +1,7 @@
 """State tables on Parquet.
 
 Every run writes its own folder (`run_id=...`) of each table, cut by the month of the issue, so
-that a run opens only files of the months its issues are in,, overwriting what a
+that a run opens only files of the months its issues are in, overwriting what a
 failed attempt of the same run left there. The run's row in `run_log` is written
 last and is the commit: rows of runs without one are never read. Nothing is
 rewritten, so an upsert is "append, read the latest row per key".

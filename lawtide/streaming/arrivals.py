@@ -1,4 +1,4 @@
-"""Documents monitored as they land: the batch steps, once per micro-batch."""
+"""Documents monitored as they land: the steps of a run, once per micro-batch."""
 
 from __future__ import annotations
 
@@ -8,52 +8,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lawtide import schemas
 from lawtide.config import MonitorConfig
 from lawtide.functions.lexicon import HR_SCOPE, Scope
-from lawtide.operators import dedupe, paragraphs, scoring
 from lawtide.operators.ordered import first_per
-from lawtide.operators.prefilter import keyword_filter
+from lawtide.operators.scoring import ScorerFactory
+from lawtide.plans.run import Landed, Worklist, parsed_texts, run_issues
 from lawtide.sources.workspace import Stage
 from lawtide.state import MonitorState
 
+#: What else an issue may come with; columns that a landed row lacks are NULL.
+ISSUE_COLUMNS = ("issue_id", "issue_number", "issue_date", "has_justification", "view_url", "pdf_url", "justification_url")
 
-def new_items(
-    batch: DataFrame, reported: DataFrame, cfg: MonitorConfig, scope: Scope,
-) -> DataFrame:
-    """Report items of landed bodies (issue_id, issue_number, issue_date, html)."""
-    # An issue that lands twice in a batch is one issue.
-    batch = first_per(batch.where("html IS NOT NULL"), ["issue_id"], [F.desc("issue_date"), F.desc("html")])
-    found = paragraphs.long_enough(
-        paragraphs.html_paragraphs(batch.select("issue_id", "html")), cfg.min_paragraph_length)
-    plain = found.withColumn("justification_text", F.lit("")).withColumn(
-        "justification_url", F.lit(None).cast("string"))
-    hits = keyword_filter(plain, scope, cfg.keyword_filter_enabled)
-    named = dedupe.with_content_hash(dedupe.with_issue(hits, batch))
-    fresh = dedupe.unreported(named, dedupe.of_issues(reported, batch), cfg.key_columns)
-    return scoring.lexical_enrichment(
-        scoring.relevant(scoring.lexical_scores(fresh, scope), cfg.relevance_threshold))
+
+def landed_issues(batch: DataFrame, justified: bool) -> DataFrame:
+    """One row per issue with its html, the latest landing that has any. An issue that lands twice in
+    a batch is one issue. `justified`: whether an issue that does not say so may have a justification."""
+    types = {f.name: f.dataType for f in schemas.OPEN_ISSUES.fields}
+    full = batch.select("html", *[
+        (F.col(c) if c in batch.columns else F.lit(None)).cast(types[c]).alias(c) for c in ISSUE_COLUMNS])
+    full = full.withColumn("has_justification", F.coalesce("has_justification", F.lit(justified)))
+    return first_per(full, ["issue_id"], [
+        F.col("html").isNull(), F.desc("issue_date"), F.desc("html"), *[F.desc(c) for c in ISSUE_COLUMNS]])
 
 
 def monitor_arrivals(
     bodies: DataFrame, state: MonitorState, checkpoint: str, name: str = "arrivals",
     cfg: MonitorConfig = MonitorConfig(), scope: Scope = HR_SCOPE,
     trigger: dict | None = None,
+    make_scorer: ScorerFactory | None = None, make_enricher: ScorerFactory | None = None,
+    page_texts: DataFrame | None = None, justifications: DataFrame | None = None,
+    report_root: str | None = None,
 ) -> StreamingQuery:
-    """Start the stream. Each micro-batch is a run with its own id, so a batch that is
-    delivered again overwrites itself: every item is reported once."""
+    """Start the stream of bodies (issue_id, issue_number, issue_date, html, and any of ISSUE_COLUMNS).
+
+    Each micro-batch is a run with its own id over the issues that landed, so a batch that is
+    delivered again overwrites itself: every item is reported once. `page_texts` and
+    `justifications` are tables, read as they are when a batch starts; page texts stand in for a
+    body without paragraphs, a null html included. An issue that lands again is read again and its new
+    keys are reported. Issues with a failed call or without content are left open in the state and
+    closed by their next landing, or by the next listing run of the scope.
+    """
     spark = bodies.sparkSession
 
+    def nothing(schema) -> DataFrame:
+        return spark.createDataFrame([], schema)
+
     def process(batch: DataFrame, batch_id: int) -> None:
         run_id = f"{name}-{batch_id:012d}"
         now = datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
         stage = Stage(spark)
-        items = stage(new_items(batch, state.reported(run_id, scope.name), cfg, scope), "items")
-        persisted = state.mark_reported(items, run_id, now, tuple(cfg.key_columns), scope.name)
-        figures = batch.agg(
-            F.countDistinct("issue_id").alias("issues"), F.max("issue_date").alias("last")).first()
-        state.commit(state.log_row(
-            run_id=run_id, scope=scope.name, run_date=figures.last, run_ts=now, failures=0,
-            issues_scanned=figures.issues, new_items=items.count(), persisted=persisted), run_id)
+        rows = stage(landed_issues(batch, justifications is not None), "landed")
+        issues = rows.drop("html")
+        days = rows.agg(F.min("issue_date").alias("first"), F.max("issue_date").alias("last")).first()
+        window = (days.first or now.date(), days.last or now.date())
+        landed = Landed(
+            nothing(schemas.LISTING_PAGES), rows.select("issue_id", "html"),
+            nothing(schemas.PAGE_TEXTS) if page_texts is None else page_texts,
+            nothing(schemas.ISSUE_BODIES) if justifications is None else justifications)
+        texts = parsed_texts(issues, landed, cfg.min_paragraph_length, stage)
+        run_issues(
+            cfg, state, Worklist(window, issues, issues, issues), texts, run_id, window[1], now,
+            make_scorer, make_enricher, scope, True, report_root, stage)
         stage.drop()
 
     writer = bodies.writeStream.queryName(name).foreachBatch(process)

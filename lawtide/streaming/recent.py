@@ -12,12 +12,13 @@ from lawtide.operators.ordered import first_per
 def unique_in_stream(
     stream: DataFrame, time: str, keys: Sequence[str], lookback: str = "30 days",
 ) -> DataFrame:
-    """Keys are remembered for `lookback` of event time, then their state is dropped."""
+    """Keys are remembered for `lookback` of event time, then their state is dropped and a row of the
+    key comes out again. Rows later than `lookback` behind the newest of earlier batches are dropped."""
     return stream.withWatermark(time, lookback).dropDuplicatesWithinWatermark(list(keys))
 
 
 def unique_in_batch(
     rows: DataFrame, time: str, keys: Sequence[str], tie_break: Sequence[str] = (),
 ) -> DataFrame:
-    """First row per key: what the stream emits for rows in time order within the look-back."""
+    """First row per key: what the stream emits while no key is older than the look-back."""
     return first_per(rows, list(keys), [time, *tie_break])

@@ -4,11 +4,12 @@ import json
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lawtide.config import MonitorConfig
-from lawtide.functions.lexicon import Scope
+from lawtide.functions.lexicon import HR_SCOPE, Scope
 from lawtide.plans.report import in_report_order
-from lawtide.plans.run import Landed, run
+from lawtide.plans.run import Landed, run, run_scopes
 from lawtide.sources.workspace import Stage
 from lawtide.state import MonitorState
 
@@ -189,6 +190,27 @@ def test_scopes_keep_their_own_state(spark, state, landed):
     assert state.reported(scope="tax").count() == 1 and state.reported().count() == 3
 
 
+def test_scopes_of_one_run(spark, state, landed, tmp_path):
+    """As runs of one scope each, with texts read once and a state, a cap and open issues of their own."""
+    tax = Scope("tax", {"leave": ("szabadság",), "note": ("általános indokolás",)})
+    stage = Stage(spark, str(tmp_path / "stage"))
+    both = run_scopes(spark, MonitorConfig(), state, landed, "r1", DAY, NOW, [HR_SCOPE, tax], stage=stage)
+    assert both["hr"].counts["new_items"] == 3 and both["hr"].run_id == "r1-hr"
+    # The note hits every paragraph of its issue, and its topics are theirs.
+    assert {(r.issue_id, r.pos, tuple(r.matched_topics)) for r in both["tax"].scored.collect()} == {
+        ("2026/82", 1, ("leave",)), *(("2026/83", n, ("note",)) for n in range(3))}
+    assert {r.scope: r.n for r in state.reported().groupBy("scope").agg(F.count("*").alias("n")).collect()} == {"hr": 2, "tax": 3}
+    assert [p.name for p in (tmp_path / "stage").rglob("html_paragraphs")] == ["html_paragraphs"]
+    alone = MonitorState(spark, str(tmp_path / "alone")).create()
+    one = run(spark, MonitorConfig(), alone, landed, "r1", DAY, NOW, scope=tax)
+    assert one.counts == both["tax"].counts
+    # Notes are kept once per issue: not on staged paragraphs, nor on scored rows.
+    assert "justification_text" not in one.paragraphs.columns + one.scored.columns
+    assert run_scopes(spark, MonitorConfig(), state, landed, "r2", DAY, NOW, []) == {}
+    with pytest.raises(ValueError):
+        run_scopes(spark, MonitorConfig(), state, landed, "r2", DAY, NOW, [tax, tax])
+
+
 def test_repeated_landings_count_once(spark, state, landed):
     twice = Landed(landed.listing_pages, landed.bodies.union(landed.bodies), landed.page_texts, landed.justifications.union(landed.justifications))
     assert run(spark, MonitorConfig(), state, twice, "r1", DAY, NOW).counts["new_items"] == 3

@@ -1,15 +1,14 @@
 """Streams against the batch steps."""
 
-from datetime import date, datetime
+import json
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from lawtide.functions.lexicon import HR_SCOPE
 from lawtide.plans.catalog import TABLE_SCOPE
 from lawtide.state import MonitorState
-from lawtide.streaming.arrivals import monitor_arrivals, new_items
+from lawtide.streaming.arrivals import monitor_arrivals
 from lawtide.streaming.recent import unique_in_batch, unique_in_stream
-from lawtide.config import MonitorConfig
 
 SCHEMA = "issue_id string, issue_number string, issue_date date, html string"
 
@@ -50,11 +49,70 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "landed"))
     monitor_arrivals(stream, state, str(tmp_path / "offsets"), scope=TABLE_SCOPE).awaitTermination()
     assert state.run_log().count() == 4
-    batch = new_items(pages, state.reported().limit(0), MonitorConfig(), TABLE_SCOPE)
+    whole = MonitorState(spark, str(tmp_path / "whole")).create()
+    one = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "landed"))
+    monitor_arrivals(one, whole, str(tmp_path / "offsets_of_one"), scope=TABLE_SCOPE).awaitTermination()
+    assert whole.run_log().count() == 1
     keys = ["issue_number", "anchor"]
     got = {tuple(r) for r in state.reported().select(*keys, "score").collect()}
-    assert got and got == {tuple(r) for r in batch.select(*keys, "score").collect()}
-    assert HR_SCOPE.name == "hr"
+    assert got and got == {tuple(r) for r in whole.reported().select(*keys, "score").collect()}
+    assert {r.issue_id for r in state.progress().collect()} == {r.issue_id for r in whole.progress().collect()}
+
+
+def test_arrivals_take_every_step_of_a_run(spark, tmp_path):
+    """Model, note, page texts, failures and progress; an open issue closes when it lands again."""
+    state = MonitorState(spark, str(tmp_path / "state")).create()
+    folder = str(tmp_path / "landed")
+
+    def make_scorer():
+        def scorer(texts):
+            return [
+                RuntimeError("down") if "táppénz" in t and "megint" not in t
+                else json.dumps({"is_relevant": True, "score": 0.9, "one_line_summary_hu": "jegyzet" if "INDOK" in t else "-"})
+                for t in texts]
+        return scorer
+
+    texts = spark.createDataFrame(
+        [("2026/3", 1, "3. § A szabadság kiadásának szabályai változnak meg.")], "issue_id string, page_no long, page_text string")
+    notes = spark.createDataFrame(
+        [("2026/1", "<h1>x</h1><p>INDOK: a munkavállaló védelme.</p>")], "issue_id string, html string")
+
+    def drain():
+        stream = spark.readStream.schema(SCHEMA).parquet(folder)
+        monitor_arrivals(
+            stream, state, str(tmp_path / "offsets"), make_scorer=make_scorer, page_texts=texts,
+            justifications=notes).awaitTermination()
+
+    # No stem in the text of the first: its note makes it a candidate.
+    land(spark, folder, 1, "Ez a bekezdés önmagában semmiről sem szól.")
+    land(spark, folder, 2, "A táppénz szabályai is megváltoznak most.")
+    rows = [("2026/3", "2026. évi 3. szám", date(2026, 7, 3), None), ("2026/4", "2026. évi 4. szám", date(2026, 7, 4), None)]
+    spark.createDataFrame(rows, SCHEMA).write.mode("append").parquet(folder)
+    drain()
+    assert {(r.issue_number, r.anchor, r.one_line_summary) for r in state.reported().collect()} == {
+        ("2026. évi 1. szám", "1. §", "jegyzet"), ("2026. évi 3. szám", "3. §", "-")}
+    assert {(r.issue_id, r.reason) for r in state.open_issues("hr").collect()} == {
+        ("2026/2", "failed"), ("2026/4", "no content")}
+    assert {r.issue_id for r in state.progress().collect()} == {"2026/1", "2026/3"}
+    log = state.run_log().first()
+    assert (log.issues_scanned, log.failures, log.new_items, len(log.warnings)) == (4, 1, 2, 1)
+    land(spark, folder, 2, "A táppénz szabályai megint megváltoznak most.")
+    drain()
+    assert {r.issue_id for r in state.open_issues("hr").collect()} == {"2026/4"}
+
+
+def test_keys_expire_and_late_rows_are_dropped(spark, tmp_path):
+    schema, folder = "id long, ts timestamp, k string", str(tmp_path / "in")
+    for day_, k, n in ((1, "a", 1), (5, "a", 2), (40, "b", 3), (41, "a", 4)):
+        more = [(9, datetime(2026, 1, 5), "late")] if n == 4 else []
+        spark.createDataFrame([(n, datetime(2026, 1, 1) + timedelta(days=day_ - 1), k), *more], schema).coalesce(
+            1).write.mode("append").parquet(folder)
+        unique_in_stream(
+            spark.readStream.schema(schema).parquet(folder), "ts", ["k"], "10 days",
+        ).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option(
+            "path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    # Row 2 repeats within the look-back; "a" was forgotten when row 4 came; "late" is behind the watermark.
+    assert sorted(r.id for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()) == [1, 3, 4]
 
 
 def test_recent_keys(spark, tmp_path):
