@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose repeated chunks of lines; a document of which nothing is left goes. n_chars follows."""
+    """Texts lose repeated runs of lines; a document of which nothing is left goes. n_chars follows."""
     left = line_chunks.line_dedup(docs, Stage(spark)).where("n_removed = 0 OR text != ''")
     changed = {
         "text": F.col("text"),

@@ -1,9 +1,8 @@
-"""Line dedup with content-defined chunks of lines.
+"""Line dedup of whole repeated runs of lines.
 
-A rolling hash over the hashes of two neighbouring lines decides whether a chunk ends between lines, so
-boundaries depend on the lines around them and a passage is cut alike wherever it stands. Chunks of
-two or more lines that occur more than once in the corpus are removed from all places but the first, after
-their bytes have been compared.
+Every two neighbouring lines of a text are an anchor. A run of lines that stands at an earlier place too is
+the union of such pairs, so removing the later ones of equal pairs grows every match line by line to both
+ends of its run, from local content alone. Pairs are found by hash and decided by their bytes.
 """
 
 from __future__ import annotations
@@ -15,119 +14,95 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawtide.llm.words import U, slices, spans, words_of
+from lawtide.functions.binding import let
+from lawtide.llm.words import places, slices, spans, words_of
 from lawtide.sources.workspace import Stage
 
 #: Lines are all bytes but the line feed; a line of no byte belongs to the line before it.
 _IN_LINE = np.arange(256) != 10
-_CHUNKS = "array<struct<key: long, start: int, end: int, next: int, lines: int>>"
 
 
-def chunk_edges(hashes: np.ndarray, first: np.ndarray, least: int, divisor: int) -> list[int]:
-    """Where chunks begin, as line numbers, with the number of lines at the end.
+def _listed(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.append(0, np.cumsum(counts))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
-    A chunk may end after line i if the hash of lines i and i + 1 says so and it has `least` lines; a
-    text's last chunk ends with it.
-    """
-    pair = np.zeros(len(hashes), bool)
-    if len(hashes) > 1:
-        at = np.arange(len(hashes) - 1)
-        pair[:-1] = spans(hashes, at, 2) % U(divisor) == 0
-    edges = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        begin = a
-        for i in (np.flatnonzero(pair[a: b - 1]) + a + 1).tolist() if b > a else ():
-            if i - begin >= least and b - i >= least:
-                edges.append(begin)
-                begin = i
-        if b > a:
-            edges.append(begin)
-    return edges + [len(hashes)]
-
-
-def _chunked(least: int, divisor: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch["text"]):
-                part = batch.slice(a, b - a)
-                lines = words_of(part["text"], _IN_LINE, lower=False)
-                hashes = lines.hashes()
-                edges = np.array(chunk_edges(hashes, lines.first, least, divisor))
-                begin, after = edges[:-1], edges[1:]
-                doc = np.searchsorted(lines.first, begin, "right") - 1
-                size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in part["text"]])
-                origin = np.append(0, np.cumsum(size))
-                count = np.bincount(doc, minlength=b - a)
-                edge = np.append(0, np.cumsum(count))
-                key = np.empty(len(begin), U)
-                for n in np.unique(after - begin):
-                    same = after - begin == n
-                    key[same] = spans(hashes, begin[same], int(n))
-                start = lines.start[begin] - origin[doc]
-                end = lines.end[after - 1] - origin[doc]
-                last = np.append(doc[1:] != doc[:-1], True)[: len(doc)]
-                follow = np.where(last, size[doc], np.append(start[1:], 0)[: len(doc)])
-                head = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
-                start[head] = 0
-                cells = (key.view(np.int64), start, end, follow, after - begin)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-                chunks = pa.StructArray.from_arrays(
-                    [pa.array(c, k) for c, k in zip(cells, kinds)], ["key", "start", "end", "next", "lines"])
-                yield pa.RecordBatch.from_arrays(
-                    [part["row"], pa.array(lines.counts, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(edge, pa.int32()), chunks)],
-                    ["row", "n_lines", "chunks"])
-    return run
+
+def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the hashes of its pairs of lines, and where its lines start and end, in bytes."""
+    for batch in batches:
+        for a, b in slices(batch["text"]):
+            part = batch.slice(a, b - a)
+            lines = words_of(part["text"], _IN_LINE, lower=False)
+            size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in part["text"]])
+            origin = np.repeat(np.append(0, np.cumsum(size))[:-1], lines.counts)
+            keys = spans(lines.hashes(), places(lines.first, 2), 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part["row"], pa.array(lines.counts, pa.int64()),
+                 _listed(keys, np.maximum(lines.counts - 1, 0), pa.int64()),
+                 _listed(lines.start - origin, lines.counts, pa.int32()),
+                 _listed(lines.end - origin, lines.counts, pa.int32())],
+                ["row", "n_lines", "keys", "starts", "ends"])
 
 
 def line_dedup(
-    docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text", *,
-    least: int = 2, divisor: int = 3,
+    docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """All rows and columns of docs as the column `row`, with text (what is left), n_lines, n_removed.
 
-    n_lines counts lines of one byte or more; n_removed those removed. Of equal chunks the one with the
-    smallest (id, place) stays, a null id after all others; equal ids are told apart by the order in
-    which rows were read. A chunk has `least` lines or more unless its text has fewer; chunks of fewer
-    than two lines are never removed. Blank lines go with the chunk they follow; a text that loses its
-    last chunk ends with the last line left. null text stays null, the empty text empty; a text of one
-    line is kept. Any other columns are carried along unread, inside `row`.
+    n_lines counts lines of one byte or more; n_removed those removed. A line goes if it and a neighbour
+    stand, in this order, at an earlier place that shares no line with them; the first place of every
+    line stays. Earlier is the smaller (id, place), a null id after all others; equal ids are told
+    apart by the order in which rows were read. Lines are compared by their bytes; blank lines between them do
+    not matter and go with the line they follow; a text that loses its last line ends with the last
+    line left. null text stays null, the empty text empty; a text of one line is kept. Any other
+    columns are carried along unread, inside `row`.
     """
     source = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
-    chunked = stage(
+    lined = stage(
         source.mapInArrow(
-            _chunked(least, divisor),
-            source.select("row").withColumns(
-                {"n_lines": F.lit(0).cast("long"), "chunks": F.lit(None).cast(_CHUNKS)}).schema)
-        .withColumn("place", F.monotonically_increasing_id()), "chunked", compression="zstd")
+            _lined,
+            source.select("row").withColumns({
+                "n_lines": F.lit(0).cast("long"), "keys": F.lit(None).cast("array<long>"),
+                "starts": F.lit(None).cast("array<int>"), "ends": F.lit(None).cast("array<int>")}).schema)
+        .withColumn("place", F.monotonically_increasing_id()), "lined", compression="zstd")
     text, id_ = F.col(f"row.`{text_col}`").cast("string"), F.col(f"row.`{id_col}`")
 
-    each = chunked.select("place", id_.alias("id"), F.posexplode("chunks").alias("nth", "chunk"), text.alias("text"))
-    each = each.where("chunk.lines > 1")
-    keys = stage(
-        each.groupBy(F.col("chunk.key").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key"),
-        "keys")
-    span = F.substring(F.col("text").cast("binary"), F.col("chunk.start") + 1, F.col("chunk.end") - F.col("chunk.start"))
+    each = lined.select("place", F.posexplode("keys").alias("nth", "key"))
+    keys = stage(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     # Merged at any size: a plan that broadcasts small sides grows faster than its input.
+    pairs = stage(
+        each.join(keys.hint("merge"), "key", "left_semi").groupBy("place").agg(F.collect_list("nth").alias("pairs")),
+        "pairs")
+
+    def pair_bytes(binary, i):
+        line = [F.substring(binary, F.get("starts", j) + 1, F.get("ends", j) - F.get("starts", j)) for j in (i, i + 1)]
+        return F.struct(i.alias("nth"), F.concat(line[0], F.lit("\n").cast("binary"), line[1]).alias("bytes"))
+
     alike = stage(
-        each.select("place", "nth", "id", F.col("chunk.key").alias("key"), span.alias("bytes"))
-        .join(keys.hint("merge"), "key", "left_semi"), "alike", compression="zstd")
+        lined.select("place", id_.alias("id"), text.alias("text"), "starts", "ends")
+        .join(pairs.hint("merge"), "place")
+        .select("place", "id", F.explode(let(
+            F.col("text").cast("binary"), lambda b: F.transform("pairs", lambda i: pair_bytes(b, i)))).alias("pair"))
+        .select("place", "id", "pair.nth", "pair.bytes"), "alike", compression="zstd")
     order = F.struct(F.col("id").isNull(), "id", "place", "nth")
     groups = stage(
-        alike.groupBy("key", "bytes").agg(F.min(order).alias("stays"), F.count("*").alias("n")).where("n > 1")
-        .select("key", "bytes", F.col("stays.place").alias("stays"), F.col("stays.nth").alias("as_nth")),
+        alike.groupBy("bytes").agg(F.min(order).alias("stays"), F.count("*").alias("n")).where("n > 1")
+        .select("bytes", F.col("stays.place").alias("stays"), F.col("stays.nth").alias("as_nth")),
         "groups", compression="zstd")
     removed = stage(
-        alike.join(groups, ["key", "bytes"]).where("place != stays OR nth != as_nth")
-        .groupBy("place").agg(F.collect_list("nth").alias("removed")), "removed")
-
-    binary = text.cast("binary")
-    left = F.filter("chunks", lambda c, i: ~F.array_contains("removed", i))
-    kept = F.array_join(F.transform(
-        left, lambda c: F.substring(binary, c["start"] + 1, c["next"] - c["start"]).cast("string")), "")
-    gone = F.filter("chunks", lambda c, i: F.array_contains("removed", i))
-    lines = F.aggregate(gone, F.lit(0).cast("long"), lambda n, c: n + c["lines"])
+        alike.join(groups.hint("merge"), "bytes").where("place != stays OR nth > as_nth + 1")
+        .groupBy("place").agg(F.array_sort(F.array_distinct(F.flatten(
+            F.collect_list(F.array(F.col("nth"), F.col("nth") + 1))))).alias("removed")), "removed")
+
+    # What is left lies between removed lines: from the line after one to the start of the next.
+    begin = lambda i: F.when(i == 0, 0).when(i == F.col("n_lines"), F.octet_length(text)).otherwise(F.get("starts", i))
+    gaps = F.arrays_zip(
+        F.concat(F.array(F.lit(-1)), "removed").alias("before"),
+        F.concat("removed", F.array(F.col("n_lines").cast("int"))).alias("to"))
+    left = F.filter(gaps, lambda g: g["before"] + 1 < g["to"])
+    kept = let(text.cast("binary"), lambda b: F.array_join(F.transform(left, lambda g: F.substring(
+        b, begin(g["before"] + 1) + 1, begin(g["to"]) - begin(g["before"] + 1)).cast("string")), ""))
     cut = F.col("removed").isNotNull()
-    return chunked.join(removed.hint("merge"), "place", "left").select(
+    return lined.join(removed.hint("merge"), "place", "left").select(
         "row", F.when(cut, F.rtrim(kept, F.lit("\n"))).otherwise(text).alias("text"), "n_lines",
-        F.when(cut, lines).otherwise(F.lit(0)).cast("long").alias("n_removed"))
+        F.when(cut, F.size("removed")).otherwise(0).cast("long").alias("n_removed"))

@@ -406,6 +406,43 @@ def test_line_dedup(spark):
     assert line_chunks.line_dedup(docs.limit(0), Stage(spark)).count() == 0
 
 
+def runs_left(rows):
+    """Lines that stand with a neighbour at an earlier place apart from them go; all in plain Python."""
+    first, out = {}, {}
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)):
+        i, text = rows[k]
+        pieces = re.findall(r"[^\n]+\n*", (text or "").lstrip("\n"))
+        lines = [p.rstrip("\n") for p in pieces]
+        gone = set()
+        for j, pair in enumerate(zip(lines, lines[1:])):
+            at = first.setdefault(pair, (k, j))
+            if at[0] != k or at[1] + 1 < j:
+                gone |= {j, j + 1}
+        if lines:
+            pieces[0] = text[: len(text) - len(text.lstrip("\n"))] + pieces[0]
+        left = "".join(p for j, p in enumerate(pieces) if j not in gone)
+        out[k] = (i, left.rstrip("\n") if gone else text, len(lines), len(gone))
+    return [out[k] for k in range(len(rows))]
+
+
+def test_line_dedup_takes_whole_runs(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [" ".join(rng.choice(WORDS) for _ in range(6)) for _ in range(n)]
+    blocks = [fresh(n) for n in (2, 2, 3, 4, 7, 20)]
+    rows = line_rows()
+    for i in range(100, 160):
+        block = blocks[i % 6]
+        rows.append((i, "\n".join(fresh(rng.randint(0, 4)) + block[rng.randint(0, 1) if len(block) > 2 else 0:] + fresh(rng.randint(0, 4)))))
+    rows += [(200, "é ñ\nb – b\nc"), (201, "\n\nx\né ñ\n\n\nb – b\ny\n"), (202, "b – b\né ñ"), (203, "a\na\na"), (204, "a\na\na\na\nq"),
+             (205, "p\nr\np\nr\np\n"), (None, "y\nx\nx\né ñ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_chunks.line_dedup(docs.coalesce(1), Stage(spark)).select("row.doc_id", "text", "n_lines", "n_removed")
+    same(got, runs_left(rows))
+    held = {r[0]: r for r in got.collect()}
+    assert all(held[i]["n_removed"] >= 2 for i in range(112, 160)), "no run is too short, none loses its ends only"
+    assert (held[202]["n_removed"], held[203]["text"], held[204]["n_removed"]) == (0, "a\na\na", 4)
+
+
 ARTICLE = "<h1>Title &amp; more</h1><p>First <b>bo</b>ld\n  text here.<p>Second&nbsp;block of words &lt;ok&gt;"
 PAGES = [
     (f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href='/'>Home page link</a></nav><div class='ad'>Buy this now please today</div>"
