@@ -687,11 +687,11 @@ def l1_report_lines(t: Tables) -> DataFrame:
 
 @query
 def l2_empty_reports(t: Tables) -> DataFrame:
-    # Runs of the log, without items: those that found nothing say so.
-    runs = t.v_runs.select(
+    # Runs of the log that no item belongs to; those that found nothing say so.
+    runs = t.v_runs.join(t.v_items.select("run_id").distinct(), "run_id", "left_anti").select(
         "run_id", "run_date", F.date_sub("run_date", 30).alias("window_start"),
         F.col("run_date").alias("window_end"), "issues_scanned", "new_items", "threshold", "run_ts")
-    lines = report.report_lines(runs, t.v_items.limit(0), t.v_issue.select("issue_number", F.col("view_url").alias("url")))
+    lines = report.report_lines(runs, t.v_items, t.v_issue.select("issue_number", F.col("view_url").alias("url")))
     return lines.where("part = 0").select(
         "run_id", F.col("line_no").cast("long").alias("line_no"), "line")
 

@@ -176,3 +176,18 @@ def test_state_is_pruned_by_month(spark, tmp_path):
     state.mark_reported(items.withColumn("content_hash", F.lit("h")), "r1", datetime(2026, 7, 2))
     text = plan(state.reported(months=["2026-07"]))
     assert re.search(r"PartitionFilters: \[[^\]]*issue_month[^\]]*2026-07", text)
+
+
+def test_empty_reports_read_the_items(spark):
+    """A run of the log that an item belongs to has no empty report; all others have."""
+    class WithItem(Tables):
+        def _make(self, name):
+            made = super()._make(name)
+            return made.withColumn("run_id", F.lit(run_id)) if name == "v_items" else made
+
+    plain = Tables(spark, SF)
+    run_id = plain.v_runs.agg(F.min("run_id")).first()[0]
+    assert plain.v_items.count() > 0
+    every = {r[0] for r in QUERIES["l2_empty_reports"](plain).select("run_id").distinct().collect()}
+    left = {r[0] for r in QUERIES["l2_empty_reports"](WithItem(spark, SF)).select("run_id").distinct().collect()}
+    assert every == {r[0] for r in plain.v_runs.select("run_id").collect()} and left == every - {run_id}
