@@ -17,7 +17,8 @@ a probability equal to their Jaccard similarity, so bands of either kind are unb
 5. Every other link needs a common element of both D, and a common one among the rarest (prefix
    filter): of the elements of D, rarest within the family first, the first |D| - o + 1 of both share one
    if the overlap is o or more. So the remaining candidates come from an equi-join on (family,
-   rare element) and are confirmed on D. No pair is made because two nodes are in one group.
+   rare element) and are confirmed on D. No pair is made because two nodes are in one group,
+   but a second cluster of near copies not linked to the centre shares its rarest elements: all its pairs come.
 """
 
 from __future__ import annotations
