@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawtide.functions.binding import let
 from lawtide.llm import (
-    backoff, chat, exact, language, line_chunks, minhash, mixing, page_text, phrase_index, substrings)
+    backoff, chat, exact, language, line_chunks, merkle, minhash, mixing, page_text, periodic, phrase_index, substrings,
+    url_rules)
 from lawtide.sources.workspace import Stage
 
 
@@ -74,6 +76,55 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.chat_windows(turns.unionByName(probe)))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def repeated(w):
+        n, g = F.size(w).cast("long"), F.floor(h / 10)
+        return let(g % n, lambda a: let(1 + F.floor((n - a) / (3 + g % 8)), lambda p: F.array_join(F.transform(
+            F.sequence(F.lit(0).cast("long"), n - 1),
+            lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    made = docs.withColumn("text", F.when(
+        h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(""))).otherwise(F.col("text")))
+    found = periodic.periodic_runs(made)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda best, run: F.when(
+        best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return (
+        found.withColumns({"best": best, "listed": listed})
+        .select(
+            "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+            F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+            F.sha2(F.when(F.col("listed") == "", "").otherwise(F.concat("listed", F.lit("\n"))), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+#: (host, path, verdict) of the checked rules.
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op12_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    told = url_rules.url_verdicts(table(spark, folder, "pages").select("page_id", "url"), rules, Stage(spark))
+    return told.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    less = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    rows = docs.select(
+        "doc_id", "source", merkle.leaf(*fields).alias("leaf"), merkle.leaf(*fields[:-1], less).alias("tampered"))
+    told = merkle.manifest(rows, Stage(spark))
+    return told.withColumn("folded_root", merkle.folded(F.col("row.tampered"), F.col("proof"))).select(
+        "row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash, op2_decontamination, op3_substring_dedup, op4_lm_scoring, op5_exact_dedup, op6_line_dedup,
-    op7_html_text, op8_language_id, op9_mixing, op10_chat_format)}
+    op7_html_text, op8_language_id, op9_mixing, op10_chat_format, op11_periodic_runs, op12_url_filters, op13_merkle)}
