@@ -9,16 +9,20 @@ a probability equal to their Jaccard similarity, so bands of either kind are unb
 3. Nodes that share a bucket of any band belong to one family: every node points to its bucket's
    smallest node, and a family is what these pointers connect. The node that shares buckets with the most
    others is the family's centre.
-4. Within a family, sets are replaced by their differences D from the centre's set, as the symmetric
+4. Sets are replaced by their differences D from the set of a centre, the frame, as the symmetric
    difference of two sets equals that of their D. With sizes known, w = (100 + p) |D| - (100 - p) |set|
    says how far a set is from the centre, and x and y are linked exactly if
    w_x + w_y <= 2 (100 + p) |D_x & D_y|. All pairs with w_x + w_y <= 0 are linked, and so is either of them
-   with the node of the smallest w: one star per family stands for all of these links.
-5. Every other link needs a common element of both D, and a common one among the rarest (prefix
-   filter): of the elements of D, rarest within the family first, the first |D| - o + 1 of both share one
-   if the overlap is o or more. So the remaining candidates come from an equi-join on (family,
-   rare element) and are confirmed on D. No pair is made because two nodes are in one group,
-   but a second cluster of near copies not linked to the centre shares its rarest elements: all its pairs come.
+   with the node of the smallest w: one star per frame stands for all of these links.
+5. Nodes beyond the star look for a nearer centre: of the node pointers they share with the most others
+   beyond it, the most central one. Rounds go on while they move enough nodes, so a second cluster of near
+   copies in a family gets a frame and a star of its own.
+6. Every other link needs a common element of both D, and a common one among the rarest (prefix
+   filter): of the elements of D, rarest within the frame first, the first |D| - o + 1 of both share one
+   if the overlap is o or more. So nodes meet by an equi-join on (frame, rare element), where what a
+   cluster has in common is in no D; nodes of two frames of a family meet by differences from the
+   family's centre. Where nodes share a rare element, each is compared with the nearest of them first; all
+   other pairs are compared only between parts that are not connected then. All links are confirmed on D.
 """
 
 from __future__ import annotations
@@ -109,8 +113,8 @@ def _signed(n: int, bands: int, rows: int):
                         pa.array(np.arange(0, (len(some) + 1) * bands, bands), pa.int32()),
                         pa.array(band_keys(keys, begin, bands, rows).view(np.int64).ravel())).take(pick)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(a, b - a), pa.array(sizes, pa.int64()), digest, lists],
-                    ["id", "n_shingles", "digest", "bands"])
+                    [batch["id"].slice(a, b - a), batch["key"].slice(a, b - a), pa.array(sizes, pa.int64()), digest, lists],
+                    ["id", "key", "n_shingles", "digest", "bands"])
     return run
 
 
@@ -131,6 +135,7 @@ def _sets(n: int):
 
 
 def _differences(percent: int):
+    """Sets as differences from that of their frame, where that is nearer than `was`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, lists = [], []
@@ -141,10 +146,11 @@ def _differences(percent: int):
             apart = np.array([len(x) for x in lists], np.int64)
             w = (100 + percent) * apart - (100 - percent) * np.array(sizes, np.int64)
             values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            nearer = w < batch["was"].to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [batch["family"], batch["node"], pa.array(w), pa.array(apart), pa.ListArray.from_arrays(
+                [batch["family"], batch["frame"], batch["node"], pa.array(w), pa.array(apart), pa.ListArray.from_arrays(
                     pa.array(np.cumsum([0, *apart]), pa.int32()), pa.array(values))],
-                ["family", "node", "w", "apart", "diff"])
+                ["family", "frame", "node", "w", "apart", "diff"]).filter(pa.array(nearer))
     return run
 
 
@@ -168,14 +174,17 @@ def near_duplicates(
     name unless all ids in it are null. Columns beyond the two named are not read.
     """
     id_type = docs.schema[id_col].dataType
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     kind = id_type.simpleString()
     signed = stage(source.mapInArrow(
         _signed(shingle, bands, rows),
-        f"id {kind}, n_shingles long, digest binary, bands array<long>"), "signed")
+        f"id {kind}, key long, n_shingles long, digest binary, bands array<long>"), "signed")
+    # The row that a node's text is read from is named by id and text, as ids may be null or repeat.
     nodes = stage(
         signed.where("digest IS NOT NULL").groupBy("digest")
-        .agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+        .agg(F.min("id").alias("id"), F.first("bands").alias("bands"),
+             F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key")).alias("of"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     in_band = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -188,7 +197,7 @@ def near_duplicates(
         stage, "families").withColumnRenamed("component", "family")
     crowds = met.groupBy("node").agg(F.sum("members").alias("crowd"))
     families = stage(
-        families.join(crowds, "node").join(nodes.select("node", "digest", F.col("id").alias("of")), "node"),
+        families.join(crowds, "node").join(nodes.select("node", "digest", "of.id", "of.key"), "node"),
         "families")
     centres = stage(
         families.groupBy("family")
@@ -196,30 +205,13 @@ def near_duplicates(
         .select("family", (-F.col("minus")).alias("centre")), "centres")
 
     # Merged at any size: a plan that broadcasts small sides grows faster than its input.
+    wanted = families.select("family", "node", "digest", F.col("id").alias("of_id"), F.col("key").alias("of_key"))
     sets = stage(
-        source.join(families.hint("merge"), F.col("id").eqNullSafe(F.col("of"))).select("family", "node", "digest", "text")
+        source.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")))
+        .select("family", "node", "digest", "text")
         .mapInArrow(_sets(shingle), "family long, node long, members binary")
         .dropDuplicates(["node"]), "sets")
-    of_centre = stage(
-        centres.join(sets.select("node", "members"), F.col("centre") == F.col("node"))
-        .select("family", F.col("members").alias("of_centre")), "of_centre")
-    diffs = stage(
-        sets.join(of_centre, "family").select("family", "node", "members", "of_centre")
-        .mapInArrow(_differences(percent), "family long, node long, w long, apart long, diff array<long>"),
-        "diffs")
-
-    nearest = diffs.groupBy("family").agg(
-        F.min(F.struct("w", "node")).alias("least"), F.count("*").alias("nodes"))
-    weighed = stage(
-        diffs.drop("diff").join(nearest, "family")
-        .select("family", "node", "w", "apart", "nodes", F.col("least.w").alias("w_least"),
-                F.col("least.node").alias("nearest"))
-        .withColumn("out", (F.col("w") + F.col("w_least") > 0) & (F.col("node") != F.col("nearest"))),
-        "weighed")
-    star = weighed.where("NOT out AND node != nearest").select(
-        F.col("nearest").alias("a"), F.col("node").alias("b"))
-    links = stage(star.unionByName(_beyond_star(weighed, diffs, stage, 2 * (100 + percent))), "links")
-    reached = components(links, stage, "reached")
+    reached = components(_links(sets, centres, families, met, stage, percent), stage, "reached")
 
     placed = nodes.select("node", "digest", "id").join(reached, "node", "left")
     placed = stage(placed.select(
@@ -234,42 +226,213 @@ def near_duplicates(
             F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-def _beyond_star(weighed: DataFrame, diffs: DataFrame, stage: Stage, unit: int) -> DataFrame:
-    """Links (a, b) of nodes that are not linked with their family's nearest node: with each other or
-    with any other node of the family. Two nodes need an overlap of (w + w') / unit elements."""
-    def needed(one, two):
-        return F.ceil((one + two) / F.lit(unit))
+#: A family takes part in a round of finding centres with as many nodes beyond stars; a round that moves
+#: less than this share of them is the last. Both decide on the work only, not on the links.
+_FEWEST, _SHARE = 8, 1 / 16
+
+
+def _links(
+    sets: DataFrame, centres: DataFrame, families: DataFrame, met: DataFrame, stage: Stage, percent: int,
+) -> DataFrame:
+    """Links (a, b) that connect what all links connect."""
+    unit = 2 * (100 + percent)
+
+    def differences(asked: DataFrame, frames: DataFrame, on: str, name: str) -> DataFrame:
+        """Differences of sets (family, node, members, was) from the set of their frame (frame, and `on`)."""
+        centred = stage(
+            frames.join(sets.select(F.col("node").alias("frame"), F.col("members").alias("of_centre")), "frame"),
+            f"{name}_centres")
+        return stage(
+            asked.join(centred, on).select("family", "frame", "node", "was", "members", "of_centre")
+            .mapInArrow(_differences(percent), "family long, frame long, node long, w long, apart long, diff array<long>"),
+            f"{name}_diffs")
+
+    first = framed = differences(
+        sets.withColumn("was", F.lit(2**62)), centres.withColumnRenamed("centre", "frame"), "family", "round_0")
+    turn = 0
+    while True:
+        weighed = stage(_weighed(framed), f"weighed_{turn}")
+        far = weighed.where("out").select("family", "node", F.col("w").alias("was"))
+        many = far.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") >= _FEWEST)
+        far = stage(far.join(many.select("family"), "family"), f"far_{turn}")
+        waiting = far.count()
+        if not waiting:
+            break
+        turn += 1
+        at_hub = stage(
+            met.select("node", "hub").distinct().join(far, "node").join(families.select("node", "crowd"), "node"), f"at_hub_{turn}")
+        hubs = at_hub.groupBy("hub").agg(
+            F.count("*").alias("n"), F.max(F.struct("crowd", (-F.col("node")).alias("minus"))).alias("centre"))
+        chosen = stage(
+            at_hub.join(hubs, "hub").groupBy("family", "node", "was")
+            .agg(F.max(F.struct("n", "hub", (-F.col("centre.minus")).alias("frame"))).alias("best"))
+            .select("family", "node", "was", F.col("best.frame").alias("frame")), f"chosen_{turn}")
+        own = chosen.select(F.col("frame").alias("own")).distinct()
+        asked = stage(
+            chosen.join(own, F.col("node") == F.col("own"), "left")
+            .select("family", "node", "was", F.coalesce("own", "frame").alias("frame")), f"asked_{turn}")
+        moved = differences(
+            sets.join(asked.drop("family"), "node"), asked.select("frame").distinct(), "frame", f"round_{turn}")
+        framed = stage(
+            framed.join(moved.select("node"), "node", "left_anti").unionByName(moved), f"framed_{turn}")
+        if moved.count() < _SHARE * waiting:
+            weighed = stage(_weighed(framed), f"weighed_{turn}")
+            break
+
+    star = weighed.where("NOT out AND node != nearest").select(
+        F.col("nearest").alias("a"), F.col("node").alias("b"))
+    links = star.unionByName(_within_frames(weighed, framed, stage, unit))
+    if turn:
+        links = stage(links, "links_of_frames")
+        links = links.unionByName(_between_frames(weighed, first, links, stage, unit))
+    return stage(links, "links")
+
+
+def _needed(one, two, unit: int):
+    """The least overlap of two differences that makes a link."""
+    return F.ceil((one + two) / F.lit(unit))
 
-    open_families = stage(
-        weighed.where("nodes > 2").groupBy("family")
-        .agg(F.min(F.when(F.col("out"), F.col("w"))).alias("w_out")).where("w_out IS NOT NULL"),
-        "open_families")
-    elements = (
-        weighed.join(open_families, "family").join(diffs.select("node", "diff"), "node")
-        .select("family", "node", "w", "apart", "out", "w_least", "w_out", F.explode("diff").alias("element")))
+
+def _weighed(framed: DataFrame) -> DataFrame:
+    nearest = framed.groupBy("frame").agg(F.min(F.struct("w", "node")).alias("least"))
+    return (
+        framed.drop("diff").join(nearest, "frame")
+        .select("family", "frame", "node", "w", "apart", F.col("least.w").alias("w_least"),
+                F.col("least.node").alias("nearest"))
+        .withColumn("out", (F.col("w") + F.col("w_least") > 0) & (F.col("node") != F.col("nearest"))))
+
+
+def _ranked(rows: DataFrame, diffs: DataFrame, key: str, stage: Stage, name: str) -> DataFrame:
+    """An element of D a row, with its place in D when ordered by how many nodes of the key have it;
+    elements of one node alone come first and are left out."""
+    elements = rows.join(diffs.select("node", "diff"), "node").withColumn("element", F.explode("diff")).drop("diff")
     common = stage(
-        elements.groupBy("family", "element").agg(F.count("*").alias("n")).where("n > 1"), "common")
-    own = Window.partitionBy("family", "node")
+        elements.groupBy(key, "element").agg(F.count("*").alias("n")).where("n > 1"), f"{name}_common")
+    own = Window.partitionBy(key, "node")
     place = (
         F.col("apart") - F.count("*").over(own)
         + F.row_number().over(own.orderBy("n", "element")))
+    return elements.join(common, [key, "element"]).withColumn("place", place)
+
+
+def _within_frames(weighed: DataFrame, diffs: DataFrame, stage: Stage, unit: int) -> DataFrame:
+    """Links between nodes of one frame, one of them at least beyond the star."""
+    open_frames = stage(
+        weighed.groupBy("frame")
+        .agg(F.min(F.when(F.col("out"), F.col("w"))).alias("w_out")).where("w_out IS NOT NULL"), "open_frames")
+    rows = weighed.join(open_frames, "frame").select(
+        "frame", "node", "w", "apart", "out", "w_least", "w_out",
+        F.when(F.col("out"), F.col("node")).otherwise(F.col("nearest")).alias("part"))
+    as_any = F.col("apart") - _needed(F.col("w"), F.col("w_out"), unit) + 1
+    as_out = F.col("apart") - _needed(F.col("w"), F.col("w_least"), unit) + 1
     ranked = stage(
-        elements.join(common, ["family", "element"]).withColumn("place", place)
-        .withColumn("as_any", F.col("apart") - needed(F.col("w"), F.col("w_out")) + 1)
-        .withColumn("as_out", F.col("apart") - needed(F.col("w"), F.col("w_least")) + 1)
-        .where("place <= as_any OR (out AND place <= as_out)"), "ranked")
-    one = ranked.where("place <= as_any").alias("one")
-    two = ranked.where("out AND place <= as_out").alias("two")
-    least = needed(F.col("one.w"), F.col("two.w"))
-    pairs = stage(
-        one.join(two, (F.col("one.family") == F.col("two.family")) & (F.col("one.element") == F.col("two.element"))
-                 & (F.col("one.node") != F.col("two.node"))
-                 & (~F.col("one.out") | (F.col("one.node") < F.col("two.node")))
-                 & (F.col("one.place") <= F.col("one.apart") - least + 1)
-                 & (F.col("two.place") <= F.col("two.apart") - least + 1))
-        .select(F.col("one.node").alias("a"), F.col("two.node").alias("b"), least.alias("least"))
-        .distinct(), "pairs")
-    return (
+        _ranked(rows, diffs, "frame", stage, "within")
+        .where((F.col("place") <= as_any) | (F.col("out") & (F.col("place") <= as_out)))
+        .select("frame", "element", "node", "w", "apart", "place", "part"), "within_ranked")
+    return _connecting(ranked, diffs, "frame", stage, unit, "within")
+
+
+def _between_frames(weighed: DataFrame, first: DataFrame, links: DataFrame, stage: Stage, unit: int) -> DataFrame:
+    """Links between nodes of two frames of one family, by differences from the family's centre."""
+    several = stage(
+        weighed.groupBy("family").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")).where("lo < hi"), "several")
+    rows = (
+        weighed.join(several.select("family"), "family")
+        .select("node", "frame", (F.lit(unit) * F.col("apart") - F.col("w")).alias("spread"))
+        .join(first.select("family", "node", "w", "apart"), "node"))
+    # The least w of any other frame: that of the family, or for its own frame the next.
+    of_frame = stage(rows.groupBy("family", "frame").agg(F.min("w").alias("w_min")), "of_frame")
+    lowest = of_frame.groupBy("family").agg(F.min(F.struct("w_min", "frame")).alias("lowest"))
+    beside = of_frame.join(lowest, "family")
+    is_lowest = F.col("frame") == F.col("lowest.frame")
+    next_ = beside.groupBy("family").agg(F.min(F.when(~is_lowest, F.col("w_min"))).alias("w_next"))
+    other = beside.join(next_, "family").select(
+        "frame", F.when(is_lowest, F.col("w_next")).otherwise(F.col("lowest.w_min")).alias("w_other"))
+    known = components(
+        links.join(rows.select(F.col("node").alias("a")), "a", "left_semi"), stage, "known")
+    ranked = stage(
+        _ranked(rows.join(other, "frame"), first, "family", stage, "between")
+        .where(F.col("place") <= F.col("apart") - F.greatest(_needed(F.col("w"), F.col("w_other"), unit), F.lit(1)) + 1)
+        .join(known, "node", "left")
+        .select("family", "element", "node", "w", "apart", "place", "spread",
+                F.coalesce("component", "node").alias("part"), F.col("frame").alias("side")), "between_ranked")
+
+    # Symmetric differences are a metric: two nodes differ by what their frames' centres differ at least, less
+    # what each differs from its centre. `bound` is that of the centres; a link needs bound <= both spreads.
+    sides = ranked.select("family", "element", "side").distinct()
+    meet = (
+        sides.join(sides.select("family", "element", F.col("side").alias("other_side")), ["family", "element"])
+        .where("side < other_side").select("side", "other_side").distinct())
+    diff = lambda node, name: first.select(F.col("node").alias(node), F.col("diff").alias(name))
+    distance = (
+        F.size("of_side") + F.size("of_other") - 2 * F.size(F.array_intersect("of_side", "of_other"))).cast("long")
+    widest = ranked.groupBy("side").agg(F.max("spread").alias("widest"))
+    near = stage(
+        meet.join(diff("side", "of_side"), "side").join(diff("other_side", "of_other"), "other_side")
+        .select("side", "other_side", (distance * (unit // 2)).alias("bound"))
+        .join(widest, "side").join(widest.select(F.col("side").alias("other_side"), F.col("widest").alias("as_wide")), "other_side")
+        .where("bound <= widest + as_wide").select("side", "other_side", "bound"), "near_frames")
+    near = near.union(near.select("other_side", "side", "bound"))
+    return _connecting(ranked, first, "family", stage, unit, "between", near)
+
+
+def _connecting(
+    ranked: DataFrame, diffs: DataFrame, key: str, stage: Stage, unit: int, name: str, near: DataFrame | None = None,
+) -> DataFrame:
+    """Links (a, b) that connect what all links between nodes of ranked connect; with `near`, those
+    between nodes of two sides (side, other_side, bound) it lists whose spreads reach the bound.
+
+    ranked: the places of a node's rare elements; part: what it is connected with already. First all
+    nodes with an element are compared with the nearest one that has it. Most are connected
+    then, and every other pair is compared only where the parts still differ.
+    """
+    sharing, sides = [key, "element"], [] if near is None else ["side"]
+    spread = [] if near is None else ["spread"]
+    hubs = (
+        ranked.groupBy(*sharing).agg(
+            F.min(F.struct("w", "node", "part", *sides, *spread)).alias("hub"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+        .where("lo < hi"))
+    beside = ranked.join(hubs, sharing).where("part != hub.part")
+    if near is not None:
+        beside = (
+            beside.withColumn("other_side", F.col("hub.side")).join(near, ["side", "other_side"])
+            .where("bound <= spread + hub.spread"))
+    at_hub = stage(
+        beside.select(
+            F.col("hub.node").alias("a"), F.col("node").alias("b"),
+            F.greatest(_needed(F.col("w"), F.col("hub.w"), unit), F.lit(0)).alias("least"),
+            F.col("hub.part").alias("part_a"), F.col("part").alias("part_b")).distinct(), f"{name}_hub_pairs")
+    by_hub = _confirmed(at_hub, diffs, stage, f"{name}_hub")
+    joined = components(
+        by_hub.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), stage, f"{name}_joined")
+    placed = stage(
+        ranked.join(joined.withColumnRenamed("node", "part"), "part", "left")
+        .withColumn("part", F.coalesce("component", "part")).drop("component"), f"{name}_placed")
+
+    apart = placed.groupBy(*sharing).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    parts = stage(
+        placed.select(*sharing, "part", *sides).distinct().join(apart.select(*sharing), sharing), f"{name}_parts")
+    others = parts.select(*sharing, *[F.col(c).alias(f"other_{c}") for c in ("part", *sides)])
+    meet = parts.join(others, sharing).where("part < other_part")
+    meet = stage(meet if near is None else meet.join(near, ["side", "other_side"]), f"{name}_meet")
+    one = placed.join(meet, [*sharing, "part", *sides]).alias("one")
+    two = placed.alias("two")
+    same = F.lit(True)
+    for c, other in [(c, c) for c in sharing] + [(c, f"other_{c}") for c in ("part", *sides)]:
+        same = same & (F.col(f"one.{other}") == F.col(f"two.{c}"))
+    least = F.greatest(_needed(F.col("one.w"), F.col("two.w"), unit), F.lit(0))
+    crossing = stage(
+        one.join(two, same & (F.col("one.place") <= F.col("one.apart") - least + 1)
+                 & (F.col("two.place") <= F.col("two.apart") - least + 1)
+                 & (F.lit(True) if near is None else F.col("one.bound") <= F.col("one.spread") + F.col("two.spread")))
+        .select(F.col("one.node").alias("a"), F.col("two.node").alias("b"), least.alias("least")).distinct(),
+        f"{name}_pairs")
+    return by_hub.select("a", "b").unionByName(_confirmed(crossing, diffs, stage, name).select("a", "b"))
+
+
+def _confirmed(pairs: DataFrame, diffs: DataFrame, stage: Stage, name: str) -> DataFrame:
+    """The pairs (a, b, least, ...) whose differences overlap in `least` elements."""
+    return stage(
         pairs.join(diffs.select(F.col("node").alias("a"), F.col("diff").alias("of_a")), "a")
         .join(diffs.select(F.col("node").alias("b"), F.col("diff").alias("of_b")), "b")
-        .where(F.size(F.array_intersect("of_a", "of_b")) >= F.col("least")).select("a", "b"))
+        .where(F.size(F.array_intersect("of_a", "of_b")) >= F.col("least")).drop("of_a", "of_b"), f"{name}_confirmed")

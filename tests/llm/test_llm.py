@@ -166,6 +166,62 @@ def test_near_duplicates_of_a_large_family(spark):
     same(got, near_expected(rows, 3, 85))
 
 
+def templates(rng, n_templates, copies, n_words=220, changed=16, edits=2):
+    """Texts around templates that differ from the first one in spread words, and edits of each."""
+    first = [f"t{i}" for i in range(n_words)]
+    texts = []
+    for t in range(n_templates):
+        base = list(first)
+        for i in rng.sample(range(n_words), changed if t else 0):
+            base[i] = f"c{t}x{i}"
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(rng.randint(1, edits)):
+                words[rng.randrange(n_words)] = f"e{rng.randrange(10 ** 6)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+class Rows(Stage):
+    """Counts the rows of each table that holds candidate pairs or places of the prefix filter."""
+
+    def __call__(self, df, name, *args, **options):
+        out = super().__call__(df, name, *args, **options)
+        self.counts = getattr(self, "counts", {})
+        if name.endswith("pairs"):
+            self.counts[name] = self.counts.get(name, 0) + out.count()
+        return out
+
+
+@pytest.mark.parametrize("n, changed, edits", [(2, 16, 2), (5, 14, 3), (3, 9, 4)])
+def test_near_duplicates_of_several_clusters(spark, n, changed, edits):
+    """Clusters of near copies in one family: links as by brute force, and candidates in proportion to rows."""
+    rows = list(enumerate(templates(random.Random(n), n, 60, changed=changed, edits=edits)))
+    stage = Rows(spark)
+    got = minhash.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), stage, shingle=5, percent=80)
+    same(got, near_expected(rows, 5, 80))
+    assert sum(stage.counts.values()) <= 3 * len(rows), stage.counts
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows that share an id or have none: each text is read once for its node."""
+    texts = templates(random.Random(1), 1, 1) + [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(60)] * 2
+    rows = [(None if i % 2 else 7, t + (" more" if i > 60 else "")) for i, t in enumerate(texts)]
+
+    plans = []
+
+    class Sets(Stage):
+        def __call__(self, df, name, *args, **options):
+            if name == "sets":
+                plans.append(df._jdf.queryExecution().toString())
+            return super().__call__(df, name, *args, **options)
+
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Sets(spark), shingle=5, percent=80)
+    same(got, near_expected(rows, 5, 80))
+    assert re.search(r"SortMergeJoin \[coalesce\(id[^\n]*key#", plans[0])
+
+
 def test_near_duplicates_of_nothing(spark, nothing):
     assert minhash.near_duplicates(nothing, Stage(spark)).count() == 0
 
