@@ -187,9 +187,10 @@ def manifest(
     three times: select the narrow ones. The text a leaf was made of need not be among them.
     """
     group = F.col(group_col).cast("string")
-    keyed = rows.select(
+    # Written before it is sorted: the range bounds are sampled from the rows, and texts are hashed once.
+    keyed = stage(rows.select(
         F.when(group.isNull(), "").otherwise(F.concat(F.lit("="), group)).alias("group"),
-        F.col(id_col).alias("id"), F.col(leaf_col).alias("leaf"), F.struct("*").alias("of"))
+        F.col(id_col).alias("id"), F.col(leaf_col).alias("leaf"), F.struct("*").alias("of")), "leaves")
     blocks, known = _tree(keyed, stage, ["id", "leaf"], fanout, depth, "rows")
     groups = known.where("block = 0").select(
         F.lit("").alias("group"), F.col("top").alias("leaf"), F.struct("group", "top").alias("of"), F.col("group").alias("name"))
