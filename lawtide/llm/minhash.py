@@ -226,9 +226,9 @@ def near_duplicates(
             F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-#: A family takes part in a round of finding centres with as many nodes beyond stars; a round that moves
-#: less than this share of them is the last. Both decide on the work only, not on the links.
-_FEWEST, _SHARE = 8, 1 / 16
+#: As many nodes beyond stars that share a bucket are worth a centre; a round that moves less than this
+#: share of those that look for one is the last. Both decide on the work only, not on the links.
+_CROWD, _SHARE = 16, 1 / 8
 
 
 def _links(
@@ -253,16 +253,16 @@ def _links(
     while True:
         weighed = stage(_weighed(framed), f"weighed_{turn}")
         far = weighed.where("out").select("family", "node", F.col("w").alias("was"))
-        many = far.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") >= _FEWEST)
-        far = stage(far.join(many.select("family"), "family"), f"far_{turn}")
-        waiting = far.count()
-        if not waiting:
+        at_hub = stage(
+            met.join(far, "node").select("family", "node", "was", "hub").distinct()
+            .join(families.select("node", "crowd"), "node"), f"at_hub_{turn}")
+        hubs = stage(
+            at_hub.groupBy("hub").agg(
+                F.count("*").alias("n"), F.max(F.struct("crowd", (-F.col("node")).alias("minus"))).alias("centre"))
+            .where(F.col("n") >= _CROWD), f"crowds_{turn}")
+        if hubs.isEmpty():
             break
         turn += 1
-        at_hub = stage(
-            met.select("node", "hub").distinct().join(far, "node").join(families.select("node", "crowd"), "node"), f"at_hub_{turn}")
-        hubs = at_hub.groupBy("hub").agg(
-            F.count("*").alias("n"), F.max(F.struct("crowd", (-F.col("node")).alias("minus"))).alias("centre"))
         chosen = stage(
             at_hub.join(hubs, "hub").groupBy("family", "node", "was")
             .agg(F.max(F.struct("n", "hub", (-F.col("centre.minus")).alias("frame"))).alias("best"))
@@ -275,7 +275,7 @@ def _links(
             sets.join(asked.drop("family"), "node"), asked.select("frame").distinct(), "frame", f"round_{turn}")
         framed = stage(
             framed.join(moved.select("node"), "node", "left_anti").unionByName(moved), f"framed_{turn}")
-        if moved.count() < _SHARE * waiting:
+        if moved.count() < _SHARE * asked.count():
             weighed = stage(_weighed(framed), f"weighed_{turn}")
             break
 
@@ -409,11 +409,18 @@ def _connecting(
         ranked.join(joined.withColumnRenamed("node", "part"), "part", "left")
         .withColumn("part", F.coalesce("component", "part")).drop("component"), f"{name}_placed")
 
+    # The places of both allow a pair of x and y if w_y <= reach_x and w_x <= reach_y; so for parts.
+    reach = F.lit(unit) * (F.col("apart") - F.col("place") + 1) - F.col("w")
     apart = placed.groupBy(*sharing).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
     parts = stage(
-        placed.select(*sharing, "part", *sides).distinct().join(apart.select(*sharing), sharing), f"{name}_parts")
-    others = parts.select(*sharing, *[F.col(c).alias(f"other_{c}") for c in ("part", *sides)])
-    meet = parts.join(others, sharing).where("part < other_part")
+        placed.groupBy(*sharing, "part", *sides).agg(F.max(reach).alias("reach"), F.min("w").alias("least_w"))
+        .join(apart.select(*sharing), sharing), f"{name}_parts")
+    told = ["part", *sides, "reach", "least_w"]
+    others = parts.select(*sharing, *[F.col(c).alias(f"other_{c}") for c in told])
+    meet = (
+        parts.join(others, sharing)
+        .where("part < other_part AND least_w <= other_reach AND other_least_w <= reach")
+        .drop("reach", "least_w", "other_reach", "other_least_w"))
     meet = stage(meet if near is None else meet.join(near, ["side", "other_side"]), f"{name}_meet")
     one = placed.join(meet, [*sharing, "part", *sides]).alias("one")
     two = placed.alias("two")
