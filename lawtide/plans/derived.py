@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-TABLES = ("documents", "labels", "pages", "conversations", "events", "orders")
+TABLES = ("documents", "labels", "pages", "conversations", "events", "orders", "benchmark")
 
 TEXT_TABLES = ("documents", "pages", "conversations")
 
