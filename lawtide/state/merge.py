@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,13 +17,16 @@ def insert_if_absent(new: DataFrame, table: DataFrame, keys: list[str], order: l
     return unreported(first_writer(new, keys, order), table, keys)
 
 
-def upsert(table: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The table after an upsert: the latest row per key."""
+def upsert(table: DataFrame, new: DataFrame, keys: list[str], version: str | Sequence[str]) -> DataFrame:
+    """The table after an upsert: the latest row per key, by one column or by several in turn."""
     return latest(table.unionByName(new), keys, version)
 
 
-def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    return first_per(rows, keys, [F.desc(version)])
+def latest(rows: DataFrame, keys: list[str], version: str | Sequence[str]) -> DataFrame:
+    """The row with the greatest version per key. Several columns make a total order of rows whose
+    times are equal."""
+    columns = [version] if isinstance(version, str) else version
+    return first_per(rows, keys, [F.desc(c) for c in columns])
 
 
 def total_reported(run_log: DataFrame) -> DataFrame:
