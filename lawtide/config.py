@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 
 # Permitted range of each numeric parameter.
 RANGES = {
@@ -13,7 +14,7 @@ RANGES = {
 
 # Parameters without an upper limit; a cap may be off (None).
 AT_LEAST_ONE = (
-    "scoring_concurrency", "requests_per_call", "calls_per_task", "max_issues_per_run", "max_listing_pages")
+    "scoring_concurrency", "requests_per_call", "calls_per_task", "calls_in_flight", "max_issues_per_run", "max_listing_pages")
 
 DEDUP_KEYS = {
     "anchor": ("issue_number", "anchor"),
@@ -32,6 +33,8 @@ class MonitorConfig:
     # Requests a scorer is given at once, and model calls a lost task repeats at most.
     requests_per_call: int = 64
     calls_per_task: int = 10_000
+    # Model calls that each of the `scoring_concurrency` tasks has under way.
+    calls_in_flight: int = 1
     keyword_filter_enabled: bool = True
     base_url: str = "https://magyarkozlony.hu"
     max_listing_pages: int | None = None
@@ -42,6 +45,8 @@ class MonitorConfig:
     # Look the key up before the model call. False gives the order
     # score -> dedupe, whose counters include rows that are dropped later.
     dedupe_before_scoring: bool = True
+    # How long an issue that could not be finished waits; doubled with every attempt, up to a day.
+    retry_after: timedelta = timedelta(0)
     subject_prefix: str = "[HR riport]"
     email_from: str = "monitor@localhost"
     email_to: str = "you@example.com"

@@ -9,6 +9,7 @@ from lawtide.functions.anchors import inferred_anchor, paragraph_anchor
 from lawtide.functions.binding import computed_once, let
 from lawtide.functions.text import INVISIBLE, node_text, strip
 from lawtide.operators.ordered import running_sum
+from lawtide.sources.landed import latest_landing
 
 MARK = "\x01"
 # Block elements end the text before them. Inline tags do not.
@@ -161,10 +162,12 @@ def with_fallback(html: DataFrame, chunks: DataFrame, key: str = "issue_id") ->
 def justification_notes(
     issues: DataFrame, justifications: DataFrame, key: str = "issue_id",
 ) -> DataFrame:
-    """(issue, justification_url, justification_text): the first justification paragraph of each issue."""
+    """(issue, justification_url, justification_text): the first justification paragraph of each issue, of
+    its latest landing."""
     wanted = issues.where("has_justification").select(key, "justification_url")
+    latest = latest_landing(justifications.join(wanted, key, "left_semi"), key=key)
     return computed_once(
-        justifications.join(wanted, key), justification_text=first_section_text(F.col("html")),
+        latest.join(wanted, key), justification_text=first_section_text(F.col("html")),
     ).drop("html").where(F.col("justification_text").isNotNull())
 
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import threading
+import time
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,9 +27,37 @@ from lawtide.sources.workspace import Stage
 # Texts in, one reply per text out, same order. An Exception in place of a reply
 # marks that one call as failed.
 Scorer = Callable[[list[str]], list[object]]
-# Called once per task, so clients and models are set up once.
+# Called once for every call that a task may have in flight, so clients and models are set up once and
+# no scorer is used by two threads.
 ScorerFactory = Callable[[], Scorer]
 
+# A call that the service asks to repeat later is repeated so often, after waits from FIRST_WAIT on
+# that double, before it counts as failed.
+MOST_TRIES, FIRST_WAIT, LONGEST_WAIT = 6, 0.5, 30.0
+
+
+class Overloaded(Exception):
+    """Raised by a scorer for a list it has not answered at all: ask again, after `wait` seconds if given."""
+
+    def __init__(self, message: str = "overloaded", wait: float | None = None) -> None:
+        super().__init__(message)
+        self.wait = wait
+
+
+class Gate:
+    """When the next call may start: a wait that one call is told holds for all calls of the task."""
+
+    def __init__(self) -> None:
+        self._lock, self._opens = threading.Lock(), 0.0
+
+    def pause(self, seconds: float) -> None:
+        with self._lock:
+            self._opens = max(self._opens, time.monotonic() + seconds)
+
+    def enter(self) -> None:
+        while (left := self._opens - time.monotonic()) > 0:
+            time.sleep(left)
+
 # Error texts.
 CALL_FAILED = "llm_call_failed: "
 REPAIR_CALL_FAILED = "parse_failed: "
@@ -37,16 +69,23 @@ def request_id(*identity: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[c.cast("string") for c in identity]), 256)
 
 
-def _answers(scorer: Scorer, texts: list[str]) -> list[object]:
-    try:
-        answers = list(scorer(texts))
-    except Exception as error:
-        if len(texts) == 1:
-            return [error]
-        # One bad text must not fail its batch: halves narrow it down. A scorer that gives an
-        # Exception in place of a reply is never asked again.
-        half = len(texts) // 2
-        return _answers(scorer, texts[:half]) + _answers(scorer, texts[half:])
+def _answers(scorer: Scorer, texts: list[str], gate: Gate) -> list[object]:
+    for turn in range(MOST_TRIES):
+        gate.enter()
+        try:
+            answers = list(scorer(texts))
+            break
+        except Overloaded as error:
+            if turn == MOST_TRIES - 1:
+                return [error] * len(texts)
+            gate.pause(min(LONGEST_WAIT, FIRST_WAIT * 2 ** turn) if error.wait is None else error.wait)
+        except Exception as error:
+            if len(texts) == 1:
+                return [error]
+            # One bad text must not fail its batch: halves narrow it down. A scorer that gives an
+            # Exception in place of a reply is never asked again.
+            half = len(texts) // 2
+            return _answers(scorer, texts[:half], gate) + _answers(scorer, texts[half:], gate)
     if len(answers) != len(texts):
         raise ValueError(f"scorer gave {len(answers)} replies for {len(texts)} texts")
     return answers
@@ -57,21 +96,49 @@ REPLIES = T.StructType([
     *[T.StructField(n, T.StringType()) for n in ("reply", "error_type", "error_text")]])
 
 
+def in_order(
+    lists: Iterable[list[str]], make_scorer: ScorerFactory, in_flight: int,
+) -> Iterator[tuple[list[str], list[object]]]:
+    """The lists with their answers, in the order of the lists, `in_flight` of them asked at a time.
+
+    As many lists again may be answered and wait for an earlier one; no more are read ahead.
+    """
+    gate, own = Gate(), threading.local()
+
+    def setup() -> None:
+        own.scorer = make_scorer()
+
+    with ThreadPoolExecutor(in_flight, initializer=setup) as pool:
+        asked: deque = deque()
+        for texts in lists:
+            if len(asked) == 2 * in_flight:
+                first, answer = asked.popleft()
+                yield first, answer.result()
+            asked.append((texts, pool.submit(lambda texts=texts: _answers(own.scorer, texts, gate))))
+        for first, answer in asked:
+            yield first, answer.result()
+
+
 def call_model(
     requests: DataFrame, make_scorer: ScorerFactory, concurrency: int, requests_per_call: int = 64,
+    in_flight: int = 1,
 ) -> DataFrame:
     """(request_id, reply, error_type, error_text) of (request_id, request).
 
-    `concurrency` tasks run at a time; a scorer gets at most `requests_per_call` texts at once.
-    Only ids and requests go through Python.
+    `concurrency` tasks run at a time, each with `in_flight` calls under way; a scorer gets at most
+    `requests_per_call` texts at once. Only ids and requests go through Python.
     """
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = make_scorer()
-        for batch in batches:
-            texts = batch["request"].to_pylist()
-            answers = [
-                answer for at in range(0, len(texts), requests_per_call)
-                for answer in _answers(scorer, texts[at: at + requests_per_call])]
+        ids: deque = deque()
+
+        def lists() -> Iterator[list[str]]:
+            for batch in batches:
+                for at in range(0, len(batch), requests_per_call):
+                    part = batch.slice(at, requests_per_call)
+                    ids.append(part["request_id"])
+                    yield part["request"].to_pylist()
+
+        for _, answers in in_order(lists(), make_scorer, in_flight):
             failed = [isinstance(a, Exception) for a in answers]
             columns = [
                 [None if bad else "" if a is None else str(a) for a, bad in zip(answers, failed)],
@@ -79,14 +146,14 @@ def call_model(
                 [str(a) if bad else None for a, bad in zip(answers, failed)],
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch["request_id"], *(pa.array(c, pa.string()) for c in columns)], names=REPLIES.names)
+                [ids.popleft(), *(pa.array(c, pa.string()) for c in columns)], names=REPLIES.names)
 
     return requests.select("request_id", "request").repartition(concurrency).mapInArrow(ask, REPLIES)
 
 
 def call_in_waves(
     requests: DataFrame, make_scorer: ScorerFactory, concurrency: int, stage: Stage,
-    name: str, calls_per_task: int = 10_000, requests_per_call: int = 64,
+    name: str, calls_per_task: int = 10_000, requests_per_call: int = 64, in_flight: int = 1,
 ) -> DataFrame:
     """`call_model`, staged, so that the model is asked once per request whatever is read.
 
@@ -99,7 +166,7 @@ def call_in_waves(
     wave = F.pmod(F.xxhash64("request_id"), F.lit(waves))
     cut = stage(requests.withColumn("wave", wave), f"{name}_waves", partition_by="wave")
     for n in range(waves):
-        stage(call_model(cut.where(F.col("wave") == n), make_scorer, concurrency, requests_per_call),
+        stage(call_model(cut.where(F.col("wave") == n), make_scorer, concurrency, requests_per_call, in_flight),
               f"{name}_replies/wave={n}")
     paths = [stage.path(f"{name}_replies/wave={n}") for n in range(waves)]
     return requests.sparkSession.read.schema(REPLIES).parquet(*paths)
@@ -108,7 +175,7 @@ def call_in_waves(
 def ask_with_repair(
     rows: DataFrame, request: Column, kind: str, make_scorer: ScorerFactory,
     concurrency: int, stage: Stage, calls_per_task: int = 10_000, requests_per_call: int = 64,
-    notes: DataFrame | None = None,
+    notes: DataFrame | None = None, in_flight: int = 1,
 ) -> DataFrame:
     """Rows with the reply as a variant object `parsed` (NULL if it failed) and `error`.
 
@@ -117,7 +184,7 @@ def ask_with_repair(
     make the request and is not kept with the row.
     """
     def asked(requests: DataFrame, name: str) -> DataFrame:
-        return call_in_waves(requests, make_scorer, concurrency, stage, name, calls_per_task, requests_per_call)
+        return call_in_waves(requests, make_scorer, concurrency, stage, name, calls_per_task, requests_per_call, in_flight)
 
     known = stage(rows.withColumn("request_id", F.monotonically_increasing_id()), f"{kind}_rows")
     called = F.col("error_type").isNull()
@@ -156,17 +223,17 @@ def enriched_columns(asked: DataFrame) -> DataFrame:
 def score(
     candidates: DataFrame, make_scorer: ScorerFactory, concurrency: int,
     stage: Stage, calls_per_task: int = 10_000, requests_per_call: int = 64,
-    notes: DataFrame | None = None,
+    notes: DataFrame | None = None, in_flight: int = 1,
 ) -> DataFrame:
     """Score candidate paragraphs (`text`, and `justification_text` of their own or of `notes`) with a model."""
     request = score_request(F.col("text"), F.col("justification_text"))
     return scored_columns(ask_with_repair(
-        candidates, request, "score", make_scorer, concurrency, stage, calls_per_task, requests_per_call, notes))
+        candidates, request, "score", make_scorer, concurrency, stage, calls_per_task, requests_per_call, notes, in_flight))
 
 
 def enrich(
     items: DataFrame, make_scorer: ScorerFactory, concurrency: int,
-    stage: Stage, calls_per_task: int = 10_000, requests_per_call: int = 64,
+    stage: Stage, calls_per_task: int = 10_000, requests_per_call: int = 64, in_flight: int = 1,
 ) -> DataFrame:
     """Enrich new items with a longer text, key dates and action items."""
     request = enrich_request(*[F.col(n) for n in (
@@ -174,7 +241,7 @@ def enrich(
         "justification_text", "justification_url")])
     return enriched_columns(ask_with_repair(
         items.drop("error"), request, "enrich", make_scorer, concurrency, stage, calls_per_task,
-        requests_per_call))
+        requests_per_call, in_flight=in_flight))
 
 
 def lexical_score(topics: Column) -> Column:

@@ -19,6 +19,7 @@ from lawtide.functions.anchors import inferred_anchor, paragraph_anchor
 from lawtide.functions.dates import local_date
 from lawtide.functions.lexicon import Scope, keyword_hit, searched_text
 from lawtide.operators import counts, dedupe, paragraphs, scoring
+from lawtide.operators.lexicon_table import lexicon_rows, match_lexicon
 from lawtide.operators.ordered import first_per
 from lawtide.operators.prefilter import keyword_filter, match_scopes, tag_topics, with_tags
 from lawtide.plans import report
@@ -45,6 +46,8 @@ TABLE_SCOPE = Scope("tables", {
 STRICT_SCOPE = Scope("strict", {"t_th": ("thth", "thing"), "t_eau": ("eaueau", "eauai")}, threshold=0.8)
 LATIN_SCOPE = Scope("latin", {"t_c": ("ch", "ç"), "t_n": ("ñ", "aña")})
 
+LEXICON = "scope string, topic string, pattern string"
+
 MAIL = MonitorConfig(email_to="hr@example.org, payroll@example.org", product_name="lawtide")
 
 
@@ -386,7 +389,10 @@ def e3_issue_attributes(t: Tables) -> DataFrame:
 def e4_justification(t: Tables) -> DataFrame:
     by_doc = {"issue_id": F.col("doc_id")}
     issues = t.v_issue.withColumns(by_doc).withColumn("justification_url", F.lit("u"))
-    notes = t.pages.select(F.col("page_id").alias("issue_id"), "html")
+    first, second = F.lit(datetime(2024, 1, 1)), F.lit(datetime(2024, 1, 2))
+    notes = t.pages.select(F.col("page_id").alias("issue_id"), "html", second.alias("landed_at"))
+    withdrawn = notes.withColumns({"html": F.lit("<p>zzz withdrawn</p>"), "landed_at": first})
+    notes = notes.unionByName(withdrawn).unionByName(notes)
     rows = paragraphs.with_justification(t.v_par.withColumnRenamed("doc_id", "issue_id"), issues, notes)
     return rows.select(
         "issue_id", "pos", "has_justification", "justification_url", "justification_text")
@@ -664,12 +670,27 @@ def k4_lexical_enrichment(t: Tables) -> DataFrame:
 
 @query
 def k6_scopes(t: Tables) -> DataFrame:
-    matched = match_scopes(t.v_par, [TABLE_SCOPE, STRICT_SCOPE, LATIN_SCOPE])
+    scopes = [TABLE_SCOPE, STRICT_SCOPE, LATIN_SCOPE]
+    lexicon = t.spark.createDataFrame(lexicon_rows(scopes), LEXICON)
+    thresholds = t.spark.createDataFrame([(s.name, s.threshold) for s in scopes], "scope string, threshold double")
+    matched = match_lexicon(t.v_par, lexicon, Stage(t.spark), thresholds=thresholds)
     scored = matched.withColumn("score", scoring.lexical_score(F.col("topics")))
     return scored.where("score >= threshold").select(
         "doc_id", "pos", "scope", joined("topics").alias("topics"), "score")
 
 
+@query
+def k6_lexicon_table(t: Tables) -> DataFrame:
+    """Fifty scopes whose stems are the words of the benchmark, and the scopes that paragraphs hit."""
+    words = t.benchmark.select("item_id", F.explode(F.regexp_extract_all(
+        F.lower("text"), F.lit(r"[a-z]{4,}"), F.lit(0))).alias("word"))
+    lexicon = words.select(
+        F.concat(F.lit("s"), F.crc32("word") % 50).alias("scope"),
+        F.when(F.crc32("word") % 3 > 0, F.substring("word", 1, 2)).alias("topic"), F.col("word").alias("pattern"))
+    matched = match_lexicon(t.v_par, lexicon.distinct(), Stage(t.spark))
+    return matched.select("doc_id", "pos", "scope", joined("topics").alias("topics"))
+
+
 # -- reports ---------------------------------------------------------------------------------------
 
 def shown_keys(lines: DataFrame, value: str) -> DataFrame:
@@ -687,11 +708,12 @@ def l1_report_lines(t: Tables) -> DataFrame:
 
 @query
 def l2_empty_reports(t: Tables) -> DataFrame:
-    # Runs of the log that no item belongs to; those that found nothing say so.
-    runs = t.v_runs.join(t.v_items.select("run_id").distinct(), "run_id", "left_anti").select(
+    # Items belong to the run of their document's number. Runs that none belongs to say so if they found nothing.
+    items = t.v_items.withColumn("run_id", F.concat(F.lit("r"), F.lpad(as_text("doc_id"), 12, "0")))
+    runs = t.v_runs.join(items.select("run_id").distinct(), "run_id", "left_anti").select(
         "run_id", "run_date", F.date_sub("run_date", 30).alias("window_start"),
         F.col("run_date").alias("window_end"), "issues_scanned", "new_items", "threshold", "run_ts")
-    lines = report.report_lines(runs, t.v_items, t.v_issue.select("issue_number", F.col("view_url").alias("url")))
+    lines = report.report_lines(runs, items, t.v_issue.select("issue_number", F.col("view_url").alias("url")))
     return lines.where("part = 0").select(
         "run_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
@@ -734,6 +756,27 @@ def a7_state_tables(t: Tables) -> DataFrame:
         F.lit(state.total_reported()).cast("long").alias("total_reported"))
 
 
+@query
+def a7_compacted_state(t: Tables) -> DataFrame:
+    """As above, with the parts folded twice: before a run that was folded is run again, and after."""
+    state = MonitorState(t.spark, Stage(t.spark).path("state")).create()
+    now = datetime(2024, 7, 2, 8, 0, 0, 123456)
+    rounds = (("r1", 0.75), ("r2", 0.6), ("fold", None), ("r2", 0.0), ("fold", None))
+    for run_id, least in rounds:
+        if run_id == "fold":
+            state.compact()
+            continue
+        hashed = dedupe.with_content_hash(t.v_items.where(F.col("score") >= least))
+        inserted = state.mark_reported(hashed, run_id, now)
+        state.commit(state.log_row(
+            run_id=run_id, scope="hr", run_date=now.date(), run_ts=now, persisted=inserted), run_id)
+    state.vacuum(timedelta(0))
+    return state.reported().select(
+        "run_id", "dedup_key", "content_hash", "score", joined("key_dates").alias("key_dates"),
+        joined("action_items").alias("action_items"), as_text("reported_at").alias("reported_at"),
+        F.lit(state.total_reported()).cast("long").alias("total_reported"))
+
+
 @query
 def j4_reset(t: Tables) -> DataFrame:
     """Rows left after a reset in a session that overwrites partitions dynamically, and rows written before."""
@@ -839,6 +882,36 @@ def m1_arrivals(t: Tables) -> DataFrame:
         "issue_number", "anchor", "content_hash", "score", joined("matched_topics").alias("matched_topics"))
 
 
+def wordless_scorer() -> scoring.Scorer:
+    """A stand-in model that accepts every text."""
+    return lambda texts: ['{"is_relevant": true, "score": 0.9, "one_line_summary_hu": "-"}' for _ in texts]
+
+
+def failing_scorer() -> scoring.Scorer:
+    """The same, but for calls about some texts, which fail."""
+    reply = wordless_scorer()
+    return lambda texts: [RuntimeError("down") if len(x) % 3 == 0 else reply([x])[0] for x in texts]
+
+
+@query
+def m1_retries(t: Tables) -> DataFrame:
+    """Two batches: what the model fails to answer in the first is reported with the second, and lands once."""
+    stage = Stage(t.spark)
+    state = MonitorState(t.spark, stage.path("state")).create()
+    issues = t.pages.select(
+        F.concat(F.lit("2024/"), F.col("page_id")).alias("issue_id"),
+        F.concat(F.lit("2024. évi "), F.col("page_id"), F.lit(". szám")).alias("issue_number"),
+        F.lit(date(2024, 1, 15)).alias("issue_date"), "html", (F.col("page_id") % 2).alias("half"))
+    for half, scorer in ((0, failing_scorer), (1, wordless_scorer)):
+        issues.where(F.col("half") == half).drop("half").write.mode("append").parquet(stage.path("landed"))
+        bodies = t.spark.readStream.schema(issues.drop("half").schema).parquet(stage.path("landed"))
+        monitor_arrivals(
+            bodies, state, stage.path("offsets"), scope=TABLE_SCOPE, make_scorer=scorer).awaitTermination()
+    left_open = state.open_issues(TABLE_SCOPE.name).agg(F.count("*").alias("left_open"))
+    return state.reported().select("issue_number", "anchor", "content_hash", "score").withColumn(
+        "left_open", F.lit(left_open.first().left_open))
+
+
 @query
 def m2_recent_stream(t: Tables) -> DataFrame:
     stage = Stage(t.spark)

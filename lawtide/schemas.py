@@ -13,6 +13,9 @@ ISSUE_BODIES = T.StructType([
     T.StructField("html", T.StringType()),
 ])
 
+# Bodies as landed, repeats included. An unknown time counts as earlier than any other.
+LANDED_BODIES = T.StructType([*ISSUE_BODIES.fields, T.StructField("landed_at", T.TimestampType())])
+
 PAGE_TEXTS = T.StructType([
     T.StructField("issue_id", T.StringType()),
     T.StructField("page_no", T.LongType()),
@@ -57,6 +60,17 @@ OPEN_ISSUES = T.StructType([
     T.StructField("justification_url", T.StringType()),
     T.StructField("reason", T.StringType()),
     T.StructField("seen_at", T.TimestampType()),
+    T.StructField("attempts", T.LongType()),
+    T.StructField("next_try", T.TimestampType()),
+])
+
+# Bodies of open issues that came by a stream, which delivers them once.
+OPEN_BODIES = T.StructType([
+    T.StructField("scope", T.StringType()),
+    T.StructField("issue_id", T.StringType()),
+    T.StructField("issue_date", T.DateType()),
+    T.StructField("html", T.StringType()),
+    T.StructField("seen_at", T.TimestampType()),
 ])
 
 RUN_LOG = T.StructType([

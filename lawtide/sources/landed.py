@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,19 @@ def listing_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def issue_bodies(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ISSUE_BODIES).parquet(path)
+    """Bodies with the time they landed; files without it give nulls."""
+    return spark.read.schema(schemas.LANDED_BODIES).parquet(path)
+
+
+def latest_landing(bodies: DataFrame, as_of: datetime | None = None, key: str = "issue_id") -> DataFrame:
+    """One body per issue (issue_id, html), however often it was landed: the latest one with a text, of
+    those landed until `as_of`. Landings without a time come before all others; of equal
+    times the greater text counts, so that the choice does not depend on the order of rows."""
+    landed_at = F.col("landed_at") if "landed_at" in bodies.columns else F.lit(None).cast("timestamp")
+    rows = bodies.where("html IS NOT NULL")
+    if as_of is not None:
+        rows = rows.where(landed_at.isNull() | (landed_at <= F.lit(as_of)))
+    return rows.groupBy(key).agg(F.max_by("html", F.struct(landed_at.alias("at"), F.col("html").alias("text"))).alias("html"))
 
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:

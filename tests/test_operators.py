@@ -468,3 +468,70 @@ def test_stage_uses_the_clusters_folder(spark):
     stage = Stage(spark)
     assert stage.root.startswith(folder)
     assert hashlib.md5 and stage(spark.range(3), "t").count() == 3
+
+
+def test_calls_in_flight(spark):
+    """Five calls at a time on one task, answers in order, every text asked once."""
+    import threading
+    import time
+    from lawtide.operators.scoring import in_order
+    asked, busy, most, lock = [], [0], [0], threading.Lock()
+
+    def make_scorer():
+        def scorer(texts):
+            with lock:
+                asked.extend(texts)
+                busy[0] += 1
+                most[0] = max(most[0], busy[0])
+            time.sleep(0.1)
+            with lock:
+                busy[0] -= 1
+            return [t.upper() for t in texts]
+        return scorer
+
+    lists = [[f"t{i}"] for i in range(20)]
+    started = time.monotonic()
+    got = list(in_order(iter(lists), make_scorer, 5))
+    spent = time.monotonic() - started
+    assert got == [(x, [x[0].upper()]) for x in lists]
+    assert sorted(asked) == sorted(x[0] for x in lists) and most[0] == 5
+    assert 0.4 <= spent < 0.2 * 2.0 + 0.3
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "request_id long, request string")
+    out = scoring.call_model(rows, lambda: lambda texts: [t.upper() for t in texts], 1, 7, in_flight=3).collect()
+    assert sorted((r.request_id, r.reply) for r in out) == [(i, f"T{i}") for i in range(50)]
+
+
+def test_overloaded_calls_wait(monkeypatch):
+    import time
+    from lawtide.operators.scoring import Overloaded, in_order
+    monkeypatch.setattr(scoring, "FIRST_WAIT", 0.02)
+    tries = []
+
+    def scorer(texts):
+        tries.append(texts)
+        if len(tries) < 3:
+            raise Overloaded(wait=0.05 if len(tries) == 1 else None)
+        return ["ok" for _ in texts]
+
+    started = time.monotonic()
+    assert list(in_order([["a", "b"]], lambda: scorer, 1)) == [(["a", "b"], ["ok", "ok"])]
+    assert tries == [["a", "b"]] * 3 and time.monotonic() - started >= 0.08
+
+    def never(texts):
+        raise Overloaded()
+    ((_, answers),) = in_order([["a"]], lambda: never, 2)
+    assert isinstance(answers[0], Overloaded)
+
+
+def test_latest_landing(spark):
+    from lawtide.sources.landed import latest_landing
+    at = lambda d: datetime(2026, 7, d)
+    rows = [("1", "<p>zzz first landing, withdrawn</p>", at(1)), ("1", "<p>corrected second landing</p>", at(2)), ("1", None, at(3)),
+            ("2", "<p>a</p>", None), ("2", "<p>b</p>", None), ("3", "<p>old</p>", None), ("3", "<p>a new</p>", at(1)), ("4", None, at(1))]
+    bodies = spark.createDataFrame(rows, "issue_id string, html string, landed_at timestamp").repartition(3)
+    got = {r.issue_id: r.html for r in latest_landing(bodies).collect()}
+    assert got == {"1": "<p>corrected second landing</p>", "2": "<p>b</p>", "3": "<p>a new</p>"}
+    assert {r.issue_id: r.html for r in latest_landing(bodies, at(1)).collect()}["1"] == "<p>zzz first landing, withdrawn</p>"
+    issues = spark.createDataFrame([("1", True, "u")], "issue_id string, has_justification boolean, justification_url string")
+    (note,) = paragraphs.justification_notes(issues, bodies).collect()
+    assert note.justification_text == "corrected second landing"

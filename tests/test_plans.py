@@ -44,7 +44,7 @@ def big(spark, tmp_path):
 def test_only_model_queries_leave_the_jvm(spark):
     tables = Tables(spark, SF)
     # Those that write as they are built are looked at elsewhere.
-    building = {"a6_report_files", "m1_arrivals", "m2_recent_stream"} | PYTHON_QUERIES
+    building = {"a6_report_files", "m1_arrivals", "m2_recent_stream", "m1_retries", "m2_expiring_keys"} | PYTHON_QUERIES
     for name, query in QUERIES.items():
         if name not in building:
             text = plan(query(tables))
@@ -169,25 +169,35 @@ def test_archive_is_cut_to_the_issues_and_landings_are_one_each(spark):
     assert cut.page_texts.count() == 3
 
 
-def test_state_is_pruned_by_month(spark, tmp_path):
-    from lawtide.state import MonitorState
+def test_state_is_pruned_by_month_and_bucket(spark, tmp_path, monkeypatch):
+    from lawtide.state import MonitorState, merge
     state = MonitorState(spark, str(tmp_path / "state")).create()
-    items = Tables(spark, SF).v_items
-    state.mark_reported(items.withColumn("content_hash", F.lit("h")), "r1", datetime(2026, 7, 2))
-    text = plan(state.reported(months=["2026-07"]))
-    assert re.search(r"PartitionFilters: \[[^\]]*issue_month[^\]]*2026-07", text)
+    items = Tables(spark, SF).v_items.withColumn("content_hash", F.lit("h"))
+    state.mark_reported(items, "r1", datetime(2026, 7, 2))
+    state.commit(state.log_row(run_id="r1", scope="hr"), "r1")
+    march = state.reported(months=["2024-03"])
+    assert march.count() and all("issue_month=2024-03" in f for f in march.inputFiles())
+    assert state.reported(months=["2026-07"]).inputFiles() == []
+
+    # The insert looks its keys up in the folders of the batch alone.
+    few = items.where("doc_id = 14").limit(3)
+    seen = []
+    insert = merge.insert_if_absent
+    monkeypatch.setattr(merge, "insert_if_absent", lambda new, table, *rest: (seen.append(table), insert(new, table, *rest))[1])
+    assert state.mark_reported(few, "r2", datetime(2026, 7, 3)) == 0
+    text = plan(seen[0])
+    assert re.search(r"PartitionFilters: \[[^\]]*issue_month[^\]]*2024-03", text)
+    assert re.search(r"PartitionFilters: \[[^\]]*key_bucket", text)
+    assert all("issue_month=2024-03" in f for f in seen[0].inputFiles())
+    (bucket,) = state.months_and_buckets(few)["buckets"]
+    assert {r[0] for r in seen[0].select("key_bucket").distinct().collect()} == {bucket}
 
 
 def test_empty_reports_read_the_items(spark):
     """A run of the log that an item belongs to has no empty report; all others have."""
-    class WithItem(Tables):
-        def _make(self, name):
-            made = super()._make(name)
-            return made.withColumn("run_id", F.lit(run_id)) if name == "v_items" else made
-
-    plain = Tables(spark, SF)
-    run_id = plain.v_runs.agg(F.min("run_id")).first()[0]
-    assert plain.v_items.count() > 0
-    every = {r[0] for r in QUERIES["l2_empty_reports"](plain).select("run_id").distinct().collect()}
-    left = {r[0] for r in QUERIES["l2_empty_reports"](WithItem(spark, SF)).select("run_id").distinct().collect()}
-    assert every == {r[0] for r in plain.v_runs.select("run_id").collect()} and left == every - {run_id}
+    tables = Tables(spark, SF)
+    told = {r[0] for r in QUERIES["l2_empty_reports"](tables).select("run_id").distinct().collect()}
+    every = {r[0] for r in tables.v_runs.select("run_id").collect()}
+    with_items = {f"r{r[0]:012d}" for r in tables.v_items.select("doc_id").distinct().collect()}
+    assert every & with_items and told == every - with_items
+    assert "LeftAnti" in plan(QUERIES["l2_empty_reports"](tables))

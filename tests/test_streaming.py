@@ -5,9 +5,10 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from lawtide.config import MonitorConfig
 from lawtide.plans.catalog import TABLE_SCOPE
 from lawtide.state import MonitorState
-from lawtide.streaming.arrivals import monitor_arrivals
+from lawtide.streaming.arrivals import monitor_arrivals, retry_open
 from lawtide.streaming.recent import unique_in_batch, unique_in_stream
 
 SCHEMA = "issue_id string, issue_number string, issue_date date, html string"
@@ -101,6 +102,58 @@ def test_arrivals_take_every_step_of_a_run(spark, tmp_path):
     assert {r.issue_id for r in state.open_issues("hr").collect()} == {"2026/4"}
 
 
+def test_open_issues_are_tried_again(spark, tmp_path):
+    """A failed call is repeated with the next batch, or without one; the body lands once."""
+    state = MonitorState(spark, str(tmp_path / "state")).create()
+    folder, up = str(tmp_path / "landed"), tmp_path / "up"
+
+    def make_scorer():
+        def scorer(texts):
+            return ['{"is_relevant": true, "score": 0.9}' if up.exists() or "táppénz" not in t else RuntimeError("down") for t in texts]
+        return scorer
+
+    def drain(cfg=MonitorConfig()):
+        stream = spark.readStream.schema(SCHEMA).parquet(folder)
+        monitor_arrivals(stream, state, str(tmp_path / "offsets"), cfg=cfg, make_scorer=make_scorer).awaitTermination()
+
+    def keys():
+        return sorted((r.issue_number[-8:], r.anchor) for r in state.reported().collect())
+
+    land(spark, folder, 1, "A munkavállaló bére emelkedik az idén.", "A táppénz szabályai is megváltoznak most.")
+    land(spark, folder, 2, "A táppénz új összege januártól érvényes lesz.")
+    drain()
+    assert keys() == [(" 1. szám", "1. §")]
+    assert {(r.issue_id, r.attempts) for r in state.open_issues("hr").collect()} == {("2026/1", 1), ("2026/2", 1)}
+    land(spark, folder, 3, "A szabadság kiadásának új rendje lép életbe.")
+    drain(MonitorConfig(retry_after=timedelta(hours=2)))
+    assert {(r.issue_id, r.attempts) for r in state.open_issues("hr").collect()} == {("2026/1", 2), ("2026/2", 2)}
+    up.touch()
+    land(spark, folder, 4, "A szabadság kiadásának rendje megint változik.")
+    drain()
+    # Not due yet.
+    assert state.open_issues("hr").count() == 2 and len(keys()) == 3
+    later = [r.next_try for r in state.open_issues("hr").collect()]
+    assert all(t > datetime.now() for t in later)
+
+
+def test_open_issues_are_closed_without_a_landing(spark, tmp_path):
+    state = MonitorState(spark, str(tmp_path / "state")).create()
+    folder, up = str(tmp_path / "landed"), tmp_path / "up"
+
+    def make_scorer():
+        return lambda texts: [
+            '{"is_relevant": true, "score": 0.9}' if up.exists() else RuntimeError("down") for _ in texts]
+
+    land(spark, folder, 1, "A munkavállaló bére emelkedik az idén.")
+    stream = spark.readStream.schema(SCHEMA).parquet(folder)
+    monitor_arrivals(stream, state, str(tmp_path / "offsets"), make_scorer=make_scorer).awaitTermination()
+    assert state.reported().count() == 0 and state.open_issues("hr").count() == 1
+    up.touch()
+    retry_open(state, "retry-1", make_scorer=make_scorer)
+    assert [r.issue_number for r in state.reported().collect()] == ["2026. évi 1. szám"]
+    assert state.open_issues("hr").count() == 0
+
+
 def test_keys_expire_and_late_rows_are_dropped(spark, tmp_path):
     schema, folder = "id long, ts timestamp, k string", str(tmp_path / "in")
     for day_, k, n in ((1, "a", 1), (5, "a", 2), (40, "b", 3), (41, "a", 4)):
