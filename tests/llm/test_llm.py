@@ -420,7 +420,7 @@ def line_rows():
     return out + [(40, None), (41, ""), (42, "\n\n\n"), (43, "single"), (44, "single"), (45, out[4][1]), (4, out[4][1]), (None, out[6][1])]
 
 
-def lines_left(rows, least=2, divisor=3):
+def lines_left(rows, reach=1):
     """Chunks from the operator's boundaries; everything after that in plain Python."""
     import numpy as np
     import pyarrow as pa
@@ -430,13 +430,14 @@ def lines_left(rows, least=2, divisor=3):
     chunks, first = [], {}
     for i, text in rows:
         lines = words_of(pa.array([text], pa.string()), np.arange(256) != 10, lower=False)
-        edges = line_chunks.chunk_edges(lines.hashes(), lines.first, least, divisor)
+        edges = line_chunks.chunk_edges(lines.hashes(), lines.first, reach).tolist()
         raw = (text or "").encode()
         own = []
         for a, b in zip(edges, edges[1:]):
             begin = 0 if a == 0 else int(lines.start[a])
             after = len(raw) if b == len(lines.start) else int(lines.start[b])
-            own.append((raw[begin: int(lines.end[b - 1])], raw[begin:after].decode(), b - a))
+            # Blank lines between do not matter.
+            own.append((re.sub(rb"\n+", b"\n", raw[int(lines.start[a]): int(lines.end[b - 1])]), raw[begin:after].decode(), b - a))
         chunks.append(own)
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     for k in order:
@@ -455,7 +456,7 @@ def lines_left(rows, least=2, divisor=3):
 def test_line_dedup(spark):
     rows = line_rows()
     docs = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, n_lines int, chunks string")
-    got = line_chunks.line_dedup(docs.coalesce(1), Stage(spark))
+    got = line_chunks.chunk_dedup(docs.coalesce(1), Stage(spark))
     same(got.select("row.doc_id", "text", "n_lines", "n_removed"), lines_left(rows))
     held = got.where("row.doc_id < 30 AND row.doc_id > 0 AND row.doc_id % 3 = 0")
     assert held.where("n_removed >= 4").count() >= 8, "a passage is cut alike wherever it stands"
