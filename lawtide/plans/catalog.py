@@ -180,15 +180,21 @@ def b8_justified(t: Tables) -> DataFrame:
         "page_no", "issue_id", "has_justification", "justification_url")
 
 
+def bodies_of(t: Tables) -> DataFrame:
+    """The web pages, and under negative numbers bodies of many sections derived from the documents."""
+    derived = t.v_body.select((-1 - F.col("doc_id")).alias("page_id"), "html")
+    return t.pages.select("page_id", "html").unionByName(derived)
+
+
 @query
 def b9_sections(t: Tables) -> DataFrame:
-    found = t.pages.select("page_id", F.explode(paragraphs.sections(F.col("html"))).alias("s"))
+    found = bodies_of(t).select("page_id", F.explode(paragraphs.sections(F.col("html"))).alias("s"))
     return found.select("page_id", "s.section", "s.heading", "s.text")
 
 
 @query
 def b10_paragraphs(t: Tables) -> DataFrame:
-    return paragraphs.html_paragraphs(t.pages, "page_id").select("page_id", "pos", "anchor")
+    return paragraphs.html_paragraphs(bodies_of(t), "page_id").select("page_id", "pos", "anchor")
 
 
 ANCHOR_SAMPLE = (
@@ -487,7 +493,7 @@ def g2_last_page_wins(t: Tables) -> DataFrame:
 @query
 def g3_section_ids(t: Tables) -> DataFrame:
     numbers = F.transform(paragraphs.sections(F.col("html")), lambda s: s["section"])
-    return t.pages.select("page_id", F.explode(numbers).alias("section"))
+    return bodies_of(t).select("page_id", F.explode(numbers).alias("section"))
 
 
 @query
@@ -848,6 +854,21 @@ def l5_run_row(t: Tables) -> DataFrame:
         "candidates", "relevant", "new_items", "persisted", F.size("warnings").cast("long").alias("warnings"))
 
 
+@query
+def a8_dry_run(t: Tables) -> DataFrame:
+    """A run that writes nothing: its figures, and what is in the state and under the report folder after it."""
+    stage = Stage(t.spark)
+    state = MonitorState(t.spark, stage.path("state")).create()
+    cfg = MonitorConfig(lookback_days=365, base_url=BASE_URL)
+    result = run(
+        t.spark, cfg, state, landed_tables(t), "r1", date(2024, 9, 30), datetime(2024, 9, 30, 8), scope=TABLE_SCOPE,
+        report_root=stage.path("reports"), write=False, stage=stage)
+    rows = [state.reported(), state.progress(), state.open_issues(TABLE_SCOPE.name), state.run_log()]
+    return result.run_row.select(
+        "issues_scanned", "candidates", "relevant", "new_items", "persisted", "report_path",
+        F.lit(sum(r.count() for r in rows)).cast("long").alias("written"))
+
+
 @query
 def k6_run_scopes(t: Tables) -> DataFrame:
     """Two scopes on one state, their texts parsed once; their log rows."""

@@ -18,6 +18,12 @@ TEXT_TABLES = ("documents", "pages", "conversations")
 
 LISTING_PAGE = 10
 
+# What stands before and after the text of a section of a derived body, by kind.
+BODY_BLOCKS = (
+    ("<p>", "</p>"), ("<P class='x'>", "</P><p>vége</p>"),
+    ("<p>kívül</p><div class=\"jogszabaly bekezdes\"><p>", "</p><div>belül</div></div>"), ("<ul><li>", "</li></ul>"),
+)
+
 # Tokens that differ between the two engines: (Spark, DuckDB).
 TOKENS = {
     "ARRAY_OF(": ("array(", "list_value("),
@@ -206,6 +212,14 @@ class Tables:
             return self.documents.select(
                 "doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"),
             ).withColumn("pos", F.col("pos").cast("long"))
+        if name == "v_body":
+            # A heading a line of the text; below it paragraphs, a box with nested blocks, or none.
+            line = F.transform(F.split("text", "\n"), lambda x, i: F.concat(
+                F.format_string("<h%d class=\"c\">%d. § cím</h%d>", i % 4 + 1, i + 1, i % 4 + 1),
+                F.element_at(F.array(*[F.concat(F.lit(a), F.translate(x, "<>&", ""), F.lit(b)) for a, b in BODY_BLOCKS]),
+                             ((F.col("doc_id") + i) % 4).cast("int") + 1)))
+            return self.documents.select("doc_id", F.concat(
+                F.lit("<html><body>"), F.array_join(line, ""), F.lit("</body></html>")).alias("html"))
         if name == "v_listing":
             # At most LISTING_PAGE entries are gathered per page.
             entries = self.v_entry.withColumn("entry", F.expr(entry_sql()))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,6 +188,19 @@ def run_scopes(
         for s in scopes}
 
 
+#: So many different errors are told in the log row, the most frequent first; all are with the scored rows.
+TOLD_ERRORS = 20
+
+
+def told_errors(scored: DataFrame) -> list:
+    return scoring.failed(scored).groupBy("error").agg(F.count("*").alias("n")).orderBy(
+        F.desc("n"), "error").limit(TOLD_ERRORS).collect()
+
+
+def utc_now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
+
+
 def run_issues(
     cfg: MonitorConfig, state: MonitorState, work: Worklist, texts: Texts,
     run_id: str, run_date: date, run_ts: datetime,
@@ -259,7 +273,9 @@ def run_issues(
         .unionByName(missing.withColumn("reason", F.lit("no content")))
         .unionByName(issues.join(failed, "issue_id", "left_semi").withColumn("reason", F.lit("failed"))))
 
-    report_path = f"{report_root}/run_id={run_id}" if write and report_root else ""
+    # A folder of the attempt: the log row of the run is the only way to it, so a run that fails publishes nothing.
+    report_path = f"{report_root}/run_id={run_id}/attempt={uuid.uuid4().hex}" if write and report_root else ""
+    errors = [] if not figures["failures"] else [f"{r.n} x {r.error}" for r in told_errors(scored)]
     if write:
         figures["persisted"] = state.mark_reported(items, run_id, run_ts, tuple(cfg.key_columns), name)
         state.mark_processed(progress, run_id, name)
@@ -270,14 +286,14 @@ def run_issues(
     logged = ("issues_scanned", "candidates", "failures", "relevant", "new_items", "persisted", "skipped", "capped", "dropped")
     run_row = state.log_row(
         run_id=run_id, scope=name, run_date=run_date, run_ts=run_ts, window_start=start, window_end=end,
-        report_path=report_path, warnings=warnings, **{f: figures[f] for f in logged})
+        report_path=report_path, warnings=warnings, errors=errors, has_mail=figures["new_items"] > 0, **{f: figures[f] for f in logged})
     described = run_row.withColumn("threshold", F.lit(float(threshold)))
     links = dedupe.link_per_label(issues)
     lines = report.report_lines(described, items, links)
     if write:
         if report_path:
             report.write_report(lines, run_row, report_path)
-        state.commit(run_row, run_id)
+        state.commit(run_row.withColumn("finished_at", F.lit(utc_now())), run_id)
     return RunResult(
         run_id, (start, end), figures, issues, kept, scored, items, progress, run_row, lines,
-        described, links, cfg, report_path, warnings)
+        described, links, cfg, report_path, warnings, errors)

@@ -99,6 +99,15 @@ def sections(source: str, key: str, html: str = "html") -> str:
     """
 
 
+# Sections of the derived bodies, from what they are written from.
+BODY_SECTIONS = f"""
+    SELECT -1 - doc_id AS page_id, pos + 1 AS section, concat(pos + 1, '. § cím') AS heading, text FROM (
+      SELECT doc_id, pos, CASE (doc_id + pos) % 4 WHEN 0 THEN t WHEN 1 THEN concat(t, 'vége')
+             WHEN 2 THEN concat('kívül', t, CASE WHEN t <> '' THEN ' ' ELSE '' END, 'belül') ELSE '' END AS text
+      FROM (SELECT doc_id, pos, {strip("translate(text, '<>&', '')")} AS t FROM v_par) x) y
+    WHERE text <> ''
+"""
+
 ORDINAL = "row_number() OVER (PARTITION BY page_id ORDER BY section) - 1"
 LINES = "SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS bigint) AS pos, {x} AS text FROM documents"
 CHUNKS = f"""
@@ -360,8 +369,9 @@ TWINS: dict[str, str] = {
     "b7_local_dates": f"SELECT doc_id, CAST({local_date('date_text')} AS varchar) AS issue_date FROM v_entry",
     "b8_justified": f"""SELECT page_no, issue_id, justified AS has_justification,
         CASE WHEN justified THEN replace(view_url, '/megtekintes', '/indokolas') END AS justification_url FROM ({LISTED}) e""",
-    "b9_sections": sections("pages", "page_id"),
-    "b10_paragraphs": f"SELECT page_id, {ORDINAL} AS pos, {paragraph_anchor('heading')} AS anchor FROM ({sections('pages', 'page_id')}) s",
+    "b9_sections": f"SELECT * FROM ({sections('pages', 'page_id')}) s UNION ALL {BODY_SECTIONS}",
+    "b10_paragraphs": f"""SELECT page_id, {ORDINAL} AS pos, {paragraph_anchor('heading')} AS anchor FROM ({sections('pages', 'page_id')}) s
+        UNION ALL SELECT page_id, {ORDINAL} AS pos, concat(section, '. §') AS anchor FROM ({BODY_SECTIONS}) b""",
     "b11_anchors": f"""SELECT doc_id, pos, {anchor('heading')} AS anchor, {paragraph_anchor('text')} AS paragraph_anchor
         FROM (SELECT *, {ANCHOR_SAMPLE} AS heading FROM v_par) p""",
     "b12_chunks": CHUNKS,
@@ -439,7 +449,7 @@ TWINS: dict[str, str] = {
         CASE WHEN justified THEN replace(view_url, '/megtekintes', '/indokolas') END AS justification_url
         FROM (SELECT * FROM ({LISTED}) e QUALIFY row_number() OVER (PARTITION BY page_no, issue_id ORDER BY doc_id) = 1) f
         WHERE issue_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY page_no DESC) = 1""",
-    "g3_section_ids": f"SELECT page_id, section FROM ({sections('pages', 'page_id')}) s",
+    "g3_section_ids": f"SELECT page_id, section FROM ({sections('pages', 'page_id')}) s UNION ALL SELECT page_id, section FROM ({BODY_SECTIONS}) b",
     "g4_chunk_ordinals": "SELECT doc_id, pos + 1 AS pos FROM v_par",
     "g5_first_writer": f"SELECT issue_number, anchor, pos FROM ({FIRST_ITEMS}) f",
     "h1_newest_first": "SELECT issue_id, CAST(issue_date AS varchar) AS issue_date FROM v_issue ORDER BY issue_date DESC, issue_id DESC",
@@ -527,6 +537,8 @@ TWINS: dict[str, str] = {
         FROM (SELECT DISTINCT doc_id % 3000 + 1 AS n FROM documents) t WHERE n % 5 IN (0, 1) AND n % 3 <> 0""",
     "l5_run_row": f"""SELECT 'r1' AS run_id, '2023-10-01' AS window_start, * EXCLUDE (scope), CAST(0 AS bigint) AS warnings
         FROM ({run_row(TABLE_SCOPE)}) r""",
+    "a8_dry_run": f"""SELECT issues_scanned, candidates, relevant, new_items, CAST(0 AS bigint) AS persisted, '' AS report_path,
+        CAST(0 AS bigint) AS written FROM ({run_row(TABLE_SCOPE)}) r""",
     "k6_run_scopes": " UNION ALL ".join(
         f"SELECT 'r1-{s.name}' AS run_id, * EXCLUDE (paragraphs) FROM ({run_row(s)}) r" for s in (TABLE_SCOPE, STRICT_SCOPE)),
     "m1_arrivals": f"""SELECT issue_number, anchor, sha256({squeeze('lower(text)')}) AS content_hash,

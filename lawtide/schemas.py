@@ -92,6 +92,8 @@ RUN_LOG = T.StructType([
     T.StructField("skipped", T.LongType()),
     T.StructField("capped", T.LongType()),
     T.StructField("dropped", T.LongType()),
+    T.StructField("finished_at", T.TimestampType()),
+    T.StructField("has_mail", T.BooleanType()),
 ])
 
 # Keys of the scorer's JSON reply. Fixed values.

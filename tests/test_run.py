@@ -2,6 +2,7 @@
 
 import json
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,7 +91,9 @@ def test_run_and_rerun(spark, state, landed, tmp_path):
 
 def test_report_files(spark, state, landed, tmp_path):
     result = run(spark, MonitorConfig(), state, landed, "r1", DAY, NOW, report_root=str(tmp_path / "out"))
-    folder = tmp_path / "out" / "run_id=r1" / "run_date=2026-07-02"
+    path = state.run_log().first().report_path
+    assert path == result.report_path and path.startswith(str(tmp_path / "out" / "run_id=r1"))
+    folder = Path(path) / "run_date=2026-07-02"
     text = "".join(p.read_text(encoding="utf-8") for p in sorted(folder.glob("part-*")))
     assert text.splitlines() == [
         line for r in in_report_order(result.lines).collect() for line in r.line.split("\n")]
@@ -100,6 +103,22 @@ def test_report_files(spark, state, landed, tmp_path):
         "2026. évi 82. szám (2026-06-30)") < text.index("Forrás:")
 
 
+def test_a_run_that_dies_publishes_no_report(spark, state, landed, tmp_path, monkeypatch):
+    """Between the report and the commit: nothing leads to the report, and the next attempt has its own."""
+    def die(*_):
+        raise KeyboardInterrupt
+    monkeypatch.setattr(MonitorState, "commit", die)
+    with pytest.raises(KeyboardInterrupt):
+        run(spark, MonitorConfig(), state, landed, "r1", DAY, NOW, report_root=str(tmp_path / "out"))
+    monkeypatch.undo()
+    assert len(list((tmp_path / "out" / "run_id=r1").iterdir())) == 1
+    assert state.run_log().count() == 0 and state.reported().count() == 0
+    result = run(spark, MonitorConfig(), state, landed, "r1", DAY, NOW, report_root=str(tmp_path / "out"))
+    (row,) = state.run_log().collect()
+    assert row.report_path == result.report_path and Path(row.report_path).exists()
+    assert row.finished_at is not None and row.has_mail and row.errors == []
+
+
 def test_dry_run_writes_nothing(spark, state, landed, tmp_path):
     result = run(spark, MonitorConfig(), state, landed, "r1", DAY, NOW, write=False,
                  report_root=str(tmp_path / "out"))
@@ -139,6 +158,8 @@ def test_model_run_scores_once_and_keeps_failed_issues_open(spark, state, landed
     # Two rows + one repair + the failing one.
     assert len(list(calls.iterdir())) == 4
     assert [r.issue_id for r in state.progress().collect()] == ["2026/83"]
+    log = state.run_log().first()
+    assert sum(int(e.split(" x ")[0]) for e in log.errors) == log.failures > 0
 
 
 LATER = date(2026, 7, 9), datetime(2026, 7, 9, 8)
