@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,11 @@ NEVER_ARTICLE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disclaimer disqus footer masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted "
     "related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+# Of these, words that an article's own element may bear beside a word that says what it is.
+PASSING = frozenset("notice notices promo promoted related share sharing social sponsored".split())
+ARTICLE_WORDS = frozenset("article body content entry main post story text".split())
+# Elements of comments, which are articles of their own.
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
 NEVER_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 RAW = "script style template noscript svg iframe textarea title"
 
@@ -51,8 +57,12 @@ def _zone(name: str, attributes: str, inside: bool) -> str | None:
         if key.lower() == "role":
             if NEVER_ROLES.intersection(words) and name not in MARKED:
                 return "frame"
-        elif name not in MARKED and name != "body" and name != "html" and NEVER_ARTICLE.intersection(words):
-            return "frame"
+        elif name in MARKED:
+            if COMMENTS.intersection(words):
+                return "frame"
+        elif name != "body" and name != "html" and (never := NEVER_ARTICLE.intersection(words)):
+            if never - PASSING or not ARTICLE_WORDS.intersection(words):
+                return "frame"
     if name in MARKED:
         return "marked"
     return None
@@ -66,17 +76,26 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     closed with the element around them.
     """
     stack: list[tuple[str, str | None]] = []
+    # How many open elements have a name, and how many opened a zone: no tag needs a look through the stack.
+    names, zones = Counter(), Counter()
     at = 0
 
+    def push(name: str, attributes: str) -> None:
+        stack.append((name, _zone(name, attributes, zones["marked"] > 0)))
+        names[name] += 1
+        zones[stack[-1][1]] += 1
+
+    def pop() -> str:
+        name, opened = stack.pop()
+        names[name] -= 1
+        zones[opened] -= 1
+        return name
+
     def zone() -> str:
-        opened = [z for _, z in stack if z]
-        for never in ("hidden", "frame"):
-            if never in opened:
-                return never
-        if "marked" in opened:
-            return "marked"
-        names = {n for n, _ in stack}
-        return "link" if "a" in names else "heading" if names & {"h1", "h2", "h3"} else "plain"
+        for opened in ("hidden", "frame", "marked"):
+            if zones[opened]:
+                return opened
+        return "link" if names["a"] else "heading" if names["h1"] or names["h2"] or names["h3"] else "plain"
 
     now = "plain"
     for found in _TOKEN.finditer(page):
@@ -90,8 +109,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         name = name.lower()
         if closing:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
+            if names[name]:
+                while pop() != name:
                     pass
                 now = zone()
         elif name in _RAW_END:
@@ -99,8 +118,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         elif name not in VOID:
             if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            stack.append((name, _zone(name, attributes, any(z == "marked" for _, z in stack))))
+                pop()
+            push(name, attributes)
             now = zone()
         yield "tag", name, now
     if at < len(page):

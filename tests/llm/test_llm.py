@@ -530,6 +530,27 @@ def test_page_text_of_a_long_page():
     assert page_text.main_text(page, {}) == "\n".join(["some words in a block"] * 20000)
 
 
+def test_nested_tags_take_linear_time():
+    """A hundred thousand open elements: each tag is read once, without a look through the open ones."""
+    import time
+    for unit in ("<div>", "<p><b>", "<article><nav>"):
+        started = time.monotonic()
+        found = list(page_text.tokens(unit * 100_000 + "x"))
+        assert found[-1][:2] == ("text", "x") and time.monotonic() - started < 5
+    assert [t[2] for t in page_text.tokens("<nav><b>a</b></nav><h2>b</h2><article><form>c</form>d</article>e") if t[0] == "text"] == [
+        "frame", "heading", "hidden", "marked", "plain"]
+
+
+def test_page_text_of_comments_and_promoted_articles(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    pages = [
+        (1, "u", f"<main><p>{words}</p></main><article class='comment'><p>A reader says that this is all wrong and so on.</p></article>"),
+        (2, "u", f"<div class='post promo'><p>{words}</p></div><div class='promo'><p>Buy this now, it is cheap.</p></div>"),
+    ]
+    got = page_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["row"].page_id: r.text for r in got} == {1: words, 2: words}
+
+
 @given(st.lists(st.integers(-5, 5).map(float), max_size=30))
 def test_best_region(scores):
     a, b = page_text.best_region(scores)
