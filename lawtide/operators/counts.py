@@ -38,6 +38,13 @@ def funnel(flagged: DataFrame, *stages: str) -> DataFrame:
         *[F.count_if(F.coalesce(F.col(s), F.lit(False))).alias(s) for s in stages])
 
 
+def scored_figures(threshold: float) -> dict[str, Column]:
+    """Aggregates over scored rows: those that failed, and those that count as relevant."""
+    return {
+        "failures": F.count_if(F.coalesce("error", F.lit("")) != ""),
+        "relevant": F.count_if(F.col("is_relevant") & (F.col("score") >= F.lit(float(threshold))))}
+
+
 def grouped_items(items: DataFrame) -> DataFrame:
     """Items with their place within the issue, in anchor order (`item_rank` from 1).
 

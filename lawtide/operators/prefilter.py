@@ -23,19 +23,19 @@ def keyword_filter(
 
 
 def keyword_filter_with_notes(
-    df: DataFrame, notes: DataFrame, scope: Scope = HR_SCOPE, enabled: bool = True,
-    key: str = "issue_id",
+    df: DataFrame, notes: DataFrame, tags: Column, enabled: bool = True, key: str = "issue_id",
 ) -> DataFrame:
-    """Rows hit in their text or in the note of their issue; `note_topics` are the note's (NULL: no hit).
+    """Rows hit in their text or in the note of their issue, both with what `with_tags` found in them.
 
-    A note is searched once, apart from the paragraphs, and its topics alone join them. No stem
+    `tags` are the topics of a scope; `own_topics` those of the text, `note_topics` of the note (NULL: no
+    hit). A note is searched once, apart from the paragraphs, and its topics alone join them. No stem
     spans the line break that would stand between the two.
     """
-    tagged, tags = with_tags(notes, [scope], "justification_text")
-    rows = df.join(tagged.select(key, tags[scope.name].alias("note_topics")), key, "left")
+    rows = df.withColumn("own_topics", tags).drop("_found").join(
+        notes.select(key, tags.alias("note_topics")), key, "left")
     if not enabled:
         return rows
-    return rows.where(F.col("note_topics").isNotNull() | keyword_hit(_searched("text", None), scope))
+    return rows.where(F.col("note_topics").isNotNull() | F.col("own_topics").isNotNull())
 
 
 def _searched(text: str, context: str | None) -> Column:

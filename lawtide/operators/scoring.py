@@ -6,7 +6,7 @@ import math
 import threading
 import time
 from collections import deque
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
@@ -251,16 +251,19 @@ def lexical_score(topics: Column) -> Column:
 
 def lexical_scores(
     candidates: DataFrame, scope: Scope = HR_SCOPE, context: str | None = "justification_text",
-    more_topics: str | None = None,
+    found: Sequence[str] = (),
 ) -> DataFrame:
     """Default scorer without a model: topics by stems, score by their number.
 
-    `context` is searched with the text; `more_topics` is a column of topics that were found apart.
+    `context` is searched with the text. `found` are columns of topics (NULL: no hit) where the search is
+    done already: it is not repeated.
     """
-    tagged = tag_topics(candidates, scope, "text", context, out="matched_topics")
-    if more_topics is not None:
-        both = F.array_union("matched_topics", F.coalesce(more_topics, F.array().cast("array<string>")))
-        tagged = tagged.withColumn("matched_topics", F.array_sort(both))
+    if found:
+        none = F.array().cast("array<string>")
+        every = F.flatten(F.array(*[F.coalesce(c, none) for c in found]))
+        tagged = candidates.withColumn("matched_topics", F.array_sort(F.array_distinct(every)))
+    else:
+        tagged = tag_topics(candidates, scope, "text", context, out="matched_topics")
     scored = tagged.withColumn("score", lexical_score(F.col("matched_topics")))
     return scored.select(
         *candidates.columns,

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawtide.config import MonitorConfig
 from lawtide.functions.lexicon import HR_SCOPE, Scope
 from lawtide.operators import counts, dedupe, paragraphs, scoring
 from lawtide.operators.ordered import first_per
-from lawtide.operators.prefilter import keyword_filter_with_notes
+from lawtide.operators.prefilter import keyword_filter_with_notes, with_tags
 from lawtide.plans import report
 from lawtide.sources import listing
 from lawtide.sources.landed import latest_landing
@@ -78,56 +78,87 @@ def fetched(landed: Landed) -> DataFrame:
 
 @dataclass(frozen=True)
 class Worklist:
-    """Issues of a run: those found, those of them that no run processed, and those within the cap."""
+    """Issues of a run: those found, those of them that no run processed, and those within the cap.
+
+    `sizes` are the numbers of the three, told when they were written."""
 
     window: tuple[date, date]
     found: DataFrame
     unprocessed: DataFrame
     issues: DataFrame
+    sizes: tuple[int, int, int]
+
 
+def worklists(
+    cfg: MonitorConfig, state: MonitorState, listing_pages: DataFrame, run_ids: Mapping[str, str],
+    run_date: date, seed: bool, stage: Stage,
+) -> dict[str, Worklist]:
+    """The issues of every scope (`run_ids`: its run), by one pass over listing, log and state for all.
 
-def worklist(
-    cfg: MonitorConfig, state: MonitorState, listing_pages: DataFrame, run_id: str, run_date: date,
-    scope: str, seed: bool, stage: Stage,
-) -> Worklist:
-    """Issues of the window and those that earlier runs left open; then the processed ones out, then the cap."""
-    start, end = state.window(run_date, cfg.lookback_days, seed, without_run=run_id, scope=scope)
+    Issues of the scope's window and those that its earlier runs left open; then the processed ones out,
+    then the cap. Rows are keyed by scope and issue and lie in a folder for each scope."""
+    scopes, own, key = list(run_ids), list(run_ids.values()), ["scope", "issue_id"]
+    windows = state.windows(run_date, cfg.lookback_days, seed, own, scopes)
     pages = listing.reachable_pages(listing_pages, cfg.max_listing_pages)
-    listed = listing.listed_issues(pages, cfg.base_url, (start, end)).drop("page_no")
-    left_open = state.open_issues(scope, without_run=run_id).select(*listed.columns)
-    found = stage(
-        listed.unionByName(left_open.join(listed.select("issue_id"), "issue_id", "left_anti")), "issues")
-    unprocessed = stage(dedupe.unprocessed(found, state.processed(run_id, scope)), "unprocessed")
-    return Worklist(
-        (start, end), found, unprocessed, stage(listing.newest(unprocessed, cfg.max_issues_per_run), "open_issues"))
+    entries = stage(listing.page_issues(pages, cfg.base_url), "entries")
+    listed = listing.issues_by_scope(entries, windows).drop("page_no")
+    columns = [c for c in listed.columns if c != "scope"]
+    left_open = state.open_issues(without_run=own).where(F.col("scope").isin(scopes)).select(*listed.columns)
+
+    def kept(rows: DataFrame, name: str) -> tuple[DataFrame, list[int]]:
+        table, told = stage.counted(rows, name, "scope", **{
+            f"n{i}": F.count_if(F.col("scope") == s) for i, s in enumerate(scopes)})
+        return table, [told[f"n{i}"] for i in range(len(scopes))]
+
+    found, n_found = kept(listed.unionByName(left_open.join(listed.select(*key), key, "left_anti")), "issues")
+    unprocessed, n_unprocessed = kept(found.join(state.processed(own), key, "left_anti"), "unprocessed")
+    issues, n_issues = unprocessed, n_unprocessed
+    if cfg.max_issues_per_run is not None:
+        issues, n_issues = kept(
+            listing.newest_per(unprocessed, ["scope"], cfg.max_issues_per_run), "open_issues")
+
+    def of(rows: DataFrame, scope: str) -> DataFrame:
+        return rows.where(F.col("scope") == scope).select(*columns)
+    return {
+        s: Worklist(windows[s], of(found, s), of(unprocessed, s), of(issues, s), sizes)
+        for s, *sizes in zip(scopes, n_found, n_unprocessed, n_issues)}
 
 
 @dataclass(frozen=True)
 class Texts:
     """What was landed for issues, parsed: paragraphs without short ones, a note per issue that has
-    one, and the issues with any content."""
+    one, and the issues with any content.
+
+    Paragraphs and notes come with what the lexicons of all scopes found in them (`_found`); `tags` reads
+    the topics of a scope from it. `sizes` are the numbers of paragraphs and of issues with content."""
 
     paragraphs: DataFrame
     notes: DataFrame
     present: DataFrame
+    tags: dict[str, Column]
+    sizes: tuple[int, int]
 
     def of(self, issues: DataFrame) -> Texts:
+        """The part of some issues; counting it takes a pass over its keys."""
         ids = issues.select("issue_id")
-        return Texts(*(t.join(ids, "issue_id", "left_semi") for t in (self.paragraphs, self.notes, self.present)))
+        cut = [t.join(ids, "issue_id", "left_semi") for t in (self.paragraphs, self.notes, self.present)]
+        return Texts(*cut, self.tags, (cut[0].count(), cut[2].count()))
 
 
 def parsed_texts(
-    issues: DataFrame, landed: Landed, min_chars: int, stage: Stage, as_of: datetime | None = None,
+    issues: DataFrame, landed: Landed, min_chars: int, scopes: Sequence[Scope], stage: Stage,
+    as_of: datetime | None = None,
 ) -> Texts:
-    """Texts of the given issues, each landed document read once."""
+    """Texts of the given issues, each landed document read once and searched once for all scopes."""
     landed = of_issues(landed, issues, as_of)
     # Read twice, parsed once.
     html = stage(paragraphs.html_paragraphs(landed.bodies), "html_paragraphs")
     found = paragraphs.with_fallback(html, paragraphs.page_chunks(landed.page_texts))
-    return Texts(
-        stage(paragraphs.long_enough(found, min_chars), "paragraphs"),
-        stage(paragraphs.justification_notes(issues, landed.justifications), "notes"),
-        stage(fetched(landed), "present"))
+    tagged, tags = with_tags(paragraphs.long_enough(found, min_chars), scopes)
+    notes, _ = with_tags(paragraphs.justification_notes(issues, landed.justifications), scopes, "justification_text")
+    kept, n_kept = stage.counted(tagged, "paragraphs")
+    present, n_present = stage.counted(fetched(landed), "present")
+    return Texts(kept, stage(notes, "notes"), present, tags, (n_kept["rows"], n_present["rows"]))
 
 
 def run(
@@ -145,8 +176,8 @@ def run(
     state before it and overwrites what it left.
     """
     stage, state = stage or Stage(spark), state.pinned()
-    work = worklist(cfg, state, landed.listing_pages, run_id, run_date, scope.name, seed, stage)
-    texts = parsed_texts(work.issues, landed, cfg.min_paragraph_length, stage, as_of)
+    work = worklists(cfg, state, landed.listing_pages, {scope.name: run_id}, run_date, seed, stage)[scope.name]
+    texts = parsed_texts(work.issues, landed, cfg.min_paragraph_length, [scope], stage, as_of)
     return run_issues(
         cfg, state, work, texts, run_id, run_date, run_ts, make_scorer, make_enricher, scope, write,
         report_root, stage)
@@ -160,30 +191,28 @@ def run_scopes(
     seed: bool = False, write: bool = True, report_root: str | None = None, stage: Stage | None = None,
     as_of: datetime | None = None,
 ) -> dict[str, RunResult]:
-    """`run` for several scopes on one state. Bodies, page texts and justifications of all their issues are
-    read and parsed once. Every scope has its own window, cap, open issues and report, and its own
-    run, `<run_id>-<scope>`."""
+    """`run` for several scopes on one state. Listing, bodies, page texts and justifications of all their
+    issues are read and parsed once, and texts searched once for all lexicons. Every scope has its own
+    window, cap, open issues and report, and its own run, `<run_id>-<scope>`."""
     stage, state = stage or Stage(spark), state.pinned()
     parts = {s.name: Stage(spark, stage.path(f"scope={s.name}")) for s in scopes}
     if len(parts) < len(scopes):
         raise ValueError("scopes of one run need different names")
-    work = {
-        s.name: worklist(
-            cfg, state, landed.listing_pages, f"{run_id}-{s.name}", run_date, s.name, seed, parts[s.name])
-        for s in scopes}
+    if not scopes:
+        return {}
+    run_ids = {s.name: f"{run_id}-{s.name}" for s in scopes}
+    work = worklists(cfg, state, landed.listing_pages, run_ids, run_date, seed, stage)
     every = None
     for one in work.values():
         every = one.issues if every is None else every.unionByName(one.issues)
-    if every is None:
-        return {}
     # Scopes may have seen different listings of an issue: one that names a justification counts.
     every = stage(
         first_per(every, ["issue_id"], [F.desc("has_justification"), F.desc("issue_date"), F.desc("justification_url")]),
-        "issues")
-    texts = parsed_texts(every, landed, cfg.min_paragraph_length, stage, as_of)
+        "issues_of_all")
+    texts = parsed_texts(every, landed, cfg.min_paragraph_length, scopes, stage, as_of)
     return {
         s.name: run_issues(
-            cfg, state, work[s.name], texts.of(work[s.name].issues), f"{run_id}-{s.name}", run_date, run_ts,
+            cfg, state, work[s.name], texts.of(work[s.name].issues), run_ids[s.name], run_date, run_ts,
             make_scorer, make_enricher, s, write, report_root, parts[s.name])
         for s in scopes}
 
@@ -211,25 +240,26 @@ def run_issues(
 
     `bodies` (issue_id, html) are those that come once: of issues left open they are kept in the state."""
     name, issues, kept, notes = scope.name, work.issues, texts.paragraphs, texts.notes
-    (start, end), found, unprocessed = work.window, work.found, work.unprocessed
+    (start, end), unprocessed = work.window, work.unprocessed
     capped = unprocessed.join(issues.select("issue_id"), "issue_id", "left_anti")
 
     # The cheap filters stand below the model call: nothing is pushed through it.
-    hits = keyword_filter_with_notes(kept, notes, scope, cfg.keyword_filter_enabled)
+    hits = keyword_filter_with_notes(kept, notes, texts.tags[name], cfg.keyword_filter_enabled)
+    kept, notes = kept.drop("_found"), notes.drop("_found")
     named = dedupe.with_content_hash(dedupe.with_issue(hits, issues))
     # Few literals, which prune the folders of the state.
     reported = dedupe.of_issues(state.reported(run_id, name, **state.months_and_buckets(issues)), issues)
     if cfg.dedupe_before_scoring:
         named = dedupe.unreported(named, reported, cfg.key_columns)
     if make_scorer is None:
-        scored = scoring.lexical_scores(named, scope, context=None, more_topics="note_topics")
+        scored = scoring.lexical_scores(named, scope, found=["own_topics", "note_topics"])
     else:
         scored = scoring.score(
             named, make_scorer, cfg.scoring_concurrency, stage, cfg.calls_per_task, cfg.requests_per_call, notes,
             cfg.calls_in_flight)
-    scored = stage(scored.drop("note_topics"), "scored")
-
     threshold = cfg.relevance_threshold
+    scored, per_stage = stage.counted(
+        scored.drop("own_topics", "note_topics"), "scored", **counts.scored_figures(threshold))
     new = scoring.relevant(scored, threshold)
     if not cfg.dedupe_before_scoring:
         new = dedupe.unreported(new, reported, cfg.key_columns)
@@ -242,24 +272,22 @@ def run_issues(
         items = scoring.enrich(
             new, make_enricher, cfg.scoring_concurrency, stage, cfg.calls_per_task, cfg.requests_per_call,
             cfg.calls_in_flight)
-    items = stage(items.withColumn("run_id", F.lit(run_id)), "report_items")
+    items, n_items = stage.counted(items.withColumn("run_id", F.lit(run_id)), "report_items")
 
-    # Figures of the run, each from a staged table.
-    per_stage = scored.agg(
-        F.count(F.lit(1)).alias("candidates"),
-        F.count_if(F.coalesce("error", F.lit("")) != "").alias("failures"),
-        F.count_if(F.col("is_relevant") & (F.col("score") >= threshold)).alias("relevant")).first()
+    # All told by the jobs that wrote the tables.
     present = texts.present
     missing = issues.join(present, "issue_id", "left_anti")
     failed = scoring.failed(scored).select("issue_id").distinct()
+    (n_found, n_unprocessed, n_issues), (n_kept, n_present) = work.sizes, texts.sizes
     figures = {
-        "issues_scanned": found.count(), "unprocessed": unprocessed.count(), "open_issues": issues.count(),
-        "paragraphs": kept.count(), **per_stage.asDict(), "new_items": items.count(), "persisted": 0,
+        "issues_scanned": n_found, "unprocessed": n_unprocessed, "open_issues": n_issues, "paragraphs": n_kept,
+        "candidates": per_stage["rows"], "failures": per_stage["failures"], "relevant": per_stage["relevant"],
+        "new_items": n_items["rows"], "persisted": 0,
     }
-    figures["skipped"] = figures["issues_scanned"] - figures["unprocessed"]
-    figures["capped"] = figures["unprocessed"] - figures["open_issues"]
+    figures["skipped"] = n_found - n_unprocessed
+    figures["capped"] = n_unprocessed - n_issues
     figures["dropped"] = figures["relevant"] - figures["new_items"]
-    without = missing.count()
+    without = n_issues - n_present
     warnings = [text for n, text in (
         (without, f"no content landed for {without} issues"),
         (figures["capped"], f"{figures['capped']} issues are beyond the cap and stay open"),

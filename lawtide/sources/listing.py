@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawtide.functions import urls
@@ -88,18 +90,36 @@ def link_issues(links: DataFrame, base_url: str) -> DataFrame:
     )
 
 
+def page_issues(pages: DataFrame, base_url: str) -> DataFrame:
+    """The first entry of each issue on each page, if it is dated. An undated one still hides later
+    entries of the issue on its page."""
+    per_page = first_per(link_issues(page_links(pages), base_url), ["page_no", "issue_id"], ["pos"])
+    return per_page.where(F.col("issue_date").isNotNull()).drop("pos")
+
+
 def listed_issues(pages: DataFrame, base_url: str, window: tuple | None = None) -> DataFrame:
     """One row per issue: first entry within a page, last page wins.
 
-    An undated first entry still hides later entries of the same issue on its page. With a window
-    (both ends inclusive), entries outside it are left out before pages are compared: an issue that a
-    later page lists under a date outside the window stays as the earlier page lists it.
+    With a window (both ends inclusive), entries outside it are left out before pages are compared: an
+    issue that a later page lists under a date outside the window stays as the earlier page lists it.
     """
-    per_page = first_per(link_issues(page_links(pages), base_url), ["page_no", "issue_id"], ["pos"])
-    dated = per_page.where(F.col("issue_date").isNotNull())
+    dated = page_issues(pages, base_url)
     if window is not None:
         dated = in_window(dated, *window)
-    return first_per(dated, ["issue_id"], [F.desc("page_no")]).drop("pos")
+    return first_per(dated, ["issue_id"], [F.desc("page_no")])
+
+
+def issues_by_scope(entries: DataFrame, windows: Mapping[str, tuple]) -> DataFrame:
+    """`listed_issues` for the window of every scope, from entries of pages that are parsed once: a row
+    per scope and issue. Entries outside all windows go first."""
+    if not windows:
+        raise ValueError("no scope")
+    inside = in_window(entries, min(a for a, _ in windows.values()), max(b for _, b in windows.values()))
+    every = F.array(*[
+        F.struct(F.lit(s).alias("scope"), F.lit(a).alias("first"), F.lit(b).alias("last")) for s, (a, b) in windows.items()])
+    own = F.filter(every, lambda w: F.col("issue_date").between(w["first"], w["last"]))
+    rows = inside.withColumn("scope", F.explode(F.transform(own, lambda w: w["scope"])))
+    return first_per(rows, ["scope", "issue_id"], [F.desc("page_no")])
 
 
 def in_window(df: DataFrame, start, end, column: str = "issue_date") -> DataFrame:
@@ -107,6 +127,13 @@ def in_window(df: DataFrame, start, end, column: str = "issue_date") -> DataFram
     return df.where(F.col(column).between(F.lit(start), F.lit(end)))
 
 
+def newest_per(issues: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """The first `limit` of `newest` for each key; every task sends at most so many a key."""
+    own = Window.partitionBy(*keys).orderBy(F.desc("issue_date"), F.desc("issue_id"))
+    ranked = issues.withColumn("_rank", F.row_number().over(own))
+    return ranked.where(F.col("_rank") <= limit).drop("_rank")
+
+
 def newest(issues: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest first; equal dates by issue id as text. `limit` plans as a top-k."""
     ordered = issues.orderBy(F.desc("issue_date"), F.desc("issue_id"))

@@ -55,11 +55,11 @@ def running_total(run_log: DataFrame, grain: str = "day") -> DataFrame:
         "_before", "_day", "_year", "_d", "_start")
 
 
-def last_run_date(run_log: DataFrame) -> DataFrame:
-    """One row; text that is no date counts as no run."""
+def last_run_date(run_log: DataFrame, *by: str) -> DataFrame:
+    """One row, or one per value of `by` that has runs; text that is no date counts as no run."""
     kind = run_log.schema["run_date"].dataType.typeName()
     run_date = F.try_to_date("run_date", "yyyy-MM-dd") if kind == "string" else F.col("run_date")
-    return run_log.agg(F.max(run_date).alias("last_run"))
+    return run_log.groupBy(*by).agg(F.max(run_date).alias("last_run"))
 
 
 def run_meta(run_log: DataFrame) -> DataFrame:

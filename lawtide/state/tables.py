@@ -111,7 +111,7 @@ class MonitorState:
     # -- reading ---------------------------------------------------------------
 
     def _rows(
-        self, version: Version, name: str, without_run: str | None = None, scope: str | None = None,
+        self, version: Version, name: str, without_run: str | Sequence[str] | None = None, scope: str | None = None,
         months: Sequence[str] | None = None, buckets: Sequence[int] | None = None,
     ) -> DataFrame:
         """Rows of a table in a version. Only folders of the given months are listed, only those of the
@@ -119,8 +119,9 @@ class MonitorState:
         schema, base = self.schemas[name], f"{self.root}/{name}"
         folders = self._folders(schema)
         read, hidden = [], []
+        without = [without_run] if isinstance(without_run, str) else list(without_run or ())
         for part in version.parts(name):
-            if without_run is not None and part.run_id == without_run:
+            if part.run_id in without:
                 continue
             path = f"{base}/part={part.name}"
             if MONTH in folders:
@@ -141,19 +142,19 @@ class MonitorState:
         if hidden:
             gone = self.spark.createDataFrame(hidden, "part string, run_id string")
             table = table.join(F.broadcast(gone), ["part", "run_id"], "left_anti").select(*table.columns)
-        if without_run is not None:
-            table = table.where(F.col("run_id") != without_run)
+        if without:
+            table = table.where(~F.col("run_id").isin(without))
         table = table.drop("part")
         return table if scope is None else table.where(F.col("scope") == scope)
 
-    def _read(self, name: str, without_run: str | None, scope: str | None, **cut) -> DataFrame:
+    def _read(self, name: str, without_run: str | Sequence[str] | None, scope: str | None, **cut) -> DataFrame:
         return self._rows(self.version or self.manifests.current(), name, without_run, scope, **cut)
 
     @staticmethod
     def _folders(schema: T.StructType) -> list[T.StructField]:
         return [f for f in (MONTH, BUCKET) if f in schema.fields]
 
-    def run_log(self, without_run: str | None = None, scope: str | None = None) -> DataFrame:
+    def run_log(self, without_run: str | Sequence[str] | None = None, scope: str | None = None) -> DataFrame:
         return self._read("run_log", without_run, scope)
 
     def reported(
@@ -165,24 +166,24 @@ class MonitorState:
         `buckets`, the items of issues there; files of others are not opened."""
         return self._read("reported_items", without_run, scope, months=months, buckets=buckets)
 
-    def processed(self, without_run: str | None = None, scope: str | None = None) -> DataFrame:
-        """Ids of processed issues, repeats included: enough to leave them out."""
-        return self._read("issue_progress", without_run, scope).select("issue_id")
+    def processed(self, without_run: str | Sequence[str] | None = None, scope: str | None = None) -> DataFrame:
+        """Scope and id of processed issues, repeats included: enough to leave them out."""
+        return self._read("issue_progress", without_run, scope).select("scope", "issue_id")
 
-    def progress(self, without_run: str | None = None, scope: str | None = None) -> DataFrame:
+    def progress(self, without_run: str | Sequence[str] | None = None, scope: str | None = None) -> DataFrame:
         """Latest progress row per scope and issue; of equal times that of the greater run id."""
         rows = self._read("issue_progress", without_run, scope)
         return merge.latest(rows, ["scope", "issue_id"], ["processed_at", "run_id"])
 
     def open_issues(
-        self, scope: str, without_run: str | None = None, due: datetime | None = None,
+        self, scope: str | None = None, without_run: str | Sequence[str] | None = None, due: datetime | None = None,
     ) -> DataFrame:
-        """Issues that a committed run left open and no later one processed, as they were last seen;
-        with `due`, those whose next try is not after it."""
-        rows = self._read("open_issues", without_run, scope)
-        last = merge.latest(rows, ["issue_id"], ["seen_at", "run_id"])
-        done = self.progress(without_run, scope).select("issue_id", F.struct("processed_at", "run_id").alias("_done"))
-        still = last.join(done, "issue_id", "left").where(
+        """Issues that a committed run left open and no later one processed, as they were last seen in
+        their scope; with `due`, those whose next try is not after it."""
+        rows, key = self._read("open_issues", without_run, scope), ["scope", "issue_id"]
+        last = merge.latest(rows, key, ["seen_at", "run_id"])
+        done = self.progress(without_run, scope).select(*key, F.struct("processed_at", "run_id").alias("_done"))
+        still = last.join(done, key, "left").where(
             F.col("_done").isNull() | (F.struct("seen_at", "run_id") > F.col("_done"))).drop("_done")
         return still if due is None else still.where(F.col("next_try") <= F.lit(due))
 
@@ -200,6 +201,14 @@ class MonitorState:
         last_run = merge.last_run_date(self.run_log(without_run, scope)).first().last_run
         return merge.run_window(run_date, last_run, lookback_days, seed)
 
+    def windows(
+        self, run_date: date, lookback_days: int, seed: bool, without_run: Sequence[str], scopes: Sequence[str],
+    ) -> dict[str, tuple[date, date]]:
+        """`window` of every scope, from one read of the log: a date per scope is all that comes back."""
+        log = self.run_log(without_run).where(F.col("scope").isin(list(scopes)))
+        last = {r.scope: r.last_run for r in merge.last_run_date(log, "scope").collect()}
+        return {s: merge.run_window(run_date, last.get(s), lookback_days, seed) for s in scopes}
+
     def _write(self, name: str, rows: DataFrame, run_id: str) -> Part:
         """A new part with the rows, which nobody sees yet."""
         schema = self.schemas[name]

@@ -95,16 +95,17 @@ def _step(
         kept = at_start.open_bodies(scope.name, due, run_id)
         rows = stage(fresh.unionByName(due.join(kept, "issue_id", "left")), "landed")
         issues = rows.drop("html")
-        days = rows.agg(F.min("issue_date").alias("first"), F.max("issue_date").alias("last")).first()
+        days = rows.agg(
+            F.min("issue_date").alias("first"), F.max("issue_date").alias("last"), F.count("*").alias("n")).first()
         window = (days.first or now.date(), days.last or now.date())
         bodies = rows.select("issue_id", "html")
         landed = Landed(
             nothing(schemas.LISTING_PAGES), bodies,
             nothing(schemas.PAGE_TEXTS) if page_texts is None else page_texts,
             nothing(schemas.ISSUE_BODIES) if justifications is None else justifications)
-        texts = parsed_texts(issues, landed, cfg.min_paragraph_length, stage)
+        texts = parsed_texts(issues, landed, cfg.min_paragraph_length, [scope], stage)
         run_issues(
-            cfg, at_start, Worklist(window, issues, issues, issues), texts, run_id, window[1], now,
+            cfg, at_start, Worklist(window, issues, issues, issues, (days.n,) * 3), texts, run_id, window[1], now,
             make_scorer, make_enricher, scope, True, report_root, stage, bodies)
         stage.drop()
 

@@ -316,7 +316,7 @@ def reported(spark, *keys, issue_id="2026/1"):
 
 def run_row(spark, run_id, day, persisted):
     return spark.createDataFrame([(run_id, "hr", day, datetime(day.year, day.month, day.day), day, day,
-                                   1, 1, 0, 1, 1, persisted, "", ["w"], [], 0, 0, 0)], schemas.RUN_LOG)
+                                   1, 1, 0, 1, 1, persisted, "", ["w"], [], 0, 0, 0, None, False)], schemas.RUN_LOG)
 
 
 NOW = datetime(2026, 1, 1, 12, 0, 0, 500)

@@ -235,3 +235,66 @@ def test_scopes_of_one_run(spark, state, landed, tmp_path):
 def test_repeated_landings_count_once(spark, state, landed):
     twice = Landed(landed.listing_pages, landed.bodies.union(landed.bodies), landed.page_texts, landed.justifications.union(landed.justifications))
     assert run(spark, MonitorConfig(), state, twice, "r1", DAY, NOW).counts["new_items"] == 3
+
+
+def test_listing_and_bodies_are_read_once_for_all_scopes(spark, landed, tmp_path):
+    """Rows read of listing and bodies are as many for five scopes as for one."""
+    def read(n):
+        seen = {name: spark.sparkContext.accumulator(0) for name in ("listing_pages", "bodies")}
+
+        def counted(name):
+            table, told = getattr(landed, name), seen[name]
+
+            def rows(batches):
+                for batch in batches:
+                    told.add(batch.num_rows)
+                    yield batch
+            return table.mapInArrow(rows, table.schema)
+
+        watched = Landed(counted("listing_pages"), counted("bodies"), landed.page_texts, landed.justifications)
+        state = MonitorState(spark, str(tmp_path / f"state{n}")).create()
+        scopes = [Scope(f"s{i}", {"leave": ("szabadság",)} if i % 2 else {"pay": ("munkabér", "bér")}) for i in range(n)]
+        told = run_scopes(spark, MonitorConfig(), state, watched, "r", DAY, NOW, scopes)
+        return {name: a.value for name, a in seen.items()}, {s: r.counts for s, r in told.items()}
+
+    one, alone = read(1)
+    five, together = read(5)
+    # Bodies: their text once, their ids once.
+    assert one == five and one["bodies"] == 2 * landed.bodies.count()
+    assert together["s0"] == together["s2"] == together["s4"] == alone["s0"] and together["s1"] == together["s3"]
+    assert together["s1"]["candidates"] > 0
+
+
+def test_every_scope_has_its_window_and_its_open_issues(spark, state, landed):
+    """A scope that ran before looks at what is new, and at what it left open, beside one that never ran."""
+    run(spark, MonitorConfig(), state, landed, "first", DAY, NOW)
+    tax = Scope("tax", {"leave": ("szabadság",)})
+    told = run_scopes(spark, MonitorConfig(), state, landed, "r", DAY, NOW, [HR_SCOPE, tax])
+    assert told["hr"].window == (DAY, DAY) and told["tax"].window == (date(2026, 6, 2), DAY)
+    assert [r.issue_id for r in told["hr"].issues.collect()] == ["2026/81"]
+    assert told["tax"].counts["open_issues"] == 3 and told["hr"].counts["new_items"] == 0
+
+
+def test_cap_by_scope(spark, state, landed):
+    cfg = MonitorConfig(max_issues_per_run=1)
+    told = run_scopes(spark, cfg, state, landed, "r", DAY, NOW, [HR_SCOPE, Scope("tax", {"leave": ("szabadság",)})])
+    assert {s: (r.counts["open_issues"], r.counts["capped"]) for s, r in told.items()} == {"hr": (1, 2), "tax": (1, 2)}
+    assert {r.scope: r.n for r in state._read("open_issues", None, None).groupBy("scope").agg(F.count("*").alias("n")).collect()} == {
+        s: 2 + (not told[s].counts["paragraphs"]) for s in told}
+
+
+def test_figures_are_told_by_the_job_that_writes(spark, tmp_path):
+    stage, group = Stage(spark, str(tmp_path / "stage")), "figures"
+    rows = spark.range(1000).repartition(7)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        table, told = stage.counted(rows, "rows", even=F.count_if(F.col("id") % 2 == 0))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        stage(rows, "plain")
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 2 * jobs
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert told == {"rows": 1000, "even": 500} and table.count() == 1000
+    for nothing in (rows.where("id < 0"), rows.join(rows.where("id < 0"), "id"), spark.createDataFrame([], rows.schema)):
+        table, told = stage.counted(nothing, "none", even=F.count_if(F.col("id") % 2 == 0))
+        assert told == {"rows": 0, "even": 0} and table.count() == 0
