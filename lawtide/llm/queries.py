@@ -30,7 +30,7 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    told = substrings.repeated_passages(table(spark, folder, "documents"), Stage(spark), words=13)
+    told = substrings.repeated_passages(table(spark, folder, "documents"), Stage(spark), words=13, longest=False)
     return told.select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

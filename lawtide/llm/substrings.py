@@ -1,9 +1,10 @@
 """Passages repeated across documents, by level-wise doubling.
 
-All windows of the shortest length are looked up in the corpus once. Only windows that repeat, in
-two or more documents, are extended to twice the length: a window of 2n words is a candidate if both
-its halves repeat at n. Its hash comes from theirs, so later levels read no text, and each level sends
-only what the one before left, until no candidate survives.
+All windows of half the asked length are looked up in the corpus once. Only windows that repeat, in
+two or more documents, are extended: a window of the asked length is a candidate if the half it begins
+with and the half it ends with both repeat (of an odd length the halves share their middle word), and
+one of 2n words if both its halves repeat at n. Its hash comes from theirs, so later levels read no
+text, and each level sends only what the one before left, until no candidate survives.
 """
 
 from __future__ import annotations
@@ -90,12 +91,15 @@ def _removed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = _ids(batch["ids"][i])
-                words, keys, at, doc = _of_texts(batch, i, n)
-                own, told = _Keyed(keys, doc, ids), answer(batch["cells"][i])
-                later = own.later(told)
-                repeats = np.bincount(doc[own.repeated(told)], minlength=len(ids)) > 0
-                gone = _marks(at[later], n, len(words.start))
+                words = words_of(batch["texts"][i].values, SPACED, lower=False)
+                repeats = np.zeros(len(batch["ids"][i]), bool)
+                starts = np.zeros(0, np.int64)
+                if batch["at"][i].is_valid:  # else no window of the bundle is a candidate
+                    ids, doc, at, keys = _opened(batch, i)
+                    own, told = _Keyed(keys, doc, ids), answer(batch["cells"][i])
+                    repeats[doc[own.repeated(told)]] = True
+                    starts = at[own.later(told)]
+                gone = _marks(starts, n, len(words.start))
                 data, out = words.data.tobytes(), []
                 starts, ends = words.start.tolist(), words.end.tolist()
                 for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
@@ -123,12 +127,12 @@ _STATE = "bundle long, owners binary, docs binary, at binary, keys binary, candi
 
 
 def _state(bundle: int, ids: np.ndarray, doc: np.ndarray, at: np.ndarray, keys: np.ndarray,
-           repeated: np.ndarray, n: int) -> pa.RecordBatch:
-    """Candidates of twice the length: places whose window repeats, as does the one n words on."""
+           repeated: np.ndarray, step: int) -> pa.RecordBatch:
+    """Candidates that are `step` words longer: places whose window repeats, as does the one so many words on."""
     doc, at, keys = doc[repeated], at[repeated], keys[repeated]
-    ahead = np.searchsorted(at, at + n)
+    ahead = np.searchsorted(at, at + step)
     there = np.flatnonzero(ahead < len(at))
-    there = there[(at[ahead[there]] == at[there] + n) & (doc[ahead[there]] == doc[there])]
+    there = there[(at[ahead[there]] == at[there] + step) & (doc[ahead[there]] == doc[there])]
     longer = mixed(keys[there] * U(0x9E3779B97F4A7C15) + keys[ahead[there]])
     cells = [ids, doc[there], at[there], longer.view(np.int64)]
     return pa.RecordBatch.from_arrays(
@@ -137,14 +141,14 @@ def _state(bundle: int, ids: np.ndarray, doc: np.ndarray, at: np.ndarray, keys:
         ["bundle", "owners", "docs", "at", "keys", "candidates"])
 
 
-def _first_state(n: int):
+def _first_state(n: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = _ids(batch["ids"][i])
                 _, keys, at, doc = _of_texts(batch, i, n)
                 repeated = _Keyed(keys, doc, ids).repeated(answer(batch["cells"][i]))
-                yield _state(batch["bundle"][i].as_py(), ids, doc, at, keys, repeated, n)
+                yield _state(batch["bundle"][i].as_py(), ids, doc, at, keys, repeated, step)
     return run
 
 
@@ -187,13 +191,15 @@ def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_passages(
     docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text", *, words: int = 13,
+    longest: bool = True,
 ) -> DataFrame:
     """One row per row of docs: the id, n_words, n_removed, removed (spans of words), kept (the other
     words, joined by one space), longest.
 
     A word is removed if a window of `words` words that covers it also starts in a document of a smaller
     id. longest: the greatest of words, 2 * words, 4 * words, ... at which some window of the document is
-    also in a document of another id; 0 if none is.
+    also in a document of another id; 0 if none is. With `longest=False` there is no such column, and no
+    level beyond `words`, which decides what is removed.
 
     Words are runs without white space, unchanged. null and blank texts and those of fewer than `words`
     words have nothing removed. Rows that share an id are one document for the comparison: none is
@@ -203,36 +209,48 @@ def repeated_passages(
     bundles = bundled(docs, stage, id_col, text_col)
     size = bundles.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
     texts = bundles.select("bundle", "ids", "texts")
-    told = answers(texts.mapInArrow(_asked(words, part_bits(size // 6)), REQUEST), stage, "level_0", _told)
-    found = stage(told, "level_0_answers")
-    stage.drop("level_0_said")
-    both = texts.join(found, "bundle", "left")
-    cut = both.mapInArrow(
+    half = (words + 1) // 2
+    found = answers(texts.mapInArrow(_asked(half, part_bits(size // 6)), REQUEST), stage, "halves", _told)
+    state = stage(
+        texts.join(found, "bundle").mapInArrow(_first_state(half, words - half), _STATE).where("candidates > 0"),
+        "state_0", **PACKED)
+    stage.drop("halves_said")
+
+    def told_of(state: DataFrame, level: int) -> DataFrame:
+        """The candidates with what the corpus says to them."""
+        open_ = state.agg(F.sum("candidates").alias("n")).first()["n"] or 0
+        found = answers(state.mapInArrow(_asked_again(part_bits(open_)), REQUEST), stage, f"level_{level}", _told)
+        told = stage(state.join(found, "bundle", "left"), f"level_{level}_told", **PACKED)
+        stage.drop(f"level_{level}_said", f"state_{level}")
+        return told
+
+    told = told_of(state, 0)
+    cut = texts.join(told.select("bundle", "owners", "docs", "at", "keys", "cells"), "bundle", "left").mapInArrow(
         _removed(words),
         f"bundle long, place long, id {docs.schema[id_col].dataType.simpleString()}, n_words long, "
         "n_removed long, removed array<struct<start: long, end: long>>, kept string, repeats boolean")
+    columns = [F.col("id").alias(id_col), "n_words", "n_removed", "removed", "kept"]
+    if not longest:
+        return cut.select(*columns)
 
-    n, level = words, 0
-    state = stage(both.mapInArrow(_first_state(words), _STATE).where("candidates > 0"), "state_1", **PACKED)
-    longest = None
+    n, level, reached = words, 0, []
     while True:
         level += 1
-        open_ = state.agg(F.sum("candidates").alias("n")).first()["n"] or 0
-        if not open_:
+        state = stage(told.mapInArrow(_next_state(n), _STATE).where("candidates > 0"), f"state_{level}", **PACKED)
+        if level > 1:  # the first is read again by what is returned
+            stage.drop(f"level_{level - 1}_told")
+        if state.isEmpty():
             break
         n *= 2
-        told = answers(
-            state.mapInArrow(_asked_again(part_bits(open_)), REQUEST), stage, f"level_{level}", _told)
-        told = stage(state.join(told, "bundle", "left"), f"level_{level}_told", **PACKED)
-        reached = stage(told.mapInArrow(_reached, "bundle long, place long"), f"reached_{level}")
-        reached = reached.withColumn("longest", F.lit(n))
-        longest = reached if longest is None else longest.unionByName(reached)
-        state = stage(
-            told.mapInArrow(_next_state(n), _STATE).where("candidates > 0"), f"state_{level + 1}", **PACKED)
-        stage.drop(f"level_{level}_said", f"level_{level}_told", f"state_{level}")
-    if longest is None:
-        longest = cut.sparkSession.createDataFrame([], "bundle long, place long, longest int")
-    longest = longest.groupBy("bundle", "place").agg(F.max("longest").alias("longest"))
-    return cut.join(stage(longest, "longest"), ["bundle", "place"], "left").select(
-        F.col("id").alias(id_col), "n_words", "n_removed", "removed", "kept",
-        F.coalesce("longest", F.when(F.col("repeats"), words).otherwise(0)).cast("long").alias("longest"))
+        told = told_of(state, level)
+        reached.append(stage(told.mapInArrow(_reached, "bundle long, place long"), f"reached_{level}").withColumn("n", F.lit(n)))
+    if not reached:
+        far = F.lit(None).cast("int")
+    else:
+        every = reached[0]
+        for one in reached[1:]:
+            every = every.unionByName(one)
+        every = stage(every.groupBy("bundle", "place").agg(F.max("n").alias("longest")), "longest")
+        cut, far = cut.join(every, ["bundle", "place"], "left"), F.col("longest")
+    return cut.select(
+        *columns, F.coalesce(far, F.when(F.col("repeats"), words).otherwise(0)).cast("long").alias("longest"))

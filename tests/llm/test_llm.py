@@ -318,6 +318,15 @@ def passages(rows, n):
     return out
 
 
+@pytest.mark.parametrize("words", [1, 2, 5, 6, 13])
+def test_substrings_of_any_length(spark, words):
+    """Odd and even lengths: what is removed comes out of the windows of half the length."""
+    rows = [r for r in made_docs(4, 16) if len(r[1] or "") < 3000]
+    got = substrings.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(3), Stage(spark), words=words, longest=False)
+    same(got.select("doc_id", "n_words", "n_removed", "kept"), [r[:4] for r in passages(rows, words)])
+    assert "longest" not in got.columns
+
+
 @pytest.mark.parametrize("bundle, part", [(3 << 20, 2 << 20), (2000, 300)])
 def test_substrings(spark, monkeypatch, bundle, part):
     import lawtide.llm.bundles as bundles
