@@ -1,9 +1,12 @@
 """Main text of web pages: the contiguous region of maximal score.
 
-A page is a sequence of words and tags. Words score by the zone they are in, tags by their name, with
-weights learned from labelled pages: those that mark their article themselves. One linear scan finds
-the contiguous region whose sum is greatest; its text, without the parts of a page that are never
-article, is what is returned.
+A page is a sequence of words and tags. Words score by the block they are in (its element, its length,
+its share of links), tags by their name, with weights learned from labelled pages: those that mark their
+article themselves. The mark is the label and no feature, so the weights hold for pages without one. One
+linear scan finds the contiguous region whose sum is greatest; its text, without the parts of a page
+that are never article, is what is returned. Where a page marks an article, words inside score above
+and words beyond below zero, unless the region found without the mark is far longer: then the mark is
+that of a teaser.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+INLINE = frozenset("a abbr b br cite code em i img mark q s small span strong sub sup u".split())
 NEVER_ARTICLE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "disclaimer disqus footer masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted "
@@ -68,27 +72,32 @@ def _zone(name: str, attributes: str, inside: bool) -> str | None:
     return None
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, zone): tags as they come, and the text between them.
+def tokens(page: str) -> Iterator[tuple[str, str, str, str | None]]:
+    """(kind, name or text, zone, block): tags as they come, and the text between them.
 
     Zones of text: hidden, frame (menus, footers, adverts, forms and the like), marked (within an article
     element), link, heading, plain. Elements that end with their parent, and those never closed, are
-    closed with the element around them.
+    closed with the element around them. block is the innermost block element that text is in, none
+    within a link; an article element counts as a division.
     """
     stack: list[tuple[str, str | None]] = []
     # How many open elements have a name, and how many opened a zone: no tag needs a look through the stack.
-    names, zones = Counter(), Counter()
+    names, zones, blocks = Counter(), Counter(), ["body"]
     at = 0
 
     def push(name: str, attributes: str) -> None:
         stack.append((name, _zone(name, attributes, zones["marked"] > 0)))
         names[name] += 1
         zones[stack[-1][1]] += 1
+        if name in BLOCKS:
+            blocks.append("div" if name in MARKED else name)
 
     def pop() -> str:
         name, opened = stack.pop()
         names[name] -= 1
         zones[opened] -= 1
+        if name in BLOCKS:
+            blocks.pop()
         return name
 
     def zone() -> str:
@@ -102,7 +111,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if found.start() < at:
             continue
         if found.start() > at:
-            yield "text", page[at: found.start()], now
+            yield "text", page[at: found.start()], now, None if names["a"] else blocks[-1]
         at = found.end()
         closing, name, attributes, _ = found.groups()
         if not name:
@@ -121,31 +130,59 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 pop()
             push(name, attributes)
             now = zone()
-        yield "tag", name, now
+        yield "tag", name, now, None
     if at < len(page):
-        yield "text", page[at:], now
+        yield "text", page[at:], now, None if names["a"] else blocks[-1]
+
+
+Token = tuple[str, str, str, str | None]
+
+
+def featured(found: Sequence[Token]) -> list[tuple[str, ...]]:
+    """What is known of the words of each text: the element, the number of words and the share of links of
+    the block it is in. Nothing for tags and hidden text."""
+    out: list[tuple[str, ...]] = [()] * len(found)
+    texts: list[int] = []
+
+    def close() -> None:
+        sizes = [len(found[i][1].split()) for i in texts]
+        n = sum(sizes)
+        if n:
+            linked = sum(size for i, size in zip(texts, sizes) if found[i][3] is None)
+            element = next((found[i][3] for i in texts if found[i][3] is not None), "a")
+            known = (f"in {element}", f"words {min(n.bit_length(), 7)}", f"links {round(3 * linked / n)}")
+            for i in texts:
+                out[i] = known
+        texts.clear()
+
+    for i, (kind, value, zone, _) in enumerate(found):
+        if kind == "text":
+            if zone != "hidden":
+                texts.append(i)
+        elif value in BLOCKS:
+            close()
+    close()
+    return out
 
 
 _COUNT = "name string, inside long, outside long"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often tags and words of each zone stand inside and outside the articles of marked pages."""
+    """How often tags and words of each feature stand inside and outside the articles of marked pages."""
     sums: dict[str, list[int]] = {}
     for batch in batches:
         for page in batch["html"].to_pylist():
             if not page or not re.search(r"<(article|main)\b", page, re.I):
                 continue
-            inside = 0
-            for kind, value, zone in tokens(page):
-                marked = zone == "marked"
+            found = list(tokens(page))
+            for (kind, value, zone, _), known in zip(found, featured(found)):
                 if kind == "tag":
-                    name, n = f"<{value}>" if value in BLOCKS or value in ("a", "br", "img") else "<other>", 1
+                    names, n = (f"<{value}>" if value in BLOCKS or value in INLINE else "<other>",), 1
                 else:
-                    name, n = "words marked" if marked else f"words beyond {zone}", len(value.split())
-                cell = sums.setdefault(name, [0, 0])
-                cell[0 if marked else 1] += n
-                inside += marked
+                    names, n = ("all", *known) if known else (), len(value.split())
+                for name in names:
+                    sums.setdefault(name, [0, 0])[0 if zone == "marked" else 1] += n
     if sums:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums)), pa.array([a for a, _ in sums.values()], pa.int64()),
@@ -153,24 +190,37 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Weights from all pages that mark an article: for words the log odds of being in it, for tags the
-    log odds of being outside, below zero always. The names are those of HTML elements and zones, some
-    dozens, whatever the pages; only their sums reach the driver."""
+    """Weights from all pages that mark an article: for a feature of words, how many times as frequent it is
+    inside as outside, as a logarithm; for tags the log odds of being outside, below zero always. Menus and
+    the like count as outside. The names are those of HTML elements and of a few sizes, some dozens,
+    whatever the pages; only their sums reach the driver."""
     rows = (
         pages.select(F.col(html_col).cast("string").alias("html")).mapInArrow(_counted, _COUNT)
         .groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect())
     weights = {}
+    inside, outside = next(((r["inside"], r["outside"]) for r in rows if r["name"] == "all"), (0, 0))
     for row in sorted(rows, key=lambda r: r["name"]):
-        odds = math.log((row["inside"] + 0.5) / (row["outside"] + 0.5))
         if row["name"].startswith("<"):
-            weights[row["name"]] = -max(0.05, min(2.0, -odds / 2))
-        else:
-            weights[row["name"]] = max(-3.0, min(3.0, odds))
+            odds = math.log((row["inside"] + 0.5) / (row["outside"] + 0.5))
+            weights[row["name"]] = -max(0.02, min(0.5, -odds / 8))
+        elif row["name"] != "all":
+            ratio = math.log(
+                (row["inside"] + FEW) * (outside + 2 * FEW) / ((row["outside"] + FEW) * (inside + 2 * FEW)))
+            weights[row["name"]] = max(-3.0, min(3.0, ratio))
     return weights
 
 
-#: Where the labelled pages do not say: words of a page without a marked article, and rare tags.
+#: Words of a feature before it weighs: so many are added to both sides.
+FEW = 20
+#: What words weigh before the labelled pages are asked, by zone.
 _PLAIN = {"plain": 1.0, "heading": 0.5, "link": -0.75}
+#: What is learned moves that by so much at most: text stays above zero and links below, whatever the
+#: labelled pages say, as they may know a block element from their adverts alone.
+MOVED = 0.4
+#: Words in a marked article, and beyond one; the mark is the label, so nothing can be learned of it.
+_MARKED, _BEYOND = 3.0, -3.0
+#: A marked article is a teaser if the page holds so many times its words in one region beyond it.
+TEASER = 4
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -189,28 +239,36 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The article of a page: one line per block, white space in a block as one space, character
     references decoded."""
     found = list(tokens(page or ""))
-    marked = any(kind == "text" and zone == "marked" and value.strip() for kind, value, zone in found)
+    sizes = [len(value.split()) if kind == "text" else 0 for kind, value, _, _ in found]
+    marked = sum(n for n, token in zip(sizes, found) if token[2] == "marked")
+
+    # Words beyond a marked article, by what is known of their blocks.
+    out = {"hidden", "frame", "marked"}
     scores = []
-    for kind, value, zone in found:
-        if zone in ("hidden", "frame"):
+    for (kind, value, zone, _), known, n in zip(found, featured(found), sizes):
+        if zone in out:
             scores.append(0.0)
         elif kind == "tag":
-            scores.append(weights.get(f"<{value}>", weights.get("<other>", -0.05)))
+            scores.append(weights.get(f"<{value}>", weights.get("<other>", -0.02)))
         else:
-            n = len(value.split())
-            if zone == "marked":
-                scores.append(n * max(0.5, weights.get("words marked", 1.0)))
-            elif marked:
-                scores.append(n * min(-0.5, weights.get(f"words beyond {zone}", -1.0)))
-            else:
-                scores.append(n * _PLAIN[zone])
-    if marked:  # a tag within the article costs less than the least word
-        scores = [s / 64 if kind == "tag" and zone == "marked" else s for s, (kind, _, zone) in zip(scores, found)]
+            learned = sum(weights.get(name, 0.0) for name in known) / 3
+            scores.append(n * (_PLAIN[zone] + max(-MOVED, min(MOVED, learned))))
     a, b = best_region(scores)
+    if marked and sum(n for n, token in zip(sizes[a:b], found[a:b]) if token[2] not in out) <= TEASER * marked:
+        out = {"hidden", "frame"}
+        scores = []
+        for (kind, value, zone, _), n in zip(found, sizes):
+            if zone in out:
+                scores.append(0.0)
+            elif kind == "tag":  # within the article a tag costs less than the least word
+                scores.append(weights.get(f"<{value}>", weights.get("<other>", -0.02)) / (64 if zone == "marked" else 1))
+            else:
+                scores.append(n * (_MARKED if zone == "marked" else _BEYOND))
+        a, b = best_region(scores)
     blocks, open_ = [], []
-    for kind, value, zone in found[a:b]:
+    for kind, value, zone, _ in found[a:b]:
         if kind == "text":
-            if zone not in ("hidden", "frame"):
+            if zone not in out:
                 open_.append(value)
         elif value in BLOCKS:
             blocks.append(open_)

@@ -560,6 +560,38 @@ def test_page_text_of_comments_and_promoted_articles(spark):
     assert {r["row"].page_id: r.text for r in got} == {1: words, 2: words}
 
 
+def test_page_text_without_the_mark(spark):
+    """Weights learned from marked pages find the same text in unseen pages whose mark is taken away."""
+    import re
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    learned = page_text.learned_weights(pages.where("page_id % 2 = 0"))
+    held = [r.html for r in pages.where("page_id % 2 = 1").select("html").collect()]
+    assert any("<article" in page for page in held)
+    for page in held:
+        bare = re.sub(r"(</?)(?:article|main)\b", r"\1div", page)
+        assert page_text.main_text(bare, learned) == page_text.main_text(page, learned)
+    # Both sides of the label are seen: paragraphs speak for the article, links and short blocks against it.
+    assert learned["in p"] > 0 > learned["links 3"] and learned["words 7"] > 0 > learned["words 1"]
+
+
+def test_page_text_of_a_teaser_beside_the_body(spark):
+    """A marked teaser does not hide a body many times its length that nothing marks; a marked article
+    does hide what stands beside it."""
+    learned = page_text.learned_weights(spark.read.parquet(f"{SF}/pages.parquet"))
+    body = " ".join(f"word{i}" for i in range(400))
+    lines = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(30)]
+    for weights in ({}, learned):
+        teaser = "<nav><a href='/'>home page</a></nav><article>A short teaser of another text</article>"
+        assert page_text.main_text(f"{teaser}<div class='x'>{body}</div><footer>c d</footer>", weights) == body
+        assert page_text.main_text(f"<div><p>some unmarked words that are no part</p></div><article><p>{body}</p></article>", weights) == body
+        # Blocks that the labelled pages know from adverts alone are text all the same.
+        divided = "".join(f"<div>{line}</div>" for line in lines)
+        assert page_text.main_text(f"<body>{divided}</body>", weights) == "\n".join(lines)
+        # Ties: of regions of equal weight one is returned whole, and the same one each time.
+        tied = "<div>one two three</div>" + "<br><form>x</form>" * 40 + "<div>four five six</div>"
+        assert page_text.main_text(tied, weights) == page_text.main_text(tied, weights) != ""
+
+
 @given(st.lists(st.integers(-5, 5).map(float), max_size=30))
 def test_best_region(scores):
     a, b = page_text.best_region(scores)
