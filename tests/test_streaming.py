@@ -178,3 +178,36 @@ def test_recent_keys(spark, tmp_path):
     got = {r.k for r in spark.read.schema(table.schema).parquet(str(tmp_path / "out")).collect()}
     assert got == {"a", "b"}
     assert [r.id for r in unique_in_batch(table, "ts", ["k"], ["id"]).orderBy("id").collect()] == [1, 3]
+
+
+def test_a_hot_key_is_combined_before_the_state(spark, tmp_path):
+    """A key with half of all rows reaches the state as a few rows; the keys that come out are the same."""
+    from lawtide.streaming.recent import _ends_of_keys
+    schema = "id long, ts timestamp, k string, l long"
+    start = datetime(2026, 1, 1)
+    rows = [(i, start + timedelta(minutes=i % 977), "hot" if i % 2 else f"k{i % 50}", None if i % 3 else 1) for i in range(6000)]
+    rows += [(9000, start - timedelta(days=1), "hot", 7), (9001, None, "hot", 8), (9002, None, "hot", 8)]
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(str(tmp_path / "in"))
+    table = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    sent = table.mapInArrow(_ends_of_keys("ts", ["k", "l"]), schema)
+    hot = sent.where("k = 'hot' AND ts IS NOT NULL").groupBy("l").count().collect()
+    assert all(r["count"] <= 2 * 4 for r in hot) and sent.where("ts IS NULL").count() == 2
+
+    def keys(combine):
+        name = str(tmp_path / f"combine-{combine}")
+        unique_in_stream(
+            spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "ts", ["k", "l"], "10 days", combine,
+        ).writeStream.format("parquet").option("checkpointLocation", name + "-c").option("path", name).trigger(
+            availableNow=True).start().awaitTermination()
+        return sorted(((r.k, r.l) for r in spark.read.schema(schema).parquet(name).collect()), key=str)
+    assert keys(True) == keys(False) and len(keys(True)) == len({(k, l) for _, _, k, l in rows})
+
+
+def test_combining_keeps_a_row_behind_a_late_one():
+    """A late row comes with one that counts: both are sent on, those between them are not."""
+    import pyarrow as pa
+    from lawtide.streaming.recent import _ends_of_keys
+    times = [datetime(2026, 1, d) for d in (9, 1, 5)]
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "ts": times, "k": ["a"] * 3})
+    assert [b["id"].to_pylist() for b in _ends_of_keys("ts", ["k"])([batch])] == [[1, 2]]
+    assert [b.num_rows for b in _ends_of_keys("ts", ["k"])([batch.slice(0, 0)])] == [0]
