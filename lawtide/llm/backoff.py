@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawtide.llm.bundles import REQUEST, answer, answers, bundled, part_bits, request
+from lawtide.llm.bundles import PACKED, REQUEST, answer, answers, bundled, part_bits, request
 from lawtide.llm.words import SPACED, spans, words_of
 from lawtide.sources.workspace import Stage
 
@@ -146,3 +146,65 @@ def backoff_scores(
         .mapInArrow(_scored(order, total, alpha), f"id {kind}, n_words long, units long")
         .select(F.col("id").alias(id_col), "n_words", (F.col("units") / UNIT).alias("logprob"),
                 F.when(F.col("n_words") > 0, F.col("units") / UNIT / F.col("n_words")).alias("mean_logprob")))
+
+
+# What words are made of, and the letters that are lowered.
+_WORD, _UPPER, _LOWER = r"[^\x20\x09-\x0D]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _grams_of_words(order: int) -> Column:
+    """For every word the keys of the n-grams that end there (`k1`, `k2`, ...) and of those without their
+    last word (`p2`, ...); null where the text begins too late."""
+    def key(words: Column, n: int, end: Column) -> Column:
+        return F.when(end >= n - 1, F.xxhash64(F.lit(n), F.slice(words, end - (n - 2), n)))
+
+    words = F.col("words")
+    return F.transform(words, lambda _, i: F.struct(
+        *[key(words, n, i).alias(f"k{n}") for n in range(1, order + 1)],
+        *[key(words, n - 1, i - 1).alias(f"p{n}") for n in range(2, order + 1)]))
+
+
+def relational_scores(
+    docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text", *,
+    order: int = 3, alpha: float = 0.4,
+) -> DataFrame:
+    """`backoff_scores` as joins, by DataFrame functions alone; the same rows for the same input.
+
+    n-grams are exploded, a row per document and distinct n-gram; counts of each order are a table by the
+    n-gram's hash, joined to them; what is left of a count without the document's own is joined to
+    the words that ask for it, and scores are summed per document. Several rows of some twenty bytes
+    travel for every word, so it takes more time and disk than the packed form.
+    """
+    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _UPPER, _LOWER)
+    rows = stage(docs.select(
+        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
+        F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("words")), "rows", **PACKED)
+    total = rows.agg(F.sum(F.size("words").cast("long")).alias("n")).first()["n"] or 0
+    keys = [*(f"k{n}" for n in range(1, order + 1)), *(f"p{n}" for n in range(2, order + 1))]
+    grams = stage(
+        rows.select("row", F.explode(_grams_of_words(order)).alias("g")).select("row", "g.*")
+        .groupBy("row", *keys).agg(F.count(F.lit(1)).alias("times")), "grams", **PACKED)
+
+    told = grams
+    for n in range(1, order + 1):
+        own = grams.where(f"k{n} IS NOT NULL").groupBy("row", F.col(f"k{n}").alias("key")).agg(F.sum("times").alias("own"))
+        counts = stage(own.groupBy("key").agg(F.sum("own").alias("n")), f"count_{n}", **PACKED)
+        others = stage(
+            own.join(counts, "key").select("row", "key", (F.col("n") - F.col("own")).alias("others")), f"others_{n}", **PACKED)
+        asking = [(f"k{n}", f"n{n}"), *([(f"p{n + 1}", f"before{n + 1}")] if n < order else [])]
+        for key, name in asking:
+            told = told.join(
+                others.select("row", F.col("key").alias(key), F.col("others").alias(name)), ["row", key], "left")
+
+    sizes = rows.select("id", "row", F.size("words").cast("long").alias("n_words"))
+    top = F.greatest(*[F.when(F.col(f"k{n}").isNotNull(), n - 1) for n in range(1, order + 1)], F.lit(0))
+    rest = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1))
+    score = F.greatest(F.col("n1").cast("double"), F.lit(0.5)) / rest * F.pow(F.lit(alpha), top)
+    for n in range(2, order + 1):
+        score = F.when(F.col(f"n{n}") > 0, F.col(f"n{n}") / F.col(f"before{n}") * F.pow(F.lit(alpha), top - (n - 1))).otherwise(score)
+    units = F.rint(F.log(score) * UNIT).cast("long") * F.col("times")
+    summed = told.join(sizes.select("row", "n_words"), "row").groupBy("row").agg(F.sum(units).alias("units"))
+    units = F.coalesce("units", F.lit(0))
+    return sizes.join(summed, "row", "left").select(
+        F.col("id").alias(id_col), "n_words", (units / UNIT).alias("logprob"),
+        F.when(F.col("n_words") > 0, units / UNIT / F.col("n_words")).alias("mean_logprob"))

@@ -370,9 +370,10 @@ def backed_off(rows, order=3, alpha=0.4):
     return out
 
 
+@pytest.mark.parametrize("form", [backoff.backoff_scores, backoff.relational_scores])
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_backoff(spark, docs, rows, order):
-    got = backoff.backoff_scores(docs, Stage(spark), order=order).collect()
+def test_backoff(spark, docs, rows, order, form):
+    got = form(docs, Stage(spark), order=order).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     expected = sorted(backed_off(rows, order), key=key)
     for g, e in zip(sorted(got, key=key), expected, strict=True):
@@ -382,6 +383,7 @@ def test_backoff(spark, docs, rows, order):
 
 def test_backoff_of_nothing(spark, nothing):
     assert backoff.backoff_scores(nothing, Stage(spark)).count() == 0
+    assert backoff.relational_scores(nothing, Stage(spark)).count() == 0
 
 
 @pytest.mark.parametrize("digest_all", [True, False])
