@@ -36,7 +36,7 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    scored = backoff.backoff_scores(table(spark, folder, "documents"), Stage(spark))
+    scored = backoff.relational_scores(table(spark, folder, "documents"), Stage(spark))
     return scored.select("doc_id", "n_words", "logprob")
 
 
