@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawtide.llm.bundles import PACKED, REQUEST, answer, answers, bundled, part_bits, request
+from lawtide.llm.bundles import PACKED, REQUEST, answer, answers, bundled, first_bits, part_bits, request
 from lawtide.llm.words import SPACED, spans, words_of
 from lawtide.sources.workspace import Stage
 
@@ -134,10 +134,9 @@ def backoff_scores(
     kind = docs.schema[id_col].dataType.simpleString()
     bundles = bundled(docs, stage, id_col, text_col).select("bundle", "ids", "texts")
     total = bundles.select("texts").mapInArrow(_n_words, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
-    asked = bundles
+    asked, bits = bundles, part_bits(total)
     for n in range(1, order + 1):
-        counts = answers(
-            bundles.mapInArrow(_asked(n, part_bits(total)), REQUEST), stage, f"counts_{n}", _summed)
+        counts = answers(bundles.mapInArrow(_asked(n, first_bits(bits)), REQUEST), stage, f"counts_{n}", _summed, bits)
         asked = asked.join(
             stage(counts.withColumnRenamed("cells", f"cells_{n}"), f"answers_{n}"), "bundle", "left")
         stage.drop(f"counts_{n}_said")

@@ -5,7 +5,9 @@ holds some hundred documents whole. A bundle sends its distinct keys, sorted, wi
 cut by the leading bits of the key into parts; a part meets in one group, is resolved there, and every
 bundle gets an answer for each of its keys, in the order it sent them. A key that is in every document
 is one entry per bundle, so bundles are the partial aggregation that takes the heat from hot keys. Parts
-are as many as the corpus asks for, so that each holds about the same number of keys.
+are as many as the corpus asks for, so that each holds about the same number of keys. Where they are too
+many to cut every bundle into all of them, keys are exchanged in two steps: bundles are cut into coarse
+parts, crews of bundles join what they have of a coarse part, and cut that into fine ones.
 
 Bundles are written before they are used, so keys and answers of a bundle belong together however
 often tasks run again.
@@ -27,6 +29,9 @@ from lawtide.sources.workspace import Stage
 #: Text of a bundle, and keys of a part, more or less. A longer document makes a longer bundle.
 BUNDLE_BYTES, PART_KEYS = 3 << 20, 2 << 20
 
+#: Leading bits by which a bundle is cut at once; more are halved into two steps.
+ONE_STEP = 9
+
 PACKED = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 
 
@@ -74,11 +79,17 @@ def part_bits(n_keys: int) -> int:
     return max(0, (max(1, n_keys) // PART_KEYS).bit_length())
 
 
+def first_bits(bits: int) -> int:
+    """How many of the bits a bundle is cut by itself."""
+    return bits if bits <= ONE_STEP else (bits + 1) // 2
+
+
 def request(bundle: int, keys: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Rows (part, bundle, keys, values) of a bundle's sorted distinct keys."""
-    cuts = (np.arange(1, 1 << bits, dtype=U) << U(64 - bits)) if bits else np.zeros(0, U)
+    """Rows (part, bundle, keys, values) of a bundle's sorted keys, cut by the leading bits."""
+    first, last = (int(keys[i]) >> (64 - bits) if len(keys) else 0 for i in (0, -1))
+    cuts = np.arange(first + 1, last + 1, dtype=U) << U(64 - bits) if bits else np.zeros(0, U)
     edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
-    rows = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+    rows = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:]), first) if a < b]
     return pa.RecordBatch.from_arrays(
         [pa.array([p for p, _, _ in rows], pa.int64()), pa.array([bundle] * len(rows), pa.int64()),
          pa.array([shrunk(ascending(keys[a:b])) for _, a, b in rows], pa.binary()),
@@ -89,12 +100,63 @@ def request(bundle: int, keys: np.ndarray, values: np.ndarray, bits: int) -> pa.
 REQUEST = "part long, bundle long, keys binary, values binary"
 
 
-def answers(requests: DataFrame, stage: Stage, name: str, resolve: Callable) -> DataFrame:
-    """(bundle, cells), written: what `resolve` says to each key a bundle sent.
+def _entries(rows: pa.Table, by: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a part in the order of `by`, with all their keys and values and where those of each row begin."""
+    rows = rows.sort_by(by)
+    keys = [unascending(grown(c.as_buffer()), U) for c in rows["keys"]]
+    values = np.concatenate([unplaned(grown(c.as_buffer()), np.int64) for c in rows["values"]])
+    return rows, np.concatenate(keys), values, np.cumsum([0, *map(len, keys)])
+
+
+def _joined(bits: int):
+    """What a crew has of a coarse part, as one list of keys in order, cut into fine parts."""
+    def run(rows: pa.Table) -> pa.Table:
+        _, keys, values, _ = _entries(rows, "bundle")
+        order = np.argsort(keys, kind="stable")
+        return pa.Table.from_batches([request(rows["crew"][0].as_py(), keys[order], values[order], bits)])
+    return run
+
+
+def _handed_out(asked: pa.Table, said: pa.Table) -> pa.Table:
+    """The answers to a crew, in the order of each bundle's keys."""
+    rows, keys, _, edges = _entries(asked, "bundle")
+    told = np.empty(len(keys), np.int64)
+    told[np.argsort(keys, kind="stable")] = np.concatenate(
+        [unplaned(grown(c.as_buffer()), np.int64) for c in said.sort_by("part")["cell"]])
+    return pa.table({
+        "part": rows["part"], "bundle": rows["bundle"],
+        "cell": pa.array([shrunk(planes(told[a:b])) for a, b in zip(edges, edges[1:])], pa.binary())})
+
+
+def _in_two_steps(requests: DataFrame, stage: Stage, name: str, resolve: Callable, bits: int) -> DataFrame:
+    coarse = first_bits(bits)
+    asked = stage(requests, f"{name}_asked", **PACKED)
+    crews = (asked.agg(F.countDistinct("bundle").alias("n")).first()["n"] >> coarse) + 1
+    asked = asked.withColumn("crew", F.pmod(F.xxhash64("bundle"), F.lit(crews)))
+    fine = asked.groupBy("part", "crew").applyInArrow(_joined(bits), REQUEST)
+    said = stage(_resolved(fine, resolve), f"{name}_fine", **PACKED)
+    mine = said.withColumnRenamed("bundle", "crew").withColumn(
+        "coarse", F.shiftright("part", bits - coarse))
+    return asked.groupBy("part", "crew").cogroup(mine.groupBy("coarse", "crew")).applyInArrow(
+        _handed_out, "part long, bundle long, cell binary")
+
+
+def answers(requests: DataFrame, stage: Stage, name: str, resolve: Callable, bits: int) -> DataFrame:
+    """(bundle, cells), written: what `resolve` says to each key a bundle sent, cut by `bits`.
 
     resolve(values, group, begin) gets the numbers of all entries of a part ordered by key, the key
     each belongs to and where each key's entries begin; it returns an integer for each entry.
     """
+    if bits == first_bits(bits):
+        said = stage(_resolved(requests, resolve), f"{name}_said")
+    else:
+        said = stage(_in_two_steps(requests, stage, name, resolve, bits), f"{name}_said")
+        stage.drop(f"{name}_asked", f"{name}_fine")
+    return said.groupBy("bundle").agg(
+        F.array_sort(F.collect_list(F.struct("part", "cell"))).alias("cells"))
+
+
+def _resolved(requests: DataFrame, resolve: Callable) -> DataFrame:
     def resolved(rows: pa.Table) -> pa.Table:
         keys = [unascending(grown(c.as_buffer()), U) for c in rows["keys"]]
         values = np.concatenate([unplaned(grown(c.as_buffer()), np.int64) for c in rows["values"]])
@@ -110,10 +172,7 @@ def answers(requests: DataFrame, stage: Stage, name: str, resolve: Callable) ->
             "part": rows["part"], "bundle": rows["bundle"],
             "cell": pa.array([shrunk(planes(said[a:b])) for a, b in zip(edges, edges[1:])], pa.binary())})
 
-    said = stage(
-        requests.groupBy("part").applyInArrow(resolved, "part long, bundle long, cell binary"), f"{name}_said")
-    return said.groupBy("bundle").agg(
-        F.array_sort(F.collect_list(F.struct("part", "cell"))).alias("cells"))
+    return requests.groupBy("part").applyInArrow(resolved, "part long, bundle long, cell binary")
 
 
 def answer(cells: pa.Scalar) -> np.ndarray:

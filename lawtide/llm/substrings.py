@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawtide.llm.bundles import (
-    PACKED, REQUEST, answer, answers, bundled, grown, part_bits, request, shrunk)
+    PACKED, REQUEST, answer, answers, bundled, first_bits, grown, part_bits, request, shrunk)
 from lawtide.llm.packing import planes, unplaned
 from lawtide.llm.words import SPACED, U, Words, mixed, windows, words_of
 from lawtide.sources.workspace import Stage
@@ -210,7 +210,8 @@ def repeated_passages(
     size = bundles.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
     texts = bundles.select("bundle", "ids", "texts")
     half = (words + 1) // 2
-    found = answers(texts.mapInArrow(_asked(half, part_bits(size // 6)), REQUEST), stage, "halves", _told)
+    bits = part_bits(size // 6)
+    found = answers(texts.mapInArrow(_asked(half, first_bits(bits)), REQUEST), stage, "halves", _told, bits)
     state = stage(
         texts.join(found, "bundle").mapInArrow(_first_state(half, words - half), _STATE).where("candidates > 0"),
         "state_0", **PACKED)
@@ -219,7 +220,8 @@ def repeated_passages(
     def told_of(state: DataFrame, level: int) -> DataFrame:
         """The candidates with what the corpus says to them."""
         open_ = state.agg(F.sum("candidates").alias("n")).first()["n"] or 0
-        found = answers(state.mapInArrow(_asked_again(part_bits(open_)), REQUEST), stage, f"level_{level}", _told)
+        bits = part_bits(open_)
+        found = answers(state.mapInArrow(_asked_again(first_bits(bits)), REQUEST), stage, f"level_{level}", _told, bits)
         told = stage(state.join(found, "bundle", "left"), f"level_{level}_told", **PACKED)
         stage.drop(f"level_{level}_said", f"state_{level}")
         return told

@@ -340,6 +340,24 @@ def test_substrings(spark, monkeypatch, bundle, part):
         assert sum(s["end"] - s["start"] for s in r["removed"]) == r["n_removed"]
 
 
+@pytest.mark.parametrize("part, one_step", [(60, 1), (150, 0)])
+def test_keys_exchanged_in_two_steps(spark, monkeypatch, part, one_step):
+    """Crews of bundles get the answers that bundles would get alone, whatever the number of parts."""
+    import lawtide.llm.bundles as bundles
+
+    monkeypatch.setattr(bundles, "PART_KEYS", part)
+    rows = [r for r in made_docs(5, 24) if len(r[1] or "") < 5000]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(12)
+    plain = [x.collect() for x in (substrings.repeated_passages(docs, Stage(spark), words=5), backoff.backoff_scores(docs, Stage(spark)))]
+    monkeypatch.setattr(bundles, "ONE_STEP", one_step)
+    text = "".join(r[1] or "" for r in rows)
+    bits = bundles.part_bits(len(text) // 6)
+    assert bundles.first_bits(bits) < bits
+    crewed = [x.collect() for x in (substrings.repeated_passages(docs, Stage(spark), words=5), backoff.backoff_scores(docs, Stage(spark)))]
+    for a, b in zip(plain, crewed):
+        assert sorted(map(str, a)) == sorted(map(str, b))
+
+
 def test_substrings_of_nothing(spark, nothing):
     assert substrings.repeated_passages(nothing, Stage(spark)).count() == 0
 
