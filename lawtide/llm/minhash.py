@@ -173,6 +173,7 @@ def near_duplicates(
     different nodes whose components may have the same name. A null id is never a component's
     name unless all ids in it are null. Columns beyond the two named are not read.
     """
+    before = set(stage.written)
     id_type = docs.schema[id_col].dataType
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -218,6 +219,7 @@ def near_duplicates(
         "digest", "id", F.coalesce("component", "node").alias("component")), "placed")
     names = stage(placed.groupBy("component").agg(F.min("id").alias("component_id")), "names")
     named = stage(placed.join(names, "component").select("digest", "component_id"), "named")
+    stage.drop(*(stage.written - before - {"signed", "named"}))
     return (
         signed.select("id", "n_shingles", "digest").join(named, "digest", "left")
         .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")))

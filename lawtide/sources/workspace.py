@@ -46,12 +46,13 @@ class Stage:
     """Writes a DataFrame to a named table and returns the table.
 
     Needed where a result is used twice and must be computed once. `drop` removes tables that
-    nothing will read again; without names, all of them.
+    nothing will read again; without names, all of them. `written` names those that are there.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
         self.root = root or f"{shared_folder(spark)}/lawtide-{uuid.uuid4().hex}"
+        self.written: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -62,6 +63,7 @@ class Stage:
         writer = df.write.mode("overwrite").options(**options)
         with freed_shuffles(self.spark):
             (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
+        self.written.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def counted(
@@ -79,3 +81,4 @@ class Stage:
         for path in [self.path(name) for name in names] or [self.root]:
             there = jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(conf).delete(there, True)
+        self.written -= set(names) or self.written

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -117,6 +118,34 @@ def test_components(spark):
     same(got, [(x, find(x)) for x in root])
 
 
+def test_components_read_links_once(spark):
+    """A crowd behind many small hubs, and a chain: what is connected is not read in the next round, nor kept."""
+    class Links(Stage):
+        def __call__(self, df, name, *args, **options):
+            out = super().__call__(df, name, *args, **options)
+            if "_links" in name:
+                rows.append(out.count())
+            return out
+
+    rows, crowd = [], range(100, 400)
+    edges = sorted({(min(x, x ^ bit), max(x, x ^ bit)) for x in crowd for bit in map((1).__lshift__, range(9)) if x ^ bit in crowd})
+    edges += [(i, i + 1) for i in range(1000, 1200)] + [(7, 7)]
+    stage = Links(spark)
+    got = components(spark.createDataFrame(edges + edges, "a long, b long"), stage, "c")
+    same(got, [(x, 100) for x in crowd] + [(x, 1000) for x in range(1000, 1201)] + [(7, 7)])
+    assert rows[0] == len(edges) and sum(rows) < 1.5 * len(edges) and len(rows) < 6, rows
+    assert len(os.listdir(stage.root)) <= len(rows)
+
+
+def test_near_duplicates_keep_two_tables(spark):
+    rows = list(enumerate(templates(random.Random(4), 2, 20, changed=16, edits=3)))
+    stage = Stage(spark)
+    stage(spark.range(3), "own")
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), stage)
+    assert sorted(os.listdir(stage.root)) == ["named", "own", "signed"]
+    same(got, near_expected(rows, 5, 80))
+
+
 def near_expected(rows, n, percent):
     sets = defaultdict(list)
     for i, text, *_ in rows:
