@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lawtide.functions.lexicon import HR_SCOPE, Scope
-from lawtide.operators.lexicon_table import lexicon_rows, match_lexicon, written_out
+from lawtide.operators.lexicon_table import lexicon_rows, match_lexicon, stem_candidates, word_windows, written_out
 from lawtide.operators.prefilter import match_scopes
 from lawtide.sources.workspace import Stage
 
@@ -87,3 +87,20 @@ def test_empty_lexicon_and_texts(spark):
     none = spark.createDataFrame([], LEXICON)
     assert match_lexicon(df, none, Stage(spark)).count() == 0
     assert match_lexicon(df.limit(0), lexicon(spark, HR_SCOPE), Stage(spark)).count() == 0
+
+
+def test_beginnings_of_lengths_under_a_head_alone(spark):
+    """Words without a stem's head are cut off nowhere, others at the lengths of stems with that head."""
+    stems = ["abcd", "abcdefg", *("x" * n for n in range(5, 18))]
+    scopes = [Scope("s", {s: (s,) for s in stems}), Scope("odd", {"dash": ("abcd - e",), "t": ("abcdé",)})]
+    texts = ["abcdefghij kirja kirjat Kirja §abcdé", "ABCD abcd, abc xxxxxxx", "nabcd _abcd abcd - ef", "", None, "kirja" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for chosen in (scopes[:1], scopes):
+        assert found(match_lexicon(df, lexicon(spark, *chosen), Stage(spark))) == found(match_scopes(df, chosen)) != []
+    heads = spark.createDataFrame([("abcd", [4, 7]), ("xxxx", list(range(5, 18)))], "head string, lengths array<int>")
+    for in_word in (True, False):
+        windows = df.select(
+            F.col("i").alias("_row"), F.explode(word_windows(F.lower("text"), 4, 17, True, in_word)).alias("window"))
+        got = {(r._row, r.stem.split(" ")[0]) for r in stem_candidates(windows, heads, 4).collect()}
+        assert {x for x in got if not x[1].startswith("abcd")} == {(1, "xxxxx"), (1, "xxxxxx"), (1, "xxxxxxx")}
+        assert {(0, "abcd"), (0, "abcdefg"), (1, "abcd"), (2, "abcd")} <= got
