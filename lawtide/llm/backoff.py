@@ -9,15 +9,18 @@ document. Orders follow one another, so the n-grams of one order alone are under
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawtide.llm.bundles import PACKED, REQUEST, answer, answers, bundled, first_bits, part_bits, request
+from lawtide.llm.bundles import (
+    BATCH_BYTES, PACKED, REQUEST, answer, answers, bundled, first_bits, met, part_bits, request)
 from lawtide.llm.words import SPACED, spans, words_of
-from lawtide.sources.workspace import Stage
+from lawtide.sources.workspace import Stage, small_batches
 
 #: Scores are summed in whole millionths, so sums do not depend on an order.
 UNIT = 1_000_000
@@ -92,21 +95,18 @@ def _asked(n: int, bits: int):
 
 
 def _scored(order: int, total: int, alpha: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                hashes, place, first = _worded(batch["texts"][i].values)
-                n_words = np.diff(first)
-                doc = np.repeat(np.arange(len(n_words)), n_words)
-                others = [
-                    _Grams(hashes, place, n).others(answer(batch[f"cells_{n}"][i]), doc)
-                    for n in range(1, order + 1)]
-                score = scored_words(others, place, n_words[doc], total, alpha)
-                sums = np.append(0, np.cumsum(score))
-                units = sums[first[1:]] - sums[first[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["ids"][i].values, pa.array(n_words, pa.int64()), pa.array(units, pa.int64())],
-                    ["id", "n_words", "units"])
+    def run(bundle: pa.Table, said: pa.Table) -> pa.Table:
+        hashes, place, first = _worded(bundle["texts"][0].values)
+        n_words = np.diff(first)
+        doc = np.repeat(np.arange(len(n_words)), n_words)
+        others = [
+            _Grams(hashes, place, n).others(answer(said.filter(pc.equal(said["n"], n))), doc)
+            for n in range(1, order + 1)]
+        score = scored_words(others, place, n_words[doc], total, alpha)
+        sums = np.append(0, np.cumsum(score))
+        units = sums[first[1:]] - sums[first[:-1]]
+        return pa.table({
+            "id": bundle["ids"][0].values, "n_words": pa.array(n_words, pa.int64()), "units": pa.array(units, pa.int64())})
     return run
 
 
@@ -133,16 +133,14 @@ def backoff_scores(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     bundles = bundled(docs, stage, id_col, text_col).select("bundle", "ids", "texts")
-    total = bundles.select("texts").mapInArrow(_n_words, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
-    asked, bits = bundles, part_bits(total)
+    with small_batches(stage.spark, BATCH_BYTES):
+        total = bundles.select("texts").mapInArrow(_n_words, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    bits, said = part_bits(total), []
     for n in range(1, order + 1):
         counts = answers(bundles.mapInArrow(_asked(n, first_bits(bits)), REQUEST), stage, f"counts_{n}", _summed, bits)
-        asked = asked.join(
-            stage(counts.withColumnRenamed("cells", f"cells_{n}"), f"answers_{n}"), "bundle", "left")
-        stage.drop(f"counts_{n}_said")
+        said.append(counts.withColumn("n", F.lit(n)))
     return (
-        asked
-        .mapInArrow(_scored(order, total, alpha), f"id {kind}, n_words long, units long")
+        met(bundles, reduce(DataFrame.unionByName, said), _scored(order, total, alpha), f"id {kind}, n_words long, units long")
         .select(F.col("id").alias(id_col), "n_words", (F.col("units") / UNIT).alias("logprob"),
                 F.when(F.col("n_words") > 0, F.col("units") / UNIT / F.col("n_words")).alias("mean_logprob")))
 

@@ -10,7 +10,8 @@ many to cut every bundle into all of them, keys are exchanged in two steps: bund
 parts, crews of bundles join what they have of a coarse part, and cut that into fine ones.
 
 Bundles are written before they are used, so keys and answers of a bundle belong together however
-often tasks run again.
+often tasks run again. A task holds one bundle or one part at a time, besides what Spark sorts: rows of
+megabytes go to Python in small batches, and a bundle meets its answers as a group of its own.
 """
 
 from __future__ import annotations
@@ -24,15 +25,19 @@ from pyspark.sql import functions as F
 
 from lawtide.llm.packing import ascending, planes, unascending, unplaned
 from lawtide.llm.words import U, slices
-from lawtide.sources.workspace import Stage
+from lawtide.sources.workspace import Stage, small_batches
 
 #: Text of a bundle, and keys of a part, more or less. A longer document makes a longer bundle.
 BUNDLE_BYTES, PART_KEYS = 3 << 20, 2 << 20
 
-#: Leading bits by which a bundle is cut at once; more are halved into two steps.
-ONE_STEP = 9
+#: Leading bits by which a bundle is cut at once; more are halved into two steps, which hold the keys on disk three times over.
+ONE_STEP = 11
 
-PACKED = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
+#: Rows handed to Python at once.
+BATCH_BYTES = 4 << 20
+
+#: Row groups are read whole, and their size is looked at every hundred rows unless told: here a few rows fill one.
+PACKED = {"compression": "zstd", "parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1"}
 
 
 def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,12 +62,18 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
+def written(df: DataFrame, stage: Stage, name: str) -> DataFrame:
+    """Tables with rows of up to some megabytes."""
+    with small_batches(stage.spark, BATCH_BYTES):
+        return stage(df, name, **PACKED)
+
+
 def bundled(docs: DataFrame, stage: Stage, id_col: str, text_col: str) -> DataFrame:
     """(bundle, ids, texts, n_bytes), written: every row of docs is in one bundle, text and all."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     made = rows.mapInArrow(_bundled, f"ids array<{kind}>, texts array<string>, n_bytes long")
-    return stage(made.withColumn("bundle", F.monotonically_increasing_id()), "bundles", **PACKED)
+    return written(made.withColumn("bundle", F.monotonically_increasing_id()), stage, "bundles")
 
 
 def shrunk(raw: bytes) -> bytes:
@@ -100,18 +111,20 @@ def request(bundle: int, keys: np.ndarray, values: np.ndarray, bits: int) -> pa.
 REQUEST = "part long, bundle long, keys binary, values binary"
 
 
-def _entries(rows: pa.Table, by: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of a part in the order of `by`, with all their keys and values and where those of each row begin."""
-    rows = rows.sort_by(by)
-    keys = [unascending(grown(c.as_buffer()), U) for c in rows["keys"]]
-    values = np.concatenate([unplaned(grown(c.as_buffer()), np.int64) for c in rows["values"]])
-    return rows, np.concatenate(keys), values, np.cumsum([0, *map(len, keys)])
+def _entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All keys and values of a part's rows, and where those of each row begin."""
+    edges = np.cumsum([0, *(int.from_bytes(memoryview(c.as_buffer())[:8], "little") // 8 for c in rows["keys"])])
+    keys, values = np.empty(edges[-1], U), np.empty(edges[-1], np.int64)
+    for a, b, key, value in zip(edges, edges[1:], rows["keys"], rows["values"]):
+        keys[a:b] = unascending(grown(key.as_buffer()), U)
+        values[a:b] = unplaned(grown(value.as_buffer()), np.int64)
+    return keys, values, edges
 
 
 def _joined(bits: int):
     """What a crew has of a coarse part, as one list of keys in order, cut into fine parts."""
     def run(rows: pa.Table) -> pa.Table:
-        _, keys, values, _ = _entries(rows, "bundle")
+        keys, values, _ = _entries(rows.sort_by("bundle"))
         order = np.argsort(keys, kind="stable")
         return pa.Table.from_batches([request(rows["crew"][0].as_py(), keys[order], values[order], bits)])
     return run
@@ -119,7 +132,8 @@ def _joined(bits: int):
 
 def _handed_out(asked: pa.Table, said: pa.Table) -> pa.Table:
     """The answers to a crew, in the order of each bundle's keys."""
-    rows, keys, _, edges = _entries(asked, "bundle")
+    rows = asked.sort_by("bundle")
+    keys, _, edges = _entries(rows)
     told = np.empty(len(keys), np.int64)
     told[np.argsort(keys, kind="stable")] = np.concatenate(
         [unplaned(grown(c.as_buffer()), np.int64) for c in said.sort_by("part")["cell"]])
@@ -130,11 +144,11 @@ def _handed_out(asked: pa.Table, said: pa.Table) -> pa.Table:
 
 def _in_two_steps(requests: DataFrame, stage: Stage, name: str, resolve: Callable, bits: int) -> DataFrame:
     coarse = first_bits(bits)
-    asked = stage(requests, f"{name}_asked", **PACKED)
+    asked = written(requests, stage, f"{name}_asked")
     crews = (asked.agg(F.countDistinct("bundle").alias("n")).first()["n"] >> coarse) + 1
     asked = asked.withColumn("crew", F.pmod(F.xxhash64("bundle"), F.lit(crews)))
     fine = asked.groupBy("part", "crew").applyInArrow(_joined(bits), REQUEST)
-    said = stage(_resolved(fine, resolve), f"{name}_fine", **PACKED)
+    said = written(_resolved(fine, resolve), stage, f"{name}_fine")
     mine = said.withColumnRenamed("bundle", "crew").withColumn(
         "coarse", F.shiftright("part", bits - coarse))
     return asked.groupBy("part", "crew").cogroup(mine.groupBy("coarse", "crew")).applyInArrow(
@@ -142,42 +156,45 @@ def _in_two_steps(requests: DataFrame, stage: Stage, name: str, resolve: Callabl
 
 
 def answers(requests: DataFrame, stage: Stage, name: str, resolve: Callable, bits: int) -> DataFrame:
-    """(bundle, cells), written: what `resolve` says to each key a bundle sent, cut by `bits`.
+    """(part, bundle, cell), written: what `resolve` says to each key a bundle sent, cut by `bits`.
 
     resolve(values, group, begin) gets the numbers of all entries of a part ordered by key, the key
     each belongs to and where each key's entries begin; it returns an integer for each entry.
     """
     if bits == first_bits(bits):
-        said = stage(_resolved(requests, resolve), f"{name}_said")
-    else:
-        said = stage(_in_two_steps(requests, stage, name, resolve, bits), f"{name}_said")
-        stage.drop(f"{name}_asked", f"{name}_fine")
-    return said.groupBy("bundle").agg(
-        F.array_sort(F.collect_list(F.struct("part", "cell"))).alias("cells"))
+        return written(_resolved(requests, resolve), stage, f"{name}_said")
+    said = written(_in_two_steps(requests, stage, name, resolve, bits), stage, f"{name}_said")
+    stage.drop(f"{name}_asked", f"{name}_fine")
+    return said
 
 
-def _resolved(requests: DataFrame, resolve: Callable) -> DataFrame:
-    def resolved(rows: pa.Table) -> pa.Table:
-        keys = [unascending(grown(c.as_buffer()), U) for c in rows["keys"]]
-        values = np.concatenate([unplaned(grown(c.as_buffer()), np.int64) for c in rows["values"]])
-        edges = np.cumsum([0, *map(len, keys)])
-        keys = np.concatenate(keys)
+def resolving(resolve: Callable):
+    """The answers to all rows of a part. Arrays as long as its keys are few, and go when they are used."""
+    def run(rows: pa.Table) -> pa.Table:
+        keys, values, edges = _entries(rows)
         order = np.argsort(keys)
-        keys = keys[order]
-        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(keys))))
-        said = np.empty(len(keys), np.int64)
-        said[order] = resolve(values[order], group, begin)
+        values, keys = values[order], keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        del keys
+        said = np.empty(len(order), np.int64)
+        said[order] = resolve(values, np.cumsum(new, dtype=np.int32) - np.int32(1), np.flatnonzero(new))
+        del order, values
         return pa.table({
             "part": rows["part"], "bundle": rows["bundle"],
             "cell": pa.array([shrunk(planes(said[a:b])) for a, b in zip(edges, edges[1:])], pa.binary())})
+    return run
+
+
+def _resolved(requests: DataFrame, resolve: Callable) -> DataFrame:
+    return requests.groupBy("part").applyInArrow(resolving(resolve), "part long, bundle long, cell binary")
+
 
-    return requests.groupBy("part").applyInArrow(resolved, "part long, bundle long, cell binary")
+def met(rows: DataFrame, others: DataFrame, run: Callable, kinds: str) -> DataFrame:
+    """What run(row, others) makes of each bundle's row, a table of one, and the other rows of that bundle."""
+    return rows.groupBy("bundle").cogroup(others.groupBy("bundle")).applyInArrow(run, kinds)
 
 
-def answer(cells: pa.Scalar) -> np.ndarray:
+def answer(said: pa.Table) -> np.ndarray:
     """The answers to a bundle's keys, in the order it sent them."""
-    if not cells.is_valid:
-        return np.zeros(0, np.int64)
-    found = [unplaned(grown(c["cell"].as_buffer()), np.int64) for c in cells.values]
+    found = [unplaned(grown(c.as_buffer()), np.int64) for c in said.sort_by("part")["cell"]]
     return np.concatenate(found) if found else np.zeros(0, np.int64)

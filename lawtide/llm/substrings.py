@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawtide.llm.bundles import (
-    PACKED, REQUEST, answer, answers, bundled, first_bits, grown, part_bits, request, shrunk)
+    REQUEST, answer, answers, bundled, first_bits, grown, met, part_bits, request, shrunk, written)
 from lawtide.llm.packing import planes, unplaned
 from lawtide.llm.words import SPACED, U, Words, mixed, windows, words_of
 from lawtide.sources.workspace import Stage
@@ -29,9 +29,9 @@ LAST = np.iinfo(np.int64).max
 
 
 def _told(values: np.ndarray, group: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    least = np.minimum.reduceat(values, begin)[group]
-    entries = np.diff(np.append(begin, len(values)))[group]
-    return (values > least) * SMALLER + (entries > 1) * ELSEWHERE
+    smaller = values > np.minimum.reduceat(values, begin)[group]
+    elsewhere = (np.diff(np.append(begin, len(values))) > 1)[group]
+    return smaller * np.int8(SMALLER) + elsewhere * np.int8(ELSEWHERE)
 
 
 def _ids(cell: pa.Scalar) -> np.ndarray:
@@ -87,39 +87,54 @@ def _marks(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _packed(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array([shrunk(planes(c.astype(np.int64)))], pa.binary()) for c in columns]
+
+
+def _unpacked(row: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [unplaned(grown(row[c][0].as_buffer()), np.int64) for c in columns]
+
+
+_JUDGED = "bundle long, starts binary, repeats binary"
+
+
+def _judged(state: pa.Table, said: pa.Table) -> pa.Table:
+    """Where the windows of a bundle begin that a smaller id has too, and which documents have one that repeats."""
+    ids, doc, at, keys = _opened(state)
+    own, told = _Keyed(keys, doc, ids), answer(said)
+    return pa.table(
+        [state["bundle"], *_packed(at[own.later(told)], np.unique(doc[own.repeated(told)]))],
+        ["bundle", "starts", "repeats"])
+
+
 def _removed(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words = words_of(batch["texts"][i].values, SPACED, lower=False)
-                repeats = np.zeros(len(batch["ids"][i]), bool)
-                starts = np.zeros(0, np.int64)
-                if batch["at"][i].is_valid:  # else no window of the bundle is a candidate
-                    ids, doc, at, keys = _opened(batch, i)
-                    own, told = _Keyed(keys, doc, ids), answer(batch["cells"][i])
-                    repeats[doc[own.repeated(told)]] = True
-                    starts = at[own.later(told)]
-                gone = _marks(starts, n, len(words.start))
-                data, out = words.data.tobytes(), []
-                starts, ends = words.start.tolist(), words.end.tolist()
-                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-                    cut = gone[a:b]
-                    edge = np.flatnonzero(np.diff(cut, prepend=False, append=False)).reshape(-1, 2)
-                    kept = b" ".join(
-                        [data[starts[j]: ends[j]] for j in (np.flatnonzero(~cut) + a).tolist()])
-                    out.append((b - a, int(cut.sum()), edge, kept))
-                spans = np.concatenate([e for _, _, e, _ in out]) if out else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(out), batch["bundle"][i].as_py()), pa.int64()),
-                     pa.array(np.arange(len(out))), batch["ids"][i].values,
-                     pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
-                     pa.ListArray.from_arrays(
-                         pa.array(np.cumsum([0, *(len(o[2]) for o in out)]), pa.int32()),
-                         pa.StructArray.from_arrays(
-                             [pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64())],
-                             ["start", "end"])),
-                     pa.array([o[3].decode("utf-8", "replace") for o in out], pa.string()), pa.array(repeats)],
-                    ["bundle", "place", "id", "n_words", "n_removed", "removed", "kept", "repeats"])
+    def run(bundle: pa.Table, judged: pa.Table) -> pa.Table:
+        words = words_of(bundle["texts"][0].values, SPACED, lower=False)
+        repeats = np.zeros(len(bundle["ids"][0]), bool)
+        starts = np.zeros(0, np.int64)
+        if judged.num_rows:  # else no window of the bundle is a candidate
+            starts, docs = _unpacked(judged, "starts", "repeats")
+            repeats[docs] = True
+        gone = _marks(starts, n, len(words.start))
+        data, out = words.data.tobytes(), []
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+            cut = gone[a:b]
+            edge = np.flatnonzero(np.diff(cut, prepend=False, append=False)).reshape(-1, 2)
+            kept = b" ".join(
+                [data[i:j] for i, j in zip(words.start[a:b][~cut].tolist(), words.end[a:b][~cut].tolist())])
+            out.append((b - a, int(cut.sum()), edge, kept))
+        spans = np.concatenate([e for _, _, e, _ in out]) if out else np.zeros((0, 2), np.int64)
+        return pa.table(
+            [pa.array(np.full(len(out), bundle["bundle"][0].as_py()), pa.int64()),
+             pa.array(np.arange(len(out))), bundle["ids"][0].values,
+             pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
+             pa.ListArray.from_arrays(
+                 pa.array(np.cumsum([0, *(len(o[2]) for o in out)]), pa.int32()),
+                 pa.StructArray.from_arrays(
+                     [pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64())],
+                     ["start", "end"])),
+             pa.array([o[3].decode("utf-8", "replace") for o in out], pa.string()), pa.array(repeats)],
+            ["bundle", "place", "id", "n_words", "n_removed", "removed", "kept", "repeats"])
     return run
 
 
@@ -127,34 +142,30 @@ _STATE = "bundle long, owners binary, docs binary, at binary, keys binary, candi
 
 
 def _state(bundle: int, ids: np.ndarray, doc: np.ndarray, at: np.ndarray, keys: np.ndarray,
-           repeated: np.ndarray, step: int) -> pa.RecordBatch:
+           repeated: np.ndarray, step: int) -> pa.Table:
     """Candidates that are `step` words longer: places whose window repeats, as does the one so many words on."""
     doc, at, keys = doc[repeated], at[repeated], keys[repeated]
     ahead = np.searchsorted(at, at + step)
     there = np.flatnonzero(ahead < len(at))
     there = there[(at[ahead[there]] == at[there] + step) & (doc[ahead[there]] == doc[there])]
     longer = mixed(keys[there] * U(0x9E3779B97F4A7C15) + keys[ahead[there]])
-    cells = [ids, doc[there], at[there], longer.view(np.int64)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([bundle], pa.int64()), *(pa.array([shrunk(planes(c.astype(np.int64)))], pa.binary()) for c in cells),
+    return pa.table(
+        [pa.array([bundle], pa.int64()), *_packed(ids, doc[there], at[there], longer.view(np.int64)),
          pa.array([len(there)], pa.int64())],
         ["bundle", "owners", "docs", "at", "keys", "candidates"])
 
 
 def _first_state(n: int, step: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids = _ids(batch["ids"][i])
-                _, keys, at, doc = _of_texts(batch, i, n)
-                repeated = _Keyed(keys, doc, ids).repeated(answer(batch["cells"][i]))
-                yield _state(batch["bundle"][i].as_py(), ids, doc, at, keys, repeated, step)
+    def run(bundle: pa.Table, said: pa.Table) -> pa.Table:
+        ids = _ids(bundle["ids"][0])
+        _, keys, at, doc = _of_texts(bundle, 0, n)
+        repeated = _Keyed(keys, doc, ids).repeated(answer(said))
+        return _state(bundle["bundle"][0].as_py(), ids, doc, at, keys, repeated, step)
     return run
 
 
-def _opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, doc, at, keys = (
-        unplaned(grown(batch[c][i].as_buffer()), np.int64) for c in ("owners", "docs", "at", "keys"))
+def _opened(state: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, doc, at, keys = _unpacked(state, "owners", "docs", "at", "keys")
     return ids, doc, at, keys.view(U)
 
 
@@ -162,31 +173,25 @@ def _asked_again(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, doc, _, keys = _opened(batch, i)
+                ids, doc, _, keys = _opened(batch.slice(i, 1))
                 own = _Keyed(keys, doc, ids)
                 yield request(batch["bundle"][i].as_py(), own.distinct, own.least, bits)
     return run
 
 
 def _next_state(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, doc, at, keys = _opened(batch, i)
-                repeated = _Keyed(keys, doc, ids).repeated(answer(batch["cells"][i]))
-                yield _state(batch["bundle"][i].as_py(), ids, doc, at, keys, repeated, n)
+    def run(state: pa.Table, said: pa.Table) -> pa.Table:
+        ids, doc, at, keys = _opened(state)
+        repeated = _Keyed(keys, doc, ids).repeated(answer(said))
+        return _state(state["bundle"][0].as_py(), ids, doc, at, keys, repeated, n)
     return run
 
 
-def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reached(state: pa.Table, said: pa.Table) -> pa.Table:
     """Documents that still have a repeated window: those of the answered candidates."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids, doc, _, keys = _opened(batch, i)
-            own = np.unique(doc[_Keyed(keys, doc, ids).repeated(answer(batch["cells"][i]))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(own), batch["bundle"][i].as_py()), pa.int64()), pa.array(own)],
-                ["bundle", "place"])
+    ids, doc, _, keys = _opened(state)
+    own = np.unique(doc[_Keyed(keys, doc, ids).repeated(answer(said))])
+    return pa.table({"bundle": pa.array(np.full(len(own), state["bundle"][0].as_py()), pa.int64()), "place": pa.array(own)})
 
 
 def repeated_passages(
@@ -212,40 +217,37 @@ def repeated_passages(
     half = (words + 1) // 2
     bits = part_bits(size // 6)
     found = answers(texts.mapInArrow(_asked(half, first_bits(bits)), REQUEST), stage, "halves", _told, bits)
-    state = stage(
-        texts.join(found, "bundle").mapInArrow(_first_state(half, words - half), _STATE).where("candidates > 0"),
-        "state_0", **PACKED)
+    state = written(
+        met(texts, found, _first_state(half, words - half), _STATE).where("candidates > 0"), stage, "state_0")
     stage.drop("halves_said")
 
-    def told_of(state: DataFrame, level: int) -> DataFrame:
-        """The candidates with what the corpus says to them."""
+    def said_to(state: DataFrame, level: int) -> DataFrame:
+        """What the corpus says to the candidates."""
         open_ = state.agg(F.sum("candidates").alias("n")).first()["n"] or 0
         bits = part_bits(open_)
-        found = answers(state.mapInArrow(_asked_again(first_bits(bits)), REQUEST), stage, f"level_{level}", _told, bits)
-        told = stage(state.join(found, "bundle", "left"), f"level_{level}_told", **PACKED)
-        stage.drop(f"level_{level}_said", f"state_{level}")
-        return told
-
-    told = told_of(state, 0)
-    cut = texts.join(told.select("bundle", "owners", "docs", "at", "keys", "cells"), "bundle", "left").mapInArrow(
-        _removed(words),
+        return answers(state.mapInArrow(_asked_again(first_bits(bits)), REQUEST), stage, f"level_{level}", _told, bits)
+
+    said = said_to(state, 0)
+    judged = written(met(state, said, _judged, _JUDGED), stage, "judged")
+    cut = met(
+        texts, judged, _removed(words),
         f"bundle long, place long, id {docs.schema[id_col].dataType.simpleString()}, n_words long, "
         "n_removed long, removed array<struct<start: long, end: long>>, kept string, repeats boolean")
     columns = [F.col("id").alias(id_col), "n_words", "n_removed", "removed", "kept"]
     if not longest:
+        stage.drop("state_0", "level_0_said")
         return cut.select(*columns)
 
     n, level, reached = words, 0, []
     while True:
         level += 1
-        state = stage(told.mapInArrow(_next_state(n), _STATE).where("candidates > 0"), f"state_{level}", **PACKED)
-        if level > 1:  # the first is read again by what is returned
-            stage.drop(f"level_{level - 1}_told")
-        if state.isEmpty():
+        longer = written(met(state, said, _next_state(n), _STATE).where("candidates > 0"), stage, f"state_{level}")
+        stage.drop(f"state_{level - 1}", f"level_{level - 1}_said")
+        if longer.isEmpty():
             break
-        n *= 2
-        told = told_of(state, level)
-        reached.append(stage(told.mapInArrow(_reached, "bundle long, place long"), f"reached_{level}").withColumn("n", F.lit(n)))
+        n, state, said = 2 * n, longer, said_to(longer, level)
+        reached.append(
+            stage(met(state, said, _reached, "bundle long, place long"), f"reached_{level}").withColumn("n", F.lit(n)))
     if not reached:
         far = F.lit(None).cast("int")
     else:

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Text of so many bytes is handled at a time; a longer text is handled alone.
 SLICE_BYTES = 1 << 20
+#: Words of so many bytes are hashed at a time; sums and powers take eight bytes for each.
+HASHED_BYTES = 1 << 18
 
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Words are all but white space.
@@ -78,11 +80,21 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        up, down = _BYTES.upto(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=total[1:])
-        length = (self.end - self.start).astype(U)
-        return mixed((total[self.end] - total[self.start]) * down[self.start] + length)
+        """A word's hash does not depend on where it stands, so blocks of words are hashed one by one."""
+        out = np.empty(len(self.start), U)
+        cuts = np.searchsorted(self.start, np.arange(0, len(self.data), HASHED_BYTES)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(out)]):
+            if a < b:
+                out[a:b] = self._hashed(self.start[a:b], self.end[a:b])
+        return out
+
+    def _hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        data = self.data[start[0]: end[-1]]
+        start, end = start - start[0], end - start[0]
+        up, down = _BYTES.upto(len(data) + 1)
+        total = np.zeros(len(data) + 1, U)
+        np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+        return mixed((total[end] - total[start]) * down[start] + (end - start).astype(U))
 
     def joined(self, keep: np.ndarray, d: int) -> bytes:
         """The kept words of text d, joined by one space."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +43,18 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Queries run within hand rows to Python as soon as they fill so many bytes, or at each row larger
+    than that, where else some 64 MB are held at a time by a task and by its worker."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 class Stage:
     """Writes a DataFrame to a named table and returns the table.
 
